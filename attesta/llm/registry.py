@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from attesta.llm import line_dedup, simhash
+from attesta.llm import language_id, licenses, line_dedup, packing, simhash, spotsigs, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_query,
+    "op2_language_id": language_id.op2_query,
+    "op3_substring_dedup": substring_dedup.op3_query,
+    "op4_token_counts": token_counts.op4_query,
+    "op5_best_fit_packing": packing.op5_query,
     "op6_simhash_near_dedup": simhash.op6_query,
+    "op7_document_fingerprints": spotsigs.op7_query,
+    "op9_license_scans": licenses.op9_query,
+    "op10_exact_top_k": topk.op10_query,
 }
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op9_license_scans": licenses.ORACLE, "op10_exact_top_k": topk.ORACLE}
