@@ -25,6 +25,11 @@ _ASCII, _ANY = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 _WORDY = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter of any script."""
+    return bool(_ASCII.search(text) or _ANY.search(text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -173,7 +178,7 @@ class Labeller:
         self._read(sorted(new))
         names, scores = [], []
         for t, words in zip(texts, split, strict=True):
-            if not t or not (_ASCII.search(t) or _ANY.search(t)):
+            if not t or not has_letter(t):
                 names.append("und")
                 scores.append(0.0)
                 continue

@@ -136,7 +136,7 @@ def _oracle() -> str:
     )
     return rf"""
 WITH d AS (
-  SELECT doc_id AS k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{gap}'), x -> x <> '') AS w FROM documents
+  SELECT doc_id AS k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{gap}'), lambda x: x <> '') AS w FROM documents
 ), licensed AS (SELECT * FROM d WHERE list_contains(w, 'license')),
 positions AS (SELECT k, w, unnest(generate_series(1, len(w))) AS pos FROM licensed),
 places AS ({phrases}),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import language_id, licenses, line_dedup, packing, simhash, spotsigs, substring_dedup, token_counts, topk
+from attesta.llm import language_id, licenses, line_dedup, packing, pieces, simhash, spotsigs, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_query,
     "op6_simhash_near_dedup": simhash.op6_query,
     "op7_document_fingerprints": spotsigs.op7_query,
+    "op8_sentencepiece": pieces.op8_query,
     "op9_license_scans": licenses.op9_query,
     "op10_exact_top_k": topk.op10_query,
 }

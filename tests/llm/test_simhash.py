@@ -2,7 +2,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attesta.llm.simhash import fingerprint, links, near_duplicates
+from attesta.llm.simhash import fingerprint, links, near_duplicates, near_groups, sketch
 
 
 def slow_fingerprint(text, shingle=3):
@@ -44,3 +44,26 @@ def test_components_nulls_ties_empty_and_clashing_columns(spark):
     assert got == {(4, f, 2), (2, f, 2), (None, f, 2), (7, 0, 7), (9, 0, 7), (11, fingerprint("w w w"), 11)}
     assert near_duplicates(df).count() == len(rows)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_groups_keep_one_of_each(spark):
+    import random
+
+    r = random.Random(12)
+    rows, of = [], {}
+    for g in range(30):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
+        for _ in range(r.randint(1, 4)):
+            copy = list(words)
+            if r.random() < 0.5:
+                copy[r.randrange(300)] = "edited"
+            of[len(rows)] = g
+            rows.append((len(rows), " ".join(copy), "x"))
+    rows += [(900, "", "x"), (901, None, "x"), (902, "short text", "x"), (902, "short text", "x"), (None, "short text", "x")]
+    got = near_groups(spark.createDataFrame(rows, "doc_id bigint, text string, first string")).collect()
+    assert len(got) == len(rows)
+    kept = [x.doc_id for x in got if x.first and x.doc_id is not None and x.doc_id < 900]
+    assert sorted(of[k] for k in kept) == list(range(30)) and all(k == min(i for i in of if of[i] == of[k]) for k in kept)
+    rest = [x.doc_id for x in got if x.first and (x.doc_id is None or x.doc_id >= 900)]
+    assert rest == [900, None] or rest == [None, 900]
+    assert sketch("a b c d e f", 5, 3)[0] == fingerprint("a b c d e f", 5)
