@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from attesta.queries import assess, curation, extra, joins, text
+
+_MODULES = [curation, joins, assess, text, extra]
 FLAGSHIP = "q_p12_dispositions"
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
