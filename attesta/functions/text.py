@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.values import col
 
-DASHES = "-–—"
+DASHES = r"\-–—"
 RANGE_CAP = 10_000
 _CITED = rf"\[([\d\s,;{DASHES}]*\d[\d\s,;{DASHES}]*)\]"
 _ITEM = rf"\d+(\s*[{DASHES}]\s*\d+)?"

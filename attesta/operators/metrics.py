@@ -27,7 +27,7 @@ def regression(rows: DataFrame, keys: list[str], y: str, p: str, weight: str | N
     out = rows.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), (F.sum(w * F.abs(res)) / F.sum(w)).alias("mae"), F.sum(w * res * res).alias("sse"), sst.alias("sst"), mean.alias("target_mean"), F.count_distinct(F.when(w > 0, F.col(y))).alias("__d"))
     defined = (F.col("__d") > 1) & (F.col("n") > 1)
     return out.select(
-        *keys, "n", "mae", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "sse", "sst", F.when(defined, 1 - F.col("sse") / F.col("sst")).alias("r2"),
+        *keys, "n", "mae", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "sse", "sst", F.when(defined, 1 - F.try_divide("sse", "sst")).alias("r2"),
         F.when(~defined, "constant_target_or_single_row").alias("r2_undefined_reason"), "target_mean", F.sqrt(F.col("sst") / F.col("n")).alias("target_population_sd"),
     )
 
@@ -62,7 +62,7 @@ def ranking(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     precision = (F.col("__bp") + F.col("__p")) / (F.col("__bp") + F.col("__p") + F.col("__bn") + F.col("__n"))
     out = run.groupBy(*keys).agg(F.sum("__p").alias("P"), F.sum("__n").alias("N"), F.sum(F.col("__n") * (F.col("__bp") + F.col("__p") / 2)).alias("a"), F.sum(F.col("__p") * precision).alias("b"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
-    return out.select(*keys, F.when(both, F.col("a") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("b") / F.col("P")).alias("average_precision"), F.when(~both, "single_class_target").alias("ranking_undefined_reason"))
+    return out.select(*keys, F.when(both, F.try_divide("a", F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.try_divide("b", "P")).alias("average_precision"), F.when(~both, "single_class_target").alias("ranking_undefined_reason"))
 
 
 def slices(rows: DataFrame, levels: list[list[str]], measures: list[Column]) -> DataFrame:
@@ -92,8 +92,8 @@ def bootstrap_intervals(rows: DataFrame, group: str, y: str, p: str, multiplicit
     stats = group_statistics(rows, group, y, p).join(multiplicities, group)
     s = lambda c: F.sum(F.col("times") * F.col(c))
     reps = stats.groupBy("rep").agg(s("n").alias("n"), s("sae").alias("sae"), s("sse").alias("sse"), s("sy").alias("sy"), s("syy").alias("syy"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    reps = reps.select((F.col("sae") / F.col("n")).alias("mae"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), F.when(sst > 1e-12, 1 - F.col("sse") / sst).alias("r2"))
+    sst = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    reps = reps.select(F.try_divide("sae", "n").alias("mae"), F.sqrt(F.try_divide("sse", "n")).alias("rmse"), F.when(sst > 1e-12, 1 - F.try_divide(F.col("sse"), sst)).alias("r2"))
     long = reps.unpivot([], ["mae", "rmse", "r2"], "metric", "value")
     return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("lower"), F.percentile("value", F.lit(0.975)).alias("upper"), F.count("value").alias("valid"))
 

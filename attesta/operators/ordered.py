@@ -17,10 +17,10 @@ def running_sums(rows: DataFrame, keys: list[str], order: list, sums: dict[str,
     """
     stage = Staging(rows.sparkSession, "running")
     ordered = rows.repartitionByRange(*[F.col(k) for k in keys], *order)
-    parts = stage.put(ordered.withColumn("__p", F.spark_partition_id()), "parts")
-    local = Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("__p", *keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    totals = totals.select("__p", *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    out = parts.withColumns({f"__l_{n}": F.coalesce(F.sum(c).over(local), F.lit(0)) for n, c in sums.items()}).join(totals, ["__p", *keys])
+    parts = stage.put(ordered.withColumn("__running_part", F.spark_partition_id()), "parts")
+    local = Window.partitionBy("__running_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__running_part").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("__running_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("__running_part", *keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    totals = totals.select("__running_part", *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    out = parts.withColumns({f"__l_{n}": F.coalesce(F.sum(c).over(local), F.lit(0)) for n, c in sums.items()}).join(totals, ["__running_part", *keys])
     return out.select(*rows.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])

@@ -55,7 +55,7 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals over ten given resamplings of the users."""
     rows = _scored(spark, sf_dir)
-    times = rows.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep")).withColumn("times", (F.col("user_id") * (F.col("rep") + 3) % 7 % 3).cast("long"))
+    times = rows.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep")).withColumn("times", ((F.col("user_id") * (F.col("rep") + 1) + F.col("rep")) % 5 % 3).cast("long"))
     got = metrics.bootstrap_intervals(rows, "user_id", "value", "fit", times)
     return got.select("metric", F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"), "valid")
 
@@ -159,7 +159,7 @@ ORACLE = {
       SELECT event_type, round(sum(b * (pa + a / 2)) / (sum(a)::DOUBLE * sum(b)), 6) AS roc_auc, round(sum(a * (pa + a) / (pa + a + pb + b)) / sum(a), 6) AS average_precision FROM w GROUP BY 1""",
     "q_a14_slices": f"""WITH {_SCORED}, d AS (SELECT *, CASE WHEN p > 0.6 THEN 'in' WHEN p > 0.2 THEN 'out' ELSE 'abstain' END AS domain FROM s)
       SELECT event_type, domain, grouping(event_type, domain)::BIGINT AS level, count(*) AS n, round(avg(abs(value - fit)), 6) AS mae FROM d GROUP BY GROUPING SETS ((event_type, domain), (event_type), (domain), ())""",
-    "q_a15_bootstrap_given": f"""WITH {_SCORED}, r AS (SELECT rep, value, fit, user_id * (rep + 3) % 7 % 3 AS t FROM s, generate_series(0, 9) g(rep)),
+    "q_a15_bootstrap_given": f"""WITH {_SCORED}, r AS (SELECT rep, value, fit, (user_id * (rep + 1) + rep) % 5 % 3 AS t FROM s, generate_series(0, 9) g(rep)),
       m AS (SELECT rep, sum(t * abs(value - fit)) / sum(t) AS mae, sqrt(sum(t * (value - fit) ** 2) / sum(t)) AS rmse, 1 - sum(t * (value - fit) ** 2) / (sum(t * value * value) - sum(t * value) ** 2 / sum(t)) AS r2 FROM r GROUP BY 1),
       l AS (UNPIVOT (SELECT mae, rmse, r2 FROM m) ON mae, rmse, r2 INTO NAME metric VALUE v)
       SELECT metric, round(quantile_cont(v, 0.025), 5) AS lower, round(quantile_cont(v, 0.975), 5) AS upper, count(v) AS valid FROM l GROUP BY 1""",

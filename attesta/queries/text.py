@@ -22,7 +22,7 @@ def regex_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brackets written from order keys; wrong ranges are reported."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("a"), (F.col("o_orderkey") * 7 % 40).alias("b"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("a"), (F.col("o_orderkey") * 7 % 40 + 1).alias("b"))
     written = o.withColumn("t", F.concat(F.lit("x ["), "a", F.lit(", "), "b", F.lit("-"), F.col("b") + F.col("a") % 5 - 1, F.lit("; 7] [C#] y [1,,2]")))
     got = text.citations(written, "o_orderkey", "t")
     return got.groupBy("number", "problem").agg(F.count("*").alias("n"))
@@ -128,8 +128,7 @@ QUERIES = {
 ORACLE = {
     "q_f01_checksum": """SELECT (list_sum(list_transform(generate_series(1, len(s)), lambda i: i * s[len(s) - i + 1]::INT)) % 10)::BIGINT AS digit, count(*) AS n FROM (SELECT o_orderkey::VARCHAR AS s FROM orders) GROUP BY 1""",
     "q_f02_regex_count": "SELECT doc_id, len(regexp_extract_all(text, '(?i)licen[cs]e')) AS n, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents",
-    "q_f05_citation_expand": """WITH o AS (SELECT o_orderkey % 50 AS a, o_orderkey * 7 % 40 AS b FROM orders), r AS (SELECT *, b + a % 5 - 1 AS e FROM o),
-      k AS (SELECT DISTINCT i, x FROM (SELECT row_number() OVER () AS i, a, b, e FROM r) q, LATERAL (SELECT unnest(CASE WHEN e < b THEN [a] ELSE list_concat([a, 7], generate_series(b, e)) END) AS x)),
+    "q_f05_citation_expand": """WITH o AS (SELECT o_orderkey % 50 AS a, o_orderkey * 7 % 40 + 1 AS b FROM orders), r AS (SELECT *, b + a % 5 - 1 AS e FROM o),
       c AS (SELECT row_number() OVER () AS i, a, b, e FROM r), d AS (SELECT i, unnest(list_distinct(CASE WHEN e < b THEN [a] ELSE list_concat([a, 7::BIGINT], generate_series(b, e)) END)) AS number FROM c)
       SELECT number, NULL::VARCHAR AS problem, count(*) AS n FROM d GROUP BY 1 UNION ALL SELECT NULL, 'descending', count(*) FROM c WHERE e < b UNION ALL SELECT NULL, 'malformed', count(*) FROM c""",
     "q_f06_label_references": """WITH p AS (SELECT p_partkey % 6 + 1 AS a FROM part) SELECT label, count(*) AS n FROM (SELECT unnest(list_distinct(['S' || a, 'S' || (a + 1), 'S' || (a + 2), a::VARCHAR])) AS label FROM p) GROUP BY 1""",

@@ -16,7 +16,7 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """``line, path, sha256, problem`` of a checksum list, in the two usual line formats or as JSON."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
     lines = text.where(~F.ltrim("t").startswith("{")).select(F.posexplode(F.split("t", "\r?\n")).alias("n", "raw"))
     lines = lines.select((F.col("n") + 1).alias("line"), F.btrim("raw", F.lit(" \t\r")).alias("raw")).where("raw <> '' and not startswith(raw, '#')")
     bsd, gnu = r"^SHA256 \((.+)\) = ([0-9a-fA-F]{64})$", r"^([0-9a-fA-F]{64})\s+\*?(.+)$"
