@@ -12,11 +12,11 @@ from attesta.session import table
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    p = F.round((F.col("event_id") * 37 % 1000) / 1000.0, 2)
+    p = F.floor(F.col("event_id") * 37 % 1000 / 10) / 100.0
     return e.select("event_id", "user_id", "event_type", (F.col("event_id") * 7 % 3 == 0).cast("int").alias("y"), p.alias("p"), "value", (F.col("value") * 0.9 + F.col("event_id") % 7).alias("fit"))
 
 
-_SCORED = """s AS (SELECT event_id, user_id, event_type, (event_id * 7 % 3 = 0)::INT AS y, round((event_id * 37 % 1000) / 1000::DOUBLE, 2) AS p, value, value * 0.9::DOUBLE + event_id % 7 AS fit FROM events)"""
+_SCORED = """s AS (SELECT event_id, user_id, event_type, (event_id * 7 % 3 = 0)::INT AS y, floor(event_id * 37 % 1000 / 10) / 100::DOUBLE AS p, value, value * 0.9::DOUBLE + event_id % 7 AS fit FROM events)"""
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
