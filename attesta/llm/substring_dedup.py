@@ -47,21 +47,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """``(first word, windows, anchor, hash)`` for runs of consecutive windows with one anchor.
+def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """``(first word, windows, anchor, hash, places)`` for runs of consecutive windows with one anchor.
 
     A window's anchor is the smallest hash among its word 8-grams; a run ends after at most
-    ``window - GRAM + 1`` windows. Each window is in one run.
+    ``window - GRAM + 1`` windows. Each window is in one run. ``places`` is 2 if the anchor's words stand in the run
+    more than once, as they do if two of its own windows are equal, else 1.
     """
     n = len(words) - window + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int8)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     g, a, width = h, _A, 1
     while width < GRAM:
         g = g[:-width] * a + g[width:]
         a, width = np.uint64(int(a) ** 2 % (1 << 64)), width * 2
-    low, span, wide = _mix(g), 1, window - GRAM + 1
+    grams = _mix(g)
+    low, span, wide = grams, 1, window - GRAM + 1
     while 2 * span <= wide:
         low, span = np.minimum(low[:-span], low[span:]), 2 * span
     if span < wide:
@@ -74,8 +76,14 @@ def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
         k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         sizes, starts = np.minimum(wide, np.repeat(sizes, pieces) - wide * k), np.repeat(starts, pieces) + wide * k
     raw, digest = h.tobytes(), xxhash.xxh3_64_intdigest
-    ends = starts + sizes + window - 1
-    return starts, sizes, low[starts], [digest(raw[8 * s : 8 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    ends, places = starts + sizes + window - 1, np.ones(len(starts), np.int8)
+    ordered = np.sort(grams)
+    if (ordered[1:] == ordered[:-1]).any():
+        held = sizes + wide - 1  # grams of each run
+        run = np.repeat(np.arange(len(starts)), held)
+        at = starts[run] + np.arange(held.sum()) - (np.cumsum(held) - held)[run]
+        places += np.bincount(run[grams[at] == low[starts][run]], minlength=len(starts)) > 1
+    return starts, sizes, low[starts], [digest(raw[8 * s : 8 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], places
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -85,21 +93,21 @@ def _split(text: str | None) -> list[bytes]:
 def _all_stretches(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, parts = [], ([], [], [], [])
+            at, parts = [], ([], [], [], [], [])
             for i, t in enumerate(b.column("t")):
                 got = stretches(_split(t.as_py()), window)
                 at += [i] * len(got[3])
                 for p, x in zip(parts, got, strict=True):
                     p.append(np.array(x, np.uint64) if p is parts[3] else x)
             none = np.zeros(0, np.uint64)
-            s, n, a, h = (np.concatenate(p) if p else none for p in parts)
+            s, n, a, h, c = (np.concatenate(p) if p else none for p in parts)
             at = pa.array(np.array(at, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k").take(at), b.column("tag").take(at), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(h.view(np.int64))],
-                ["k", "tag", "start", "n", "anchor", "hash"],
+                [b.column("k").take(at), b.column("tag").take(at), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int8))],
+                ["k", "tag", "start", "n", "anchor", "hash", "c"],
             )
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag int, start int, n int, anchor bigint, hash bigint")
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag int, start int, n int, anchor bigint, hash bigint, c tinyint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -148,13 +156,13 @@ def _contents(asked: DataFrame, window: int) -> DataFrame:
 def repeated_intervals(docs: DataFrame, window: int, stage: Staging) -> DataFrame:
     """``k, tag, spans``: word intervals (from, to) of each text in which every window also starts elsewhere.
 
-    ``docs`` has ``k, tag, t``. Smallest hashes are counted over the corpus and only those that occur twice
-    are followed; equal stretches are one row with a count; the texts move once, compressed, to hand out
+    ``docs`` has ``k, tag, t``. Smallest hashes are counted over the corpus and only those that occur twice, be it in
+    one stretch, are followed; equal stretches are one row with a count; the texts move once, compressed, to hand out
     the words of one stretch of each kind.
     """
     each = stage.put(_all_stretches(docs, window), "each")
-    twice = stage.put(each.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "twice")
-    found = stage.put(each.join(twice, "anchor"), "found")
+    twice = stage.put(each.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor"), "twice")
+    found = stage.put(each.drop("c").join(twice, "anchor"), "found")
     stage.drop("each", "twice")
     kinds = found.groupBy("anchor", "hash", "n").agg(F.count("*").alias("places"), F.min(F.struct("k", "tag", "start")).alias("at"))
     kinds = stage.put(kinds, "kinds")

@@ -49,9 +49,11 @@ def test_equal_windows_have_equal_anchors():
     x = [str(r.randint(0, 50)).encode() for _ in range(400)]
     of = {}
     for part in (x, x[37:], [b"q"] * 90 + x[5:300]):
-        s, n, a, _ = stretches(part, 35)
+        s, n, a, _, c = stretches(part, 35)
         assert n.max() <= 28 and s[0] == 0 and (s[1:] == s[:-1] + n[:-1]).all() and s[-1] + n[-1] == len(part) - 34
         for i, k, v in zip(s, n, a, strict=True):
+            here = [tuple(part[j : j + 35]) for j in range(i, i + k)]
+            assert len(set(here)) == len(here) or c[s.tolist().index(i)] == 2
             for j in range(i, i + k):
                 assert of.setdefault(tuple(part[j : j + 35]), v) == v
 
@@ -94,3 +96,10 @@ def test_nulls_ties_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(df, with_text=False).collect()), key=str) == slow(rows, 35)
     assert dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_windows_that_recur_in_one_stretch_only(spark):
+    rows = [(1, "a b " + "w " * 42 + "c d"), (2, " ".join(["p", "q", "r"] * 13)), (3, " ".join(f"u{i}" for i in range(60)))]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=False).collect()
+    want = slow(rows, 35)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == want and [w[2] for w in want] == [42, 39, 0]
