@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -86,7 +87,7 @@ def _index_positions(least: int) -> list[tuple[int, ...]]:
     return [c for half in halves for c in combinations(half, size)]
 
 
-def links(prints: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...] = ()) -> DataFrame:
     """``(a, b)``, a < b: every pair of different fingerprints of ``prints`` at most ``radius`` bits apart.
 
     ``radius`` differing bits leave at least ``8 - radius`` of the eight bytes equal. An inverted index
@@ -95,7 +96,8 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
     counting bits. A pair that meets in several lists counts in the first of them. Tally and bit count
     are conditions of the join, so pairs that fail are never rows, and a large list's join can be split.
 
-    ``prints`` may repeat fingerprints and hold nulls; both have no effect.
+    ``prints`` may repeat fingerprints and hold nulls; both have no effect. With columns ``by``, only fingerprints
+    that agree in them are paired, and the result has them too.
     """
     if not 0 <= radius <= 7:
         raise ValueError("radius must be 0 to 7: beyond that no byte need be equal")
@@ -104,7 +106,7 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
     masks = [sum(255 << 8 * p for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.array(*[F.struct(F.lit(i).alias("list"), F.col(fp).bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
-    posts = prints.select(fp).where(F.col(fp).isNotNull()).distinct().select(F.col(fp).alias("f"), F.inline(lists))
+    posts = prints.select(*by, fp).where(F.col(fp).isNotNull()).distinct().select(*by, F.col(fp).alias("f"), F.inline(lists))
     one, two = posts.alias("one"), posts.alias("two")
     x = F.col("one.f").bitwiseXOR(F.col("two.f"))
     tally: Column = reduce(lambda p, q: p + q, [(x.bitwiseAND(F.lit((255 << 8 * p) - ((1 << 64) if p == 7 else 0))) == 0).cast("int") for p in range(8)])
@@ -117,7 +119,8 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
         & (F.bit_count(x) <= radius)
         & (first == F.col("one.list"))
     )
-    return one.join(two, on).select(F.col("one.f").alias("a"), F.col("two.f").alias("b"))
+    on = reduce(lambda p, c: p & (F.col(f"one.{c}") == F.col(f"two.{c}")), by, on)
+    return one.join(two, on).select(*[F.col(f"one.{c}").alias(c) for c in by], F.col("one.f").alias("a"), F.col("two.f").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -139,17 +142,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
     return each.join(stage.put(whole, "whole"), "fp").select(key, "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 5, prints: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 5, prints: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, tag, first`` for each row: whether it is the one of its group of near copies that stays.
 
-    Texts have ``prints`` fingerprints over word shingles; a pair is linked if any of them differs by at most
-    ``radius`` bits, of 64: by the cosine law five bits stand for a likeness of the shingles of about 0.94. With
-    four unrelated fingerprints most pairs of 0.9 and over are found, and hardly any under 0.8. The smallest
-    (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text. Texts without
-    words are one group.
+    Texts have ``prints`` unrelated fingerprints over word shingles. A pair is a candidate if any of them differs by
+    at most ``radius`` bits. It is verified over the bits of all fingerprints: of two shingle sets with Jaccard
+    likeness J an angle of acos(2J / (1 + J)) differs, and that share of the bits for ``least`` is the limit. Twelve
+    fingerprints find nearly all pairs of 0.9, and about half of those just at 0.8.
+
+    The smallest (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text.
+    Texts without words are one group.
     """
     stage = Staging(docs.sparkSession, "groups")
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tag"), F.col(text).alias("t"))
+    limit = int(64 * prints * math.acos(2 * least / (1 + least)) / math.pi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,14 +164,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, radius: int = 5, prints: int
 
     each = stage.put(source.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, tag bigint, fps array<bigint>"), "each")
     nodes = stage.put(each.groupBy("fps").agg(F.min(F.struct("k", "tag")).alias("node")), "nodes")
-    edges = None
-    for i in range(prints):
-        own = nodes.select(F.col("fps")[i].alias("fp"), "node")
-        rep = stage.put(own.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), f"rep{i}")
-        same = own.join(rep.where("n > 1").select("fp", "rep"), "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        near = links(rep, radius).join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a")
-        near = near.join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = same.unionByName(near) if edges is None else edges.unionByName(same).unionByName(near)
+    flat = nodes.select("node", "fps", F.posexplode("fps").alias("p", "fp"))
+    rep = stage.put(flat.groupBy("p", "fp").agg(F.min(F.struct("node", "fps")).alias("rep"), F.count("*").alias("n")), "rep")
+    same = flat.join(rep.where("n > 1").select("p", "fp", "rep"), ["p", "fp"]).select("node", "fps", F.col("rep.node").alias("other"), F.col("rep.fps").alias("fps2"))
+    ends = lambda c, n: rep.select("p", F.col("fp").alias(c), F.col("rep.node").alias(n[0]), F.col("rep.fps").alias(n[1]))
+    found = stage.put(links(rep, radius, "fp", ("p",)), "found")
+    near = found.join(ends("a", ("node", "fps")), ["p", "a"]).join(ends("b", ("other", "fps2")), ["p", "b"]).select("node", "fps", "other", "fps2")
+    apart = F.aggregate(F.zip_with("fps", "fps2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    edges = same.unionByName(near).where((F.col("node") != F.col("other")) & (apart <= limit)).select(F.col("node").alias("a"), F.col("other").alias("b"))
     roots = stage.put(connected_components(stage.put(edges, "edges")).where("node <> root").select("node"), "later")
     kept = nodes.join(roots, "node", "left_anti").select("node.k", "node.tag", F.lit(True).alias("first")).alias("n")
     on = F.col("e.k").eqNullSafe(F.col("n.k")) & (F.col("e.tag") == F.col("n.tag"))
