@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SURE = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[^\s\x00-\x1f])")
 _BLANK = re.compile(r"[\s\x00-\x1f]")
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 500_000, 48
 
 
 def _bytes_of_characters() -> dict[str, int]:
