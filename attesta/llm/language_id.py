@@ -20,7 +20,7 @@ HELD_OUT = 2
 #: The sample that the network learns from: about so many rows of each language, and of each so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
 HIDDEN, LONGEST, STEPS, BATCH, SEED = 16, 32, 700, 512, 11
-_REMEMBERED, _FLUSH = 200_000, 4_000_000
+_REMEMBERED, _FLUSH = 500_000, 4_000_000
 _ASCII, _ANY = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 _WORDY = re.compile(rb"[A-Za-z\x80-\xff]")
 
