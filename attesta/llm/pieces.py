@@ -9,6 +9,7 @@ otherwise. One path through the lattice is left, the library's own ids; the test
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -20,7 +21,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 MARK = "▁"
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_REMEMBERED, _LONGEST, _FLUSH = 200_000, 48, 4_000_000
+_REMEMBERED, _LONGEST, _FLUSH = 400_000, 48, 4_000_000
 
 
 class Pieces:
@@ -46,64 +47,70 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, for a few characters: the best neighbours first, the left ones among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            rank, i = min((self.rank.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)))
-            if rank == float("inf"):
-                break
+        parts, rank, never = list(text), self.rank, float("inf")
+        order = [rank.get(a + b, never) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+        while order and (best := min(order)) < never:
+            i = order.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i:
+                order[i - 1] = rank.get(parts[i - 1] + parts[i], never)
+            if i < len(order):
+                order[i] = rank.get(parts[i] + parts[i + 1], never)
         return parts
 
-    def _step(self, last: str | None, piece: str) -> bool:
-        """Whether ``piece`` can follow ``last`` (or begin a word)."""
+    def _step(self, last: str, piece: str) -> bool:
+        """Whether ``piece`` can follow ``last``, or begin a word if that is empty; remembered in ``fits``."""
+        ok = True
         if len(piece) > 1:
             ok = self.alone.get(piece)
             if ok is None:
                 ok = self.alone[piece] = self.merged(piece) == [piece]
-            if not ok:
-                return False
-        if last is None:
-            return True
-        ok = self.fits.get((last, piece))
-        if ok is None:
-            if len(self.fits) >= 4 * _REMEMBERED:
-                self.fits.clear()
-            ok = self.fits[last, piece] = self.merged(last + piece) == [last, piece]
+        if ok and last:
+            ok = self.merged(last + piece) == [last, piece]
+        if len(self.fits) >= _REMEMBERED:
+            self.fits.clear()
+        self.fits[last, piece] = ok
         return ok
 
     def search(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each of the distinct words, in ascending order: a depth-first walk of their trie.
 
-        ``states[i]`` is where the surviving path's last piece begins for the first i characters. It depends on
-        them alone, so the states of the prefix that a word shares with the one before are kept.
+        ``starts[i]`` and ``lasts[i]`` are the surviving path's last piece for the first i characters. They depend on
+        these alone, so what belongs to the prefix that a word shares with the one before is kept.
         """
-        before, states = "", [(0, "")]
+        known, longest, fits = self.id, self.longest, self.fits
+        before, starts, lasts = "", [0], [""]
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del starts[shared + 1 :], lasts[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
+                for start in range(end - 1, max(0, end - longest) - 1, -1):
                     piece = word[start:end]
-                    if (end - start == 1 or piece in self.id) and self._step(states[start][1] if start else None, piece):
-                        states.append((start, piece))
-                        break
+                    if piece in known or start == end - 1:
+                        last = lasts[start]
+                        ok = fits.get((last, piece))
+                        if ok or ok is None and self._step(last, piece):
+                            starts.append(start)
+                            lasts.append(piece)
+                            break
                 else:
                     raise AssertionError(f"no path through {word!r}")
             path, at = [], len(word)
             while at:
-                at, piece = states[at]
-                path.append(piece)
-            yield word, path[::-1]
+                path.append(lasts[at])
+                at = starts[at]
+            path.reverse()
+            yield word, path
             before = word
 
     def _ids(self, path: list[str]) -> bytes:
-        out: list[int] = []
-        for p in path:
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-        return np.array(out, "<i4").tobytes()
+        try:
+            return array("i", [self.id[p] for p in path]).tobytes()
+        except KeyError:  # a character that the vocabulary lacks is its bytes
+            return array("i", [i for p in path for i in ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")])]).tobytes()
 
     def _marked(self, text: str) -> list[str]:
         """Runs of marks each with the characters up to the next mark; no piece reaches over their ends."""
@@ -118,9 +125,11 @@ class Pieces:
         if len(self.words) + len(new) > _REMEMBERED:
             self.words.clear()
             new = {w for s in split if s for w in s}
-        got = {w: self._ids(path) for w, path in self.search(new)}
-        out = [None if s is None else b"".join([self.words.get(w) or got[w] for w in s]) for s in split]
-        self.words |= {w: i for w, i in got.items() if len(w) <= _LONGEST}
+        self.words |= {w: self._ids(path) for w, path in self.search(new)}
+        out = [None if s is None else b"".join(map(self.words.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > _LONGEST:
+                del self.words[w]
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
