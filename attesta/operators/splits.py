@@ -76,6 +76,24 @@ def nested_folds(rows: DataFrame, group: str, outer: int, inner: int, seed: int,
     return out
 
 
+def prepare_splits(rows: DataFrame, row_id: str, group: str, task: str, tasks: list[str], seed: int, fraction: float, outer: int, inner: int) -> DataFrame:
+    """``row_id, task, partition, outer_fold, inner_of, inner_fold``: a terminal holdout over all rows, folds of each task's rest.
+
+    A task without development or terminal rows, or with too few groups, fails.
+    """
+    held = Staging(rows.sparkSession, "splits").put(terminal_holdout(rows.select(row_id, group, task), group, seed, fraction), "held")
+    counts = {(r[0], r[1]): r[2] for r in held.groupBy(task, "partition").agg(F.count("*")).collect()}
+    none = F.lit(None).cast("int")
+    out = held.where("partition = 'terminal'").select(row_id, task, "partition", none.alias("outer_fold"), none.alias("inner_of"), none.alias("inner_fold"))
+    for t in tasks:
+        if not counts.get((t, "terminal")) or not counts.get((t, "development")):
+            raise InfeasibleSplit(f"{t}: no development or terminal rows")
+        own = held.where((F.col(task) == t) & (F.col("partition") == "development"))
+        folds = nested_folds(own, group, outer, inner, seed, t)
+        out = out.unionByName(own.join(folds, group).select(row_id, task, "partition", "outer_fold", "inner_of", "inner_fold"))
+    return out
+
+
 def stratified_folds(histogram: list[tuple[str, int, int]], count: int, seed: int) -> dict[str, int]:
     """Folds for ``(group, negatives, positives)``, large and uneven groups first, each to the fold it balances best.
 

@@ -47,6 +47,12 @@ def job_states(observed: DataFrame, receipts: DataFrame, job: str, at: str, stat
     return last.join(said, job, "full_outer").select(job, F.coalesce("outcome", "seen").alias("status"))
 
 
+def resumable(expected: DataFrame, ledger: DataFrame, keys: list[str], digest: str) -> tuple[DataFrame, DataFrame]:
+    """``(reuse, redo)`` of expected cells: a cell is reused if a trial of the same digest ended, else done again."""
+    ended = ledger.where(F.col("status").isin("complete", "failed")).select(*keys, digest).distinct()
+    return expected.join(ended, [*keys, digest], "left_semi"), expected.join(ended, [*keys, digest], "left_anti")
+
+
 def stream_stage_states(events: DataFrame, run: str, stage: str, sequence: str, kind: str) -> DataFrame:
     """The fold of ``stage_states`` over a stream: a row for each stage whose state a batch changes.
 

@@ -125,6 +125,9 @@ def test_splits_are_group_safe(spark):
     assert all(r.inner_of != r.outer_fold for r in inner) and len(inner) == 24
     with pytest.raises(splits.InfeasibleSplit):
         splits.fold_of(rows, "declared", 13, 1, "x")
+    whole = splits.prepare_splits(rows.withColumn("task", F.lit("t")), "row_id", "declared", "task", ["t"], 9, 0.25, 3, 2).collect()
+    assert {r.row_id for r in whole} == {f"r{i}" for i in range(60)} and sum(r.partition == "terminal" for r in whole) == 15
+    assert all(sum(r.row_id == "r0" and r.inner_of == k for r in whole) <= 1 for k in range(3))
     folds = splits.stratified_folds([(f"g{i}", i % 3, 1) for i in range(12)], 3, 4)
     assert sorted(folds.values()).count(0) == 4 and set(folds.values()) == {0, 1, 2}
 
@@ -234,6 +237,10 @@ def test_stage_states_batch_equals_stream(spark, tmp_path):
     batch = lifecycle.stage_states(spark.createDataFrame(rows, schema), "run", "stage", "sequence", "kind").collect()
     assert seen == {(x.run, x.stage) for x in batch}
     jobs = spark.createDataFrame([("j1", 1, "RUNNING"), ("j1", 2, "COMPLETED"), ("j2", 1, "CANCELLED by 0"), ("j3", 1, "ODD")], "job string, at int, state string")
+    cells = spark.createDataFrame([("c1", "h1"), ("c2", "h2"), ("c3", "h3")], "cell string, digest string")
+    ledger = spark.createDataFrame([("c1", "h1", "complete"), ("c2", "old", "complete"), ("c3", "h3", "running")], "cell string, digest string, status string")
+    reuse, redo = lifecycle.resumable(cells, ledger, ["cell"], "digest")
+    assert [r.cell for r in reuse.collect()] == ["c1"] and sorted(r.cell for r in redo.collect()) == ["c2", "c3"]
     receipts = spark.createDataFrame([("j1", 3, "failed"), ("j4", 1, "succeeded")], "job string, at int, outcome string")
     assert {x.job: x.status for x in lifecycle.job_states(jobs, receipts, "job", "at", "state").collect()} == {"j1": "failed", "j2": "cancelled", "j3": "unknown", "j4": "succeeded"}
 

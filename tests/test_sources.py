@@ -103,3 +103,20 @@ def test_inventory_and_checksums(spark, tmp_path):
     assert got == [(2, "a.csv", None), (3, "b.csv", None), (4, None, "malformed_line"), (5, "../up", "unsafe_path"), (6, "a.csv", "duplicate_path")]
     (tmp_path / "sums.json").write_text('{"algorithm":"sha256","files":[{"path":"a","sha256":"zz"}]}')
     assert [r.problem for r in manifest.checksums(spark, f"{tmp_path}/sums.json").collect()] == ["invalid_checksum"]
+
+
+def test_collect_registers_everything(spark, tmp_path):
+    from attesta.sources.collect import collect, repeated_names
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "a.csv").write_text("id,v\n1,x\n2,y\n")
+    (tmp_path / "d" / "sub" / "A.csv").write_text("id\n")
+    (tmp_path / "d" / "b.jsonl").write_text('{"k": 1}\n')
+    (tmp_path / "d" / "w.xlsx").write_bytes(workbook({"T": "<c r='A1'><v>h</v></c><c r='A2'><v>9</v></c>"}))
+    (tmp_path / "d" / "x.bin").write_bytes(b"?")
+    got = collect(spark, f"{tmp_path}/d")
+    name = lambda p: p.rpartition("/")[2]
+    assert {name(r.path): (r.status, r.rows) for r in got.registry.collect()} == {"a.csv": ("read", 2), "A.csv": ("read", None), "b.jsonl": ("read", 1), "w.xlsx": ("read", 1), "x.bin": ("unsupported", None)}
+    assert {name(r.path): r.reason for r in got.gaps.collect()} == {"A.csv": "no_rows", "x.bin": "unsupported_format"}
+    assert sorted((r.sheet, str(sorted(r.record.items()))) for r in got.records.where("path like '%w.xlsx' or path like '%b.jsonl'").collect()) == [("", "[('k', '1')]"), ("T", "[('h', '9')]")]
+    assert [r.name for r in repeated_names(got.registry).collect()] == ["a.csv"]
