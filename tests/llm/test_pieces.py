@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,14 +15,12 @@ ODD = [None, "", " ", "  ", "a", " a", "a  b ", "x▁y", "tab\tnew\nline", "é 
 
 
 def ids(texts):
-    import numpy as np
-
     return [None if x is None else np.frombuffer(x, "<i4").tolist() for x in load(PATH).encode(texts)]
 
 
 def test_ids_equal_the_librarys():
     r = random.Random(5)
-    docs = __import__("pyarrow.parquet", fromlist=["x"]).read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
     texts = ODD + docs + ["".join(r.choice("abcdeiou  nrst\n.,▁éß0") for _ in range(r.randint(0, 60))) for _ in range(2000)]
     for t, got in zip(texts, ids(texts), strict=True):
         assert got == (None if t is None else SP.encode(t)), repr(t)
