@@ -106,13 +106,14 @@ def _with_followers(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``(bucket, follower, none, k, h, t)``: rows by ranges of (key, hash), each range closed by the first row of the next.
 
     A sort by ranges of keys and hashes alone gives each range's first row; these, as many as there are
-    ranges, are all that the driver sees. The texts are then dealt once, by range.
+    ranges, are all that the driver sees. The texts are then dealt once, by range; there are four ranges to a
+    partition, so that those that meet in one even out.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
     order = (F.struct(F.col("k").isNotNull().alias("some"), "k", "h")).alias("o")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ids.select(order).repartitionByRange(parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o"))
+    ranges = ids.select(order).repartitionByRange(4 * parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o"))
     firsts = sorted((r.o.some, r.o.k if r.o.some else 0, r.o.h) for r in ranges.collect())
     shared = spark.sparkContext.broadcast(firsts)
 
