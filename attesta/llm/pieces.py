@@ -21,7 +21,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 MARK = "▁"
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_REMEMBERED, _LONGEST, _FLUSH = 400_000, 48, 4_000_000
+_REMEMBERED, _LONGEST, _FLUSH = 250_000, 48, 4_000_000
 
 
 class Pieces:
@@ -41,9 +41,11 @@ class Pieces:
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode() if p.type in usable else b"" for p in model.pieces]
         self.longest = max(map(len, self.id))
         self.dummy = model.normalizer_spec.add_dummy_prefix
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = {p: {} for p in self.id}
+        self.steps = 0
         self.alone: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, for a few characters: the best neighbours first, the left ones among equals."""
@@ -60,7 +62,7 @@ class Pieces:
         return parts
 
     def _step(self, last: str, piece: str) -> bool:
-        """Whether ``piece`` can follow ``last``, or begin a word if that is empty; remembered in ``fits``."""
+        """Whether ``piece`` can follow ``last``, or begin a word if that is empty; remembered in ``after``."""
         ok = True
         if len(piece) > 1:
             ok = self.alone.get(piece)
@@ -68,9 +70,12 @@ class Pieces:
                 ok = self.alone[piece] = self.merged(piece) == [piece]
         if ok and last:
             ok = self.merged(last + piece) == [last, piece]
-        if len(self.fits) >= _REMEMBERED:
-            self.fits.clear()
-        self.fits[last, piece] = ok
+        if self.steps >= _REMEMBERED:
+            for seen in self.after.values():
+                seen.clear()
+            self.steps = 0
+        self.steps += 1
+        self.after.setdefault(piece, {})[last] = ok
         return ok
 
     def search(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
@@ -79,7 +84,7 @@ class Pieces:
         ``starts[i]`` and ``lasts[i]`` are the surviving path's last piece for the first i characters. They depend on
         these alone, so what belongs to the prefix that a word shares with the one before is kept.
         """
-        known, longest, fits = self.id, self.longest, self.fits
+        after, longest = self.after, self.longest
         before, starts, lasts = "", [0], [""]
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
@@ -89,9 +94,10 @@ class Pieces:
             for end in range(shared + 1, len(word) + 1):
                 for start in range(end - 1, max(0, end - longest) - 1, -1):
                     piece = word[start:end]
-                    if piece in known or start == end - 1:
+                    seen = after.get(piece)
+                    if seen is not None or start == end - 1:
                         last = lasts[start]
-                        ok = fits.get((last, piece))
+                        ok = seen.get(last) if seen else None
                         if ok or ok is None and self._step(last, piece):
                             starts.append(start)
                             lasts.append(piece)
@@ -119,12 +125,17 @@ class Pieces:
         return _RUNS.findall((MARK if self.dummy else "") + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """Ids (little-endian signed 32-bit) of each text; null stays null."""
+        """Ids (little-endian signed 32-bit) of each text; null stays null.
+
+        Words are remembered in two generations: those met since the last one filled up, and that one; words that
+        nobody asks for again fall out with the older.
+        """
         split = [None if t is None else self._marked(t) for t in texts]
+        if len(self.words) > _REMEMBERED:
+            self.older, self.words = self.words, {}
         new = {w for s in split if s for w in s} - self.words.keys()
-        if len(self.words) + len(new) > _REMEMBERED:
-            self.words.clear()
-            new = {w for s in split if s for w in s}
+        self.words |= {w: self.older[w] for w in new & self.older.keys()}
+        new -= self.words.keys()
         self.words |= {w: self._ids(path) for w, path in self.search(new)}
         out = [None if s is None else b"".join(map(self.words.__getitem__, s)) for s in split]
         for w in new:
@@ -151,12 +162,13 @@ def default_path() -> str:
 
 
 def _mapped(rows: DataFrame, column: str, out: str, kind: str, run, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` of each row and what ``run`` makes of ``column``."""
-    source = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(column).alias("x"))
+    """``keep`` of each row and what ``run`` makes of ``column``, which goes to Python once if ``keep`` has it too."""
+    source = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(dict.fromkeys([*keep, column]))])
+    at, n = [*keep, column].index(column), len(keep)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], run(b.column("x"))], [*b.schema.names[:-1], "y"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], run(b.column(at))], [*b.schema.names[:n], "y"])
 
     schema = ", ".join([*(f"k{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), f"y {kind}"])
     got = source.mapInArrow(batches, schema)
@@ -187,8 +199,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None, ids: str = "id
     path = path or default_path()
 
     def run(rows: pa.Array) -> pa.Array:
-        pieces = load(path)
-        return pa.array([None if x.as_py() is None else pieces.decode(x.as_py()) for x in rows], pa.string())
+        pieces, flat, ends = load(path), rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+        whole = rows.is_valid().to_numpy(zero_copy_only=False).tolist()
+        return pa.array([pieces.decode(flat[s:e].tolist()) if ok else None for ok, s, e in zip(whole, ends[:-1], ends[1:], strict=True)], pa.string())
 
     return _mapped(encoded, ids, "text", "string", run, keep)
 
@@ -197,5 +210,5 @@ def op8_query(spark, sf_dir: str) -> DataFrame:
     """The ids of every document, and the SHA-256 of the text that they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = encode_documents(docs)
-    back = decode_documents(ids.withColumn("copy", F.col("ids")), keep=("doc_id", "copy"))
-    return back.select("doc_id", F.coalesce(F.size("copy"), F.lit(0)).cast("long").alias("n_ids"), F.col("copy").alias("ids"), F.sha2("text", 256).alias("decoded_sha256"))
+    back = decode_documents(ids, keep=("doc_id", "ids"))
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
