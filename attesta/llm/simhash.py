@@ -87,7 +87,7 @@ def _index_positions(least: int) -> list[tuple[int, ...]]:
     return [c for half in halves for c in combinations(half, size)]
 
 
-def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...] = ()) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...] = (), known: str | None = None) -> DataFrame:
     """``(a, b)``, a < b: every pair of different fingerprints of ``prints`` at most ``radius`` bits apart.
 
     ``radius`` differing bits leave at least ``8 - radius`` of the eight bytes equal. An inverted index
@@ -97,7 +97,8 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...
     are conditions of the join, so pairs that fail are never rows, and a large list's join can be split.
 
     ``prints`` may repeat fingerprints and hold nulls; both have no effect. With columns ``by``, only fingerprints
-    that agree in them are paired, and the result has them too.
+    that agree in them are paired, and the result has them too. Pairs that agree in the column ``known``, as
+    those linked before, are not made.
     """
     if not 0 <= radius <= 7:
         raise ValueError("radius must be 0 to 7: beyond that no byte need be equal")
@@ -106,7 +107,8 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...
     masks = [sum(255 << 8 * p for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.array(*[F.struct(F.lit(i).alias("list"), F.col(fp).bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
-    posts = prints.select(*by, fp).where(F.col(fp).isNotNull()).distinct().select(*by, F.col(fp).alias("f"), F.inline(lists))
+    held = [*by, *([known] if known else [])]
+    posts = prints.select(*held, fp).where(F.col(fp).isNotNull()).distinct().select(*held, F.col(fp).alias("f"), F.inline(lists))
     one, two = posts.alias("one"), posts.alias("two")
     x = F.col("one.f").bitwiseXOR(F.col("two.f"))
     tally: Column = reduce(lambda p, q: p + q, [(x.bitwiseAND(F.lit((255 << 8 * p) - ((1 << 64) if p == 7 else 0))) == 0).cast("int") for p in range(8)])
@@ -120,6 +122,8 @@ def links(prints: DataFrame, radius: int = 3, fp: str = "fp", by: tuple[str, ...
         & (first == F.col("one.list"))
     )
     on = reduce(lambda p, c: p & (F.col(f"one.{c}") == F.col(f"two.{c}")), by, on)
+    if known:
+        on &= F.col(f"one.{known}") != F.col(f"two.{known}")
     return one.join(two, on).select(*[F.col(f"one.{c}").alias(c) for c in by], F.col("one.f").alias("a"), F.col("two.f").alias("b"))
 
 
@@ -148,7 +152,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     Texts have ``prints`` unrelated fingerprints over word shingles. A pair is a candidate if any of them differs by
     at most ``radius`` bits. It is verified over the bits of all fingerprints: of two shingle sets with Jaccard
     likeness J an angle of acos(2J / (1 + J)) differs, and that share of the bits for ``least`` is the limit. Twelve
-    fingerprints find nearly all pairs of 0.9, and about half of those just at 0.8.
+    fingerprints find nearly all pairs of 0.9, and about half of those just at 0.8. Texts that a chain of verified pairs
+    joins already are not paired again, so a large group of copies makes about as many rows as it has texts.
 
     The smallest (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text.
     Texts without words are one group.
@@ -164,15 +169,31 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
 
     each = stage.put(source.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, tag bigint, fps array<bigint>"), "each")
     nodes = stage.put(each.groupBy("fps").agg(F.min(F.struct("k", "tag")).alias("node")), "nodes")
-    flat = nodes.select("node", "fps", F.posexplode("fps").alias("p", "fp"))
-    rep = stage.put(flat.groupBy("p", "fp").agg(F.min(F.struct("node", "fps")).alias("rep"), F.count("*").alias("n")), "rep")
-    same = flat.join(rep.where("n > 1").select("p", "fp", "rep"), ["p", "fp"]).select("node", "fps", F.col("rep.node").alias("other"), F.col("rep.fps").alias("fps2"))
-    ends = lambda c, n: rep.select("p", F.col("fp").alias(c), F.col("rep.node").alias(n[0]), F.col("rep.fps").alias(n[1]))
-    found = stage.put(links(rep, radius, "fp", ("p",)), "found")
-    near = found.join(ends("a", ("node", "fps")), ["p", "a"]).join(ends("b", ("other", "fps2")), ["p", "b"]).select("node", "fps", "other", "fps2")
     apart = F.aggregate(F.zip_with("fps", "fps2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    edges = same.unionByName(near).where((F.col("node") != F.col("other")) & (apart <= limit)).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    roots = stage.put(connected_components(stage.put(edges, "edges")).where("node <> root").select("node"), "later")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The ``(a, b)`` of ``pairs`` of nodes that are close over all bits."""
+        got = pairs.where("a <> b").distinct().join(nodes.select(F.col("node").alias("a"), "fps"), "a")
+        return got.join(nodes.select(F.col("node").alias("b"), F.col("fps").alias("fps2")), "b").where(apart <= limit).select("a", "b")
+
+    # stars first: each node with the smallest of those that have three equal bytes, so that a large group is one before pairs are made
+    flat = nodes.select("node", F.posexplode("fps").alias("p", "fp"))
+    lists = F.array(*[F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(0xFFFFFF << 32 * i)).alias("bytes")) for i in range(2)])
+    stars = flat.select("node", "p", F.inline(lists)).groupBy("p", "list", "bytes").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    near = flat.select(F.col("node").alias("a"), "p", F.inline(lists)).join(stage.put(stars.drop("n"), "stars"), ["p", "list", "bytes"]).select("a", "b")
+    begun = connected_components(stage.put(verified(near), "near"))
+    begun = stage.put(nodes.join(begun, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "begun")
+
+    flat = flat.join(begun, "node")
+    rep = stage.put(flat.groupBy("p", "fp").agg(F.min(F.struct("node", "root")).alias("rep"), F.count("*").alias("n")).select("p", "fp", "rep.*", "n"), "rep")
+    same = flat.withColumnsRenamed({"node": "a", "root": "one"}).join(rep.where("n > 1").select("p", "fp", F.col("node").alias("b"), F.col("root").alias("two")), ["p", "fp"])
+    ends = lambda c, n, r: rep.select("p", F.col("fp").alias(c), F.col("node").alias(n), F.col("root").alias(r))
+    found = stage.put(links(rep, radius, "fp", ("p",), "root").withColumnsRenamed({"a": "x", "b": "y"}), "found")
+    met = found.join(ends("x", "a", "one"), ["p", "x"]).join(ends("y", "b", "two"), ["p", "y"])
+    close = verified(same.where("one <> two").select("a", "b").unionByName(met.select("a", "b")))
+    close = close.join(begun.withColumnsRenamed({"node": "a", "root": "one"}), "a").join(begun.withColumnsRenamed({"node": "b", "root": "two"}), "b").select("one", "two")
+    whole = connected_components(stage.put(close, "close"), "one", "two").select(F.col("node").alias("root"), F.col("root").alias("least"))
+    roots = stage.put(begun.join(whole, "root", "left").where(F.col("node") != F.coalesce("least", "root")).select("node"), "later")
     kept = nodes.join(roots, "node", "left_anti").select("node.k", "node.tag", F.lit(True).alias("first")).alias("n")
     on = F.col("e.k").eqNullSafe(F.col("n.k")) & (F.col("e.tag") == F.col("n.tag"))
     return each.alias("e").join(kept, on, "left").select(F.col("e.k").alias(key), "e.tag", F.coalesce("n.first", F.lit(False)).alias("first"))
