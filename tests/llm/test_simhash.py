@@ -67,3 +67,48 @@ def test_groups_keep_one_of_each(spark):
     rest = [x.doc_id for x in got if x.first and (x.doc_id is None or x.doc_id >= 900)]
     assert rest == [900, None] or rest == [None, 900]
     assert sketch("a b c d e f", 5, 3)[0] == fingerprint("a b c d e f", 5)
+
+
+def planted(r, likeness, n, size):
+    """Pairs of texts of unrelated words whose sets of five-word shingles have about a likeness."""
+    out = []
+    for _ in range(n):
+        words = [f"q{r.randint(0, 10**9)}" for _ in range(size)]
+        copy, total = list(words), size - 4
+        # shared share of 2J / (1 + J): a run of other words at the end takes one shingle a word
+        other = round(total * (1 - likeness) / (1 + likeness))
+        copy[size - other :] = [f"q{r.randint(0, 10**9)}" for _ in range(other)]
+        out.append((" ".join(words), " ".join(copy)))
+    return out
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_groups_find_pairs_of_the_likeness_and_no_others(spark):
+    import random
+
+    r = random.Random(31)
+    pairs = [p for like in (0.75, 0.78, 0.81, 0.82, 0.85) for size in (40, 300) for p in planted(r, like, 40, size)]
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    got = {x.doc_id for x in near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if x.first}
+    want = [jaccard(*p) >= 0.8 for p in pairs]
+    joined = [2 * i + 1 not in got for i in range(len(pairs))]
+    assert all(2 * i in got for i in range(len(pairs)))
+    assert not any(j and not w for j, w in zip(joined, want))
+    assert sum(want) > 200 and sum(j and w for j, w in zip(joined, want)) >= 0.97 * sum(want)
+
+
+def test_groups_look_at_the_text_where_fingerprints_are_equal(spark):
+    tail = lambda k: " ".join(f"t{k}x{i}" for i in range(12))
+    rows = [(1, "same " * 60 + tail(1)), (2, "same " * 60 + tail(2)), (3, "same " * 60 + tail(1)), (4, "a b c d e f g h"), (5, "a b c d e f g h i")]
+    got = {x.doc_id for x in near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if x.first}
+    assert got == {1, 2, 4}
+
+
+def test_sketch_is_the_majority_of_distinct_shingles():
+    for n in (1, 2, 3, 6, 40, 1000):
+        text = " ".join(f"w{i}" for i in range(n))
+        assert sketch(text, 3, 4)[0] == slow_fingerprint(text) and len(set(sketch(text, 3, 40))) == 40
