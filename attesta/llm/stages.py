@@ -57,7 +57,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """Documents without the words of 35-word windows that occur more than once."""
     got = substring_dedup.dedup_substrings(docs).select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__text")).dropDuplicates(["__k", "__tag"])
-    rest = docs.withColumn("__own", F.hash("text")).drop("text")
+    rest = docs.withColumn("__own", F.xxhash64("text")).drop("text")
     on = F.col("doc_id").eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__tag"))
     return _measured(rest.join(got, on).withColumn("text", F.col("__text")), docs.columns)
 

@@ -107,7 +107,7 @@ def _all_stretches(docs: DataFrame, window: int) -> DataFrame:
                 ["k", "tag", "start", "n", "anchor", "hash", "c"],
             )
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag int, start int, n int, anchor bigint, hash bigint, c tinyint")
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag bigint, start int, n int, anchor bigint, hash bigint, c tinyint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             t = pa.array([None if x is None else z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column("t").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("tag"), t], ["k", "tag", "z"])
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag int, z binary")
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, tag bigint, z binary")
 
 
 def _same(a: str, b: str):
@@ -187,7 +187,7 @@ def repeated_intervals(docs: DataFrame, window: int, stage: Staging) -> DataFram
     spans = spans.select("anchor", "hash", (F.col("lo") + F.col("offset")).alias("lo"), (F.col("hi") + F.col("offset")).alias("hi"))
     spans = stage.put(spans.groupBy("anchor", "hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     placed = found.join(spans, ["anchor", "hash"]).select("k", "tag", F.transform("spans", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi"))).alias("spans"))
-    return placed.groupBy("k", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return placed.groupBy("k", "tag").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # a set: rows that repeat have the same spans
 
 
 def _without(text: str | None, spans: list[dict] | None) -> tuple[int, int, str, str | None]:
@@ -221,12 +221,12 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", key:
     covers it also starts anywhere else in the corpus, the same text included. ``kept_text`` has the kept
     runs of words with the white space inside them, joined by line feeds; without removals it is the text itself.
     Null and empty texts have no words; rows that repeat key and text are places of their own; an empty table
-    gives an empty result. ``tag`` is a hash of the text (0 for null) that tells rows of one key apart.
+    gives an empty result. ``tag`` is a 64-bit hash of the text that tells rows of one key apart.
     """
     if window < GRAM:
         raise ValueError(f"a window must hold at least {GRAM} words")
     stage = Staging(docs.sparkSession, "substrings")
-    rows = docs.select(F.col(key).alias("k"), F.hash(text).alias("tag"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tag"), F.col(text).alias("t"))
     spans = repeated_intervals(rows, window, stage)
     joined = _packed(rows).alias("d").join(spans.alias("s"), _same("d", "s"), "left").select("d.k", "d.tag", "d.z", "s.spans")
 
@@ -238,7 +238,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", key:
             cols = [b.column("k"), b.column("tag"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(t, pa.string())] if with_text else [])], ["k", "tag", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
-    schema = f"k {rows.schema['k'].dataType.simpleString()}, tag int, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, tag bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 

@@ -103,3 +103,23 @@ def test_windows_that_recur_in_one_stretch_only(spark):
     got = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=False).collect()
     want = slow(rows, 35)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == want and [w[2] for w in want] == [42, 39, 0]
+
+
+def test_texts_of_one_key_whose_32_bit_hashes_are_equal(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.llm.stages import drop_repeated_passages
+
+    texts = spark.range(400_000).select(F.concat(F.lit("text "), F.col("id")).alias("text"))
+    a, b = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first().t[:2]
+    docs = spark.createDataFrame([(None, a), (None, b), (1, a), (1, b)], "doc_id bigint, text string")
+    assert sorted((r.text, r.doc_id is None) for r in drop_repeated_passages(docs).collect()) == sorted((t, n) for t in (a, b) for n in (True, False))
+
+
+def test_rows_that_repeat_do_not_lengthen_the_spans(spark):
+    from attesta.llm.substring_dedup import repeated_intervals
+    from attesta.plans.staging import Staging
+
+    rows = [(1, 7, " ".join(f"a{i}" for i in range(60)))]
+    few, many = (repeated_intervals(spark.createDataFrame(rows * n, "k bigint, tag bigint, t string"), 35, Staging(spark, "test")).first().spans for n in (2, 50))
+    assert sorted(few) == sorted(many)
