@@ -49,3 +49,21 @@ def test_nulls_long_ties_empty_and_clashing_columns(spark):
     back = {r.doc_id: r.text for r in decode_documents(enc).collect()}
     assert back == {i: None if t is None else t.replace("▁", " ") for i, t in enumerate(texts)}
     assert encode_documents(df.limit(0)).count() == 0
+
+
+def test_one_worker_encodes_and_decodes_within_its_bounds(spark, monkeypatch):
+    from attesta.llm import pieces
+
+    r = random.Random(9)
+    texts = [*ODD, "", "lang " * 50000, *[" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(300)) for _ in range(40)]]
+    monkeypatch.setattr(pieces, "_BYTES", 20_000)
+    monkeypatch.setattr(pieces, "_STEPS", 500)
+    monkeypatch.setattr(pieces, "_FLUSH", 3000)
+    small = pieces.Pieces(PATH)
+    got = [small.encode([t])[0] for t in texts]
+    assert [None if x is None else np.frombuffer(x, "<i4").tolist() for x in got] == [None if t is None else SP.encode(t) for t in texts]
+    assert len(small.steps) <= 500 and small.held < 200_000
+    df = spark.createDataFrame([(i % 7, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, decoded int")
+    rows = pieces.round_trip(df).collect()
+    assert sorted((r.doc_id, r.decoded or "") for r in rows) == sorted((i % 7, (t or "").replace("▁", " ")) for i, t in enumerate(texts))
+    assert sum(r.ids is None for r in rows) == 1 and pieces.round_trip(df.limit(0)).count() == 0
