@@ -1,8 +1,8 @@
-"""Language identification by a bidirectional gated recurrent network over bytes.
+"""Language identification by a bidirectional gated recurrent network over the bytes of whole documents.
 
-The network reads each word with the space before it, byte by byte from either side, and labels every
-position; a document's probabilities are the geometric mean over all positions of its words. As a word's
-labels depend on nothing outside it, each distinct word is read once and remembered by its task.
+The network reads a document's bytes from either side and labels every position; a document's probabilities are the
+geometric mean over all of them. Long texts are read in stretches, each with the bytes around it as a run-up for the
+states, so that a worker reads many stretches in step and a very long text needs no long chain.
 """
 
 from __future__ import annotations
@@ -12,17 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HELD_OUT = 2
-#: The sample that the network learns from: about so many rows of each language, and of each so many characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
-HIDDEN, LONGEST, STEPS, BATCH, SEED = 16, 32, 700, 512, 11
-_REMEMBERED, _FLUSH = 500_000, 4_000_000
+#: The network learns from the whole texts of at most so many rows of each language.
+SAMPLE_ROWS = 400
+#: Units in each direction; steps of learning, windows in each and their bytes.
+HIDDEN, STEPS, BATCH, SPAN, SEED = 12, 400, 192, 80, 11
+#: Positions that a stretch labels, bytes of run-up on either side, and stretches read in step.
+STRETCH, CONTEXT, TOGETHER = 256, 32, 2048
+_FLUSH = 2_000_000
 _ASCII, _ANY = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
-_WORDY = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 def has_letter(text: str) -> bool:
@@ -30,8 +34,16 @@ def has_letter(text: str) -> bool:
     return bool(_ASCII.search(text) or _ANY.search(text))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+class Rows:
+    """Byte sequences side by side, longest first: ``data[t]`` holds byte t of the first ``live[t]`` of them."""
+
+    def __init__(self, buffer: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        self.order = np.argsort(-length, kind="stable")
+        begin, length = begin[self.order], length[self.order]
+        steps = np.arange(int(length[0]) if len(length) else 0)
+        self.live = np.searchsorted(-length, -steps, "left")
+        self.data = buffer[np.minimum(begin + steps[:, None], len(buffer) - 1)].astype(np.intp)
+        self.n = len(length)
 
 
 class Network:
@@ -41,110 +53,104 @@ class Network:
         r, k = np.random.default_rng(seed), len(labels)
         small = lambda *shape: (r.standard_normal(shape) * 0.3).astype(np.float32)
         self.labels, self.hidden = labels, hidden
-        self.w = {f"{p}{d}": v for d in "fb" for p, v in (("x", small(256, 3 * hidden)), ("h", small(hidden, 3 * hidden)), ("c", np.zeros(3 * hidden, np.float32)), ("o", small(hidden, k)))}
-        self.w["b"] = np.zeros(k, np.float32)
+        self.w = {f"{p}{d}": v for d in "fb" for p, v in (("x", small(3 * hidden, 256)), ("h", small(3 * hidden, hidden)), ("c", np.zeros((hidden, 1), np.float32)), ("o", small(k, hidden)))}
+        self.w["b"] = np.zeros((k, 1), np.float32)
 
-    def _states(self, data: np.ndarray, d: str, keep: bool) -> tuple[list[np.ndarray], list[tuple]]:
-        """States after each position in one direction (listed by position), and what the way back needs."""
-        n, length = data.shape
+    def _walk(self, rows: Rows, d: str) -> Iterator[tuple]:
+        """Position by position in one direction: the state before and after, the gates, the new part and what the reset gate scales."""
         m, (wx, wh, c) = self.hidden, (self.w[p + d] for p in "xhc")
-        h, out, kept = np.zeros((n, m), np.float32), [None] * length, []
-        for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            x, g = wx[data[:, t]], h @ wh + c
-            gates = _sigmoid(x[:, : 2 * m] + g[:, : 2 * m])
-            z, r = gates[:, :m], gates[:, m:]
-            new = np.tanh(x[:, 2 * m :] + r * g[:, 2 * m :])
-            if keep:
-                kept.append((t, h, z, r, new, g[:, 2 * m :]))
-            h = new + z * (h - new)
-            out[t] = h
-        return out, kept
-
-    def log_probabilities(self, data: np.ndarray) -> np.ndarray:
-        """Sum over the positions of each row of ``data`` of the labels' log probabilities."""
-        f, b = (self._states(data, d, False)[0] for d in "fb")
-        total = np.zeros((len(data), len(self.labels)), np.float64)
-        for x, y in zip(f, b, strict=True):
-            s = x @ self.w["of"] + y @ self.w["ob"] + self.w["b"]
-            s -= s.max(1, keepdims=True)
-            total += s - np.log(np.exp(s).sum(1, keepdims=True))
-        return total
-
-    def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        h = np.zeros((m, rows.n), wh.dtype)
+        for t in range(len(rows.live)) if d == "f" else range(len(rows.live) - 1, -1, -1):
+            k = rows.live[t]
+            old = h[:, :k]
+            x, g = np.take(wx, rows.data[t, :k], axis=1, mode="clip"), wh @ old
+            gates = x[: 2 * m]
+            gates += g[: 2 * m]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            inner = g[2 * m :]
+            inner += c
+            new = x[2 * m :]
+            new += gates[m:] * inner
+            np.tanh(new, out=new)
+            after = old - new
+            after *= gates[:m]
+            after += new
+            yield t, k, old, after, gates, new, inner
+            h[:, :k] = after
+
+    def log_probabilities(self, rows: Rows, own: np.ndarray) -> np.ndarray:
+        """For each sequence the sum of the labels' log probabilities over the positions where ``own`` is 1."""
+        k = len(self.labels)
+        scores = np.zeros((len(rows.live), k, rows.n), np.float32)
+        for t, n, _, h, *_ in self._walk(rows, "f"):
+            np.matmul(self.w["of"], h, out=scores[t, :, :n])
+        for t, n, _, h, *_ in self._walk(rows, "b"):
+            s = scores[t, :, :n]
+            s += self.w["ob"] @ h
+            s += self.w["b"]
+            s -= s.max(0)
+            s -= np.log(np.exp(s).sum(0))
+        return np.einsum("tkn,tn->kn", scores, own)
+
+    def gradients(self, rows: Rows, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of all positions, and its gradients by backpropagation through time."""
-        n, length = data.shape
         g = {k: np.zeros_like(v) for k, v in self.w.items()}
-        ways = {d: self._states(data, d, True) for d in "fb"}
-        back, loss = {d: [None] * length for d in "fb"}, 0.0
-        for t in range(length):
-            s = sum(ways[d][0][t] @ self.w["o" + d] for d in "fb") + self.w["b"]
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            loss -= float(np.log(p[np.arange(n), label] + 1e-12).sum())
-            p[np.arange(n), label] -= 1
-            p /= n * length
-            g["b"] += p.sum(0)
+        ways = {d: {x[0]: (x[1], x[2].copy(), *x[3:]) for x in self._walk(rows, d)} for d in "fb"}
+        places, loss, back = int(rows.live.sum()), 0.0, {"f": {}, "b": {}}
+        for t, k in enumerate(rows.live):
+            s = sum(self.w["o" + d] @ ways[d][t][2] for d in "fb") + self.w["b"]
+            p = np.exp(s - s.max(0))
+            p /= p.sum(0)
+            loss -= float(np.log(p[label[:k], np.arange(k)] + 1e-12).sum())
+            p[label[:k], np.arange(k)] -= 1
+            p /= places
+            g["b"] += p.sum(1, keepdims=True)
             for d in "fb":
-                g["o" + d] += ways[d][0][t].T @ p
-                back[d][t] = p @ self.w["o" + d].T
-        m = self.hidden
+                g["o" + d] += p @ ways[d][t][2].T
+                back[d][t] = self.w["o" + d].T @ p
+        m, read = self.hidden, np.concatenate([rows.data[t, :k] for t, k in enumerate(rows.live)])
+        by_byte = np.argsort(read, kind="stable")
+        seen, starts = np.unique(read[by_byte], return_index=True)
         for d in "fb":
-            dh, wh = np.zeros((n, m), np.float32), self.w["h" + d]
-            for t, h, z, r, new, gn in reversed(ways[d][1]):
-                dh = dh + back[d][t]
-                dn = dh * (1 - z) * (1 - new * new)
-                dz = dh * (h - new) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                dx, dg = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(g["x" + d], data[:, t], dx)
-                g["h" + d] += h.T @ dg
-                g["c" + d] += dg.sum(0)
-                dh = dh * z + dg @ wh.T
-        return loss / (n * length), g
-
-
-def sequences(words: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """``(word's number, bytes)``: each word behind a space, in pieces of at most ``LONGEST`` bytes."""
-    for i, w in enumerate(words):
-        s = b" " + w
-        for k in range(0, len(s), LONGEST):
-            yield i, s[k : k + LONGEST]
-
-
-def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(words' numbers, bytes as a matrix)`` for the sequences of each length."""
-    groups: dict[int, tuple[list[int], list[bytes]]] = {}
-    for i, s in sequences(words):
-        at = groups.setdefault(len(s), ([], []))
-        at[0].append(i)
-        at[1].append(s)
-    for n, (i, s) in groups.items():
-        yield np.array(i), np.frombuffer(b"".join(s), np.uint8).reshape(-1, n)
-
-
-def train(rows: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Network | None:
-    """A network from ``(language, text)`` rows by Adam; None without any labelled word."""
-    labels = sorted({lang for lang, _ in rows})
-    words, of = [], []
-    for lang, text in sorted(rows):
-        own = [w for w in text.encode("utf-8", "surrogatepass").split() if _WORDY.search(w)]
-        words += own
-        of += [labels.index(lang)] * len(own)
-    if not words:
+            dh, wh, inputs = np.zeros((m, rows.n), self.w["b"].dtype), self.w["h" + d], [None] * len(rows.live)
+            for t in reversed(ways[d]):
+                k, old, _, gates, new, inner = ways[d][t]
+                z, r = gates[:m], gates[m:]
+                to = dh[:, :k] + back[d][t]
+                dn = to * (1 - z) * (1 - new * new)
+                dz, dr = to * (old - new) * z * (1 - z), dn * inner * r * (1 - r)
+                inputs[t], dg = np.concatenate([dz, dr, dn]), np.concatenate([dz, dr, dn * r])
+                g["h" + d] += dg @ old.T
+                g["c" + d] += (dn * r).sum(1, keepdims=True)
+                dh[:, :k] = to * z + wh.T @ dg
+            g["x" + d][:, seen] = np.add.reduceat(np.concatenate(inputs, 1)[:, by_byte], starts, 1)
+        return loss / places, g
+
+
+def train(sample: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Network | None:
+    """A network from ``(language, text)`` rows by Adam over random windows of the whole texts; None without any text."""
+    labels = sorted({lang for lang, text in sample if text})
+    if not labels:
         return None
-    of = np.array(of)
-    share = len(of) / np.maximum(np.bincount(of, minlength=len(labels)), 1)  # languages count alike
-    groups = [(of[i], data) for i, data in by_length(words)]
+    texts = {x: [t.encode("utf-8", "surrogatepass") for lang, t in sorted(sample) if lang == x and t] for x in labels}
+    buffers = {x: np.frombuffer(b"".join(v), np.uint8) for x, v in texts.items()}
+    ends = {x: np.cumsum([len(t) for t in v]) for x, v in texts.items()}
     net, r = Network(labels, hidden, seed), np.random.default_rng(seed)
-    weight = np.array([share[y].sum() * data.shape[1] for y, data in groups])
-    chances = [share[y] / share[y].sum() for y, _ in groups]
     one = {k: np.zeros_like(v) for k, v in net.w.items()}
     two = {k: np.zeros_like(v) for k, v in net.w.items()}
+    every, shift = np.concatenate([buffers[x] for x in labels]), np.cumsum([0, *(len(buffers[x]) for x in labels)])
     for step in range(1, steps + 1):
-        k = r.choice(len(groups), p=weight / weight.sum())
-        y, data = groups[k]
-        at = r.choice(len(y), min(BATCH, len(y)), p=chances[k])
-        _, grads = net.gradients(data[at], y[at])
+        label = np.arange(BATCH) % len(labels)  # languages count alike, and so do the bytes of each
+        begin, length = np.zeros(BATCH, np.int64), np.zeros(BATCH, np.int64)
+        for k, x in enumerate(labels):
+            at = r.integers(0, len(buffers[x]), int((label == k).sum()))
+            length[label == k] = np.minimum(SPAN, ends[x][np.searchsorted(ends[x], at, "right")] - at)
+            begin[label == k] = shift[k] + at
+        rows = Rows(every, begin, length)
+        _, grads = net.gradients(rows, label[rows.order])
         rate = 0.02 * (1 - step / (steps + 1)) + 1e-4
         for name, grad in grads.items():
             one[name] += 0.1 * (grad - one[name])
@@ -153,42 +159,52 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDEN,
     return net
 
 
-class Labeller:
-    """Labels documents in one task; remembers the words it has read, up to a bound."""
-
-    def __init__(self, net: Network):
-        self.net, self.at, self.scores = net, {}, np.zeros((0, len(net.labels) + 1))
-
-    def _read(self, words: list[bytes]) -> None:
-        got = np.zeros((len(words), len(self.net.labels) + 1))
-        wordy = [i for i, w in enumerate(words) if _WORDY.search(w)]
-        for i, data in by_length([words[k] for k in wordy]):
-            i = np.array(wordy)[i]
-            np.add.at(got, (i, slice(0, -1)), self.net.log_probabilities(data))
-            np.add.at(got, (i, -1), data.shape[1])
-        self.at |= {w: len(self.scores) + i for i, w in enumerate(words)}
-        self.scores = np.concatenate([self.scores, got])
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*split) - self.at.keys() if split else set()
-        if len(self.at) + len(new) > _REMEMBERED:
-            self.at, self.scores = {}, self.scores[:0]
-            new = set().union(*split)
-        self._read(sorted(new))
-        names, scores = [], []
-        for t, words in zip(texts, split, strict=True):
-            if not t or not has_letter(t):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            total = self.scores[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
-            s = total[:-1] / max(total[-1], 1)
-            p = np.exp(s - s.max())
-            k = int(p.argmax())
-            names.append(self.net.labels[k])
-            scores.append(float(p[k] / p.sum()))
+def totals(net: Network, texts: list[bytes]) -> np.ndarray:
+    """For each text the sum of its positions' log probabilities, a row a text.
+
+    A text is cut into stretches of ``STRETCH`` bytes; each is read with ``CONTEXT`` bytes before and after it, as far as
+    the text has them, and labels its own positions alone.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    many = -(-size // STRETCH)
+    of = np.repeat(np.arange(len(texts)), many)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+    low, high = np.maximum(start - CONTEXT, 0), np.minimum(start + STRETCH + CONTEXT, size[of])
+    first, last = start - low, np.minimum(start + STRETCH, size[of]) - low
+    begin, buffer = (np.cumsum(size) - size)[of] + low, np.frombuffer(b"".join(texts), np.uint8)
+    out, long_first = np.zeros((len(texts), len(net.labels))), np.argsort(low - high, kind="stable")
+    for at in range(0, len(of), TOGETHER):
+        mine = long_first[at : at + TOGETHER]
+        rows = Rows(buffer, begin[mine], (high - low)[mine])
+        mine = mine[rows.order]
+        step = np.arange(len(rows.live))[:, None]
+        own = ((step >= first[mine]) & (step < last[mine])).astype(np.float32)
+        np.add.at(out, of[mine], net.log_probabilities(rows, own).T)
+    return out
+
+
+def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The language and its probability for each text; ``und`` and 0 for null, without a letter, or without a network."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
+    raw = [texts[i].encode("utf-8", "surrogatepass") for i in known]
+    if not known:
         return names, scores
+    for i, t, total in zip(known, raw, totals(net, raw), strict=True):
+        p = np.exp((total - total.max()) / len(t))
+        names[i], scores[i] = net.labels[int(p.argmax())], float(p.max() / p.sum())
+    return names, scores
+
+
+def predictions(net: Network | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``predict`` for a column, some ``_FLUSH`` bytes at a time."""
+    names, scores, at = [], [], 0
+    before = np.cumsum([0, *pc.fill_null(pc.binary_length(texts), 0).to_pylist()])
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + _FLUSH, "right")) - 1)
+        n, s = predict(net, texts.slice(at, to - at).to_pylist())
+        names, scores, at = names + n, scores + s, to
+    return pa.array(names, pa.string()), pa.array(scores, pa.float64())
 
 
 def held_out(key: str = "doc_id"):
@@ -196,36 +212,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple[str, str]]:
-    """About ``SAMPLE_ROWS`` rows of each language, chosen by a hash of the key, and a stretch of each text."""
-    usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).agg(F.count("*")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
-    chance = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / float(1 << 30)
-    free = F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1
-    part = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit("start"), key), free) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    return [(r[0], r[1]) for r in usable.where(chance < F.element_at(share, F.col(lang))).select(lang, part).collect()]
+def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """``(language, whole text)`` of at most ``rows`` rows of each language, those of the smallest hashes.
+
+    Rows are counted by language; a few more than wanted pass by their hash of key and text, and the rest is cut off
+    exactly, whatever keys and texts repeat. Held-out rows, null languages and null texts are not looked at.
+    """
+    usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("h"))
+    counts = docs.sparkSession.createDataFrame(usable.groupBy("lang").agg(F.count("*").alias("n")).collect(), "lang string, n bigint")
+    some = usable.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") <= float(1 << 30) * (1.5 * rows + 50))
+    first = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= rows)
+    return [(r.lang, r.text) for r in first.select("lang", "text").collect()]
 
 
 def label(docs: DataFrame, net: Network | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, lang_pred, score`` for each row of ``docs``, from its whole text alone.
 
-    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.
+    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Rows don't affect each other:
+    repeated rows and keys, null keys and an empty table need nothing special; other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net) if net else lambda texts: (["und"] * len(texts), [0.0] * len(texts))
         for b in batches:
-            texts, names, scores, held, size = b.column("t"), [], [], [], 0
-            for i, t in enumerate(texts):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size > _FLUSH or i == len(texts) - 1:
-                    n, s = labeller(held)
-                    names, scores, held, size = names + n, scores + s, [], 0
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["k", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), *predictions(net, b.column("t"))], ["k", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double")
@@ -235,7 +244,8 @@ def label(docs: DataFrame, net: Network | None, text: str = "text", key: str = "
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """``key, held_out, lang_pred, score`` for each row, after learning from the rows that aren't held out.
 
-    Nulls in any column, empty and very long texts, repeated rows and an empty table are fine.
+    Nulls in any column, repeated rows and keys, other columns of whatever names and an empty table are fine. A text's
+    probabilities come from all its bytes; a very long one is read in stretches by the task that holds it.
     """
     got = label(docs, train(labelled_sample(docs, text, lang, key)), text, key)
     return got.select(key, held_out(key).alias("held_out"), "lang_pred", "score")

@@ -20,21 +20,16 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def identify_language(docs: DataFrame) -> DataFrame:
     """Documents that have a language: rows without any letter or text go, a null ``lang`` is filled in.
 
-    The network learns from the rows given. All columns pass through in the one pass that labels them.
+    The network learns from the rows given. All columns pass through in the one pass that labels them; a ``lang`` that
+    is set stays, also where the network reads another. Repeated rows, null keys and an empty table need nothing special.
     """
     net = language_id.train(language_id.labelled_sample(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = language_id.Labeller(net) if net else None
         for b in batches:
-            texts, names, held, size = b.column("text"), [], [], 0
-            for i, t in enumerate(texts):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size > 4_000_000 or i == len(texts) - 1:
-                    names += labeller(held)[0] if labeller else ["und" if not t or not language_id.has_letter(t) else None for t in held]
-                    held, size = [], 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], [*b.schema.names, "__lang_pred"])
+            texts = b.column("text")
+            names = language_id.predictions(net, texts)[0] if net else pa.array(["und" if not t or not language_id.has_letter(t) else None for t in texts.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, names], [*b.schema.names, "__lang_pred"])
 
     got = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang_pred", StringType())]))
     kept = got.where("__lang_pred is null or __lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "__lang_pred"))

@@ -1,36 +1,91 @@
 import numpy as np
 
-from attesta.llm.language_id import Labeller, Network, by_length, identify, label, train
+from attesta.llm import language_id
+from attesta.llm.language_id import Network, Rows, identify, label, labelled_sample, predict, totals, train
+
+
+def rows_of(texts):
+    size = np.array([len(t) for t in texts])
+    return Rows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
 
 
 def test_gradients_match_differences():
     net = Network(["a", "b", "c"], hidden=3, seed=1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     r = np.random.default_rng(2)
-    data, y = r.integers(97, 101, (4, 5)).astype(np.uint8), r.integers(0, 3, 4)
-    _, g = net.gradients(data, y)
+    texts = [bytes(r.integers(97, 101, n).astype(np.uint8)) for n in (5, 2, 4, 1)]
+    rows = rows_of(texts)
+    y = r.integers(0, 3, 4)
+    _, g = net.gradients(rows, y)
     for name, w in net.w.items():
         for _ in range(6):
-            at = tuple(r.integers(0, s) for s in w.shape) if not name.startswith("x") else (int(data[0, r.integers(0, 5)]), int(r.integers(0, 9)))
+            at = tuple(r.integers(0, s) for s in w.shape) if not name.startswith("x") else (int(r.integers(0, 9)), int(rows.data[0, 0]))
             old = w[at]
             w[at] = old + 1e-4
-            up = net.gradients(data, y)[0]
+            up = net.gradients(rows, y)[0]
             w[at] = old - 1e-4
-            down = net.gradients(data, y)[0]
+            down = net.gradients(rows, y)[0]
             w[at] = old
             assert abs((up - down) / 2e-4 - g[name][at]) < 1e-3, name
 
 
-def test_words_are_remembered_without_effect():
-    net = Network(["a", "b"], hidden=4, seed=3)
-    one = Labeller(net)
-    texts = ["ab cd ab", None, "12 34", "é", "x" * 100, "cd"]
-    first = one(texts)
-    assert one(texts) == first == Labeller(net)(texts)
-    assert first[0][1] == first[0][2] == "und" and first[0][3] != "und"
-    whole = sum(net.log_probabilities(d).sum(0) for _, d in by_length([b"ab", b"cd", b"ab"]))
-    p = np.exp(whole / 9 - (whole / 9).max())
-    assert abs(first[1][0] - p.max() / p.sum()) < 1e-5
+def slow(net, data):
+    """Log probabilities of each position of one byte string, one byte and one unit at a time."""
+    m, w = net.hidden, net.w
+
+    def states(data, d):
+        h, out = np.zeros(m), []
+        for byte in data:
+            x, g = w["x" + d][:, byte].astype(float), w["h" + d].astype(float) @ h
+            z, r = (1 / (1 + np.exp(-(x[i * m : (i + 1) * m] + g[i * m : (i + 1) * m]))) for i in (0, 1))
+            new = np.tanh(x[2 * m :] + r * (g[2 * m :] + w["c" + d][:, 0]))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    s = np.array([w["of"] @ f + w["ob"] @ b + w["b"][:, 0] for f, b in zip(states(data, "f"), states(data[::-1], "b")[::-1], strict=True)])
+    return s - np.log(np.exp(s).sum(1, keepdims=True))
+
+
+def test_whole_texts_against_a_slow_network(monkeypatch):
+    monkeypatch.setattr(language_id, "STRETCH", 7)
+    monkeypatch.setattr(language_id, "CONTEXT", 3)
+    monkeypatch.setattr(language_id, "TOGETHER", 4)
+    net = Network(["a", "b", "c"], hidden=4, seed=3)
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (1, 2, 6, 7, 8, 14, 15, 40, 100)]
+    got = totals(net, texts)
+    for t, row in zip(texts, got, strict=True):
+        want = np.zeros(3)
+        for s in range(0, len(t), 7):
+            low, high = max(0, s - 3), min(len(t), s + 10)
+            want += slow(net, t[low:high])[s - low : min(s + 7, len(t)) - low].sum(0)
+        assert np.abs(row - want).max() < 1e-3 * len(t)
+    names, scores = predict(net, ["ab cd", None, "12 34", "", "\u00e9"])
+    assert [n == "und" for n in names] == [False, True, True, True, False] and scores[1:4] == [0, 0, 0]
+    mean = slow(net, b"ab cd").mean(0)
+    assert abs(scores[0] - np.exp(mean.max()) / np.exp(mean).sum()) < 1e-4
+
+
+def test_a_run_up_is_as_good_as_the_whole_text():
+    texts = ["the quick brown fox and the lazy dog " * 40, "der schnelle braune Fuchs und der faule Hund " * 40]
+    net = train([("en", texts[0]), ("de", texts[1])], steps=80)
+    raw = [t.encode() for t in texts]
+    whole = np.array([slow(net, t).sum(0) for t in raw])
+    assert np.abs(totals(net, raw) - whole).max() / min(map(len, raw)) < 0.02
+    assert predict(net, texts)[0] == ["en", "de"]
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the house is old " * 60000, "en"), (2, "das Haus ist alt " * 60000, "de"), (3, "the house", "en"), (4, "das Haus", "de")], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(docs).collect()} == {1: "en", 2: "de", 3: "en", 4: "de"}
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(None, "same words again", "en")] * 300 + [(7, f"text number {i}", "de") for i in range(300)] + [(i, "uno dos", "es") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = labelled_sample(docs, rows=40)
+    assert sum(x == "en" for x, _ in got) == 40 and sum(x == "de" for x, _ in got) <= 40 and sum(x == "es" for x, _ in got) <= 5
 
 
 def test_held_out_accuracy(spark):
