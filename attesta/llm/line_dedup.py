@@ -14,7 +14,8 @@ def duplicate_lines(docs: DataFrame, window: int = 3, text: str = "text", key: s
     A window is ``window`` consecutive lines of one text, cut at each line feed, compared unchanged. Of
     each window the occurrence at the smallest (key, tag, line) stays; the lines that any other occurrence
     covers go. Windows of nothing but white space never count. ``tag`` is a hash of the text: rows equal
-    in key and text are one text, rows equal in key alone are told apart.
+    in key and text are one text, rows equal in key alone are told apart. Null texts have no lines; an empty table gives
+    no rows.
     """
     stage = Staging(docs.sparkSession, "lines")
     lines = docs.where(F.col(text).isNotNull()).select(
@@ -38,17 +39,18 @@ def dedup_lines(docs: DataFrame, window: int = 3, text: str = "text", key: str =
     """``docs`` with the repeated lines gone from ``text``, and ``lines_removed`` (long).
 
     The kept lines are joined by line feeds. Null texts stay null; texts below ``window`` lines stay as
-    they are. All other columns pass through, whatever their names; a ``lines_removed`` of the input's own
-    is replaced.
+    they are. All other columns pass through, whatever their names (but for two leading underscores); a
+    ``lines_removed`` of the input's own is replaced. A text's lines are looked at once each, however many go. An empty
+    table gives an empty result.
     """
     gone = duplicate_lines(docs, window, text, key).select(F.col(key).alias("__k"), F.col("tag").alias("__tag"), F.col("gone").alias("__gone"))
-    on = docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__tag"))
-    joined = docs.join(gone, on, "left")
-    split = F.split(text, "\n", -1)
-    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains(F.col("__gone"), y["i"]))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda y: y["x"]), "\n"))
-    rest = [F.col(c) for c in docs.columns if c not in (text, "lines_removed")]
-    return joined.select(*rest, new.alias(text), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    rest = [c for c in docs.columns if c not in (text, "lines_removed")]
+    split = docs.select(*[F.col(f"`{c}`") for c in rest], F.split(text, "\n", -1).alias("__lines"), F.col(key).alias("__own"), F.xxhash64(text).alias("__own_tag"))
+    on = F.col("__own").eqNullSafe(F.col("__k")) & (F.col("__own_tag") == F.col("__tag"))
+    joined = split.join(gone, on, "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda i: F.get("__lines", i)))
+    return joined.select(*[F.col(f"`{c}`") for c in rest], F.array_join(kept, "\n").alias(text), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_nulls_ties_empty_and_clashing_columns(spark):
     assert len(kept) == 1 and got["4"] == (1, None, 0)
     assert dedup_lines(df).columns[:2] == ["doc_id", "kept"]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Two texts of 200,000 lines with a shared half: minutes if a line were looked up among all that go."""
+    own = lambda x: "\n".join(f"{x} {i}" for i in range(100_000))
+    rows = [(1, own("a") + "\n" + own("b")), (2, own("c") + "\n" + own("b"))]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == (own("c"), 100_000)
