@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,52 +71,72 @@ def gram_matrix(rows: DataFrame, size: int) -> np.ndarray:
 
 
 class _Best:
-    """The k best scores of each query so far, ties to smaller ids."""
+    """The k best scores of each query so far, ties to smaller ids, a null id after all others."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor
         self.q, self.s, self.i = (np.zeros(0, np.int64) for _ in range(3))
+        self.none = np.zeros(0, bool)
         self.least = floor.astype(np.float64).copy()
 
-    def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
-        q, s, i = (np.concatenate(x) for x in ((self.q, q), (self.s, s), (self.i, i)))
-        order = np.lexsort((i, -s, q))
-        q, s, i = q[order], s[order], i[order]
+    def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray, none: np.ndarray, times: np.ndarray) -> None:
+        """Scores of candidates that stand for ``times`` rows each."""
+        q, s, i, none = (np.concatenate([old, np.repeat(x, np.minimum(times, self.k))]) for old, x in ((self.q, q), (self.s, s), (self.i, i), (self.none, none)))
+        order = np.lexsort((i, none, -s, q))
+        q, s, i, none = q[order], s[order], i[order], none[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
-        self.q, self.s, self.i = q[keep], s[keep], i[keep]
+        self.q, self.s, self.i, self.none = q[keep], s[keep], i[keep], none[keep]
         full = rank == self.k - 1
         self.least[q[full]] = np.maximum(self.floor[q[full]], s[full])
 
 
-def search(queries: np.ndarray, ids: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], turn: Rotation, k: int, floor: np.ndarray) -> _Best:
-    """The k best of the candidates in ``batches`` (ids and integer vectors) for each query, own ids left out.
+class Vectors:
+    """Distinct vectors with their ids: which ids are null, how many rows are equal, and a hash that with the id names the row."""
+
+    def __init__(self, ids: np.ndarray, none: np.ndarray, rows: np.ndarray, same: np.ndarray, hashes: np.ndarray):
+        self.ids, self.none, self.rows, self.same, self.hashes = ids, none, rows, same, hashes
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, size: int) -> Vectors:
+        ids = b.column("id")
+        return cls(pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), _matrix(b.column("v"), size), b.column("n").to_numpy(), b.column("h").to_numpy())
+
+    def part(self, at: slice) -> Vectors:
+        return Vectors(self.ids[at], self.none[at], self.rows[at], self.same[at], self.hashes[at])
+
+
+def search(asked: Vectors, batches: Iterator[Vectors], turn: Rotation, k: int, floor: np.ndarray) -> _Best:
+    """The k best of the candidates in ``batches`` for each query, the query's own row left out.
 
     Candidates below ``floor`` are not wanted. A query is passed over for a block if the product of lengths
     can't reach its k-th score, a pair if its partial sum plus the product of the residual lengths can't; what
     is left is scored in integers.
     """
-    best = _Best(len(ids), k, floor)
+    best, queries = _Best(len(asked.ids), k, floor), asked.rows
     exact = queries.astype(np.float64)
     length, (part, rest) = np.linalg.norm(exact, axis=1), turn.split(exact)
-    for got_ids, got in batches:
-        for at in range(0, len(got_ids), COLUMNS):
-            cid, c = got_ids[at : at + COLUMNS], got[at : at + COLUMNS]
-            c_part, c_rest = turn.split(c.astype(np.float64))
-            longest = np.sqrt((c.astype(np.float64) ** 2).sum(1)).max()
+    for got in batches:
+        for at in range(0, len(got.ids), COLUMNS):
+            c = got.part(slice(at, at + COLUMNS))
+            whole = c.rows.astype(np.float64)
+            c_part, c_rest = turn.split(whole)
+            longest = np.sqrt((whole**2).sum(1)).max()
             live = np.flatnonzero(length * longest * (1 + 1e-9) + 1e-6 >= best.least)
             for lo in range(0, len(live), ROWS):
                 q = live[lo : lo + ROWS]
                 bound = part[q] @ c_part.T + rest[q][:, None] * c_rest
                 slack = 1e-6 + 1e-9 * (length[q] * longest)
                 a, b = np.nonzero(bound >= (best.least[q] - slack)[:, None])
-                other = ids[q[a]] != cid[b]
-                a, b = q[a[other]], b[other]
+                a = q[a]
+                own = (asked.ids[a] == c.ids[b]) & (asked.none[a] == c.none[b]) & (asked.hashes[a] == c.hashes[b])
+                times = c.same[b] - own
+                a, b, times = a[times > 0], b[times > 0], times[times > 0]
                 score = np.empty(len(a), np.int64)
                 for x in range(0, len(a), 1 << 16):
-                    score[x : x + (1 << 16)] = np.einsum("ij,ij->i", queries[a[x : x + (1 << 16)]], c[b[x : x + (1 << 16)]])
+                    score[x : x + (1 << 16)] = np.einsum("ij,ij->i", queries[a[x : x + (1 << 16)]], c.rows[b[x : x + (1 << 16)]])
                 good = score >= best.least[a]
-                best.add(a[good], score[good], cid[b[good]])
+                best.add(a[good], score[good], c.ids[b[good]], c.none[b[good]], times[good])
     return best
 
 
@@ -123,53 +144,57 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "embed
     """``query_id, rank, vec_id, score``: for each row for which ``queries`` holds, its ``k`` best other rows.
 
     The score is the inner product of the whole numbers ``floor(scale * x)``, exact as long as it fits
-    64 bits; ties go to smaller ids. Rows without a key, and vectors null or holding null or non-finite
-    components take no part; a shorter vector counts as filled up with zeros. Rows of one id are no
-    candidates for each other; equal rows count once, different vectors of one id are queries of their own
-    with the same ``query_id``. Fewer candidates than ``k`` give them all; an empty table gives no rows.
+    64 bits; ties go to smaller ids, a null id after all others. Vectors null or holding null or non-finite
+    components take no part; a shorter vector counts as filled up with zeros. Every row but the query's own is a
+    candidate: rows of the same id, and rows that are equal, are rows of their own, as queries and as candidates.
+    Fewer candidates than ``k`` give them all; an empty table gives no rows; other columns aren't read.
 
     All vectors are ranged by descending length over the tasks. Queries go to the tasks in blocks of about
-    ``QUERY_BLOCK``, a size that doesn't grow with the data, each with thresholds from the ``HEAD`` longest rows.
+    ``QUERY_BLOCK``, a size that doesn't grow with the data, each with thresholds from the ``HEAD`` longest rows. One
+    block after the other is broadcast, searched, written and forgotten.
     """
     spark, stage = vectors.sparkSession, Staging(vectors.sparkSession, "topk")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), whole_numbers(vector, scale).alias("v"), queries.alias("asks")).where("id is not null and v is not null")
-    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), whole_numbers(vector, scale).alias("v"), queries.alias("asks")).where("v is not null")
+    rows = rows.groupBy("id", "v").agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"))
     length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    rows = rows.select("id", "v", F.coalesce("asks", F.lit(False)).alias("asks"), length.alias("n2"))
+    rows = rows.select("id", "v", "n", "asks", F.xxhash64("v").alias("h"), length.alias("n2"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stage.put(rows.repartitionByRange(parts, F.col("n2").desc(), "id").sortWithinPartitions(F.col("n2").desc(), "id"), "rows")
-    facts = rows.agg(F.max(F.size("v")).alias("size"), F.count_if("asks").alias("asks")).first()
+    facts = rows.agg(F.max(F.size("v")).alias("size"), F.count_if(F.col("asks") > 0).alias("asks")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not facts["asks"] or not facts["size"]:
         return spark.createDataFrame([], schema)
     size, blocks = facts["size"], -(-facts["asks"] // QUERY_BLOCK)
     turn = Rotation(gram_matrix(rows, size))
-    pad = lambda got: np.array([[*r.v, *[0] * (size - len(r.v))] for r in got], np.int64).reshape(-1, size)
-    head = rows.orderBy(F.col("n2").desc(), "id").limit(HEAD).select("id", "v").collect()
-    head_ids, head_rows = np.array([r.id for r in head]), pad(head)
-    found = []
+
+    def here(some: DataFrame) -> tuple[Vectors, np.ndarray]:
+        got = some.select("id", "v", "n", "h", "asks").toArrow().combine_chunks()
+        got = pa.RecordBatch.from_arrays([c.combine_chunks() for c in got.columns], got.schema.names)
+        return Vectors.of(got, size), got.column("asks").to_numpy()
+
+    head, _ = here(rows.orderBy(F.col("n2").desc(), "id", "h").limit(HEAD))
+    order, found = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()), []
     for block in range(blocks):
-        mine = rows.where("asks").where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block).select("id", "v").collect()
-        if not mine:
+        mine, asks = here(rows.where("asks > 0").where(F.pmod(F.xxhash64("id", "h"), F.lit(blocks)) == block))
+        if not len(asks):
             continue
-        ids, q = np.array([r.id for r in mine]), pad(mine)
-        none = np.full(len(ids), np.iinfo(np.int64).min)
-        first = search(q, ids, iter([(head_ids, head_rows)]), turn, k, none)
-        shared = spark.sparkContext.broadcast((ids, q, np.where(np.isfinite(first.least), first.least, none).astype(np.int64), turn))
+        none = np.full(len(asks), np.iinfo(np.int64).min)
+        first = search(mine, iter([head]), turn, k, none)
+        shared = spark.sparkContext.broadcast((mine, asks, np.where(np.isfinite(first.least), first.least, none).astype(np.int64), turn))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, floor, turn = shared.value
-            got = ((b.column("id").to_numpy(), _matrix(b.column("v"), size)) for b in batches)
-            best = search(q, ids, got, turn, k, floor)
-            yield pa.RecordBatch.from_arrays([pa.array(best.q), pa.array(ids[best.q]), pa.array(best.i), pa.array(best.s)], ["q", "query_id", "vec_id", "score"])
+            mine, asks, floor, turn = shared.value
+            best = search(mine, (Vectors.of(b, size) for b in batches), turn, k, floor)
+            ids = pa.array(mine.ids[best.q], mask=mine.none[best.q])
+            yield pa.RecordBatch.from_arrays([pa.array(best.q), ids, pa.array(best.i, mask=best.none), pa.array(best.s), pa.array(asks[best.q])], ["q", "query_id", "vec_id", "score", "asks"])
 
-        near = rows.select("id", "v").mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint")
-        found.append(near.withColumn("block", F.lit(block)))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    order = Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        near = rows.select("id", "v", "n", "h").mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, score bigint, asks bigint")
+        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        kind = stage.put(best.select("query_id", "rank", "vec_id", "score", "asks"), f"block{block}").schema
+        found.append(f"{stage.root}/block{block}")
+        shared.destroy()
+    every = spark.read.schema(kind).parquet(*found)
+    return every.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), "asks"))).drop("col")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
@@ -180,11 +205,11 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
