@@ -16,14 +16,16 @@ from attesta.llm import byte_bpe
 from attesta.plans.staging import Staging
 
 SEPARATOR = 0
-BUCKETS = 256
+#: Pieces of one length that are ranked together, about.
+BUCKET = 20_000
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, piece, start, length, ids_crc32``: each document's ids and a closing 0, cut only if over ``capacity``.
 
     The first piece takes what is over after full pieces, so at most one piece of a document isn't full.
-    A null or empty text is the closing 0 alone.
+    A null or empty text is the closing 0 alone. A very long text is encoded whole by the task that holds it; repeated rows
+    give their pieces again; null keys are keys; other columns aren't read; an empty table gives no pieces.
     """
     path = path or byte_bpe.default_path()
     end = np.array([SEPARATOR], "<u4").tobytes()
@@ -109,16 +111,19 @@ def _places(steps: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 def pack(cut: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFrame:
     """``cut`` (``key, piece, start, length, ids_crc32``) with ``sequence_id`` and ``offset`` for each piece.
 
-    Only the histogram of lengths, at most ``capacity`` numbers, comes to the driver. A piece's place
-    follows from its rank among those of its length: a count for each length and hash bucket gives the
-    bucket's first rank, and the rest is ranked within the bucket, so a frequent length is spread over
-    many tasks. An empty table gives an empty result; repeated rows are pieces of their own.
+    Only the histogram of lengths, at most ``capacity`` numbers, comes to the driver, and as many go to the tasks. A
+    piece's place follows from its rank among those of its length: each length has hash buckets in proportion to its
+    pieces, a count for each of them gives the bucket's first rank, and the rest is ranked within the bucket, so a frequent
+    length is spread over many tasks. Null keys are keys; repeated rows are pieces of their own; other columns of ``cut`` are
+    dropped; an empty table gives an empty result.
     """
-    salted = cut.withColumn("__b", F.pmod(F.xxhash64(key, "piece", "start"), F.lit(BUCKETS)).cast("int"))
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = cut.sparkSession.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length bigint, __m bigint")
+    salted = cut.select(key, "piece", "start", "length", "ids_crc32").join(F.broadcast(buckets), "length")
+    salted = salted.withColumn("__b", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.col("__m"))).drop("__m")
     sizes = salted.groupBy("length", "__b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = cut.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
     within = Window.partitionBy("length", "__b").orderBy(key, "piece", "start", "ids_crc32")
     ranked = salted.withColumn("__r", F.row_number().over(within) - 1).join(first, ["length", "__b"])
