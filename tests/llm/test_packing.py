@@ -1,14 +1,18 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from attesta.llm import byte_bpe
+from attesta.llm import byte_bpe, packing
 from attesta.llm.packing import fullest, pack_documents, plan
 from attesta.llm.token_counts import Rollup, count_tokens, deletes, inserts, revisions
 
+tokenizer = cache(Tokenizer.from_file)
 TEXTS = [
     None, "", " ", "a", "a b", " a  b ", "a\nb c\n\n d", "x" * 5000, "word " * 3000, "it's I'll 12 3,4  ...\t\t x", "é ü ñ 　z", "a<|endoftext|>b c",
     "\x1f a \x1f b", "a \x85 b", "end ", "\n a", "emoji 😀 😀x", "tab\t x", "a \n b",
@@ -23,6 +27,25 @@ def test_ids_equal_those_of_tokenizers():
         assert np.frombuffer(bpe.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_ids_of_whole_tables_equal_those_of_tokenizers():
+    """Every text of the documents, pages and conversations of one table size."""
+    import pyarrow.parquet as pq
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, bpe = Tokenizer.from_file(path), byte_bpe.load(path)
+    for name, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        texts = [x for x in pq.read_table(f"/root/testdata/sf0.01/{name}.parquet", columns=[column]).column(0).to_pylist() if x is not None]
+        for x, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(bpe.ids(x), "<u4").tolist() == want.ids
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(max_size=60))
+def test_ids_of_any_text(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert np.frombuffer(byte_bpe.load(path).ids(text), "<u4").tolist() == tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 def test_fullest_is_the_best_subset_with_the_largest():
     from itertools import product
 
@@ -35,10 +58,11 @@ def test_fullest_is_the_best_subset_with_the_largest():
         assert sum(x * k for x, k in take.items()) == best
 
 
-def test_packing_is_a_gapless_exact_cover(spark):
+def test_packing_is_a_gapless_exact_cover(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 7)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, r = Tokenizer.from_file(path), random.Random(9)
-    texts = TEXTS + ["the " * r.randint(1, 900) for _ in range(150)] + ["same"] * 40
+    texts = TEXTS + ["the " * r.randint(1, 900) for _ in range(150)] + ["same"] * 40 + ["very long " * 60000]
     df = spark.createDataFrame([(i, x, "k") for i, x in enumerate(texts)], "doc_id bigint, text string, length string")
     rows = pack_documents(df).collect()
     by_doc, by_seq = {}, {}
@@ -87,3 +111,34 @@ def test_rollup_signs_revisions_and_replays(spark, tmp_path):
     assert rollup.commit("b2", revisions(counts.where("doc_id = 1"), new))
     assert rollup.commit("b3", deletes(counts.where("doc_id = 2")))
     assert got() == {("s", "en", 1, 0), ("t", "en", 1, 7), (None, "de", 1, 0)}
+
+
+def test_counts_of_repeats_nulls_and_clashing_columns(spark):
+    rows = [(None, "a b", "s", "en", "v"), (1, "a b", "s", "en", "v"), (1, "a b", "s", "en", "v"), (2, "word " * 200000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, version string")
+    assert sorted((r.doc_id or 0, r.version, r.n_tokens) for r in count_tokens(docs).collect()) == [(0, "byte_bpe_50k", 2), (1, "byte_bpe_50k", 2), (1, "byte_bpe_50k", 2), (2, "byte_bpe_50k", 200001)]
+    assert count_tokens(docs.limit(0)).count() == 0
+
+
+def test_the_query_equals_one_grouping(spark):
+    import pyarrow.parquet as pq
+
+    from attesta.llm.token_counts import op4_query
+
+    t, want = tokenizer(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist():
+        n = len(t.encode(r["text"] or "", add_special_tokens=False).ids)
+        docs, tokens = want.get((r["source"], r["lang"]), (0, 0))
+        want[r["source"], r["lang"]] = (docs + 1, tokens + n)
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in op4_query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
+def test_of_two_commits_at_a_time_one_counts(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = spark.createDataFrame([(1, "a b", "s", "en")], "doc_id bigint, text string, source string, lang string")
+    rollup, rows = Rollup(spark, f"file://{tmp_path}/r"), inserts(count_tokens(docs))
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: rollup.commit("b", rows), range(4)))
+    assert sum(done) == 1 and [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 2)]
