@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_query,
     "op6_simhash_near_dedup": simhash.op6_query,
     "op7_document_fingerprints": spotsigs.op7_query,
+    "spotsigs_near_pairs": spotsigs.spotsigs_pairs_query,
     "op8_sentencepiece": pieces.op8_query,
     "op9_license_scans": licenses.op9_query,
     "op10_exact_top_k": topk.op10_query,

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from attesta.plans.staging import Staging
 
@@ -24,6 +25,8 @@ COMMON = frozenset(
     b" au aux ce dans est et il la le les ne par pas pour que qui sur un une"
     b" al con del el en la las los no para por se su una y".split()
 )
+#: A text with fewer chains than one for so many words is also read by plain chains of words.
+SPARSE = 16
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 CHAIN = 2
 
@@ -51,9 +54,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     """Distinct signatures of a text, ascending: for each common word, it and the ``chain`` content words next after it.
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A text without a
-    complete chain has one signature, of all its words (or, without any, of the text itself); an empty text
-    or null has none.
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Where common words are rare, as in code,
+    tables or other languages, the text has a signature of each ``chain + 1`` words in a row besides, so that an edit
+    never changes all of its fingerprint. A text too short for either has one signature, of all its words (or, without any,
+    of the text itself); an empty text or null has none.
     """
     if not text:
         return np.zeros(0, np.uint32)
@@ -67,6 +71,11 @@ def signatures(text: str | None, chain: int = CHAIN) -> np.ndarray:
     sig, after = _mixed(h[common][full]), after[full]
     for k in range(chain):
         sig = _mixed(sig + h[content[after + k]])
+    if len(words) > chain and len(sig) * SPARSE < len(words):
+        plain = h[: len(h) - chain]
+        for k in range(1, chain + 1):
+            plain = _mixed(plain + h[k : len(h) - chain + k])
+        sig = np.concatenate([sig, plain])
     if not len(sig):
         return np.array([xxhash.xxh32_intdigest(b" ".join(words) or raw)], np.uint32)
     return np.unique((sig >> np.uint64(32)).astype(np.uint32))
@@ -110,11 +119,12 @@ def _with_followers(docs: DataFrame, text: str, key: str) -> DataFrame:
     partition, so that those that meet in one even out.
     """
     spark = docs.sparkSession
+    none = "" if docs.schema[key].dataType == StringType() else 0
     ids = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
     order = (F.struct(F.col("k").isNotNull().alias("some"), "k", "h")).alias("o")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ids.select(order).repartitionByRange(4 * parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o"))
-    firsts = sorted((r.o.some, r.o.k if r.o.some else 0, r.o.h) for r in ranges.collect())
+    firsts = sorted((r.o.some, r.o.k if r.o.some else none, r.o.h) for r in ranges.collect())
     shared = spark.sparkContext.broadcast(firsts)
 
     @F.pandas_udf("array<int>")
@@ -126,7 +136,7 @@ def _with_followers(docs: DataFrame, text: str, key: str) -> DataFrame:
         return pd.Series(out)
 
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.withColumn("bs", bucket(F.col("k").isNotNull(), F.coalesce("k", F.lit(0)), "h"))
+    rows = rows.withColumn("bs", bucket(F.col("k").isNotNull(), F.coalesce("k", F.lit(none).cast(docs.schema[key].dataType)), "h"))
     rows = rows.select(F.posexplode("bs").alias("follower", "bucket"), "k", "h", "t")
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "follower", F.col("k").asc_nulls_first(), "h")
 
@@ -189,7 +199,8 @@ def near_pairs(docs: DataFrame, least: float = 0.8, text: str = "text", key: str
     in its own partition or the next; there, sets meet over the signatures that are rarest in the corpus,
     of which two sets that are alike enough must share one among the first ``n - ceil(least * n) + 1``. Sizes
     that rule the likeness out, and then the likeness itself, are conditions of that join. Rows without
-    any signature form one class without partners.
+    any signature form one class without partners. Repeated rows are members of one class, null keys are keys, a very long
+    text is a long set, other columns aren't read, and an empty table gives two empty results.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -216,6 +227,14 @@ def near_pairs(docs: DataFrame, least: float = 0.8, text: str = "text", key: str
     return each.select(F.col("k").alias(key), "class_id"), pairs
 
 
+def spotsigs_pairs_query(spark, sf_dir: str) -> DataFrame:
+    """Each document with the class of its fingerprint, how many documents have it, and how many classes are near it."""
+    members, pairs = near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_near"))
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n_equal"))
+    return members.join(sizes, "class_id").join(ends, "class_id", "left").select("doc_id", "class_id", "n_equal", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,6 +12,23 @@ def test_signatures_follow_common_words():
     assert likeness(a, b) == 1 / 3 and likeness(a, a) == 1 and from_text(as_text(a)).tolist() == a.tolist()
 
 
+def test_texts_without_common_words_survive_an_edit():
+    r = random.Random(4)
+    code = [f"fn{r.randint(0, 999)}(x{r.randint(0, 99)});" for _ in range(200)]
+    a = signatures(" ".join(code))
+    code[100] = "changed();"
+    assert 0.9 < likeness(a, signatures(" ".join(code))) < 1
+    greek = "ο σκύλος τρέχει στον κήπο και η γάτα κοιμάται στο σπίτι όλη μέρα"
+    assert likeness(signatures(greek), signatures(greek + " σήμερα")) > 0.8
+
+
+def test_keys_of_other_types(spark):
+    rows = [("b", "the big house is red"), (None, "x"), ("a", "the small house"), ("b", "the big house is red")]
+    got = compare_with_edits(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.n_chars) for r in got.collect()) == [("", 1), ("a", 15), ("b", 20), ("b", 20)]
+    assert compare_with_edits(got.limit(0).selectExpr("doc_id", "'' text")).count() == 0
+
+
 def test_edits_against_brute_force(spark):
     r = random.Random(2)
     word = lambda: r.choice(["the", "of", "and", "in", "é" * 3, *[f"w{r.randint(0, 300)}" for _ in range(9)]])
@@ -50,9 +67,14 @@ def test_pairs_against_brute_force(spark):
                 c[r.randrange(len(c))] = f"z{r.randint(0, 99)}"
             texts.append(" ".join(c[: r.randint(100, 120)]))
     texts += [texts[0], "", None]
-    members, pairs = near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, sigs string")
+    df = df.unionByName(df.where("doc_id < 3"))  # repeated rows
+    members, pairs = near_pairs(df)
+    assert members.count() == len(texts) + 3
     cls = {x.doc_id: x.class_id for x in members.collect()}
     sets = {cls[i]: set(signatures(t).tolist()) for i, t in enumerate(texts)}
     want = {frozenset((a, b)) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     got = [frozenset((x.a, x.b)) for x in pairs.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    members, pairs = near_pairs(df.limit(0))
+    assert members.count() == 0 and pairs.count() == 0
