@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.functions.text import canonical_label, citations, label_references, parameters
 from attesta.functions.values import folded, is_close
@@ -88,13 +89,22 @@ def validate_report(claimed: DataFrame, source: DataFrame, key: str, numbers: li
 
 def not_rising(rows: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Rows whose value does not exceed the one before, in table order."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*keys).orderBy(order)
     flags = [F.when(F.col(c) <= F.lag(c).over(w), F.lit(c)) for c in columns]
     return rows.withColumn("stalled", F.array_compact(F.array(*flags))).where(F.size("stalled") > 0)
 
 
+def ordinals(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with a number from 1 within each group, in the given order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def nearest_before(rows: DataFrame, keys: list[str], order: str, wanted: Column, reach: int, name: str) -> DataFrame:
+    """``rows`` with the ``order`` of the nearest row before that is ``wanted``, at most ``reach`` rows back."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, -1)
+    return rows.withColumn(name, F.max(F.when(wanted, F.col(order))).over(w))
+
+
 def parameter_issues(rows: DataFrame, key: str, column: str) -> DataFrame:
     """``key, issue`` of parameter lists."""
     return rows.select(key, F.explode(parameters(column)[1]).alias("issue"))
@@ -110,7 +120,7 @@ def effective_styles(styles: DataFrame, properties: list[str], depth: int = 16)
     out = styles.select("style", F.col("parent").alias("up"), *properties)
     base = styles.select(F.col("style").alias("up"), F.col("parent").alias("next"), *[F.col(p).alias(f"b_{p}") for p in properties])
     for _ in range(depth):
-        out = out.join(F.broadcast(base), "up", "left").select("style", F.col("next").alias("up"), *[F.coalesce(p, f"b_{p}").alias(p) for p in properties])
+        out = out.join(base, "up", "left").select("style", F.col("next").alias("up"), *[F.coalesce(p, f"b_{p}").alias(p) for p in properties])
         if out.where("up is not null").isEmpty():
             return out.drop("up")
     raise ValueError("style parents form a cycle or are too deep")

@@ -49,9 +49,9 @@ def matching_tasks(rows: DataFrame, tasks: tuple[Task, ...]) -> Column:
 
 
 def explode_tasks(rows: DataFrame, tasks: DataFrame, on: list[str]) -> DataFrame:
-    """One row for each task that matches on all of ``on`` without regard to case; ``tasks`` is small and broadcast."""
+    """One row for each task that matches on all of ``on`` without regard to case; ``tasks`` is a contract's few rows."""
     cond = [F.lower(rows[c]) == F.lower(tasks[c]) for c in on]
-    return rows.join(F.broadcast(tasks), cond).drop(*[tasks[c] for c in on])
+    return rows.join(tasks, cond).drop(*[tasks[c] for c in on])
 
 
 def observe(mapped: DataFrame, contract: CurationContract, native: tuple[str, ...] = ()) -> DataFrame:
@@ -76,6 +76,36 @@ def observe(mapped: DataFrame, contract: CurationContract, native: tuple[str, ..
     return rows.withColumns({"reasons": reasons(*rules), "flags": flags}).drop("__clash")
 
 
+def replicates(rows: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
+    """Groups of more than one row: ``keys, n`` and the measures."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *measures).where("n > 1")
+
+
+def replicate_flag(rows: DataFrame, keys: list[str], name: str = "replicate_flag", over: int = 1) -> DataFrame:
+    """``rows`` with whether their group has more than ``over`` rows: counts are joined back, no window holds a group."""
+    return rows.join(rows.groupBy(*keys).agg((F.count("*") > over).alias(name)), keys)
+
+
+def scope_flags(rows: DataFrame, term: str, exact: str, mapped: DataFrame) -> DataFrame:
+    """``rows`` with ``exact``, whether the folded term is the wanted one, and ``mapped``, whether ``mapped`` (``term``) leads there."""
+    own = F.lower(F.trim(F.col(term)))
+    known = mapped.select(F.lower(F.trim("term")).alias("__term")).distinct().withColumn("__hit", F.lit(True))
+    out = rows.withColumn("__term", own).join(known, "__term", "left")
+    return out.withColumns({"exact": F.coalesce(F.col("__term") == exact, F.lit(False)), "mapped": F.coalesce("__hit", F.lit(False))}).drop("__term", "__hit")
+
+
+def effect_blocks(rows: DataFrame, id_column: str, prefix: str = "effects") -> DataFrame:
+    """``id, block, field, value``: columns named ``prefix.block.field``, wide to long; cells without a value go.
+
+    Columns of one block belong together; a column's name alone decides, so new blocks need no change.
+    """
+    named = [(c, *c[len(prefix) + 1 :].split(".", 1)) for c in rows.columns if c.startswith(f"{prefix}.") and c.count(".") >= 2]
+    if not named:
+        raise ValueError(f"no column is named {prefix}.block.field")
+    cells = F.array(*[F.struct(F.lit(block).alias("block"), F.lit(field).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c, block, field in named])
+    return rows.select(id_column, F.inline(cells)).where("value is not null")
+
+
 def support_index(support: DataFrame, keys: tuple[str, ...] = KEYS, structure: str = "structure") -> tuple[DataFrame, DataFrame]:
     """``(kind, value, structures)`` and the blocked ``(kind, value, why)``.
 
@@ -152,5 +182,5 @@ def curate(rows: DataFrame, contract: CurationContract, support: DataFrame, id_c
         "target_kind": F.when(F.col("normalized_relation") == "=", "exact").otherwise("reported_numeric_estimate"),
         "target_pLD50": -F.log10("target_mol_kg"),
     })
-    copies = retained.groupBy("task_id", "group_id").agg((F.count("*") > 1).alias("replicate_flag"))
-    return Curated(known.select(id_column, "disposition", "reasons", "flags"), retained.drop("tasks", "reasons", "disposition").join(copies, ["task_id", "group_id"]), identities)
+    retained = replicate_flag(retained.drop("tasks", "reasons", "disposition"), ["task_id", "group_id"])
+    return Curated(known.select(id_column, "disposition", "reasons", "flags"), retained, identities)

@@ -70,15 +70,17 @@ def overlaps(rows: DataFrame, group: list[str], id_column: str, start: str, end:
 
 
 def excluded_by(rows: DataFrame, external: DataFrame, on: dict[str, str], external_id: str) -> DataFrame:
-    """Rows that share a key with an external table: the reasons, and the sorted ids of what they met."""
+    """Rows that share a key with an external table: ``reasons``, and for each key ``<key>_matches``, how many ids it met.
+
+    The external side is reduced to counts, so a key that many rows share stays one row; ``any_key_join`` of the two
+    tables gives the pairs themselves.
+    """
     out = rows
-    for k, reason in on.items():
-        met = external.where(F.col(k).isNotNull()).groupBy(k).agg(F.collect_set(external_id).alias(f"__{k}"))
-        out = out.join(met, k, "left")
-    sets = [F.coalesce(F.col(f"__{k}"), F.array()) for k in on]
-    why = F.array_compact(F.array(*[F.when(F.col(f"__{k}").isNotNull(), F.lit(r)) for k, r in on.items()]))
-    out = out.withColumns({"reasons": why, "matched": F.array_sort(F.array_distinct(F.concat(*sets)))})
-    return out.drop(*[f"__{k}" for k in on]).where(F.size("reasons") > 0)
+    for k in on:
+        out = out.join(external.where(F.col(k).isNotNull()).groupBy(k).agg(F.count_distinct(external_id).alias(f"{k}_matches")), k, "left")
+    out = out.na.fill(0, [f"{k}_matches" for k in on])
+    why = F.array_compact(F.array(*[F.when(F.col(f"{k}_matches") > 0, F.lit(r)) for k, r in on.items()]))
+    return out.withColumn("reasons", why).where(F.size("reasons") > 0)
 
 
 def compare_keyed(claimed: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:

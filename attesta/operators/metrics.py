@@ -24,8 +24,8 @@ def regression(rows: DataFrame, keys: list[str], y: str, p: str, weight: str | N
         sst = F.sum(w * F.col(y) * F.col(y)) - F.sum(w) * mean * mean
     else:
         mean, sst = F.avg(y), F.var_pop(y) * F.count("*")
-    out = rows.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), (F.sum(w * F.abs(res)) / F.sum(w)).alias("mae"), F.sum(w * res * res).alias("sse"), sst.alias("sst"), mean.alias("target_mean"), F.count_distinct(F.when(w > 0, F.col(y))).alias("__d"))
-    defined = (F.col("__d") > 1) & (F.col("n") > 1)
+    out = rows.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), (F.sum(w * F.abs(res)) / F.sum(w)).alias("mae"), F.sum(w * res * res).alias("sse"), sst.alias("sst"), mean.alias("target_mean"), (F.min(F.when(w > 0, F.col(y))) < F.max(F.when(w > 0, F.col(y)))).alias("__d"))
+    defined = F.coalesce(F.col("__d"), F.lit(False)) & (F.col("n") > 1)
     return out.select(
         *keys, "n", "mae", F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "sse", "sst", F.when(defined, 1 - F.try_divide("sse", "sst")).alias("r2"),
         F.when(~defined, "constant_target_or_single_row").alias("r2_undefined_reason"), "target_mean", F.sqrt(F.col("sst") / F.col("n")).alias("target_population_sd"),
@@ -66,10 +66,11 @@ def ranking(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def slices(rows: DataFrame, levels: list[list[str]], measures: list[Column]) -> DataFrame:
-    """Measures over several groupings at once: a row's ``level`` names its columns, others are null."""
+    """Measures over several groupings in one pass: a row's ``level`` names its columns, others are null."""
     every = list(dict.fromkeys(c for level in levels for c in level))
-    parts = [rows.groupBy(*level).agg(*measures).select(F.lit(",".join(level)).alias("level"), *[F.col(c).cast("string").alias(c) if c in level else F.lit(None).cast("string").alias(c) for c in every], *[m for m in rows.groupBy().agg(*measures).columns]) for level in levels]
-    return reduce(DataFrame.unionByName, parts)
+    held = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in every])
+    got = rows.groupingSets([[F.col(c) for c in level] for level in levels], *every).agg(*measures, held.alias("level"))
+    return got.select("level", *every, *[c for c in got.columns if c not in (*every, "level")])
 
 
 def draws(groups: list[str], repetitions: int, seed: int) -> list[tuple[int, str, int]]:

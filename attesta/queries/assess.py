@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from attesta.operators import metrics, splits
+from attesta.operators import audit, curation, metrics, splits
 from attesta.session import table
 
 
@@ -20,14 +19,13 @@ _SCORED = """s AS (SELECT event_id, user_id, event_type, (event_id * 7 % 3 = 0):
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_quantity").alias("kinds"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
-    return got.where("n > 1")
+    measures = [F.count_distinct("l_quantity").alias("kinds"), F.round(F.sum("l_quantity"), 2).alias("quantity")]
+    return curation.replicates(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], measures)
 
 
 def replicate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag")
-    copies = li.groupBy("l_partkey").agg((F.count("*") > 20).alias("often"))
-    return li.join(copies, "l_partkey").groupBy("l_returnflag", "often").agg(F.count("*").alias("n"))
+    return curation.replicate_flag(li, ["l_partkey"], "often", 20).groupBy("l_returnflag", "often").agg(F.count("*").alias("n"))
 
 
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +46,8 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).withColumn("domain", F.when(F.col("p") > 0.6, "in").when(F.col("p") > 0.2, "out").otherwise("abstain"))
-    got = rows.groupingSets([["event_type", "domain"], ["event_type"], ["domain"], []], "event_type", "domain").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("fit"))), 6).alias("mae"), F.grouping_id().cast("long").alias("level"))
-    return got.select("event_type", "domain", "level", "n", "mae")
+    measures = [F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("fit"))), 6).alias("mae")]
+    return metrics.slices(rows, [["event_type", "domain"], ["event_type"], ["domain"], []], measures)
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,28 +84,25 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose turns aren't 0, 1, 2, ... once each."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("kinds"), F.min("turn").alias("low"), F.max("turn").alias("high"))
-    problem = F.when(F.col("kinds") < F.col("n"), "duplicate").when((F.col("low") != 0) | (F.col("high") != F.col("kinds") - 1), "gap").otherwise("contiguous")
-    return c.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))
+    """Turns that a conversation lacks or has twice; turns are counted from 0 there, numbers from 1."""
+    c = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 0")
+    again = c.where("conv_id % 11 = 3 and turn = 1")
+    return audit.gaps_and_repeats(c.union(again).select("conv_id", (F.col("turn") + 1).alias("number")), "conv_id", "number")
 
 
 def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent pairs of each user's events in time order whose value does not rise."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "value", F.lag("value").over(w).alias("before"))
-    return e.where("before is not null").groupBy("user_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("value") <= F.col("before")).alias("not_rising"))
+    """Events of a user whose value does not exceed that of the one before."""
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "value")
+    return audit.not_rising(e, ["user_id"], "at", ["value"]).select("event_id", F.array_join("stalled", ",").alias("stalled"))
 
 
 def tag_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).alias("ordinal"))
+    return audit.ordinals(table(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn", "text"], "ordinal").select("conv_id", "turn", "role", "ordinal")
 
 
 def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each assistant turn the nearest user turn at most four turns back."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w).alias("asked"))
+    c = audit.nearest_before(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.col("role") == "user", 4, "asked")
     return c.where("role = 'assistant'").select("conv_id", "turn", "asked")
 
 
@@ -158,7 +153,7 @@ ORACLE = {
       w AS (SELECT *, coalesce(sum(a) OVER o, 0)::DOUBLE AS pa, coalesce(sum(b) OVER o, 0)::DOUBLE AS pb FROM g WINDOW o AS (PARTITION BY event_type ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT event_type, round(sum(b * (pa + a / 2)) / (sum(a)::DOUBLE * sum(b)), 6) AS roc_auc, round(sum(a * (pa + a) / (pa + a + pb + b)) / sum(a), 6) AS average_precision FROM w GROUP BY 1""",
     "q_a14_slices": f"""WITH {_SCORED}, d AS (SELECT *, CASE WHEN p > 0.6 THEN 'in' WHEN p > 0.2 THEN 'out' ELSE 'abstain' END AS domain FROM s)
-      SELECT event_type, domain, grouping(event_type, domain)::BIGINT AS level, count(*) AS n, round(avg(abs(value - fit)), 6) AS mae FROM d GROUP BY GROUPING SETS ((event_type, domain), (event_type), (domain), ())""",
+      SELECT event_type, domain, concat_ws(',', CASE WHEN grouping(event_type) = 0 THEN 'event_type' END, CASE WHEN grouping(domain) = 0 THEN 'domain' END) AS level, count(*) AS n, round(avg(abs(value - fit)), 6) AS mae FROM d GROUP BY GROUPING SETS ((event_type, domain), (event_type), (domain), ())""",
     "q_a15_bootstrap_given": f"""WITH {_SCORED}, r AS (SELECT rep, value, fit, (user_id * (rep + 1) + rep) % 5 % 3 AS t FROM s, generate_series(0, 9) g(rep)),
       m AS (SELECT rep, sum(t * abs(value - fit)) / sum(t) AS mae, sqrt(sum(t * (value - fit) ** 2) / sum(t)) AS rmse, 1 - sum(t * (value - fit) ** 2) / (sum(t * value * value) - sum(t * value) ** 2 / sum(t)) AS r2 FROM r GROUP BY 1),
       l AS (UNPIVOT (SELECT mae, rmse, r2 FROM m) ON mae, rmse, r2 INTO NAME metric VALUE v)
@@ -175,9 +170,11 @@ ORACLE = {
       l AS (SELECT s_nationkey AS cell, count(*) AS attempted, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS complete, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS failed, count(DISTINCT s_suppkey % 5) AS configs FROM supplier WHERE s_nationkey < 20 GROUP BY 1)
       SELECT cell, expected, coalesce(attempted, 0) AS attempted, coalesce(complete, 0) AS complete, coalesce(failed, 0) AS failed, coalesce(configs, 0) AS configs, greatest(expected - coalesce(complete, 0) - coalesce(failed, 0), 0) AS pending FROM e LEFT JOIN l USING (cell)""",
     "q_a20_lower_quantile": f"WITH {_SCORED}, r AS (SELECT event_type, p, row_number() OVER (PARTITION BY event_type ORDER BY p) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM s) SELECT event_type, p AS quantile FROM r WHERE k = floor((n - 1) * 0.05::DOUBLE)",
-    "q_a25_contiguity": """SELECT CASE WHEN kinds < n THEN 'duplicate' WHEN low <> 0 OR high <> kinds - 1 THEN 'gap' ELSE 'contiguous' END AS problem, count(*) AS n
-      FROM (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS kinds, min(turn) AS low, max(turn) AS high FROM conversations GROUP BY 1) GROUP BY 1""",
-    "q_a26_monotonic": """SELECT user_id, count(*) AS pairs, count(*) FILTER (WHERE value <= b) AS not_rising FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL GROUP BY 1""",
+    "q_a25_contiguity": """WITH c AS (SELECT conv_id, turn + 1 AS number FROM conversations WHERE (conv_id + turn) % 5 <> 0 UNION ALL SELECT conv_id, 2 FROM conversations WHERE conv_id % 11 = 3 AND turn = 1 AND (conv_id + 1) % 5 <> 0),
+      m AS (SELECT conv_id, max(number) AS m FROM c GROUP BY 1)
+      SELECT conv_id, 'repeated' AS problem, number::BIGINT AS number FROM c GROUP BY conv_id, number HAVING count(*) > 1
+      UNION ALL SELECT conv_id, 'missing', number FROM (SELECT conv_id, unnest(generate_series(1, m)) AS number FROM m) WHERE (conv_id, number) NOT IN (SELECT conv_id, number FROM c)""",
+    "q_a26_monotonic": "SELECT event_id, 'value' AS stalled FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE value <= b",
     "q_w01_tag_ordinal": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text)::INT AS ordinal FROM conversations",
     "q_w08_look_back": """SELECT conv_id, turn, asked FROM (SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS asked FROM conversations) WHERE role = 'assistant'""",
     "q_w06_hash_folds": """SELECT g, ((row_number() OVER (ORDER BY sha256('[92,"outer","' || g || '"]'), g) - 1) % 5)::INT AS fold FROM (SELECT c_custkey::VARCHAR AS g FROM customer)""",

@@ -58,8 +58,8 @@ def reason_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return part.unpivot("p_partkey", ["p_size", "p_retailprice"], "field", "value")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("effects.a.size"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).alias("effects.b.size"), F.col("p_type").alias("effects.b.kind.name"), "p_name")
+    return curation.effect_blocks(part, "p_partkey")
 
 
 def sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,8 @@ def sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scope_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows named by the exact term, and rows named by any term that is mapped to it."""
-    terms = spark.createDataFrame([("1-urgent",), ("2-high",)], "term string")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lower(F.trim("o_orderpriority")).alias("term"))
-    got = orders.join(F.broadcast(terms.withColumn("hit", F.lit(True))), "term", "left")
-    got = got.select((F.col("term") == "1-urgent").alias("exact"), F.coalesce("hit", F.lit(False)).alias("mapped"))
+    terms = spark.createDataFrame([("1-urgent",), ("2-high ",)], "term string")
+    got = curation.scope_flags(table(spark, sf_dir, "orders"), "o_orderpriority", "1-urgent", terms)
     return got.groupBy("exact", "mapped").agg(F.count("*").alias("n"))
 
 
@@ -120,7 +118,8 @@ ORACLE = {
     "q_p10_unit_convert": f"""WITH {_OBS}, f AS (SELECT *, CASE unit WHEN 'mg/kg' THEN 1::DOUBLE WHEN 'ug/kg' THEN 0.001::DOUBLE WHEN 'g/kg' THEN 1000::DOUBLE ELSE 0.001::DOUBLE END AS k FROM obs WHERE unit <> 'mg/kg/day' AND value > 0)
       SELECT event_id, unit, round(value * k, 6) AS converted, round(-log10(CASE WHEN unit = 'mmol/kg' THEN value * k ELSE value * k / (1000 * (user_id % 50 + 100)) END), 6) AS p_value FROM f""",
     "q_p13_reason_sets": f"""WITH {_OBS} SELECT (unit = 'mg/kg/day')::BIGINT AS material, (rel <> '=')::BIGINT AS extraction, (event_type NOT IN ('click','view'))::BIGINT AS scope, count(*) AS n FROM obs GROUP BY 1, 2, 3""",
-    "q_p14_wide_to_long": "SELECT p_partkey, 'p_size' AS field, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part",
+    "q_p14_wide_to_long": """SELECT p_partkey, 'a' AS block, 'size' AS field, p_size::VARCHAR AS value FROM part UNION ALL SELECT p_partkey, 'b', 'size', (p_size + 1)::VARCHAR FROM part WHERE p_partkey % 3 = 0
+      UNION ALL SELECT p_partkey, 'b', 'kind.name', p_type FROM part""",
     "q_p16_sentinel": "SELECT CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE '' END AS priority, count(*) AS n FROM orders GROUP BY 1",
     "q_p22_scope_flags": "SELECT lower(trim(o_orderpriority)) = '1-urgent' AS exact, lower(trim(o_orderpriority)) IN ('1-urgent','2-high') AS mapped, count(*) AS n FROM orders GROUP BY 1, 2",
     "q_p26_isclose": """SELECT l_returnflag, count(*) FILTER (WHERE abs(a - b) <= greatest(2e-5::DOUBLE * greatest(abs(a), abs(b)), 2e-6::DOUBLE)) AS close, count(*) AS n

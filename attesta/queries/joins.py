@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.functions.values import folded
-from attesta.operators import joins, reconcile
+from attesta.operators import curation, joins, reconcile
 from attesta.session import table
 
 
@@ -37,8 +36,10 @@ def identity_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def poison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer with any open order is blocked, whenever the order came."""
-    got = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max((F.col("o_orderstatus") == "P").cast("int")).alias("bad"), F.count("*").alias("k"))
-    return got.groupBy((F.col("bad") == 1).alias("blocked")).agg(F.count("*").alias("keys"), F.sum("k").alias("orders"))
+    support = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("npid"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus")).alias("structure"))
+    index, blocked = curation.support_index(support)
+    kept = index.select(F.lit(False).alias("blocked"), "kind", F.array_join("structures", ",").alias("structures"))
+    return kept.union(blocked.select(F.lit(True), "kind", F.lit(None))).groupBy("blocked", "kind", "structures").agg(F.count("*").alias("keys"))
 
 
 def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def semi_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.dangling(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"])
 
 
@@ -73,11 +75,11 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a line that a benchmark text has, white space and case aside."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.md5(folded("line")).alias("h"))
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.md5(folded("text")).alias("h"))
-    got = joins.excluded_by(docs.distinct(), bench, {"h": "benchmark_text"}, "item_id")
-    return got.select("doc_id", F.explode("matched").alias("item_id")).distinct()
+    """Customers excluded by suppliers of their nation or with their last digits, with how many they met by either."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("nation"), F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") % 10).alias("digit"))
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 1").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 100).alias("digit"))
+    got = joins.excluded_by(c, s, {"nation": "same_nation", "digit": "same_digit"}, "s_suppkey")
+    return got.select("c_custkey", F.array_join("reasons", ",").alias("reasons"), "nation_matches", "digit_matches")
 
 
 def keyed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ ORACLE = {
       k AS (SELECT c_custkey, 'nat' AS kind, c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey, 'seg', c_mktsegment FROM customer),
       f AS (SELECT c_custkey, count(DISTINCT s) AS candidates FROM k JOIN idx USING (kind, value) GROUP BY 1)
       SELECT coalesce(candidates, 0) AS candidates, count(*) AS n FROM customer LEFT JOIN f USING (c_custkey) GROUP BY 1""",
-    "q_j04_poison": "SELECT bad AS blocked, count(*) AS keys, sum(k)::BIGINT AS orders FROM (SELECT o_custkey, bool_or(o_orderstatus = 'P') AS bad, count(*) AS k FROM orders GROUP BY 1) GROUP BY 1",
+    "q_j04_poison": """SELECT blocked, 'npid' AS kind, structures, count(*) AS keys FROM (SELECT o_custkey, bool_or(o_orderstatus = 'P') AS blocked, CASE WHEN NOT bool_or(o_orderstatus = 'P') THEN string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) END AS structures FROM orders GROUP BY 1) GROUP BY 1, 3""",
     "q_j05_full_outer": """SELECT coalesce(c.k, s.k) AS nation, customers, suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey < 20 GROUP BY 1) c
       FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey > 4 GROUP BY 1) s ON c.k = s.k""",
     "q_j06_semi_sym": """WITH n AS (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)
@@ -165,12 +167,14 @@ ORACLE = {
     "q_j07_membership": """WITH d AS (SELECT l_returnflag, l_linestatus, l_linenumber, sum(s) AS d FROM (SELECT l_returnflag, l_linestatus, l_linenumber, 1 AS s FROM lineitem WHERE l_linenumber <= 4
       UNION ALL SELECT l_returnflag, l_linestatus, l_linenumber, -1 FROM lineitem WHERE l_linenumber >= 4) GROUP BY 1, 2, 3)
       SELECT l_returnflag, l_linestatus, l_linenumber, CASE WHEN d > 0 THEN 'first' ELSE 'second' END AS side, abs(d)::BIGINT AS times FROM d WHERE d <> 0""",
-    "q_j08_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "q_j08_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "q_j10_or_join": """SELECT s_suppkey, count(*) AS customers FROM customer, supplier WHERE c_custkey = s_suppkey OR (s_suppkey % 5 = 0 AND c_nationkey = s_nationkey) GROUP BY 1""",
     "q_j12_interval_overlap": """SELECT a.user_id, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id
       AND epoch_us(a.ts) < epoch_us(b.ts) + 3600000000 AND epoch_us(b.ts) < epoch_us(a.ts) + 3600000000 GROUP BY 1""",
-    "q_j13_exclusion": r"""WITH l AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
-      SELECT DISTINCT doc_id, item_id FROM l JOIN benchmark b ON k = lower(trim(regexp_replace(b.text, '\s+', ' ', 'g')))""",
+    "q_j13_exclusion": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS n, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 10 END AS d FROM customer),
+      s AS (SELECT s_suppkey, s_nationkey AS n, s_suppkey % 100 AS d FROM supplier WHERE s_suppkey % 9 = 1),
+      m AS (SELECT c_custkey, s_suppkey, 'same_nation' AS why FROM c JOIN s USING (n) UNION ALL SELECT c_custkey, s_suppkey, 'same_digit' FROM c JOIN s ON c.d = s.d)
+      SELECT c_custkey, string_agg(DISTINCT why, ',' ORDER BY why DESC) AS reasons, count(DISTINCT s_suppkey) FILTER (WHERE why = 'same_nation') AS nation_matches, count(DISTINCT s_suppkey) FILTER (WHERE why = 'same_digit') AS digit_matches FROM m GROUP BY 1""",
     "q_j18_keyed_compare": """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders), c AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'X' ELSE s END AS s FROM o WHERE k % 11 <> 0)
       SELECT 'o_orderstatus' AS field, c.s AS claimed, o.s AS source, count(*) AS n FROM o JOIN c USING (k) WHERE c.s <> o.s GROUP BY 1, 2, 3
       UNION ALL SELECT '<row>', NULL, 'present', count(*) FROM o WHERE k % 11 = 0""",

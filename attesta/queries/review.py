@@ -11,7 +11,7 @@ from attesta.session import table
 
 def span_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as spans of their order, with a sex of their own; overlaps but for male with female."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     c = li.select(F.col("l_orderkey").alias("field_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), (F.col("p") % 50).alias("start"), (F.col("p") % 50 + 20).alias("end"), F.element_at(F.array(F.lit("Male"), F.lit("female "), F.lit("unknown")), (F.col("p") % 3 + 1).cast("int")).alias("sex"))
     return adjudication.conflicts(c).groupBy("field_id").agg(F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ QUERIES = {
 }
 
 ORACLE = {
-    "q_v01_span_conflicts": """WITH c AS (SELECT l_orderkey AS f, l_orderkey * 10 + l_linenumber AS i, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2)
+    "q_v01_span_conflicts": """WITH c AS (SELECT l_orderkey AS f, l_orderkey * 10 + l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)
       SELECT a.f AS field_id, count(*) AS n FROM c a JOIN c b ON a.f = b.f AND a.i < b.i AND abs(a.p % 50 - b.p % 50) < 20 WHERE NOT ((a.p % 3 = 0 AND b.p % 3 = 1) OR (a.p % 3 = 1 AND b.p % 3 = 0)) GROUP BY 1""",
     "q_v48_decisions": """WITH c AS (SELECT c_custkey AS k FROM customer), d AS (SELECT k FROM c WHERE k % 9 <> 0 UNION ALL SELECT k FROM c WHERE k % 9 <> 0 AND k % 50 = 1)
       SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM c WHERE k % 9 = 0 UNION ALL SELECT 'repeated' FROM c WHERE k % 9 <> 0 AND k % 50 = 1

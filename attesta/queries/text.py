@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.functions import text
+from attesta.functions import chemistry, text
 from attesta.functions.values import mod10
 from attesta.operators import similarity
 from attesta.session import table
@@ -56,30 +56,31 @@ def range_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("m"))
-    got = similarity.tanimoto_pairs(b, "item_id", "m")
+    got = similarity.tanimoto_pairs(b, "item_id", "m", 0.1)
     return got.select("a", "b", F.round("tanimoto", 6).alias("tanimoto"))
 
 
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    near = similarity.cosine_top_k(e.where("vec_id < 200"), e, 3, "vec_id", "embedding")
+    near = similarity.cosine_top_k(e.where("vec_id % 50 = 0"), e, 3, "vec_id", "embedding")
     return similarity.knn_mean(near, 3).select(F.col("query_id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain of odd vectors by a cutoff from the even ones, each of which is judged without its label's group."""
+    """Domain of the vectors whose id is divisible by 50 among all others; the cutoff comes from the references whose id leaves 25, each judged without its label's group."""
     e = table(spark, sf_dir, "embeddings")
-    refs, asked = e.where("vec_id % 2 = 0 and vec_id < 300"), e.where("vec_id % 2 = 1 and vec_id < 300")
-    cut = similarity.domain_cutoff(refs, 2, "vec_id", "embedding", "label", 0.05)
+    refs, asked = e.where("vec_id % 50 <> 0"), e.where("vec_id % 50 = 0")
+    cut = similarity.domain_cutoff(refs, 2, "vec_id", "embedding", "label", 0.05, F.col("vec_id") % 50 == 25)
     scores = similarity.knn_mean(similarity.cosine_top_k(asked, refs, 2, "vec_id", "embedding"), 2)
     return similarity.in_domain(scores, asked, "vec_id", cut).groupBy("in_domain").agg(F.count("*").alias("n"))
 
 
 def compute_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature of each distinct text, joined back by its hash."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("h"))
-    once = d.groupBy("h").agg(F.max(F.size(F.split("text", " "))).cast("long").alias("words"))
-    return d.select("doc_id", "h").join(once, "h").select("doc_id", "words")
+    """A structure function of each distinct text; here the hook counts words."""
+    chemistry.register("graph_facts", lambda t: len(t.split(" ")), "bigint")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chemistry.once_each(d, "text", "graph_facts", "words").select("doc_id", "words")
 
 
 def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +139,13 @@ ORACLE = {
     "q_f21_range_bins": """WITH f AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part WHERE p_partkey % 2 = 0), s AS (SELECT least(1, greatest(0, (p_retailprice - lo) / (hi - lo))) AS s FROM part, f)
       SELECT least(floor(s * 4), 3)::BIGINT AS bin, count(*) AS n, round(avg(s), 6) AS mean FROM s GROUP BY 1""",
     "q_f22_tanimoto": """WITH t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS m FROM benchmark)
-      SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.m, y.m)) / (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m))), 6) AS tanimoto FROM t x JOIN t y ON x.item_id < y.item_id WHERE len(list_intersect(x.m, y.m)) > 0""",
-    "q_j17_topk_similarity": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id, r.vec_id AS ref, list_cosine_similarity(q.v, r.v) AS c FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id < 200),
+      SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.m, y.m)) / (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m))), 6) AS tanimoto FROM t x JOIN t y ON x.item_id < y.item_id WHERE len(list_intersect(x.m, y.m)) >= 0.1::DOUBLE * (len(x.m) + len(y.m) - len(list_intersect(x.m, y.m)))""",
+    "q_j17_topk_similarity": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id, r.vec_id AS ref, list_cosine_similarity(q.v, r.v) AS c FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
       k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, ref) AS n FROM s) SELECT vec_id, round(avg(c), 5) AS score FROM k WHERE n <= 3 GROUP BY 1""",
-    "q_d08_domain": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300), r AS (SELECT * FROM e WHERE vec_id % 2 = 0),
-      own AS (SELECT q.vec_id, list_cosine_similarity(q.v, r.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, r.v) DESC) AS k FROM r q JOIN r ON q.label <> r.label),
+    "q_d08_domain": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT * FROM e WHERE vec_id % 50 <> 0),
+      own AS (SELECT q.vec_id, list_cosine_similarity(q.v, r.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, r.v) DESC) AS k FROM r q JOIN r ON q.label <> r.label WHERE q.vec_id % 50 = 25),
       os AS (SELECT avg(c) AS s FROM own WHERE k <= 2 GROUP BY vec_id), cut AS (SELECT list_sort(list(s))[(floor((count(*) - 1) * 0.05::DOUBLE) + 1)::INT] AS c FROM os),
-      al AS (SELECT q.vec_id, list_cosine_similarity(q.v, r.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, r.v) DESC) AS k FROM (SELECT * FROM e WHERE vec_id % 2 = 1) q, r),
+      al AS (SELECT q.vec_id, list_cosine_similarity(q.v, r.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, r.v) DESC) AS k FROM (SELECT * FROM e WHERE vec_id % 50 = 0) q, r),
       sc AS (SELECT vec_id, avg(c) AS s FROM al WHERE k <= 2 GROUP BY 1) SELECT s >= (SELECT c FROM cut) AS in_domain, count(*) AS n FROM sc GROUP BY 1""",
     "q_d06_compute_once": "SELECT doc_id, len(string_split(text, ' '))::BIGINT AS words FROM documents",
     "q_p24_flatten": "SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 2",

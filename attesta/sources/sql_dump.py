@@ -1,4 +1,9 @@
-"""Table dumps in SQL: statements are split by Spark, rows are read with their place and a hash."""
+"""Table dumps in SQL: statements are split by Spark, rows are read with their place and a hash.
+
+A dump is read by lines, in Spark's splits. Whether a semicolon ends a statement depends on the quotes and comments
+that are open before it, so a first pass tells for each split what it leaves open, whatever was open at its start; the
+splits' answers are put together in order, and a second pass cuts each split from its true beginning on.
+"""
 
 from __future__ import annotations
 
@@ -15,65 +20,134 @@ from pyspark.sql.window import Window
 from attesta.plans.staging import Staging
 from attesta.sources.delimited import SourceError
 
-#: The escapes that a string of the dump dialect has.
-ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "\\": "\\"}
-NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\Z")
-_COMMENT = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|\#[^\n]*(?:\n|\Z)|/\*(?!!).*?\*/)+", re.S)
+#: The escapes that a string of the dump dialect has; of the last two the backslash stays.
+ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "\\": "\\", "%": "\\%", "_": "\\_"}
+#: What may be open between two lines: nothing, one of three quotes, or a block comment.
+STATES = ("", "'", '"', "`", "*")
+#: Characters of a statement beyond which a dump is refused.
+LONGEST = 16 << 20
+_MARK = re.compile(r"['\"`;#]|--(?=\s|\Z)|/\*")
+_CLOSE = {"'": re.compile(r"[\\']"), '"': re.compile(r'[\\"]'), "`": re.compile("`"), "*": re.compile(r"\*/")}
 _CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*\((.*)\)[^)]*\Z", re.S | re.I)
 _INSERT = re.compile(r"INSERT\s+INTO\s+`?(\w+)`?\s*(?:\(([^)]*)\))?\s*VALUES\s*(.*)\Z", re.S | re.I)
 _HARMLESS = re.compile(r"(?:SET|LOCK\s+TABLES|UNLOCK\s+TABLES|USE|START\s+TRANSACTION|COMMIT|BEGIN|/\*!\d+\s+(?:SET|ALTER\s+TABLE\s+`?\w+`?\s+(?:DISABLE|ENABLE)\s+KEYS))\b", re.I)
 _DROP = re.compile(r"DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?`?(\w+)`?\s*\Z", re.I)
-_TOKEN = re.compile(r"\s*(?:('(?:\\.|''|[^'\\])*')|([(),])|([^\s(),']+))", re.S)
 SCHEMA = "table_name string, statement bigint, tuple bigint, columns array<string>, body map<string,string>, row_sha256 string"
 
 
-def literal(token: str) -> str | None:
-    """A value as text: NULL is null, numbers stay as they are written, anything but a literal fails."""
-    if token.upper() == "NULL":
-        return None
-    if token.startswith("'"):
-        inner, out, i = token[1:-1], [], 0
-        while i < len(inner):
-            c = inner[i]
-            if c == "\\":
-                out.append(ESCAPES.get(inner[i + 1], inner[i + 1]))
-                i += 1
-            elif c == "'":
-                out.append("'")
-                i += 1
-            else:
-                out.append(c)
-            i += 1
-        return "".join(out)
-    if not NUMBER.match(token):
-        raise SourceError(f"not a literal: {token[:80]}")
-    return token
-
-
-def tuples(text: str) -> Iterator[list[str | None]]:
-    """The rows of a VALUES list."""
-    at, row, open_, want = 0, [], False, True
-    text = text.strip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise SourceError(f"unreadable values near: {text[at : at + 60]}")
-        at, (string, mark, word) = m.end(), m.groups()
-        if mark == "(" and not open_ and want:
-            open_, row, want = True, [], True
-        elif mark == ")" and open_ and not want:
-            open_ = False
-            yield row
-        elif mark == "," and not want:
-            want = True
+def scan(line: str, state: str) -> tuple[list[int], str]:
+    """Where a line's statements end, given what is open before it, and what is open after it."""
+    ends, at = [], 0
+    while True:
+        if state:
+            m = _CLOSE[state].search(line, at)
+            if not m:
+                return ends, state
+            if m.group() == "\\":
+                at = m.end() + 1
+            else:  # a doubled quote closes and opens again
+                state, at = "", m.end()
             continue
-        elif (string or word) and open_ and want:
-            row.append(literal(string or word))
+        m = _MARK.search(line, at)
+        if not m or m.group() in ("#", "--"):
+            return ends, ""
+        at = m.end()
+        if m.group() == ";":
+            ends.append(m.start())
+        else:
+            state = "*" if m.group() == "/*" else m.group()
+
+
+def uncommented(statement: str) -> str:
+    """A statement without leading blanks and comments; versioned ones (``/*!``) are part of it."""
+    at = 0
+    while True:
+        while at < len(statement) and statement[at].isspace():
+            at += 1
+        if statement.startswith(("#", "--"), at):
+            end = statement.find("\n", at)
+            at = len(statement) if end < 0 else end + 1
+        elif statement.startswith("/*", at) and not statement.startswith("/*!", at):
+            end = statement.find("*/", at + 2)
+            if end < 0:
+                raise SourceError("a comment does not end")
+            at = end + 2
+        else:
+            return statement[at:].rstrip()
+
+
+def _quoted(text: str, at: int) -> tuple[str, int]:
+    """The string that opens at ``at``, unescaped, and where it ends."""
+    out, start = [], at + 1
+    while m := _CLOSE["'"].search(text, start):
+        out.append(text[start : m.start()])
+        after = text[m.end() : m.end() + 1]
+        if m.group() == "\\" and after:
+            out.append(ESCAPES.get(after, after))
+        elif m.group() == "'" and after == "'":
+            out.append("'")
+        elif m.group() == "'":
+            return "".join(out), m.end()
         else:
-            raise SourceError(f"unexpected {m.group().strip()[:40]!r} in a values list")
-        want = mark == "("
-    if open_ or want:
-        raise SourceError("a values list does not end")
+            break
+        start = m.end() + 1
+    raise SourceError(f"a string does not end: {text[at : at + 60]}")
+
+
+def is_number(word: str) -> bool:
+    """A decimal literal: digits with at most one point, a sign and an exponent if it has them."""
+    mantissa, e, power = word.lstrip("+-").replace("E", "e").partition("e")
+    whole, _, part = mantissa.partition(".")
+    power = power[1:] if power[:1] in ("+", "-") else power
+    plain = lambda x: x.isascii() and x.isdigit()
+    return len(word) - len(word.lstrip("+-")) <= 1 and plain(whole + part) and (plain(power) if e else True)
+
+
+def tuples(text: str, wanted: tuple[int, frozenset[str]] | None = None) -> Iterator[tuple[int, list[str | None]]]:
+    """``(number, values)`` of the rows of a VALUES list, as text: NULL is null, numbers stay as they are written.
+
+    With ``wanted``, a place and the values it may have, other rows are passed over, but counted. Anything that is no
+    literal fails.
+    """
+    at, number, end = 0, 0, len(text)
+
+    def skip(at: int) -> int:
+        while at < end and text[at].isspace():
+            at += 1
+        return at
+
+    at = skip(at)
+    while True:
+        if at >= end or text[at] != "(":
+            raise SourceError(f"unreadable values near: {text[at : at + 60]!r}")
+        at, row, number = skip(at + 1), [], number + 1
+        while True:
+            if at < end and text[at] == "'":
+                value, at = _quoted(text, at)
+                at = skip(at)
+            else:
+                start = at
+                while at < end and text[at] not in ",()'":
+                    at += 1
+                word = text[start:at].strip()
+                if at < end and text[at] in "('" or not (word.upper() == "NULL" or is_number(word)):
+                    raise SourceError(f"not a literal: {text[start : start + 80]!r}")
+                value = None if word.upper() == "NULL" else word
+            row.append(value)
+            if at >= end or text[at] not in ",)":
+                raise SourceError(f"unreadable values near: {text[at : at + 60]!r}")
+            at += 1
+            if text[at - 1] == ")":
+                break
+            at = skip(at)
+        if wanted is None or len(row) > wanted[0] and row[wanted[0]] in wanted[1]:
+            yield number, row
+        at = skip(at)
+        if at >= end:
+            return
+        if text[at] != ",":
+            raise SourceError(f"unreadable values near: {text[at : at + 60]!r}")
+        at = skip(at + 1)
 
 
 def columns_of(body: str) -> list[str]:
@@ -94,7 +168,7 @@ def columns_of(body: str) -> list[str]:
 
 def classified(statement: str) -> tuple[str, str, str]:
     """``(kind, table, rest)`` of one statement; whatever could change rows in another way fails."""
-    s = _COMMENT.sub("", statement).strip()
+    s = uncommented(statement)
     if not s or _HARMLESS.match(s):
         return "none", "", ""
     for kind, pattern in (("create", _CREATE), ("insert", _INSERT), ("drop", _DROP)):
@@ -103,39 +177,115 @@ def classified(statement: str) -> tuple[str, str, str]:
     raise SourceError(f"statement is not allowed in a dump: {s[:80]}")
 
 
-def statements(spark: SparkSession, path: str) -> DataFrame:
-    """``statement, kind, table_name, rest``: statements in file order, split at a semicolon that ends a line.
+def _left_open(lines: DataFrame) -> DataFrame:
+    """``f, b, after, ends``: for each split and each of ``STATES`` before it, the state after it and how many statements end.
 
-    Spark's text reader splits large files; a statement's number is its place in its split after all earlier splits. A semicolon and line feed inside a string leave a quote open, and that
-    fails; dumps write line feeds in strings as escapes.
+    Ways that meet go on together, which they mostly do within a line or two.
     """
-    raw = spark.read.option("lineSep", ";\n").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, int], int] = {}
+        split, ways = None, []
+        for pdf in frames:
+            out = []
+            for f, b, line in zip(pdf["f"], pdf["b"], pdf["value"], strict=True):
+                if (f, b) != split:
+                    if split:
+                        out.append((*split, [w[0] for w in ways], [w[1] for w in ways]))
+                    split, ways = (f, b), [[s, 0] for s in STATES]
+                known: dict[str, tuple[int, str]] = {}
+                for w in ways:
+                    if w[0] not in known:
+                        ends, after = scan(line, w[0])
+                        known[w[0]] = len(ends), after
+                    n, w[0] = known[w[0]]
+                    w[1] += n
+            if out:
+                yield pd.DataFrame(out, columns=["f", "b", "after", "ends"])
+        if split:
+            yield pd.DataFrame([(*split, [w[0] for w in ways], [w[1] for w in ways])], columns=["f", "b", "after", "ends"])
+
+    return lines.mapInPandas(run, "f string, b bigint, after array<string>, ends array<bigint>")
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """``statement, kind, table_name, rest``: statements in file order, split wherever a semicolon ends one.
+
+    Quotes, comments, several statements on a line, either line end and statements over several splits are
+    followed; a statement of over ``LONGEST`` characters, a string or comment that does not end, and a last statement
+    without its semicolon fail. The driver sees one small row a split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    begins, open_, before, file = [], "", 0, None
+    for r in sorted(_left_open(lines).collect(), key=lambda r: (r.f, r.b)):
+        if r.f != file:
+            if open_:
+                raise SourceError(f"{file} ends inside a string or comment")
+            open_, before, file = "", 0, r.f
+        begins.append((r.f, r.b, open_, before))
+        k = STATES.index(open_)
+        open_, before = r.after[k], before + r.ends[k]
+    if open_:
+        raise SourceError(f"{file} ends inside a string or comment")
+    if not begins:
+        return spark.createDataFrame([], "statement bigint, kind string, table_name string, rest string")
+    known = spark.sparkContext.broadcast({(f, b): (state, n) for f, b, state, n in begins})
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split, state, number, held, size, whole = None, "", 0, [], 0, False
+        for pdf in frames:
+            out = []
+            for f, b, line in zip(pdf["f"], pdf["b"], pdf["value"], strict=True):
+                if (f, b) != split:
+                    if split and "".join(held).strip():
+                        out.append((*split, number, "\n".join(held), whole, False))
+                    split, held, size, whole = (f, b), [], 0, known.value[f, b] == ("", 0)
+                    state, number = known.value[split]
+                ends, state = scan(line, state)
+                start = 0
+                for end in ends:
+                    out.append((f, b, number, "\n".join([*held, line[start:end]]), whole, True))
+                    number, held, size, whole, start = number + 1, [], 0, True, end + 1
+                held.append(line[start:])
+                size += len(held[-1])
+                if size > LONGEST:
+                    raise SourceError(f"statement {number + 1} of {f} is longer than {LONGEST} characters")
+            if out:
+                yield pd.DataFrame(out, columns=["f", "b", "n", "part", "begins", "ends"])
+        if split and "".join(held).strip():
+            yield pd.DataFrame([(*split, number, "\n".join(held), whole, False)], columns=["f", "b", "n", "part", "begins", "ends"])
+
+    stage = Staging(spark, "dump")
+    parts = stage.put(lines.mapInPandas(cut, "f string, b bigint, n bigint, part string, begins boolean, ends boolean"), "parts")
+    whole = parts.where("begins and ends").select("f", "n", F.col("part").alias("s"))
+    torn = parts.where("not (begins and ends)").groupBy("f", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n").alias("s"), F.bool_or("ends").alias("done"))
+    torn = torn.select("f", "n", F.when(F.col("done"), F.col("s")).otherwise(F.concat("s", F.lit("\0"))).alias("s"))
+
+    def classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             got = []
-            for f, b, s in zip(pdf["f"], pdf["b"], pdf["value"], strict=True):
-                s = s.rstrip().removesuffix(";")
-                if "'" in re.sub(r"'(?:\\.|''|[^'\\])*'", "", _COMMENT.sub("", s)):
-                    raise SourceError(f"a string does not end: {s[-80:]}")
-                kind, table, rest = classified(s)
+            for f, n, s in zip(pdf["f"], pdf["n"], pdf["s"], strict=True):
+                unended = s.endswith("\0")
+                kind, table, rest = classified(s.removesuffix("\0"))
+                if unended and kind != "none":
+                    raise SourceError(f"the last statement of {f} does not end")
                 if kind != "none":
-                    seen[f, b] = seen.get((f, b), 0) + 1
-                    got.append((f, b, seen[f, b], kind, table, rest))
-            yield pd.DataFrame(got, columns=["f", "b", "k", "kind", "table_name", "rest"])
+                    got.append((f, n, kind, table, rest))
+            yield pd.DataFrame(got, columns=["f", "n", "kind", "table_name", "rest"])
 
-    parsed = Staging(spark, "dump").put(raw.mapInPandas(run, "f string, b bigint, k bigint, kind string, table_name string, rest string"), "statements")
-    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    splits = parsed.groupBy("f", "b").agg(F.max("k").alias("m")).select("f", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("o"))
-    return parsed.join(splits, ["f", "b"]).select((F.col("o") + F.col("k")).alias("statement"), "kind", "table_name", "rest")
+    kept = stage.put(whole.unionByName(torn).mapInPandas(classify, "f string, n bigint, kind string, table_name string, rest string"), "statements")
+    stage.drop("parts")
+    order = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = kept.groupBy("f").agg(F.max("n").alias("m")).select("f", F.coalesce(F.sum(F.col("m") + 1).over(order), F.lit(0)).alias("o"))
+    return kept.join(files, "f").select((F.col("o") + F.col("n") + 1).alias("statement"), "kind", "table_name", "rest")
 
 
-def read_dump(spark: SparkSession, path: str, only: list[str] | None = None) -> tuple[dict[str, list[str]], DataFrame]:
+def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, where: dict[str, tuple[str, list[str]]] | None = None) -> tuple[dict[str, list[str]], DataFrame]:
     """``(columns by table, rows)``: every row of the dump, or of some tables, as text with its place and hash.
 
     Definitions come to the driver, rows don't. An insert must name known, distinct columns and give each a
-    value; a column it leaves out is absent from ``body``. Dropping a table after it was defined fails.
+    value; a column it leaves out is absent from ``body``. Dropping a table after it was defined fails. ``where`` names for
+    a table a column and the values it may have; other rows are passed over before anything is made of them, and
+    keep their numbers.
     """
     every = statements(spark, path)
     if only is not None:
@@ -148,20 +298,30 @@ def read_dump(spark: SparkSession, path: str, only: list[str] | None = None) ->
             defined[r.table_name] = columns_of(json.loads(r.rest)[0])
         elif r.table_name in defined:
             raise SourceError(f"{r.table_name} is dropped after it is defined")
-    known = spark.sparkContext.broadcast(defined)
+    filters = {t: (c, frozenset(v)) for t, (c, v) in (where or {}).items()}
+    for t, (c, _) in filters.items():
+        if c not in defined.get(t, []):
+            raise SourceError(f"{t} has no column {c}")
+    known = spark.sparkContext.broadcast((defined, filters))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, filters = known.value
         for pdf in frames:
             for table, statement, rest in zip(pdf["table_name"], pdf["statement"], pdf["rest"], strict=True):
                 names, values = json.loads(rest)
-                all_names = known.value.get(table)
+                all_names = tables.get(table)
                 if all_names is None:
                     raise SourceError(f"rows for {table}, which is not defined")
                 names = [n.strip().strip("`") for n in names.split(",")] if names else all_names
                 if len(set(names)) < len(names) or not set(names) <= set(all_names):
                     raise SourceError(f"{table}: unknown or repeated columns {names}")
+                wanted = None
+                if table in filters:
+                    if filters[table][0] not in names:
+                        continue
+                    wanted = names.index(filters[table][0]), filters[table][1]
                 out = []
-                for k, row in enumerate(tuples(values), 1):
+                for k, row in tuples(values, wanted):
                     if len(row) != len(names):
                         raise SourceError(f"{table}: {len(row)} values for {len(names)} columns")
                     body = dict(zip(names, row, strict=True))

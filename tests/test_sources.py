@@ -44,6 +44,34 @@ def test_dump_values_places_and_hashes(spark, tmp_path):
     assert [(r.table_name, r.n) for r in digest] == [("a", 3)]
 
 
+def test_dump_statements_end_where_they_end(spark, tmp_path):
+    """Two statements on a line, other line ends, and semicolons in strings, comments and names; read in small splits."""
+    body = (
+        "CREATE TABLE `a` (`id` int, `b;c` text);CREATE TABLE `t` (`x` int);\r\n/* one; 'two */ INSERT INTO `a` VALUES (1,'a;\nb\\%c\\_d');\n-- don't;\n"
+        "INSERT INTO `a` VALUES (2,'it''s \\\\');# it's; \nINSERT INTO `t`\nVALUES (1),\n(2) ;INSERT INTO `t` VALUES (3); \n" + "".join(f"INSERT INTO `a` VALUES ({i},'{'x;' * (i % 40)}\n;');\n" for i in range(3, 400))
+    )
+    (tmp_path / "d.sql").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            columns, rows = sql_dump.read_dump(spark, f"{tmp_path}/d.sql")
+            got = {(r.table_name, r.body.get("id") or r.body.get("x")): r for r in rows.collect()}
+            assert columns == {"a": ["id", "b;c"], "t": ["x"]}
+            assert got["a", "1"].body["b;c"] == "a;\nb\\%c\\_d" and got["a", "2"].body["b;c"] == "it's \\"
+            assert [got["t", str(k)].tuple for k in (1, 2, 3)] == [1, 2, 1] and len(got) == 402
+            assert all(got["a", str(i)].body["b;c"] == "x;" * (i % 40) + "\n;" for i in range(3, 400))
+            assert sorted(range(3, 400), key=lambda i: got["a", str(i)].statement) == list(range(3, 400))
+            some = sql_dump.read_dump(spark, f"{tmp_path}/d.sql", where={"a": ("id", ["7", "9", "none"]), "t": ("x", ["2"])})[1].collect()
+            assert {(r.table_name, r.tuple) for r in some} == {("a", 1), ("t", 2)} and len(some) == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for bad in ("SET x=1;\nINSERT INTO `a` VALUES (1,'x')", "/* never", "CREATE TABLE `a` (`id` int)", "INSERT INTO `a` VALUES (1,1,1);"):
+        (tmp_path / "bad.sql").write_text("CREATE TABLE `a` (`id` int, `b` text);\n" + bad)
+        with pytest.raises((PySparkException, sql_dump.SourceError)):
+            sql_dump.read_dump(spark, f"{tmp_path}/bad.sql")[1].collect()
+
+
 @pytest.mark.parametrize("text", ["UPDATE `a` SET id=1;\n", "INSERT INTO `a` VALUES (1);\n", "INSERT INTO `a` VALUES (now(),2);\n", "INSERT INTO `a` (`id`,`id`) VALUES (1,2);\n", "INSERT INTO `a` VALUES (1,'x;\n", "DROP TABLE `a`;\n", "INSERT INTO `zzz` VALUES (1);\n", "INSERT INTO `a` VALUES (1,2),;\n"])
 def test_dump_fails_closed(spark, tmp_path, text):
     (tmp_path / "d.sql").write_text("CREATE TABLE `a` (`id` int, `body` text);\n" + text)
