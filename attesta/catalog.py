@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attesta.queries import assess, curation, extra, joins, review, text
+from attesta.queries import assess, closure, curation, extra, joins, review, text
 
-_MODULES = [curation, joins, assess, text, review, extra]
+_MODULES = [curation, joins, assess, text, review, closure, extra]
 FLAGSHIP = "q_p12_dispositions"
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
