@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 HELD_OUT = 2
 #: The network learns from the whole texts of at most so many rows of each language.
 SAMPLE_ROWS = 400
+#: Languages up to which their counts are broadcast.
+FEW = 50_000
 #: Units in each direction; steps of learning, windows in each and their bytes.
 HIDDEN, STEPS, BATCH, SPAN, SEED = 12, 400, 192, 80, 11
 #: Positions that a stretch labels, bytes of run-up on either side, and stretches read in step.
@@ -219,7 +221,10 @@ def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     exactly, whatever keys and texts repeat. Held-out rows, null languages and null texts are not looked at.
     """
     usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("h"))
-    counts = docs.sparkSession.createDataFrame(usable.groupBy("lang").agg(F.count("*").alias("n")).collect(), "lang string, n bigint")
+    found = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = docs.sparkSession.createDataFrame(found, "lang string, n bigint")
+    if len(found) <= FEW:
+        counts = F.broadcast(counts)  # else rows would be dealt by language, of which one may have most
     some = usable.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") <= float(1 << 30) * (1.5 * rows + 50))
     first = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= rows)
     return [(r.lang, r.text) for r in first.select("lang", "text").collect()]
