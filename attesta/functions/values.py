@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\x0b\x0c"
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+#: A decimal number: a sign, digits with at most one point among or beside them, and an exponent.
+NUMBER = r"^[-+]?(?=\.?[0-9])[0-9]*\.?[0-9]*(?:[eE][-+]?[0-9]+)?$"
 #: The relations that are understood, and what they mean.
 RELATIONS = {"=": "=", "==": "=", "<": "<", "<=": "<=", ">": ">", ">=": ">=", "≤": "<=", "≥": ">="}
 #: Units, what they measure, and the factor to mg/kg or mol/kg.
@@ -101,3 +102,31 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda p, q: p & q, conditions)
+
+
+def fraction(c: str | Column) -> Column:
+    """A percentage or a fraction as a fraction: what ends with a percent sign is divided by 100; null if it isn't within 0 to 1."""
+    t = text(c)
+    number = F.when(t.endswith("%"), F.btrim(F.rtrim(F.regexp_replace(t, "%$", ""))).try_cast("double") / 100).otherwise(t.try_cast("double"))
+    return F.when((number >= 0) & (number <= 1), number)
+
+
+def same_target(a: Column, b: Column) -> Column:
+    """Whether two targets are one but for rounding: within 1e-12 of the larger, and of one sign."""
+    return F.coalesce(F.abs(a - b) <= F.lit(1e-12) * F.greatest(F.abs(a), F.abs(b)), F.lit(False))
+
+
+def side_value(record: str | Column, key: str, original: bool) -> Column:
+    """A map's value of ``key``; of the original side ``key_original`` if the record has that key, even where it is null."""
+    m, side = col(record), F.lit(f"{key}_original")
+    return F.when(F.lit(original) & F.map_contains_key(m, side), F.try_element_at(m, side)).otherwise(F.try_element_at(m, F.lit(key)))
+
+
+def json_like(c: str | Column, path: str, part: str) -> Column:
+    """Whether a JSON field, at a path, holds a part; a missing field does not."""
+    return F.coalesce(F.contains(F.get_json_object(col(c), path), F.lit(part)), F.lit(False))
+
+
+def says_unavailable(c: str | Column, markers: tuple[str, ...] = ("not available", "unavailable", "not reported", "n/a")) -> Column:
+    """Whether a text says that a value can't be had, by any of the markers, case and runs of white space aside."""
+    return reduce(lambda p, q: p | q, [F.coalesce(F.contains(folded(c), F.lit(m)), F.lit(False)) for m in markers])

@@ -65,7 +65,7 @@ def expand(decisions: DataFrame) -> DataFrame:
 
 def terminal_problems(terminals: DataFrame, clauses: DataFrame) -> DataFrame:
     """``candidate_id, problem``: a disposition follows from a named clause, and a quarantine has two alternatives."""
-    t = terminals.join(F.broadcast(clauses.select("clause", F.col("disposition").alias("__d"))), "clause", "left")
+    t = terminals.join(clauses.select("clause", F.col("disposition").alias("__d")), "clause", "left")
     few = F.size(F.array_distinct(F.coalesce("alternatives", F.array().cast("array<string>")))) < 2
     problem = F.when(F.col("__d").isNull(), "unknown_clause").when(F.col("__d") != F.col("disposition"), "clause_disposition_mismatch").when((F.col("disposition") == "quarantined") & few, "fewer_than_two_alternatives")
     return t.select("candidate_id", problem.alias("problem")).where("problem is not null")

@@ -124,3 +124,15 @@ def effective_styles(styles: DataFrame, properties: list[str], depth: int = 16)
         if out.where("up is not null").isEmpty():
             return out.drop("up")
     raise ValueError("style parents form a cycle or are too deep")
+
+
+def table_shapes(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, rows, columns, ragged, repeated_headers`` of tables given as cells (``row, column, text``, from 0).
+
+    A repeated header is a later row whose cells are those of the first. Rows are compared by a hash of their cells in
+    order, so only one short text a row is gathered.
+    """
+    lines = cells.groupBy(*keys, "row").agg(F.count("*").alias("n"), F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("column", "text"))), lambda x: x["text"])), 256).alias("h"))
+    first = lines.where("row = 0").select(*keys, F.col("h").alias("head"))
+    joined = lines.join(first, keys, "left")
+    return joined.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("n").alias("columns"), (F.min("n") < F.max("n")).alias("ragged"), F.count_if((F.col("row") > 0) & (F.col("h") == F.col("head"))).alias("repeated_headers"))

@@ -178,3 +178,38 @@ def token_problems(accepted: DataFrame, current: DataFrame) -> DataFrame:
 def protected_references(facts: DataFrame, protected: DataFrame) -> DataFrame:
     """Facts (``key, path, value``, see ``release.scalar_facts``) whose value is a protected path or hash (``value``)."""
     return facts.join(protected.select("value").distinct(), "value", "left_semi")
+
+
+def effect_problems(records: DataFrame, effects: DataFrame, key: list[str], projection: dict[str, str]) -> DataFrame:
+    """``key, problem`` where an adapter's effects are not the projection (``effect column: record column``) of its records."""
+    want = records.select(*key, F.struct(*[F.col(b).cast("string").alias(a) for a, b in projection.items()]).alias("__w"))
+    got = effects.groupBy(*key).agg(F.count("*").alias("__n"), F.min(F.struct(*[F.col(a).cast("string").alias(a) for a in projection])).alias("__g"))
+    j = want.join(got, key, "full_outer")
+    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__w").isNull(), "unexpected").when(F.col("__n") > 1, "repeated").when(~F.col("__w").eqNullSafe(F.col("__g")), "projection_differs")
+    return j.select(*key, problem.alias("problem")).where("problem is not null")
+
+
+def ledger_problems(rows: DataFrame, dispositions: DataFrame, retained: DataFrame, key: str) -> DataFrame:
+    """``key, problem``: each row has one disposition, exactly the retained ones have output, and others a reason.
+
+    ``dispositions`` has ``key, disposition, reasons``; ``retained`` may have several outputs of a row.
+    """
+    once = membership_problems(rows.select(key), dispositions.select(key), key)
+    out = retained.select(key).distinct().withColumn("__out", F.lit(True))
+    j = dispositions.join(out, key, "full_outer")
+    kept, emits = F.col("disposition") == "retained", F.coalesce("__out", F.lit(False))
+    problem = F.when(F.col("disposition").isNull(), "output_without_disposition").when(kept & ~emits, "retained_without_output").when(~kept & emits, "output_of_a_row_not_retained").when(~kept & (F.coalesce(F.size("reasons"), F.lit(0)) == 0), "no_reason")
+    return once.unionByName(j.select(key, problem.alias("problem")).where("problem is not null"))
+
+
+def emitted_from_blocked(emitted: DataFrame, blocked: DataFrame, keys: list[str]) -> DataFrame:
+    """Emitted rows that show a blocked key (``kind, value``) of any kind, with that key."""
+    shown = emitted.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])).alias("__k")).select("*", "__k.kind", "__k.value").drop("__k")
+    return shown.join(blocked.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+
+
+def output_problems(decisions: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """``key, expected, found``: decisions (``key, expected``) that gave another number of outputs, and outputs without a decision."""
+    got = outputs.groupBy(key).agg(F.count("*").alias("found"))
+    j = decisions.select(key, F.col("expected").cast("long").alias("expected")).join(got, key, "full_outer").na.fill(0, ["expected", "found"])
+    return j.where("expected <> found")

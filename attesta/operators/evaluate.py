@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import range_bin
 from attesta.operators import metrics
+from attesta.operators.reconcile import membership_problems
 
 
 def coverage_problems(expected: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,10 +93,44 @@ def lineage_problems(ledgers: list[DataFrame], key: str, digest: str) -> DataFra
 
 
 def sheet_references(formula: str | Column) -> Column:
-    """Distinct sheets that a formula names, quoted or not, sorted; the parts of a range over sheets count each."""
+    """Distinct sheets that a formula names, quoted or not, sorted; the parts of a range over sheets count each.
+
+    Texts in double quotes go first; then an odd number of single quotes opens a quoted name, in which two stand for one.
+    """
     f = F.col(formula) if isinstance(formula, str) else formula
-    bare = F.regexp_replace(f, r'"[^"]*"', "")
-    quoted = F.transform(F.regexp_extract_all(bare, F.lit(r"'((?:[^']|'')+)'!"), 1), lambda x: F.replace(x, F.lit("''"), F.lit("'")))
-    plain = F.regexp_extract_all(F.regexp_replace(bare, r"'(?:[^']|'')+'!", ""), F.lit(r"([A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!"), 1)
-    names = F.flatten(F.transform(F.concat(quoted, plain), lambda x: F.split(F.regexp_replace(x, r"^\[[^\]]*\]", ""), ":")))
+    parts = F.split(F.replace(F.regexp_replace(f, r'"[^"]*"', ""), F.lit("''"), F.lit("\0")), "'")
+    inside = F.filter(parts, lambda x, i: (i % 2 == 1) & F.coalesce(F.get(parts, i + 1), F.lit("")).startswith("!"))
+    outside = F.flatten(F.transform(F.filter(parts, lambda x, i: i % 2 == 0), lambda x: F.regexp_extract_all(x, F.lit(r"(?:^|[^\w.:])([A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!"), 1)))
+    names = F.flatten(F.transform(F.concat(F.transform(inside, lambda x: F.replace(x, F.lit("\0"), F.lit("'"))), outside), lambda x: F.split(F.regexp_replace(x, r"^\[[^\]]*\]", ""), ":")))
     return F.array_sort(F.array_distinct(names))
+
+
+def probability_problems(rows: DataFrame, key: str, classes: str, probabilities: str, positive: str | int, out: str = "probability") -> tuple[DataFrame, DataFrame]:
+    """``key`` with the positive class's probability, found by its name and not by its place, and ``key, problem``.
+
+    A row's classes and probabilities must be as many, each class once, the positive one among them, and sum to 1.
+    """
+    p = F.col(probabilities)
+    at = F.array_position(classes, positive)
+    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
+    problem = (
+        F.when(F.size(classes) != F.size(p), "lengths_differ").when(F.size(F.array_distinct(classes)) < F.size(classes), "class_repeated").when(F.coalesce(at, F.lit(0)) == 0, "positive_class_missing")
+        .when(F.exists(p, lambda x: ~F.coalesce((x >= 0) & (x <= 1), F.lit(False))), "outside_unit").when(F.abs(total - 1) > 1e-6, "sum_is_not_one")
+    )
+    judged = rows.select(key, F.get(p, (at - 1).cast("int")).alias(out), problem.alias("problem"))
+    return judged.where("problem is null").select(key, out), judged.where("problem is not null").select(key, "problem")
+
+
+def study_problems(planned: DataFrame, ledger: DataFrame, keys: list[str], context: list[str]) -> DataFrame:
+    """``keys, problem``: fits that were planned and not made, made and not planned, made twice, or made in another context."""
+    made = ledger.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(F.struct(*context)).alias("__lo"), F.max(F.struct(*context)).alias("__hi"))
+    j = planned.select(*keys, F.struct(*context).alias("__w")).join(made, keys, "full_outer")
+    differ = (F.col("__lo") != F.col("__w")) | (F.col("__hi") != F.col("__w"))
+    problem = F.when(F.col("__n").isNull(), "missing").when(F.col("__w").isNull(), "unplanned").when(F.col("__n") > 1, "repeated").when(differ, "context_differs")
+    return j.select(*keys, problem.alias("problem")).where("problem is not null")
+
+
+def axis_problems(rows: DataFrame, axes: dict[str, DataFrame], key: str) -> DataFrame:
+    """``axis, key, problem``: each axis (features, scores, partitions) must have every row once and no other."""
+    found = [membership_problems(rows.select(key), a.select(key), key).select(F.lit(name).alias("axis"), key, "problem") for name, a in axes.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -31,7 +32,7 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "gaussian_nb": lambda: NaiveBayes(modelType="gaussian"),
     "mlp": lambda layers=(4, 8, 2), seed=0: MultilayerPerceptronClassifier(layers=list(layers), seed=seed),
 }
-ABSENT = ("extra_trees", "svr", "svc", "xgboost", "catboost", "lightgbm")
+ABSENT = ("extra_trees", "knn", "svr", "svc", "xgboost", "catboost", "lightgbm")
 
 
 class DependencyUnavailable(RuntimeError):
@@ -106,6 +107,16 @@ def calibrate(scores: DataFrame, method: str, y: str, score: str) -> PipelineMod
     raise ValueError(f"unknown method {method}")
 
 
+def calibrate_across(scores: DataFrame, folds: int, fold: str, method: str, y: str, score: str, row_id: str) -> DataFrame:
+    """``row_id, fold, probability``: each fold's scores by a map that was fitted on the other folds alone."""
+    stage, parts = Staging(scores.sparkSession, "calibration"), []
+    for k in range(folds):
+        fitted = calibrate(scores.where(F.col(fold) != k), method, y, score)
+        got = fitted.transform(scores.where(F.col(fold) == k))
+        parts.append(stage.put(got.select(row_id, F.col(fold), score_column(got).alias("probability")), f"fold{k}"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def indicator_score(present: Column, weights: dict[str, float], intercept: float) -> Column:
     """Intercept and the fixed weights of the rules that are present."""
     w = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])

@@ -153,3 +153,14 @@ def coverage(expected: DataFrame, ledger: DataFrame, keys: list[str], status: st
 def may_stop(cells: DataFrame) -> DataFrame:
     """One row: whether every expected cell is complete and none failed."""
     return cells.agg(F.coalesce(F.bool_and((F.col("failed") == 0) & (F.col("complete") == F.col("expected"))), F.lit(False)).alias("stop"))
+
+
+def counts_by(rows: DataFrame, keys: list[str], expected: DataFrame) -> DataFrame:
+    """``keys, n`` for each expected group, zeros included; groups that aren't expected are counted too."""
+    return expected.select(*keys).distinct().join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys, "full_outer").na.fill(0, ["n"])
+
+
+def tally(rows: DataFrame, keys: list[str], conditions: dict[str, Column], distinct: dict[str, str] | None = None) -> DataFrame:
+    """``n`` and how many rows of each group meet each condition (0 if none), and distinct values of some columns, in one pass."""
+    counts = [F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()]]
+    return rows.groupBy(*keys).agg(*counts, *[F.count_distinct(c).alias(name) for name, c in (distinct or {}).items()])

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -11,24 +19,50 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def ordered_digest(rows: DataFrame, keys: list[str], member: Column, order: list[str], fan: int = 64) -> DataFrame:
+def ordered_digest(rows: DataFrame, keys: list[str], member: Column, order: list[str], block: int = 100_000) -> DataFrame:
     """``keys, digest, n``: one hash over each group's members in order.
 
-    Members are dealt to ``fan`` buckets by a hash of their order columns; a bucket's hashes are joined in order,
-    then the buckets'. So a large group's members are never all together, and the digest depends on the rows
-    and ``fan`` alone, not on how Spark deals them.
+    Members are dealt to buckets by a hash of their order columns; a bucket's hashes are joined in order, then the
+    buckets' in theirs. A group has a bucket for each ``block`` rows, so that no task holds more than about as many hashes. The
+    digest depends on the rows and ``block`` alone, not on how Spark deals them.
     """
-    bucket = F.pmod(F.xxhash64(*order), F.lit(fan))
-    hashed = rows.select(*keys, F.struct(*order).alias("__o"), bucket.alias("__b"), F.sha2(member, 256).alias("__h"))
+    fan = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__fan"))
+    hashed = rows.select(*keys, F.struct(*order).alias("__o"), F.xxhash64(*order).alias("__x"), F.sha2(member, 256).alias("__h")).join(fan, keys)
+    hashed = hashed.withColumn("__b", F.pmod("__x", "__fan"))
     parts = hashed.groupBy(*keys, "__b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda x: x["__h"]), "\n"), 256).alias("__p"), F.count("*").alias("__n"))
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__p"))), lambda x: x["__p"]), "\n"), 256)
     return parts.groupBy(*keys).agg(whole.alias("digest"), F.sum("__n").alias("n"))
 
 
 def rolling_digest(rows: DataFrame, keys: list[str], member: Column, order: Column) -> DataFrame:
-    """``keys, digest, n``: SHA-256 of a group's members in order, each closed by a line feed; for groups of bounded size."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), member.alias("m")))), lambda x: F.concat(x["m"], F.lit("\n"))), "")
-    return rows.groupBy(*keys).agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("n"))
+    """``keys, digest, n``: SHA-256 of a group's members in order, each closed by a line feed, as one stream.
+
+    Such a hash is made of one member after the other, so a group's rows pass through one task, sorted; the task holds
+    the hash's state, not the rows. For groups without bound ``ordered_digest`` is the one that spreads.
+    """
+    n = len(keys)
+    dealt = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], order.alias("o"), member.alias("m"))
+    names = [f"k{i}" for i in range(n)]
+    dealt = dealt.repartition(*names).sortWithinPartitions(*names, "o")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, count, out = None, None, 0, []
+        for b in batches:
+            for *key, m in zip(*[b.column(c).to_pylist() for c in (*names, "m")], strict=True):
+                if state is None or key != at:
+                    if state is not None:
+                        out.append((*at, state.hexdigest(), count))
+                    at, state, count = key, hashlib.sha256(), 0
+                state.update((m or "").encode() + b"\n")
+                count += 1
+        if state is not None:
+            out.append((*at, state.hexdigest(), count))
+        columns = list(zip(*out, strict=True)) if out else [()] * (n + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    kinds = StructType([*[dealt.schema[c] for c in names], StructField("digest", StringType()), StructField("n", LongType())])
+    arrow = to_arrow_schema(kinds)
+    return dealt.select(*names, "m").mapInArrow(run, kinds).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "digest", "n")
 
 
 def snapshot_delta(old: DataFrame, new: DataFrame, key: str, roles: dict[str, str]) -> DataFrame:
@@ -75,3 +109,26 @@ def fail_on(violations: DataFrame, what: str, shown: int = 5) -> None:
     """Raises with the first few violations if there are any: the closed-world default."""
     if found := violations.limit(shown).collect():
         raise ValueError(f"{what}: {[r.asDict(recursive=True) for r in found]}")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key, the first by ``order``: what an insert that ignores known keys leaves. ``order`` must be total."""
+    rest = [c for c in rows.columns if c not in keys]
+    ahead = [*order, *[c for c in rest if c not in order]]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*ahead)).alias("__f")).select(*keys, *[F.col(f"__f.{c}").alias(c) for c in rest])
+
+
+def stacked(parts: dict[str, DataFrame]) -> DataFrame:
+    """Tables of the same columns, one below the other, with ``origin``."""
+    return reduce(DataFrame.unionByName, [p.withColumn("origin", F.lit(name)) for name, p in parts.items()])
+
+
+def canonical_order(rows: DataFrame, keys: list[str], columns: list[str], name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, within ``keys`` by the JSON of ``columns``, names in order."""
+    spelled = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(spelled)))
+
+
+def with_match(rows: DataFrame, other: DataFrame, on: list[str], name: str = "known") -> DataFrame:
+    """``rows`` with whether ``other`` has any row of their key."""
+    return rows.join(other.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").na.fill(False, [name])

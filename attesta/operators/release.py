@@ -72,7 +72,7 @@ def scalar_facts(rows: DataFrame, key: str, column: str, skip: tuple[str, ...] =
 
 def routed(facts: DataFrame, routes: DataFrame) -> DataFrame:
     """Facts with the section that their stage and file belong to, ``unrouted`` for none."""
-    return facts.join(F.broadcast(routes), ["stage", "file"], "left").withColumn("section", F.coalesce("section", F.lit("unrouted")))
+    return facts.join(routes, ["stage", "file"], "left").withColumn("section", F.coalesce("section", F.lit("unrouted")))
 
 
 def read_poses(lines: DataFrame, key: list[str], column: str = "value") -> DataFrame:
@@ -97,7 +97,14 @@ def box_centre(atoms: DataFrame, keys: list[str]) -> DataFrame:
 
 def judged(anchors: DataFrame, criteria: DataFrame) -> DataFrame:
     """``metric, value, verdict`` against ``metric, direction, limit, tolerance, hard``: pass, warn or fail."""
-    c = anchors.join(F.broadcast(criteria), "metric")
+    c = anchors.join(criteria, "metric")
     short = F.when(F.col("direction") == "min", F.col("limit") - F.col("value")).otherwise(F.col("value") - F.col("limit"))
     verdict = F.when(short <= 0, "pass").when((short <= F.col("tolerance")) | ~F.col("hard"), "warn").otherwise("fail")
     return c.select("metric", "value", verdict.alias("verdict"))
+
+
+def endpoint_table(facts: DataFrame, keys: list[str], name: str, value: str, columns: list[str]) -> DataFrame:
+    """A row a key with the facts named in ``columns`` side by side; a fact given twice with two values is ``conflict``."""
+    one = facts.where(F.col(name).isin(columns)).groupBy(*keys, name).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    said = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise("conflict")
+    return one.groupBy(*keys).pivot(name, columns).agg(F.first(said))

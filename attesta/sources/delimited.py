@@ -101,3 +101,24 @@ def write_table(rows: DataFrame, path: str, first: list[str]) -> None:
     nested = {f.name for f in rows.schema if f.dataType.typeName() in ("array", "map", "struct", "variant")}
     columns = [*first, *sorted(set(rows.columns) - set(first))]
     rows.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in columns]).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def strict_csv(spark: SparkSession, path: str, unique: str | None = None, skip_blank: bool = False) -> DataFrame:
+    """A CSV file's columns as text, read in splits: a short or long row, a bad header or a repeated id fails.
+
+    Fields don't reach over lines. ``skip_blank`` passes over records without any value; ``unique`` names a column whose values
+    must be there and differ.
+    """
+    head = spark.read.text(path).first()
+    if head is None:
+        raise SourceError("an empty file has no header")
+    names = checked_header([c.strip() for c in next(csv.reader([head["value"].lstrip("\ufeff")]))])
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
+    if skip_blank:
+        rows = rows.where(F.coalesce(*[F.when(F.trim(F.col(f"`{n}`")) != "", F.lit(True)) for n in names], F.lit(False)))
+    if unique is not None:
+        wrong = rows.groupBy(F.col(f"`{unique}`").alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null or trim(id) = ''").limit(5).collect()
+        if wrong:
+            raise SourceError(f"{unique} is missing or repeated: {[r.id for r in wrong]}")
+    return rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.operators.joins import reconcile
 from attesta.sources.delimited import format_name
 
 
@@ -32,5 +33,16 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     problem = F.when(F.col("path").isNull(), "malformed_line").when(unsafe, "unsafe_path").when(~F.coalesce(F.col("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "invalid_checksum")
     got = named.select("line", clean.alias("path"), F.lower("sha256").alias("sha256"), problem.alias("problem"))
     twice = got.where("problem is null").groupBy("path").agg(F.min("line").alias("first"), F.count("*").alias("c")).where("c > 1")
-    got = got.join(F.broadcast(twice), "path", "left")
+    got = got.join(twice, "path", "left")
     return got.select("line", "path", "sha256", F.when((F.col("c") > 1) & (F.col("line") > F.col("first")), "duplicate_path").otherwise(F.col("problem")).alias("problem"))
+
+
+def handoff(spark: SparkSession, inputs: str, outputs: str) -> DataFrame:
+    """``role, path, bytes, sha256`` of all files of a stage's inputs and outputs: what the next stage is handed."""
+    side = lambda folder, role: inventory(spark, folder).select(F.lit(role).alias("role"), "path", "bytes", "sha256")
+    return side(inputs, "input").unionByName(side(outputs, "output"))
+
+
+def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``path, status`` of files that are not what they were: a check of inputs after the work that read them."""
+    return reconcile(before, after, "path", "sha256").where("status <> 'current'")

@@ -148,7 +148,7 @@ def marked_tables(cells: DataFrame, marker: str) -> DataFrame:
     """``path, sheet, row, record``: the table whose header follows a cell of that text, up to the first blank row."""
     folded = F.lower(F.btrim(F.regexp_replace("text", r"\s+", " ")))
     at = cells.where(folded == marker.lower()).groupBy("path", "sheet").agg(F.min("row").alias("m"))
-    below = cells.join(F.broadcast(at), ["path", "sheet"]).where("row > m")
+    below = cells.join(at, ["path", "sheet"]).where("row > m")
     rows = below.groupBy("path", "sheet", "m", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "text")))).alias("cells"))
     from pyspark.sql.window import Window
 
