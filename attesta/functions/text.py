@@ -40,12 +40,18 @@ def expand_citation(inner: Column) -> tuple[Column, Column]:
 
 
 def citations(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, number, problem``: one row for each cited number and each wrong bracket."""
-    inner = rows.select(key, F.explode(citation_brackets(text)).alias("inner"))
+    """``key, number, problem``: one row for each cited number and each wrong bracket.
+
+    Each distinct bracket is expanded once; texts without a bracket that begins like one are passed over first.
+    """
+    some = rows.select(key, F.col(text).alias("__t")).where(F.col("__t").rlike(rf"\[[\s,;{DASHES}]*\d"))
+    inner = some.select(key, F.explode(citation_brackets("__t")).alias("inner"))
     numbers, why = expand_citation(F.col("inner"))
-    got = inner.select(key, numbers.alias("numbers"), why.alias("problem"))
-    found = got.select(key, F.explode("numbers").alias("number"), F.lit(None).cast("string").alias("problem"))
-    return found.unionByName(got.where("problem is not null").select(key, F.lit(None).cast("long").alias("number"), "problem"))
+    known = inner.select("inner").distinct().select("inner", numbers.alias("numbers"), why.alias("why"))
+    none = F.array(F.struct(F.lit(None).cast("long").alias("number"), F.col("why").alias("problem")))
+    found = F.transform("numbers", lambda n: F.struct(n.alias("number"), F.lit(None).cast("string").alias("problem")))
+    lines = known.select("inner", F.inline(F.when(F.col("why").isNull(), found).otherwise(F.concat(found, none))))
+    return inner.join(lines, "inner").select(key, "number", "problem")
 
 
 def canonical_label(c: str | Column) -> Column:

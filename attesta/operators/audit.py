@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from attesta.functions.text import canonical_label, citations, label_references, parameters
 from attesta.functions.values import folded, is_close
 from attesta.operators.joins import reconcile
+from attesta.plans.staging import Staging
 
 SEVERITY = {"blocker": 3, "unverified": 2, "warning": 1}
 CAPTION = r"(?i)^\s*(figure|fig\.?|table)\s+(S?\s*\d+)\s*[.:|]"
@@ -115,15 +116,22 @@ def single_unit(rows: DataFrame, keys: list[str], unit: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(unit)).alias("units")).where(F.size("units") != 1)
 
 
-def effective_styles(styles: DataFrame, properties: list[str], depth: int = 16) -> DataFrame:
-    """Each style's properties, a missing one from its nearest ancestor; ``styles`` has ``style, parent``."""
-    out = styles.select("style", F.col("parent").alias("up"), *properties)
-    base = styles.select(F.col("style").alias("up"), F.col("parent").alias("next"), *[F.col(p).alias(f"b_{p}") for p in properties])
-    for _ in range(depth):
-        out = out.join(base, "up", "left").select("style", F.col("next").alias("up"), *[F.coalesce(p, f"b_{p}").alias(p) for p in properties])
-        if out.where("up is not null").isEmpty():
-            return out.drop("up")
-    raise ValueError("style parents form a cycle or are too deep")
+def effective_styles(styles: DataFrame, properties: list[str]) -> DataFrame:
+    """Each style's properties, a missing one from its nearest ancestor; ``styles`` has ``style, parent``.
+
+    Each round goes twice as far up as all before, so the rounds number the logarithm of the deepest chain. Parents
+    that form a cycle fail.
+    """
+    own = styles.select("style", F.col("parent").alias("up"), *properties)
+    limit = max(2, styles.count()).bit_length() + 1
+    stage = Staging(styles.sparkSession, "styles")
+    for k in range(limit):
+        above = own.select(F.col("style").alias("up"), F.col("up").alias("next"), *[F.col(p).alias(f"b_{p}") for p in properties])
+        got = own.join(above, "up", "left").select("style", F.col("next").alias("up"), *[F.coalesce(p, f"b_{p}").alias(p) for p in properties])
+        own = stage.put(got, f"round{k}")
+        if own.where("up is not null").isEmpty():
+            return own.drop("up")
+    raise ValueError("style parents form a cycle")
 
 
 def table_shapes(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,12 +6,17 @@ pruned by column. The folder comes from ``spark.checkpoint.dir``; only a local s
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_roots: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _local:
-        _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="attesta-")
+        folder = tempfile.mkdtemp(prefix="attesta-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local[sc.applicationId] = f"file://{folder}"
     return _local[sc.applicationId]
 
 
@@ -33,6 +40,7 @@ class Staging:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        _roots[self.root] = None
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -40,7 +48,22 @@ class Staging:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that was staged inside it: for work whose result has been written by then."""
+    before = set(_roots)
+    try:
+        yield
+    finally:
+        for root in [r for r in _roots if r not in before]:
+            _delete(spark, root)
+            del _roots[root]
