@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import stages
-from attesta.plans.staging import Staging
+from attesta.plans.staging import Staging, scratch
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", lambda spark, docs, sf_dir: stages.identify_language(docs)),
@@ -22,8 +22,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written before the next one reads it."""
+    """All stages over ``documents``; each stage's result is written before the next one reads it.
+
+    What a stage staged on its way goes once its result is written, and that result once the next one is.
+    """
     staging, docs = Staging(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staging.put(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            docs = staging.put(stage(spark, docs, sf_dir), name)
+        if k:
+            staging.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
