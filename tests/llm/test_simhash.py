@@ -112,3 +112,29 @@ def test_sketch_is_the_majority_of_distinct_shingles():
     for n in (1, 2, 3, 6, 40, 1000):
         text = " ".join(f"w{i}" for i in range(n))
         assert sketch(text, 3, 4)[0] == slow_fingerprint(text) and len(set(sketch(text, 3, 40))) == 40
+
+
+def test_the_query_against_all_pairs(spark):
+    """Fingerprints and components of a whole table: every pair of fingerprints compared, reachability by union."""
+    import pyarrow.parquet as pq
+
+    from attesta.llm.simhash import op6_query
+
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    prints = {r["doc_id"]: slow_fingerprint(r["text"]) & (1 << 64) - 1 for r in rows}
+    group = {k: k for k in prints}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                low, high = sorted((root(a), root(b)))
+                group[high] = low
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in op6_query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(k, f"{prints[k]:016x}", root(k)) for k in keys}
+    assert any(root(k) != k for k in keys)
