@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cardinality_join(left: DataFrame, right: DataFrame, on: list[str], payload: list[str]) -> DataFrame:
+def cardinality_join(left: DataFrame, right: DataFrame, on: list[str], payload: list[str], most: int = 1000) -> DataFrame:
     """Left join that keeps every match: ``matches`` (array of structs), ``n_matches`` and ``match_class``.
 
     ``match_class`` is ``missing``, ``unique`` or ``ambiguous``. The right side is grouped by the key first,
-    so a left row stays one row.
+    so a left row stays one row. A key with over ``most`` matches has its number and class but null ``matches``: an array of
+    them would be a row without bound, and a plain join gives them one by one.
     """
-    grouped = right.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("matches"))
-    n = F.coalesce(F.size("matches"), F.lit(0))
+    counts = right.groupBy(*on).agg(F.count("*").alias("__n"))
+    few = right.join(counts.where(F.col("__n") <= most).select(*on), on, "left_semi")
+    grouped = few.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("matches"))
+    n = F.coalesce("__n", F.lit(0))
     kind = F.when(n == 0, "missing").when(n == 1, "unique").otherwise("ambiguous")
-    return left.join(grouped, on, "left").withColumn("n_matches", n).withColumn("match_class", kind)
+    return left.join(counts, on, "left").join(grouped, on, "left").withColumn("n_matches", n.cast("int")).withColumn("match_class", kind).drop("__n")
 
 
 def match_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -43,7 +46,11 @@ def keys_of(rows: DataFrame, id_column: str, keys: dict[str, str]) -> DataFrame:
 
 
 def any_key_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, pairs: list[tuple[Column | str, Column | str]]) -> DataFrame:
-    """Distinct ``(left_id, right_id)`` for which any pair of keys is equal: a union of equi-joins, never a nested loop."""
+    """Distinct ``(left_id, right_id)`` for which any pair of keys is equal: one equi-join on which pair and its value.
+
+    The result has a row for each such pair of rows, so a value that many rows of both sides have gives their product;
+    ``match_counts`` or a semi join answer whether there is any.
+    """
     side = lambda df, key, cols: df.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("p"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("v")) for i, c in enumerate(cols)])).alias("k")).select(key, "k.*").where("v is not null")
     return side(left, left_id, [a for a, _ in pairs]).join(side(right, right_id, [b for _, b in pairs]), ["p", "v"]).select(left_id, right_id).distinct()
 
@@ -58,7 +65,9 @@ def overlaps(rows: DataFrame, group: list[str], id_column: str, start: str, end:
     """Pairs ``(a, b)`` of half-open integer intervals of one group that overlap, a < b.
 
     Each interval is put in every slot of ``width`` it touches; a pair meets in the first slot they share, so
-    it comes once, and the join is by equality on group and slot.
+    it comes once, and the join is by equality on group and slot. Every overlapping pair is a row of the result, so n
+    intervals over one place give n squared of them; choose ``width`` near the usual length, and a narrower group where one
+    place is that full.
     """
     slots = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
     cut = rows.where(F.col(start) < F.col(end)).select(*group, id_column, start, end, slots.alias("__slot"))

@@ -34,8 +34,8 @@ def ordered_digest(rows: DataFrame, keys: list[str], member: Column, order: list
     return parts.groupBy(*keys).agg(whole.alias("digest"), F.sum("__n").alias("n"))
 
 
-def rolling_digest(rows: DataFrame, keys: list[str], member: Column, order: Column) -> DataFrame:
-    """``keys, digest, n``: SHA-256 of a group's members in order, each closed by a line feed, as one stream.
+def rolling_digest(rows: DataFrame, keys: list[str], member: Column, order: Column, head: str = "", between: str = "\n", tail: str = "\n") -> DataFrame:
+    """``keys, digest, n``: SHA-256 of ``head``, a group's members in order with ``between`` between them, and ``tail``, as one stream.
 
     Such a hash is made of one member after the other, so a group's rows pass through one task, sorted; the task holds
     the hash's state, not the rows. For groups without bound ``ordered_digest`` is the one that spreads.
@@ -51,11 +51,13 @@ def rolling_digest(rows: DataFrame, keys: list[str], member: Column, order: Colu
             for *key, m in zip(*[b.column(c).to_pylist() for c in (*names, "m")], strict=True):
                 if state is None or key != at:
                     if state is not None:
+                        state.update(tail.encode())
                         out.append((*at, state.hexdigest(), count))
-                    at, state, count = key, hashlib.sha256(), 0
-                state.update((m or "").encode() + b"\n")
+                    at, state, count = key, hashlib.sha256(head.encode()), 0
+                state.update(((between if count else "") + (m or "")).encode())
                 count += 1
         if state is not None:
+            state.update(tail.encode())
             out.append((*at, state.hexdigest(), count))
         columns = list(zip(*out, strict=True)) if out else [()] * (n + 2)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators.components import connected_components
 from attesta.operators.ordered import running_sums
+from attesta.operators.reconcile import rolling_digest
 from attesta.plans.staging import Staging
 
 
@@ -35,7 +36,9 @@ def connected_groups(rows: DataFrame, policy: str, row_id: str, declared: str, k
     pairs = stage.put(rows.select(F.concat(F.lit("g:"), declared).alias("g"), F.concat(F.lit("k:"), key).alias("k"), F.col(key).alias("raw")).distinct(), "pairs")
     roots = stage.put(connected_components(pairs, "g", "k"), "roots")
     of_group = pairs.join(roots.withColumnRenamed("node", "g"), "g")
-    names = of_group.groupBy("root").agg(F.array_sort(F.collect_set("raw")).alias("keys")).select("root", F.concat(F.lit(policy + ":"), F.sha2(F.to_json("keys"), 256)).alias("effective_group_id"))
+    spelled = F.to_json(F.array("raw"))
+    quoted = F.substring(spelled, F.lit(2), F.length(spelled) - 2)
+    names = rolling_digest(of_group.select("root", "raw").distinct(), ["root"], quoted, F.col("raw"), "[", ",", "]").select("root", F.concat(F.lit(policy + ":"), "digest").alias("effective_group_id"))
     named = of_group.select("g", "root").distinct().join(stage.put(names, "names"), "root").select("g", "effective_group_id")
     return rows.select(row_id, F.concat(F.lit("g:"), declared).alias("g")).join(named, "g").select(row_id, "effective_group_id")
 
