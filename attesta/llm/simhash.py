@@ -19,8 +19,8 @@ from attesta.plans.staging import Staging
 
 SEED = 42
 _BLOCK = 1 << 16
-#: Bits of a fingerprint's other half that may differ in a candidate, and shingles of a short text.
-OTHER, SHORT = 12, 40
+#: Bits of a fingerprint's other half that may differ in a candidate, shingles of a short text, and rounds of stars.
+OTHER, SHORT, STARS = 9, 40, 3
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -188,6 +188,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
     return each.join(stage.put(whole, "whole"), "fp").select(key, "fp", "component_id")
 
 
+def _most_apart(likeness: float, prints: int, deviations: float) -> float:
+    """Bits of ``prints`` fingerprints that two sets of a likeness differ in, and so many standard deviations more.
+
+    A bit differs with the chance of the angle between the sets' sums: acos(2 J / (1 + J)) of half a turn.
+    """
+    p, n = math.acos(2 * likeness / (1 + likeness)) / math.pi, 64 * prints
+    return n * p + deviations * math.sqrt(n * p * (1 - p))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, shingle: int, least: float, stage: Staging, name: str) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` whose shingle sets have a Jaccard likeness of ``least`` or more.
 
@@ -225,8 +234,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     bytes of one half, and the other half may differ in ``OTHER`` bits. At a likeness of 0.8 a byte is equal with a chance of
     0.27, which makes a list common to a pair in 12 % of fingerprints and in 99 % of pairs with 36 of them. Sets of at most
     ``SHORT`` shingles also meet in the lists of their smallest shingles, of which two that are alike enough share one.
-    Texts that a chain of verified pairs joins already are not paired again, so a large group of copies makes about
-    as many rows as it has texts.
+    Large groups come first: in ``STARS`` rounds each text is compared with hubs of its lists, the texts that meet most
+    others. Then texts that a chain of verified pairs does not join yet are paired within their lists, if their fingerprints
+    differ in no more bits than a likeness of ``least`` and four and a half standard deviations explain, or, where both are
+    short, if their sets are alike enough. So a large group of copies makes about as many rows as it has texts. Repeated rows are one text, a very long text one set.
 
     The smallest (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text.
     Texts without words are one group.
@@ -240,43 +251,64 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
             for t in b.column("t"):
                 h = shingle_set(t.as_py(), shingle)
                 n = len(h)
-                rare = h[: n - math.ceil(least * n - 1e-9) + 1].view("<i8") if 0 < n <= SHORT else []
-                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), n, _sketch(h, prints), rare))
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), n, _sketch(h, prints), h.view("<i8") if n <= SHORT else []))
             got = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("tag"), *(pa.array(x, kind) for x, kind in zip(got, kinds, strict=True))], ["k", "tag", "id", "n", "fps", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("tag"), *(pa.array(x, kind) for x, kind in zip(got, kinds, strict=True))], ["k", "tag", "id", "n", "fps", "few"])
 
-    each = stage.put(source.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, tag bigint, id bigint, n int, fps array<bigint>, rare array<bigint>"), "each")
-    nodes = each.groupBy("id").agg(F.min(F.struct("k", "tag")).alias("node"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("rare").alias("rare"))
+    each = stage.put(source.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, tag bigint, id bigint, n int, fps array<bigint>, few array<bigint>"), "each")
+    nodes = each.groupBy("id").agg(F.min(F.struct("k", "tag")).alias("node"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("few").alias("few"))
     nodes = stage.put(nodes, "nodes")
     some = nodes.where("n > 0")
 
-    # posting lists with more than one text, each with the smallest id in it
+    # posting lists with more than one text
     triples = [sum(255 << 8 * p for p in c) for c in combinations(range(4), 3)]
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     lists = F.array(*[F.struct((F.col("p").cast("long") * 8 + i + 4 * half).alias("list"), mine.bitwiseAND(F.lit(m)).alias("bytes"), other.alias("rest")) for half, mine, other in ((0, low, high), (1, high, low)) for i, m in enumerate(triples)])
     w = Window.partitionBy("post")
-    hub = lambda posts: posts.withColumn("hub", F.min(F.struct("id", "rest")).over(w)).withColumn("m", F.count("*").over(w)).where("m > 1").drop("m")
+    shared_lists = lambda posts: posts.withColumn("m", F.count("*").over(w)).where("m > 1")
     parts = []
     for at in range(0, prints, 12):
         flat = some.select("id", F.posexplode(F.slice("fps", at + 1, 12)).alias("q", "fp")).withColumn("p", F.col("q") + at)
         posts = flat.select("id", F.inline(lists)).select(F.shiftleft("list", 32).bitwiseOR(F.col("bytes")).alias("post"), "id", "rest")
-        parts.append(stage.put(hub(posts), f"posts{at}"))
-    small = some.select("id", F.explode("rare").alias("s"), F.element_at("fps", 1).bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest")).select(F.col("s").bitwiseOR(F.lit(-(1 << 63))).alias("post"), "id", "rest")
-    parts.append(stage.put(hub(small), "short"))
-    met = reduce(DataFrame.unionByName, parts)
+        parts.append(stage.put(shared_lists(posts), f"posts{at}"))
+    rare = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+    small = some.where(F.col("n") <= SHORT).select("id", F.explode(F.slice("few", F.lit(1), rare)).alias("s"), F.element_at("fps", 1).bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest")).select(F.col("s").bitwiseOR(F.lit(-(1 << 63))).alias("post"), "id", "rest")
+    parts.append(stage.put(shared_lists(small), "short"))
+    # a list's hub is the text that meets most others over all lists: among copies of one text, the one nearest to all
+    met = stage.put(reduce(DataFrame.unionByName, parts), "lists")
+    meets = met.groupBy("id").agg(F.sum(F.col("m") - 1).alias("meets"))
+    met = stage.put(met.drop("m").join(meets, "id").withColumn("hub", F.max(F.struct("meets", "id", "rest")).over(w)).drop("meets"), "met")
 
     near = lambda post, x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= F.when(F.col(post) < 0, F.lit(OTHER + 4)).otherwise(F.lit(OTHER))
-    begun = nodes.select("id", F.col("id").alias("root"))
-    for turn in range(2):
-        if turn == 0:  # stars first: each text with the smallest of its list, so that a large group is one before pairs are made
-            pairs = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest")).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-        else:  # pairs with a list's smallest have been looked at
-            rooted = met.where(F.col("id") != F.col("hub.id")).drop("hub").join(begun, "id")
+    begun, tried = nodes.select("id", F.col("id").alias("root")), None
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            # stars first: a text with the hubs of its lists, so that a large group is one before pairs are made; of the hubs not
+            # looked at the one that shares most lists with the text, and the one that meets most others
+            own = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest")).select("id", F.col("hub.id").alias("h"), "hub.meets")
+            open_ = own.join(begun, "id").join(begun.select(F.col("id").alias("h"), F.col("root").alias("hub_root")), "h").where("root <> hub_root")
+            if tried is not None:
+                open_ = open_.join(tried.select(F.col("a").alias("h"), F.col("b").alias("id")), ["h", "id"], "left_anti")
+            chosen = open_.groupBy("id").agg(F.array_distinct(F.array(F.mode("h", True), F.max_by("h", F.struct("meets", "h")))).alias("hs"))
+            pairs = stage.put(chosen.select(F.explode("hs").alias("a"), F.col("id").alias("b")), f"stars{turn}")
+            if pairs.isEmpty():
+                continue
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        else:  # what meets in a list and is in different groups still
+            rooted = met.drop("hub").join(begun, "id")
             several = rooted.groupBy("post").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("post")
-            left = stage.put(rooted.join(several, "post"), "left").repartition("post")
-            on = (F.col("one.post") == F.col("two.post")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & near("one.post", "one.rest", "two.rest")
+            sketched = nodes.select("id", "n", F.when(F.col("n") <= SHORT, F.col("few")).otherwise(F.col("fps")).alias("sk"))
+            left = stage.put(rooted.join(several, "post").join(sketched, "id"), "left").repartition("post")
+            n1, n2 = F.col("one.n"), F.col("two.n")
+            apart = F.aggregate(F.zip_with("one.sk", "two.sk", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+            shared = F.size(F.array_intersect("one.sk", "two.sk"))
+            alike = F.when(F.greatest(n1, n2) <= SHORT, shared >= (n1 + n2 - shared) * F.lit(least) - 1e-9).when(F.least(n1, n2) > SHORT, apart <= _most_apart(least, prints, 4.5)).otherwise(True)
+            alike = (F.least(n1, n2) >= F.greatest(n1, n2) * (least - 1e-9)) & alike
+            on = (F.col("one.post") == F.col("two.post")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & near("one.post", "one.rest", "two.rest") & alike
             pairs = left.alias("one").join(left.alias("two"), on).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
         close = _verified(pairs, nodes, source, shingle, least, stage, f"turn{turn}")
         close = close.join(begun.withColumnsRenamed({"id": "a", "root": "one"}), "a").join(begun.withColumnsRenamed({"id": "b", "root": "two"}), "b").select("one", "two")
         whole = connected_components(close, "one", "two").select(F.col("node").alias("root"), F.col("root").alias("smaller"))
