@@ -15,6 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 _roots: dict[str, None] = {}
 
@@ -43,8 +44,14 @@ class Staging:
         _roots[self.root] = None
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").mode("errorifexists").parquet(path)
+        """Writes a table; its shuffles' files go with the end of the write, as nothing will read them again."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        try:
+            conf.set(_CLEANUP, "true")
+            df.write.option("compression", "zstd").mode("errorifexists").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
