@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import language_id, licenses, line_dedup, packing, pieces, simhash, spotsigs, substring_dedup, token_counts, topk
+from attesta.llm import language_id, licenses, line_dedup, packing, pieces, runs, simhash, spotsigs, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_query,
     "op9_license_scans": licenses.op9_query,
     "op10_exact_top_k": topk.op10_query,
+    "op11_periodic_runs": runs.op11_query,
 }
 ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op9_license_scans": licenses.ORACLE, "op10_exact_top_k": topk.ORACLE}
