@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import language_id, licenses, line_dedup, maximal_repeats, packing, pieces, runs, simhash, spotsigs, substring_dedup, token_counts, topk
+from attesta.llm import collocations, language_id, licenses, line_dedup, maximal_repeats, packing, pieces, runs, simhash, spotsigs, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_license_scans": licenses.op9_query,
     "op10_exact_top_k": topk.op10_query,
     "op11_periodic_runs": runs.op11_query,
+    "op12_phrase_collocations": collocations.op12_query,
     "op13_suffix_array_dedup": maximal_repeats.op13_query,
 }
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op9_license_scans": licenses.ORACLE, "op10_exact_top_k": topk.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op9_license_scans": licenses.ORACLE, "op10_exact_top_k": topk.ORACLE, "op12_phrase_collocations": collocations.ORACLE}
