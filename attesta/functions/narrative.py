@@ -1,35 +1,47 @@
-"""Narrative fields: one full-match grammar, scalar points, bracketed references, panel letters and identifiers."""
+"""Narrative fields: statements read by kinds of token, scalar points, bracketed references, panel letters and identifiers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import canonical_label, folded_dashes
+from attesta.functions.text import blankless, folded_dashes, leading_label, let
 from attesta.functions.values import RELATIONS, col, looked_up
 
-#: What a narrative may say in each place, and the markers that may close it.
-SPECIES = ("Rats", "Rat")
+#: What a narrative may say in each place, and the markers and the link that may close it.
+SPECIES = ("rat", "rats")
 ROUTES = ("oral", "intragastric", "gavage", "ingestion", "po")
 COMPARED = (">=", "<=", ">", "<", "=", "≤", "≥")
 MEASURES = ("mg", "g", "ug", "µg", "μg", "mol", "mmol")
+WEIGHTS = ("bw", "body weight")
 NOTES = ("male", "female")
-MARKERS = ("PEER", "QC")
-LINK = r'<a href="https?://www\.ncbi\.nlm\.nih\.gov/pubmed/[0-9]+\?dopt=Abstract" target=new>PubMed Abstract</a>'
-
-_any = lambda values: "|".join(values)
-_WHOLE = r"[1-9][0-9]{0,2}(?:,[0-9]{3})+|[0-9]+"
-_END = r"(?:[eE][+-]?[0-9]+)?"
-#: Groups: species, route, note, relation, value, unit, reference, marker, link.
-NARRATIVE = (
-    rf"(?is)^\s*LD50\s+({_any(SPECIES)})\s+({_any(ROUTES)})\b\s*(?:\(([^)]+)\)\s*)?({_any(COMPARED)})?\s*((?:{_WHOLE})(?:\.[0-9]+)?{_END})\s*"
-    rf"((?:{_any(MEASURES)})/kg(?: (?:bw|body weight))?)\s*\.?\s*(\[[^\[\]]*\])\s*(\*\*(?:{_any(MARKERS)}) REVIEWED\*\*)?\s*({LINK})?\s*$"
-)
-MENTION = r"(?i)\bLD50\b"
-DOSE = rf"(?i)\b(?:{_any(MEASURES)})\s*/\s*kg\b"
-SCALAR = rf"^(?:[0-9]+|[1-9][0-9]{{0,2}}(?:,[0-9]{{3}})+)(?:\.[0-9]+)?{_END}$"
-_NUMBER = r"(?:[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-_TIMES, _POWER = "[xX×·*]", r"(?:\^|\*\*)"
+MARKERS = ("peer reviewed", "qc reviewed")
+LINK_STARTS = ('<a href="http://www.ncbi.nlm.nih.gov/pubmed/', '<a href="https://www.ncbi.nlm.nih.gov/pubmed/')
+LINK_END = '?dopt=abstract" target=new>pubmed abstract</a>'
+
+#: A text is cut into these: what brackets hold, links, markers, comparisons, numbers, units, words, single signs.
+_TOKENS = (
+    r"(?iUs)\[[^\[\]]*\]", r"\([^)]+\)", r"<a\s[^>]*>[^<]*</a>", r"\*\*[^*]*\*\*", "[<>]=",
+    r"[0-9][0-9,]*(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?", r"\p{L}+/\p{L}+", "body weight", r"[\p{L}_][\p{L}\p{N}_]*", r"\S",
+)
+#: The places of a statement in order; those in capitals must be there.
+PLACES = ("ENDPOINT", "SPECIES", "ROUTE", "note", "relation", "VALUE", "UNIT", "weight", "stop", "REFERENCE", "marker", "link")
+
+
+def is_scalar(c: str | Column) -> Column:
+    """Whether a text is a plain number: digits, or groups of three after the first, a fraction, a power."""
+    digits = lambda x: (x != "") & (F.translate(x, "0123456789", "") == "")
+
+    def checked(parts: Column) -> Column:
+        power = F.coalesce(F.get(parts, F.lit(1)), F.lit("0"))
+        decimal = F.split(F.get(parts, F.lit(0)), r"\.", -1)
+        groups = F.split(F.get(decimal, F.lit(0)), ",", -1)
+        first = F.get(groups, F.lit(0))
+        grouped = (F.size(groups) == 1) | ((F.length(first) <= 3) & ~first.startswith("0") & F.forall(F.slice(groups, 2, 9999), lambda g: F.length(g) == 3))
+        signless = F.when(power.startswith("+") | power.startswith("-"), F.substring(power, F.lit(2), F.length(power))).otherwise(power)
+        return (F.size(parts) <= 2) & digits(signless) & (F.size(decimal) <= 2) & digits(F.coalesce(F.get(decimal, F.lit(1)), F.lit("0"))) & F.forall(groups, digits) & grouped
+
+    return F.coalesce(let(F.split(F.lower(col(c)), "e", -1), checked), F.lit(False))
 
 
 def number_text(c: str | Column) -> Column:
@@ -37,43 +49,112 @@ def number_text(c: str | Column) -> Column:
     return F.replace(col(c), F.lit(","), F.lit(""))
 
 
+def mentions(c: str | Column) -> Column:
+    """How often a text names the endpoint, as one word, as two or with its number in brackets."""
+    words = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(?U)[\p{L}\p{N}_]+|\S"), 0)
+    one = lambda *w: "".join(f"\x01{x}\x02" for x in w)
+    marked = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\x01"), w, F.lit("\x02"))), "")
+    return sum(((F.length(marked) - F.length(F.replace(marked, F.lit(w)))) / len(w)).cast("int") for w in (one("ld50"), one("ld", "50"), one("ld", "(", "50", ")")))
+
+
+def _place(token: Column) -> Column:
+    """The place in a statement that a token can have, by number; 0 if it has none."""
+    x = F.lower(token)
+    inside = F.substring(x, F.lit(3), F.length(x) - 4)
+    link = F.replace(F.replace(F.replace(x, F.lit(LINK_STARTS[0])), F.lit(LINK_STARTS[1])), F.lit(LINK_END))
+    is_link = (x.startswith(LINK_STARTS[0]) | x.startswith(LINK_STARTS[1])) & x.endswith(LINK_END) & (link != "") & (F.translate(link, "0123456789", "") == "")
+    unit = F.split(x, "/")
+    kinds = {
+        "ENDPOINT": x == "ld50", "SPECIES": x.isin(*SPECIES), "ROUTE": x.isin(*ROUTES), "note": x.startswith("("), "relation": x.isin(*COMPARED), "VALUE": is_scalar(x), "weight": x.isin(*WEIGHTS),
+        "UNIT": F.get(unit, F.lit(0)).isin(*MEASURES) & (F.get(unit, F.lit(1)) == "kg"), "stop": x == ".", "REFERENCE": x.startswith("[") & (F.length(x) > 1), "marker": x.startswith("**") & inside.isin(*MARKERS), "link": is_link,
+    }
+    out = F.lit(0)
+    for name, holds in kinds.items():
+        out = F.when(F.coalesce(holds, F.lit(False)), PLACES.index(name) + 1).otherwise(out)
+    return out
+
+
 def narrative(c: str | Column) -> Column:
     """A struct of what a narrative says: ``species, route, note, relation, value, unit, reference, status, why``.
 
-    ``candidate`` only if the whole text is one statement; ``excluded`` without the endpoint's name; else ``quarantined`` with
-    the reason. A note is a sex, or ``gavage`` for an oral route; a dose in the reference's bracket makes it ambiguous.
+    Each token has a place; the whole text is one statement, ``candidate``, if the places rise and none that must be
+    there is missing. ``excluded`` without the endpoint's name; else ``quarantined`` with the reason. A note is a sex, or
+    ``gavage`` for an oral route; a dose in the reference's bracket makes it ambiguous.
     """
     t = F.coalesce(col(c), F.lit(""))
-    part = lambda i: F.regexp_extract(t, NARRATIVE, i)
-    mentions = F.regexp_count(t, F.lit(MENTION))
-    note, oral = F.lower(part(3)), (F.lower(part(2)) == "oral") & (F.lower(part(3)) == "gavage")
-    why = (
-        F.when(mentions == 0, "no_ld50_mention").when(mentions > 1, "multiple_or_ambiguous_ld50_observations").when(~t.rlike(NARRATIVE), "narrative_not_verified_single_rat_oral_scalar")
-        .when((note != "") & ~note.isin(*NOTES) & ~oral, "unverified_parenthetical_context").when(part(7).rlike(DOSE), "ambiguous_bracketed_dose_context")
-    )
-    own = lambda x: F.when(why.isNull(), x).otherwise("")
-    return F.struct(
-        own(part(1)).alias("species"), own(part(2)).alias("route"), own(F.when(oral, "").otherwise(part(3))).alias("note"), own(looked_up(part(4), RELATIONS, F.lit("unknown"))).alias("relation"),
-        own(number_text(part(5))).alias("value"), own(part(6)).alias("unit"), own(part(7)).alias("reference"),
-        F.when(mentions == 0, "excluded").when(why.isNull(), "candidate").otherwise("quarantined").alias("status"), why.alias("why"),
-    )
+
+    def read(seen: Column) -> Column:
+        places = F.transform(seen, lambda x: x["place"])
+        said = lambda name: F.coalesce(F.get(F.filter(seen, lambda x: x["place"] == PLACES.index(name) + 1), F.lit(0))["token"], F.lit(""))
+        must = F.array(*[F.lit(i + 1) for i, name in enumerate(PLACES) if name.isupper()])
+        apart = (said("weight") == "") | (F.instr(t, F.concat(said("UNIT"), F.lit(" "), said("weight"))) > 0)
+        whole = (places == F.array_sort(F.array_distinct(places))) & ~F.array_contains(places, 0) & (F.size(F.array_except(must, places)) == 0) & apart
+        note = F.substring(said("note"), F.lit(2), F.length(said("note")) - 2)
+        by_tube = (F.lower(said("ROUTE")) == "oral") & (F.lower(note) == "gavage")
+        words = F.regexp_extract_all(F.lower(said("REFERENCE")), F.lit(r"(?U)[\p{L}\p{N}_]+|\S"), 0)
+        named = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        dosed = F.exists(F.array(*map(F.lit, MEASURES)), lambda m: F.contains(named, F.concat(F.lit(" "), m, F.lit(" / kg "))))
+        n = mentions(t)
+        why = (
+            F.when(n == 0, "no_ld50_mention").when(n > 1, "multiple_or_ambiguous_ld50_observations").when(~whole, "narrative_not_verified_single_rat_oral_scalar")
+            .when((note != "") & ~F.lower(note).isin(*NOTES) & ~by_tube, "unverified_parenthetical_context").when(dosed, "ambiguous_bracketed_dose_context")
+        )
+
+        def told(reason: Column) -> Column:
+            own = lambda x: F.when(reason.isNull(), x).otherwise("")
+            unit = F.concat(said("UNIT"), F.when(said("weight") != "", F.concat(F.lit(" "), said("weight"))).otherwise(""))
+            status = F.when(reason == "no_ld50_mention", "excluded").when(reason.isNull(), "candidate").otherwise("quarantined")
+            return F.struct(
+                own(said("SPECIES")).alias("species"), own(said("ROUTE")).alias("route"), own(F.when(by_tube, "").otherwise(note)).alias("note"), own(looked_up(said("relation"), RELATIONS, F.lit("unknown"))).alias("relation"),
+                own(number_text(said("VALUE"))).alias("value"), own(unit).alias("unit"), own(said("REFERENCE")).alias("reference"), status.alias("status"), reason.alias("why"),
+            )
+
+        return let(why, told)
+
+    tokens = F.regexp_extract_all(t, F.lit("|".join(_TOKENS)), 0)
+    return let(F.transform(tokens, lambda x: F.struct(x.alias("token"), _place(x).alias("place"))), read)
+
+
+_TIMES = ("x", "×", "·", "*")
 
 
 def point_problem(text: str | Column, start: str | Column, end: str | Column) -> Column:
     """Why code points ``start`` to ``end`` of a text are no positive scalar of their own; null if they are.
 
     ``composite``: a part of a negative number, a range or a power of ten; ``embedded``: a part of a longer token;
-    ``not_scalar``: no number; ``not_positive``. What stands before and after the point decides.
+    ``not_scalar``: no number; ``not_positive``. What stands before and after the point decides: tokens next to it, the
+    nearest first, and the signs that touch it.
     """
     t, s, e = folded_dashes(text), col(start), col(end)
     point = F.substring(t, s + 1, e - s)
     before, after = F.substring(t, F.lit(1), s), F.substring(t, e + 1, F.length(t))
-    negative = before.rlike(r"(?:^|[^\w.])-\s*$")
-    between = before.rlike(rf"{_NUMBER}\s*-\s*$") | after.rlike(rf"^\s*-\s*{_NUMBER}")
-    power = after.rlike(rf"^\s*{_TIMES}\s*10\s*{_POWER}\s*[+-]?\s*[0-9]") | ((point == "10") & after.rlike(rf"^\s*{_POWER}\s*[+-]?\s*[0-9]")) | before.rlike(rf"10\s*{_POWER}\s*[+-]?\s*$")
-    inside = before.rlike(r"[\w.]$|[0-9],$|[0-9][eE][+-]$") | after.rlike(r"^(?:[0-9]|[.,][0-9]|[eE][+-]?[0-9])")
-    value = number_text(point).try_cast("double")
-    return F.when(negative | between | power, "composite").when(inside, "embedded").when(~point.rlike(SCALAR), "not_scalar").when(~F.coalesce((value > 0) & (value < float("inf")), F.lit(False)), "not_positive")
+    tokens = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(?U)[0-9]+|[\p{L}_]+|\S"), 0)
+    digits = lambda x: F.coalesce((x != "") & (F.translate(x, "0123456789", "") == ""), F.lit(False))
+
+    def judged(near: Column) -> Column:
+        b, a = (lambda i: F.get(near["b"], F.lit(i))), (lambda i: F.get(near["a"], F.lit(i)))
+        bare = F.rtrim(F.substring(F.rtrim(before), F.lit(1), F.length(F.rtrim(before)) - 1))
+        untouched = F.regexp_replace(F.substring(F.rtrim(before), -2, 1), r"(?U)[\w.]", "") != ""
+        dashed = F.coalesce(b(0) == "-", F.lit(False))
+        negative = dashed & ((bare == "") | untouched | (F.length(F.rtrim(before)) == 1))
+        between = (dashed & digits(b(1))) | ((a(0) == "-") & (digits(a(1)) | ((a(1) == ".") & digits(a(2)))))
+        signed = lambda at, i: F.when(at(i).isin("+", "-"), at(i + 1)).otherwise(at(i))
+        raised = lambda i: ((a(i) == "^") & digits(signed(a, i + 1))) | ((a(i) == "*") & (a(i + 1) == "*") & digits(signed(a, i + 2)))
+        below = lambda i: ((b(i) == "^") & b(i + 1).endswith("10")) | ((b(i) == "*") & (b(i + 1) == "*") & b(i + 2).endswith("10"))
+        power = (a(0).isin(*_TIMES) & (a(1) == "10") & raised(2)) | (point.endswith("10") & raised(0)) | below(0) | (b(0).isin("+", "-") & below(1))
+        x = lambda i: F.substring(before, -i, 1) if i == 1 else F.when(F.length(before) >= i, F.substring(before, -i, 1)).otherwise("")
+        y = lambda i: F.substring(after, i, 1)
+        wordy = x(1).rlike(r"(?U)^[\w.]$")
+        left = wordy | ((x(1) == ",") & digits(x(2))) | (x(1).isin("+", "-") & (F.lower(x(2)) == "e") & digits(x(3)))
+        right = digits(y(1)) | (y(1).isin(".", ",") & digits(y(2))) | ((F.lower(y(1)) == "e") & (digits(y(2)) | (y(2).isin("+", "-") & digits(y(3)))))
+        value = number_text(point).try_cast("double")
+        sure = lambda c: F.coalesce(c, F.lit(False))
+        return (
+            F.when(sure(negative) | sure(between) | sure(power), "composite").when(sure(left) | sure(right), "embedded")
+            .when(~is_scalar(point), "not_scalar").when(~sure((value > 0) & (value < float("inf"))), "not_positive")
+        )
+
+    return let(F.struct(F.reverse(tokens(before)).alias("b"), tokens(after).alias("a")), judged)
 
 
 def whole_bracket(quote: str | Column) -> Column:
@@ -88,7 +169,7 @@ def terminal_reference(text: str | Column, start: str | Column, end: str | Colum
     """Whether code points ``start`` to ``end`` are a whole bracket, the first of the text, with at most a marker after it."""
     t, s, e = col(text), col(start), col(end)
     after = F.substring(t, e + 1, F.length(t))
-    return whole_bracket(F.substring(t, s + 1, e - s)) & (F.instr(F.substring(t, F.lit(1), s), "[") == 0) & after.rlike(rf"(?s)^\s*(?:\*\*(?:{_any(MARKERS)}) REVIEWED\*\*)?\s*$")
+    return whole_bracket(F.substring(t, s + 1, e - s)) & (F.instr(F.substring(t, F.lit(1), s), "[") == 0) & blankless(after).isin("", *[f"**{m}**" for m in MARKERS])
 
 
 def contains_span(outer: tuple[Column, Column], inner: tuple[Column, Column]) -> Column:
@@ -104,9 +185,7 @@ def panel_letters(caption: str | Column) -> Column:
 
 def identifier(c: str | Column, kind: str) -> Column:
     """The label at the start of a sheet's or table's name (``Supplementary Table S3``); null for another kind of name."""
-    lead = r"(?:figure|fig\.?)" if kind == "figure" else "table"
-    found = F.regexp_extract(col(c), rf"(?i)^\s*(?:supplementary\s+)?{lead}[\s_.-]*(S?[0-9]+)\b", 1)
-    return F.when(found != "", canonical_label(found))
+    return leading_label(c, kind)
 
 
 def is_sha256(c: str | Column) -> Column:

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.functions.text import canonical_label, citations, label_references, parameters
+from attesta.functions.text import citations, label_references, leading_label, parameters
 from attesta.functions.values import folded, is_close
 from attesta.operators.joins import reconcile
 from attesta.plans.staging import Staging
 
 SEVERITY = {"blocker": 3, "unverified": 2, "warning": 1}
-CAPTION = r"(?i)^\s*(figure|fig\.?|table)\s+(S?\s*\d+)\s*[.:|]"
 
 
 def finding(rows: DataFrame, gate: str, severity: str, code: str, detail: str | Column) -> DataFrame:
@@ -51,16 +50,15 @@ def audit_documents(blocks: DataFrame, references: DataFrame) -> DataFrame:
     text = blocks.select(key.alias("at"), "path", "text")
     cited = citations(text, "at", "text")
     numbers = cited.where("number is not null").select("number").distinct()
-    captions = text.where(F.col("text").rlike(CAPTION)).select(
-        F.when(F.lower(F.regexp_extract("text", CAPTION, 1)).startswith("t"), "table").otherwise("figure").alias("kind"), canonical_label(F.regexp_extract("text", CAPTION, 2)).alias("label")
-    )
+    text = text.withColumns({k: leading_label("text", k, caption=True) for k in ("figure", "table")})
+    captions = text.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in ("figure", "table")]))).where("label is not null")
     found = [
         finding(numbers.join(references.select(F.col("number").cast("long").alias("number")), "number", "left_anti"), "bibliography", "blocker", "citation_without_entry", "number"),
         finding(references.select(F.col("number").cast("long").alias("number")).join(numbers, "number", "left_anti"), "bibliography", "warning", "entry_never_cited", "number"),
         finding(cited.where("problem is not null"), "bibliography", "blocker", "invalid_numeric_citation_range", F.concat_ws(":", "at", "problem")),
     ]
     for kind in ("figure", "table"):
-        used = text.where(~F.col("text").rlike(CAPTION)).select(F.explode(label_references("text", kind)).alias("label")).distinct()
+        used = text.where("figure is null and table is null").select(F.explode(label_references("text", kind)).alias("label")).distinct()
         found.append(finding(used.join(captions.where(F.col("kind") == kind), "label", "left_anti"), "figure_table_references", "blocker", f"{kind}_without_caption", "label"))
     main = captions.where(~F.col("label").startswith("S")).select("kind", F.col("label").cast("long").alias("number"))
     loose = gaps_and_repeats(main, "kind", "number")
