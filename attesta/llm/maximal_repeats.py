@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from attesta.plans.staging import Staging
 
-#: Stretches of one gram above which only their repeated strings are followed, and stretches in a shard, about.
+#: Stretches of one gram above which they are cut further, and stretches in a shard, about.
 ALIKE, SHARD = 500, 2000
+#: Rounds in which the stretches of a gram with more are cut further, and the orders of grams that each takes.
+ROUNDS, ORDERS = 12, 4
 #: Strings of a text that are looked at together.
 PIECE = 1 << 20
-_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, 1 + ROUNDS * ORDERS, np.uint64)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,7 +90,7 @@ def stretches(data: bytes, least: int, seed: int = 0) -> tuple[np.ndarray, np.nd
 class Suffixes:
     """The suffixes of at least ``least`` bytes of some distinct byte strings, sorted, with common prefixes and left bytes.
 
-    Ranks of prefixes of 8, 16, 32, ... bytes are made by sorting pairs of the ranks before; what is beyond a string's
+    Ranks of prefixes of 8, 24, 72, ... bytes are made by sorting triples of the ranks before; what is beyond a string's
     end counts as zeros, and of suffixes equal but for that the shorter one comes first.
     """
 
@@ -95,31 +98,39 @@ class Suffixes:
         sizes = np.array([len(s) for s in strings], np.int64)
         data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         first = np.cumsum(sizes + 1) - sizes - 1
-        self.unit = np.repeat(np.arange(len(strings), dtype=np.int32), sizes + 1)
-        end = (first + sizes)[self.unit]
+        unit = np.repeat(np.arange(len(strings)), sizes + 1)
+        end = (first + sizes)[unit]
         at = np.arange(len(data))
-        key = np.zeros(len(data), np.uint64)
-        for t in range(8):
-            key = (key << np.uint64(8)) | data[np.minimum(at + t, end)].astype(np.uint64)
+        key = data.astype(np.uint64)
+        for t in (1, 2, 4):
+            key = (key << np.uint64(8 * t)) | key[np.minimum(at + t, end)]
         ranks, width, longest = [(8, self._ranked(key))], 8, int(sizes.max())
-        while width < longest:
+        while 4 * width < longest:
             r = ranks[-1][1].astype(np.int64)
-            ranks.append((2 * width, self._ranked(r * (int(r.max()) + 1) + r[np.minimum(at + width, end)])))
-            width *= 2
+            many = int(r.max()) + 1
+            if many < 1 << 21:
+                ranks.append((3 * width, self._ranked((r * many + r[np.minimum(at + width, end)]) * many + r[np.minimum(at + 2 * width, end)])))
+            else:
+                ranks.append((2 * width, self._ranked(r * many + r[np.minimum(at + width, end)])))
+            width = ranks[-1][0]
         rest = end - at
         sa = np.flatnonzero(rest >= least)
-        sa = sa[np.lexsort((rest[sa], ranks[-1][1][sa]))]
+        r = ranks[-1][1].astype(np.int64)
+        many, stop = int(r.max()) + 1, end[sa]
+        four = [r[np.minimum(sa + k * width, stop)] for k in range(4)]
+        sa = sa[np.lexsort((rest[sa], four[2] * many + four[3], four[0] * many + four[1]))]
         i, j = sa[:-1], sa[1:]
-        same = np.zeros(len(i), np.int64)
+        same, ends = np.zeros(len(i), np.int64), (end[i], end[j])
         for width, r in reversed(ranks):
-            same += width * (r[np.minimum(i + same, end[i])] == r[np.minimum(j + same, end[j])])
-        x = key[np.minimum(i + same, end[i])] ^ key[np.minimum(j + same, end[j])]
+            for _ in range(4 if r is ranks[-1][1] else 2):
+                same += width * (r[np.minimum(i + same, ends[0])] == r[np.minimum(j + same, ends[1])])
+        x = key[np.minimum(i + same, ends[0])] ^ key[np.minimum(j + same, ends[1])]
         same += sum((x >> np.uint64(56 - 8 * t) == 0).astype(np.int64) for t in range(8)) * (x != 0)
-        self.at, self.offset = sa, sa - first[self.unit[sa]]
-        self.common = np.concatenate([[0], np.minimum(same, np.minimum(rest[i], rest[j]))]) if len(sa) else np.zeros(0, np.int64)
+        self.unit, self.offset = unit[sa], sa - first[unit[sa]]
+        none = np.zeros(min(1, len(sa)), np.int64)
+        self.common = np.concatenate([none, np.minimum(same, np.minimum(rest[i], rest[j]))])
         left = np.where(self.offset > 0, data[sa - 1].astype(np.int64), -1)
-        self.differs = np.concatenate([[False], (left[1:] != left[:-1]) | (left[1:] < 0)]) if len(sa) else np.zeros(0, bool)
-        self.unit = self.unit[sa]
+        self.differs = np.concatenate([none > 0, (left[1:] != left[:-1]) | (left[1:] < 0)])
 
     @staticmethod
     def _ranked(key: np.ndarray) -> np.ndarray:
@@ -151,12 +162,12 @@ class Suffixes:
 def covered(strings: list[bytes], places: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(string, from, to)``: the parts of distinct strings that maximal repeats cover, those that touch as one."""
     s = Suffixes(strings, least)
-    far = np.zeros(len(s.at), np.int64)
+    far = np.zeros(len(s.unit), np.int64)
     for length, first, last in reversed(s.groups(least)):
         far[first : last + 1] = length
     hit = np.flatnonzero(far)
     twice = np.flatnonzero(np.array(places) > 1)
-    unit = np.concatenate([s.unit[hit], twice]).astype(np.int64)
+    unit = np.concatenate([s.unit[hit], twice])
     lo = np.concatenate([s.offset[hit], np.zeros(len(twice), np.int64)])
     hi = np.concatenate([s.offset[hit] + far[hit], np.array([len(strings[u]) for u in twice], np.int64)])
     if not len(unit):
@@ -248,49 +259,49 @@ def _parts(asked: DataFrame, least: int) -> DataFrame:
     return asked.select("z", "want").mapInArrow(run, _PART)
 
 
-def _repeated_pieces(parts: DataFrame, least: int, stage: Staging) -> DataFrame:
-    """Units of the stretches that many others are alike: only what is made of strings whose hashes occur twice.
+def _joint(data: bytes, least: int, seeds: range) -> Iterator[tuple[int, int, int]]:
+    """``(first string, strings, hash of the anchors)`` of the runs that have one anchor in each of several orders."""
+    by = [stretches(data, least, seed) for seed in seeds]
+    starts = np.unique(np.concatenate([s for s, _, _ in by]))
+    key = np.zeros(len(starts), np.uint64)
+    for s, _, a in by:
+        key = _mix(key + a[np.searchsorted(s, starts, "right") - 1].view(np.uint64))
+    sizes = np.diff(np.append(starts, len(data) - least + 1))
+    return zip(starts.tolist(), sizes.tolist(), key.view(np.int64).tolist(), strict=True)
 
-    Variants of one passage leave the same few pieces. These are cut once more, by a second anchor, and what still has
-    too many others alike is dealt string by string.
+
+def _split_further(units: DataFrame, least: int, stage: Staging) -> DataFrame:
+    """Units that ``ALIKE`` others at most are dealt with, from those of hot grams.
+
+    Each round cuts what is left by the smallest grams of ``ORDERS`` more orders, so that equal strings meet again and
+    variants of one passage part: what holds a variant's own bytes soon has a gram of its own and goes, what doesn't is
+    equal and one. After ``ROUNDS``, single strings are dealt by their hash.
     """
+    done = []
+    for k in range(ROUNDS):
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [_string_hashes(np.frombuffer(x, np.uint8), least).view(np.int64) for x in b.column("bytes").to_pylist()]
-            of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-            at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-            take = pa.array(of)
-            w = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            yield _batch([b.column("anchor").take(take), b.column("hash").take(take), b.column("places").take(take), at, w], ["anchor", "hash", "places", "at", "w"], [None, None, None, pa.int32(), pa.int64()])
-
-    each = stage.put(parts.mapInArrow(strings, "anchor bigint, hash bigint, places bigint, at int, w bigint"), "strings")
-    twice = stage.put(each.groupBy("anchor", "w").agg(F.sum("places").alias("c")).where("c > 1").drop("c"), "repeated")
-    kept = each.join(twice, ["anchor", "w"]).groupBy("anchor", "hash").agg(F.array_sort(F.collect_list("at")).alias("at"))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = []
-            for anchor, h, p, data, at in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "places", "bytes", "at")), strict=True):
-                at = np.array(at)
-                ends = np.append(np.flatnonzero(np.diff(at) > 1), len(at) - 1)
-                for lo, hi in zip(at[np.append(0, ends[:-1] + 1)].tolist(), at[ends].tolist(), strict=True):
-                    part = data[lo : hi + least]
-                    for s, n, a in zip(*(x.tolist() for x in stretches(part, least, 1)), strict=True):
-                        got.append((anchor ^ a, anchor, h, lo + s, p, part[s : s + n + least - 1]))
-            yield _units(iter(got))
-
-    units = stage.put(parts.join(kept, ["anchor", "hash"]).mapInArrow(pieces, _UNIT), "pieces")
-    stage.drop("strings", "repeated")
-    still = stage.put(units.groupBy("deal", "unit").agg(F.lit(1).alias("one")).groupBy("deal").agg(F.count("*").alias("c")).where(F.col("c") > ALIKE).select("deal"), "still")
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for anchor, h, off, p, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "off", "places", "bytes")), strict=True):
-                parts = ((data[i : i + least], off + i) for i in range(len(data) - least + 1))
-                yield _units((xxhash.xxh3_64_intdigest(x, 1) - (1 << 63), anchor, h, i, p, x) for x, i in parts)
+        def cut(batches: Iterator[pa.RecordBatch], seeds: range = range(1 + k * ORDERS, 1 + (k + 1) * ORDERS)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = zip(*(b.column(c).to_pylist() for c in ("deal", "anchor", "hash", "off", "places", "bytes")), strict=True)
+                yield _units((deal ^ key, anchor, h, off + s, p, x[s : s + n + least - 1]) for deal, anchor, h, off, p, x in rows for s, n, key in _joint(x, least, seeds))
+
+        pieces = stage.put(units.mapInArrow(cut, _UNIT), f"pieces{k}")
+        kinds = pieces.groupBy("deal", "unit").agg(F.sum("places").alias("places"))
+        deals = stage.put(kinds.groupBy("deal").agg(F.sum("places").alias("c"), F.count("*").alias("u")).where("c > 1"), f"deals{k}")
+        done.append(pieces.join(deals.where(F.col("u") <= ALIKE).select("deal"), "deal", "left_semi"))
+        units = pieces.join(deals.where(F.col("u") > ALIKE).select("deal"), "deal", "left_semi")
+        if deals.where(F.col("u") > ALIKE).isEmpty():
+            break
+    else:
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for anchor, h, off, p, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "off", "places", "bytes")), strict=True):
+                    parts = ((data[i : i + least], off + i) for i in range(len(data) - least + 1))
+                    yield _units((xxhash.xxh3_64_intdigest(x, 1) - (1 << 63), anchor, h, i, p, x) for x, i in parts)
 
-    return units.join(still, "deal", "left_anti").unionByName(units.join(still, "deal").mapInArrow(single, _UNIT))
+        done.append(units.mapInArrow(single, _UNIT))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _matched(docs: DataFrame, least: int, text: str, key: str, stage: Staging, each_group: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -313,8 +324,8 @@ def _matched(docs: DataFrame, least: int, text: str, key: str, stage: Staging, e
         for b in batches:
             yield _units((a, a, h, 0, p, x) for a, h, p, x in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "places", "bytes")), strict=True))
 
-    few = parts.where("not many").mapInArrow(whole, _UNIT)
-    units = stage.put(few.unionByName(_repeated_pieces(parts.where("many"), least, stage)), "units")
+    few, hot = parts.where("not many").mapInArrow(whole, _UNIT), parts.where("many").mapInArrow(whole, _UNIT)
+    units = stage.put(few if many.isEmpty() else few.unionByName(_split_further(hot, least, stage)), "units")
     distinct = units.groupBy("unit", "deal").agg(F.sum("places").alias("places"), F.first("bytes").alias("bytes"))
     shards = max(64, -(-kinds.count() // SHARD))
     names = "unit bigint, deal bigint, lo int, hi int" + ", group bigint" * each_group

@@ -103,10 +103,11 @@ def test_against_brute_force(spark):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-@pytest.mark.parametrize(("alike", "shard"), [(2, 2000), (1, 3)])
-def test_many_alike(spark, monkeypatch, alike, shard):
+@pytest.mark.parametrize(("alike", "shard", "rounds"), [(2, 2000, 2), (1, 3, 1), (3, 2000, 12)])
+def test_many_alike(spark, monkeypatch, alike, shard, rounds):
     monkeypatch.setattr(maximal_repeats, "ALIKE", alike)
     monkeypatch.setattr(maximal_repeats, "SHARD", shard)
+    monkeypatch.setattr(maximal_repeats, "ROUNDS", rounds)
     rows = _corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert result(remove_repeats(df, with_kept=False)) == slow(rows, 400)
