@@ -13,6 +13,7 @@ import tempfile
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 
 from attesta.plans.staging import Staging
 
-#: Words that a map task looks at before it hands on sums, and n-grams of a bucket, about.
-AT_ONCE, BUCKET = 1_000_000, 4_000_000
+#: Characters that a map task looks at before it hands on sums, n-grams of a bucket, about, and how many buckets there are at most.
+AT_ONCE, BUCKET, MOST_BUCKETS = 4_000_000, 4_000_000, 20_000
 MEMORY_MB = 256
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,59 +45,66 @@ def _connected() -> duckdb.DuckDBPyConnection:
     return con
 
 
-_SUM = "lang string, gram string, size int, f bigint"
-_ARROW = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+_SUMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("f", pa.int64())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("sums", pa.binary())])
+_COUNTS = pa.schema([*_SUMS, ("size", pa.int32())])
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, _ARROW, strict=True)], schema=_ARROW)
-
-
-def _map_sums(pieces: DataFrame, longest: int) -> DataFrame:
-    """``lang, gram, size, f``: sums of map tasks over the n-grams of up to ``longest`` words."""
-    grams = " UNION ALL ".join(
-        f"SELECT lang, {n}::INTEGER AS size, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {' || chr(32) || '.join(f'w[i + {k}]' if k else 'w[i]' for k in range(n))})) AS gram, times FROM split"
-        for n in range(1, longest + 1)
-    )
-    sql = f"WITH split AS MATERIALIZED (SELECT lang, string_split(piece, ' ') AS w, times FROM chunk) SELECT lang, gram, size, sum(times)::BIGINT AS f FROM ({grams}) GROUP BY ALL"
+def _map_sums(pieces: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """``bucket, sums``: what map tasks have of each hash bucket, the n-grams of up to ``longest`` words, as packed Arrow."""
+    gram = lambda n: " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    grams = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram(n)})) AS gram, times FROM split" for n in range(1, longest + 1))
+    sql = f"""WITH split AS MATERIALIZED (SELECT lang, string_split(piece, ' ') AS w, times FROM chunk), summed AS (SELECT lang, gram, sum(times)::BIGINT AS f FROM ({grams}) GROUP BY lang, gram)
+        SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, lang, gram, f FROM summed ORDER BY bucket"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        words = 0
+        size, packed = 0, pa.ipc.IpcWriteOptions(compression="zstd")
 
         def sums() -> Iterator[pa.RecordBatch]:
             with _connected() as con:
                 con.register("chunk", pa.Table.from_batches(held))
-                yield from _rebuilt(con.sql(sql).to_arrow_reader(20_000))
+                got = con.sql(sql).to_arrow_table()
+            of = got.column("bucket").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]]) if len(of) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _SUMS, options=packed) as out:
+                    out.write_table(got.slice(lo, hi - lo).select(_SUMS.names).cast(_SUMS).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_PACKED)
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                held.append(part)
-                words += part.column("piece").nbytes // 6
-                if words >= AT_ONCE:
+                held.append(b.slice(at, 500))
+                size += held[-1].column("piece").nbytes
+                if size >= AT_ONCE:
                     yield from sums()
-                    held, words = [], 0
+                    held, size = [], 0
         if held:
             yield from sums()
 
-    return pieces.select("lang", "piece", "times").mapInArrow(run, _SUM)
+    return pieces.select("lang", "piece", "times").mapInArrow(run, "bucket int, sums binary")
 
 
 def frequent_grams(pieces: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
-    """``lang, gram, size, f`` of the n-grams of up to ``longest`` words that stand ``least`` times or more, overlaps included."""
+    """``lang, gram, f, size`` of the n-grams of up to ``longest`` words that stand ``least`` times or more, overlaps included.
+
+    A bucket is one task's; it is read as a stream and grouped out of core, so it needn't fit in memory. The scratch folder
+    is the task's own and goes with it, as a spill does.
+    """
     rough = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
-    buckets = max(8, -(-rough * longest // (6 * BUCKET)))
+    buckets = min(MOST_BUCKETS, max(8, -(-rough * longest // (6 * BUCKET))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = (part for b in batches for x in b.column("sums") for part in pa.ipc.open_stream(x.as_buffer()))
         with tempfile.TemporaryDirectory(prefix="grams-") as scratch, _connected() as con:
             con.execute(f"SET temp_directory='{os.path.join(scratch, 'spill')}'")
-            con.register("bucket", pa.RecordBatchReader.from_batches(_ARROW, _rebuilt(batches)))
-            got = con.sql(f"SELECT lang, gram, any_value(size) AS size, sum(f)::BIGINT AS f FROM bucket GROUP BY lang, gram HAVING sum(f) >= {int(least)}")
-            yield from _rebuilt(got.to_arrow_reader(20_000))
+            con.register("bucket", pa.RecordBatchReader.from_batches(_SUMS, streams))
+            got = con.sql(f"SELECT lang, gram, sum(f)::BIGINT AS f, (len(gram) - len(replace(gram, ' ', '')) + 1)::INTEGER AS size FROM bucket GROUP BY lang, gram HAVING sum(f) >= {int(least)}")
+            for b in got.to_arrow_reader(20_000):
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, _COUNTS, strict=True)], schema=_COUNTS)
 
-    return _map_sums(pieces, longest).repartition(buckets, "lang", "gram").mapInArrow(run, _SUM)
+    return _map_sums(pieces, longest, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(run, "lang string, gram string, f bigint, size int")
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, keep: int = 2000, held_pct: int = 50, text: str = "text", group: str = "lang", no_group: str = "und") -> DataFrame:

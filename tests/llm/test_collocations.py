@@ -49,7 +49,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, *x, "s", 1) for i, x in enumerate(rows)], "doc_id bigint, lang string, text string, phrase string, f int")
 
 
-@pytest.mark.parametrize(("least", "keep", "longest", "at_once"), [(10, 2000, 3, 1_000_000), (10, 7, 3, 500), (3, 2000, 4, 1_000_000), (12, 50, 2, 100)])
+@pytest.mark.parametrize(("least", "keep", "longest", "at_once"), [(10, 2000, 3, 4_000_000), (10, 7, 3, 500), (3, 2000, 4, 4_000_000), (12, 50, 2, 100)])
 def test_against_brute_force(spark, monkeypatch, least, keep, longest, at_once):
     monkeypatch.setattr(c, "AT_ONCE", at_once)
     rows = _rows()
@@ -67,7 +67,7 @@ def test_query_and_sql(spark, tmp_path):
 
 
 def test_products_beyond_64_bits(spark):
-    counts = spark.createDataFrame([("en", "a", 1, 9_000_000_000), ("en", "b", 1, 8_999_999_999), ("en", "a b", 2, 8_999_999_998)], "lang string, gram string, size int, f bigint")
+    counts = spark.createDataFrame([("en", "a", 9_000_000_000, 1), ("en", "b", 8_999_999_999, 1), ("en", "a b", 8_999_999_998, 2)], "lang string, gram string, f bigint, size int")
     with pytest.MonkeyPatch.context() as m:
         m.setattr(c, "frequent_grams", lambda *a: counts)
         got = c.collocations(frame(spark, [("en", "a b")])).first()
