@@ -25,7 +25,7 @@ class Collected:
 def collect(spark: SparkSession, folder: str) -> Collected:
     """Reads every delimited file, workbook and JSON-lines file below ``folder``; the rest is listed as a gap.
 
-    Files are hashed where they are read. SQL dumps have tables of their own: see ``sql_dump.read_dump``.
+    Files are hashed where they are read; each kind of file is one plan, whatever their number. SQL dumps have tables of their own: see ``sql_dump.read_dump``.
     """
     files = manifest.inventory(spark, folder)
     known = {r.path: r.format for r in files.select("path", "format").collect()}
@@ -34,10 +34,9 @@ def collect(spark: SparkSession, folder: str) -> Collected:
     if paths := of("csv", "tsv"):
         parts.append(delimited.read_delimited(spark, paths).select("path", F.lit("").alias("sheet"), "row", "record"))
     if paths := of("xlsx"):
-        parts.append(reduce(DataFrame.unionByName, [office.sheet_rows(office.read_cells(spark, p)) for p in paths]).select("path", "sheet", F.col("row").cast("long").alias("row"), "record"))
+        parts.append(office.sheet_rows(office.read_cells(spark, paths)).select("path", "sheet", F.col("row").cast("long").alias("row"), "record"))
     if paths := of("json"):
-        lines = reduce(DataFrame.unionByName, [delimited.strict_json(spark, p).select(F.lit(p).alias("path"), F.monotonically_increasing_id().alias("row"), F.from_json(F.to_json("value"), "map<string,string>").alias("record")) for p in paths])
-        parts.append(lines.select("path", F.lit("").alias("sheet"), "row", "record"))
+        parts.append(delimited.strict_json(spark, paths).select("path", F.lit("").alias("sheet"), "row", F.from_json(F.to_json("value"), "map<string,string>").alias("record")))
     records = reduce(DataFrame.unionByName, parts)
     counts = records.groupBy("path").agg(F.count("*").alias("rows"))
     status = F.when(F.col("format") == "unsupported", "unsupported").when(F.col("format") == "sql", "separate").otherwise("read")

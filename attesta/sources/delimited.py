@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import csv
-import gzip
-import io
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, row bigint, record map<string,string>"
+from attesta.sources.lines import delimited_records, numbered_lines
 
 
 class SourceError(ValueError):
@@ -35,59 +31,36 @@ def checked_header(names: list[str]) -> list[str]:
     return names
 
 
-def parse_delimited(data: bytes, delimiter: str) -> Iterator[tuple[int, dict[str, str]]]:
-    """``(line, record)``: the line on which a record ends, quoted line feeds counted.
-
-    A byte-order mark and comment lines before the header are skipped, short rows filled with empty strings;
-    longer ones fail. A comment line that names columns (``# Formula,...``) is the header.
-    """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    reader = csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=delimiter)
-    header: list[str] | None = None
-    for row in reader:
-        if header is None:
-            if not row or not any(c.strip() for c in row):
-                continue
-            if row[0].startswith("#"):
-                if row[0].strip() != "# Formula":
-                    continue
-                row = ["Formula", *row[1:]]
-            header = checked_header([c.strip() for c in row])
-            continue
-        if not row:
-            continue
-        if len(row) > len(header):
-            raise SourceError(f"line {reader.line_num}: {len(row)} cells for {len(header)} columns")
-        yield reader.line_num, dict(zip(header, row + [""] * (len(header) - len(row)), strict=True))
-
-
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, row, record`` of csv and tsv files (also gzipped): a task for each file, records never inferred.
+    """``path, row, record`` of csv and tsv files (also gzipped), read in splits: ``row`` is the line on which a record ends.
 
-    Line numbers need a file read from its start. For large files whose lines don't matter use ``spark.read.csv``
-    with an explicit schema and ``mode=FAILFAST``, which splits them.
+    A byte-order mark, and blank and comment lines before the header, are skipped, as are blank lines after it; a comment line that names
+    columns (``# Formula,...``) is the header. Short rows are filled with empty strings; longer ones, and headers with blank or
+    repeated names, fail. Cells are never inferred. Quoted fields may hold line ends, over splits as well.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content", format_name("path").alias("kind"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for path, data, kind in zip(pdf["path"], pdf["content"], pdf["kind"], strict=True):
-                if kind not in ("csv", "tsv"):
-                    raise SourceError(f"{path} is no delimited file")
-                rows = [(path, n, r) for n, r in parse_delimited(bytes(data), "," if kind == "csv" else "\t")]
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "row", "record"])
-
-    return files.mapInPandas(run, SCHEMA)
-
-
-def strict_json(spark: SparkSession, path: str, limit: int = 16 << 20) -> DataFrame:
-    """``value`` (variant) of each JSON line; repeated keys, NaN, infinities and lines over ``limit`` bytes fail."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    kind = format_name("f")
+    delimiter = F.when(kind == "csv", ",").when(kind == "tsv", "\t").otherwise(F.raise_error(F.concat(F.col("f"), F.lit(" is no delimited file"))).cast("string"))
+    records = delimited_records(spark, paths, delimiter)
+    first = F.coalesce(F.get("cells", F.lit(0)), F.lit(""))
+    named = F.btrim(first) == "# Formula"
+    heads = records.where(F.exists("cells", lambda c: F.btrim(c) != "") & (named | ~first.startswith("#"))).groupBy("path").agg(F.min(F.struct("n", "cells")).alias("head"))
+    names = F.transform(F.col("head.cells"), lambda c: F.regexp_replace(F.btrim(c), "^# Formula$", "Formula"))
+    wrong = F.exists(names, lambda c: c == "") | (F.size(F.array_distinct(names)) < F.size(names))
+    names = F.when(wrong, F.raise_error(F.concat(F.col("path"), F.lit(": header has blank or repeated names"))).cast("array<string>")).otherwise(names)
+    heads = heads.select("path", F.col("head.n").alias("first"), names.alias("names"))
+    rows = records.join(heads, "path").where("n > first and size(cells) > 0")
+    short = F.size("names") - F.size("cells")
+    long = F.raise_error(F.concat(F.col("path"), F.lit(" line "), F.col("row"), F.lit(": "), F.size("cells"), F.lit(" cells for "), F.size("names"), F.lit(" columns"))).cast("map<string,string>")
+    record = F.when(short < 0, long).otherwise(F.map_from_arrays("names", F.concat("cells", F.array_repeat(F.lit(""), F.greatest(short, F.lit(0))))))
+    return rows.select("path", "row", record.alias("record"))
+
+
+def strict_json(spark: SparkSession, path: str | list[str], limit: int = 16 << 20) -> DataFrame:
+    """``path, row, value`` (variant) of each JSON line, read in splits; repeated keys, NaN, infinities and lines over ``limit`` bytes fail."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     long = F.when(F.octet_length("value") > limit, F.raise_error(F.lit("a line is too long")).cast("string")).otherwise(F.col("value"))
     odd = F.when(long.rlike(r'(?<!["\w])-?(NaN|Infinity)(?!["\w])'), F.raise_error(F.lit("a number is not finite")).cast("string")).otherwise(long)
-    return lines.select(F.parse_json(odd).alias("value"))
+    return lines.select("path", "row", F.parse_json(odd).alias("value"))
 
 
 def tolerant_json(spark: SparkSession, path: str) -> DataFrame:

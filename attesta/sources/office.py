@@ -95,7 +95,7 @@ def xml_records(data: bytes, suffix: str, tag: str) -> Iterator[tuple[str, int,
                 e.clear()
 
 
-def _files(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str], schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     names = ["path", *[f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +112,7 @@ def _files(spark: SparkSession, path: str, schema: str, rows: Callable[[bytes],
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All cells of the workbooks under ``path``: ``path, sheet, row, col, text, formula``."""
     return _files(spark, path, "sheet string, row int, col int, text string, formula string", workbook_cells)
 

@@ -1,12 +1,16 @@
+import csv
 import gzip
 import io
+import random
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 
-from attesta.sources import delimited, manifest, office, sql_dump
+from attesta.sources import delimited, lines, manifest, office, sql_dump
 
 
 def test_delimited_lines_headers_and_padding(spark, tmp_path):
@@ -15,9 +19,63 @@ def test_delimited_lines_headers_and_padding(spark, tmp_path):
     rows = {(r.path.rpartition("/")[2], r.row): r.record for r in delimited.read_delimited(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.tsv.gz"]).collect()}
     assert rows[("a.csv", 4)] == {"id": "1", "name": "two\nlines", "note": "x"} and rows[("a.csv", 5)]["note"] == ""
     assert rows[("b.tsv.gz", 2)] == {"id": "7", "name": "z"}
-    for bad in (b"a,a\n1,2\n", b"a,\n1,2\n", b"a\n1,2\n"):
-        with pytest.raises(delimited.SourceError):
-            list(delimited.parse_delimited(bad, ","))
+    for k, bad in enumerate((b"a,a\n1,2\n", b"a,\n1,2\n", b"a\n1,2\n")):
+        (tmp_path / f"bad{k}.csv").write_bytes(bad)
+        with pytest.raises((PySparkException, Py4JError)):
+            delimited.read_delimited(spark, f"{tmp_path}/bad{k}.csv").collect()
+    (tmp_path / "c.pdf").write_bytes(b"a\n1\n")
+    with pytest.raises((PySparkException, Py4JError)):
+        delimited.read_delimited(spark, f"{tmp_path}/c.pdf").collect()
+
+
+def one_task(data, delimiter):
+    """The same files, read from their start by the standard library."""
+    reader = csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=delimiter)
+    header = None
+    for row in reader:
+        if header is None:
+            if any(c.strip() for c in row) and (not row[0].startswith("#") or row[0].strip() == "# Formula"):
+                header = ["Formula" if c.strip() == "# Formula" else c.strip() for c in row]
+        elif row:
+            yield reader.line_num, dict(zip(header, row + [""] * (len(header) - len(row)), strict=True))
+
+
+def test_delimited_in_many_splits_is_as_in_one_task(spark, tmp_path):
+    r = random.Random(8)
+    cell = lambda: r.choice(["", "x", "5\" pipe", '"a,b"', '"two\nlines"', '"say ""so"""', '"\n\n,\n"', '""', '"open"shut', "é" * r.randint(1, 30), '"' + "long\n" * r.randint(1, 400) + '"'])
+    files = {}
+    for k in range(4):
+        end = "\r\n" if k == 2 else "\n"
+        rows = [",".join(cell() for _ in range(r.randint(1, 3))) for _ in range(300)]
+        files[f"f{k}.csv"] = ("\ufeff" * (k == 1) + "# c\n\na,b,c" + end + end.join(rows) + end * r.randint(0, 2)).encode()
+    files["formula.csv"] = b"# Formula,RT\nx,1\n"
+    files["open.csv"] = b'a,b\n1,"never\nclosed'
+    files["blank.csv"] = b"\n\n"
+    files["none.csv"] = b""
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    want = {(n, line): rec for n, data in files.items() for line, rec in one_task(data, ",")}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "9000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = delimited.read_delimited(spark, f"{tmp_path}/*.csv").collect()
+            assert len(got) == len(want) and {(x.path.rpartition("/")[2], x.row): x.record for x in got} == want
+            numbered = sorted((x.row, x.value) for x in lines.numbered_lines(spark, f"{tmp_path}/f0.csv").collect())
+            assert numbered == list(enumerate(files["f0.csv"].decode().removesuffix("\n").split("\n"), 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text('",ab', max_size=8), max_size=6))
+def test_open_quotes(parts):
+    """A quote is open after a line if the next line goes on with the same record."""
+    records = lambda x: len(list(csv.reader(io.StringIO("\n".join(x) + "\n", newline="")))) if x else 0
+    inside = False
+    for p in parts:
+        inside = lines.open_after(p, ",", inside)
+    assert inside == (records([*parts, "x"]) == records(parts))
 
 
 def test_strict_json(spark, tmp_path):
