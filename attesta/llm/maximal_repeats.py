@@ -222,7 +222,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield _batch([b.column("k"), b.column("tag"), [None if x is None else z.compress(x) for x in b.column("t").to_pylist()]], ["k", "tag", "z"], [None, None, pa.binary()])
+            yield _batch([b.column("k"), b.column("tag"), [z.compress(x.as_py()) if x.is_valid else None for x in b.column("t")]], ["k", "tag", "z"], [None, None, pa.binary()])
 
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, tag bigint, z binary")
 
@@ -232,31 +232,39 @@ def _same(a: str, b: str):
     return F.col(f"{a}.k").eqNullSafe(F.col(f"{b}.k")) & (F.col(f"{a}.tag") == F.col(f"{b}.tag"))
 
 
-_PART = "anchor bigint, hash bigint, places bigint, many boolean, bytes binary"
 _UNIT = "unit bigint, deal bigint, anchor bigint, hash bigint, off int, places bigint, bytes binary"
 _UNIT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+_GIVEN = ("deal", "anchor", "hash", "off", "places", "bytes")
+#: Units in a batch.
+TOGETHER = 4000
 
 
-def _units(rows: Iterator[tuple]) -> pa.RecordBatch:
-    """Rows of ``deal, anchor, hash, offset, places, bytes`` with a hash of the bytes before them."""
-    got = [(xxhash.xxh3_64_intdigest(r[-1]) - (1 << 63), *r) for r in rows]
-    names = ["unit", "deal", "anchor", "hash", "off", "places", "bytes"]
-    return _batch(list(zip(*got, strict=True)) if got else [[]] * 7, names, _UNIT_KINDS)
+def _units(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``deal, anchor, hash, offset, places, bytes[, many]`` with a hash of the bytes before them."""
+    held: list[tuple] = []
+    names, kinds = ["unit", "deal", "anchor", "hash", "off", "places", "bytes", "many"], [*_UNIT_KINDS, pa.bool_()]
+    batch = lambda: _batch(list(zip(*held, strict=True)), names[: len(held[0])], kinds[: len(held[0])])
+    for r in rows:
+        held.append((xxhash.xxh3_64_intdigest(r[5]) - (1 << 63), *r))
+        if len(held) == TOGETHER:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
 
 def _parts(asked: DataFrame, least: int) -> DataFrame:
-    """The bytes of the stretches that stand for all equal ones, from texts with what is wanted of them."""
+    """The stretches that stand for all equal ones as units, from texts with what is wanted of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            got: list[tuple] = []
             for z, want in zip(b.column("z"), b.column("want"), strict=True):
                 data = d.decompress(z.as_py())
-                got += [(x["anchor"], x["hash"], x["places"], x["many"], data[x["start"] : x["start"] + x["n"] + least - 1]) for x in want.as_py()]
-            yield _batch(list(zip(*got, strict=True)) if got else [[]] * 5, ["anchor", "hash", "places", "many", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])
+                for x in want.as_py():
+                    yield x["anchor"], x["anchor"], x["hash"], 0, x["places"], data[x["start"] : x["start"] + x["n"] + least - 1], x["many"]
 
-    return asked.select("z", "want").mapInArrow(run, _PART)
+    return asked.select("z", "want").mapInArrow(lambda batches: _units(cut(batches)), _UNIT + ", many boolean")
 
 
 def _joint(data: bytes, least: int, seeds: range) -> Iterator[tuple[int, int, int]]:
@@ -281,9 +289,8 @@ def _split_further(units: DataFrame, least: int, stage: Staging) -> DataFrame:
     for k in range(ROUNDS):
 
         def cut(batches: Iterator[pa.RecordBatch], seeds: range = range(1 + k * ORDERS, 1 + (k + 1) * ORDERS)) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = zip(*(b.column(c).to_pylist() for c in ("deal", "anchor", "hash", "off", "places", "bytes")), strict=True)
-                yield _units((deal ^ key, anchor, h, off + s, p, x[s : s + n + least - 1]) for deal, anchor, h, off, p, x in rows for s, n, key in _joint(x, least, seeds))
+            rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _GIVEN), strict=True))
+            yield from _units((deal ^ key, anchor, h, off + s, p, x[s : s + n + least - 1]) for deal, anchor, h, off, p, x in rows for s, n, key in _joint(x, least, seeds))
 
         pieces = stage.put(units.mapInArrow(cut, _UNIT), f"pieces{k}")
         kinds = pieces.groupBy("deal", "unit").agg(F.sum("places").alias("places"))
@@ -295,10 +302,9 @@ def _split_further(units: DataFrame, least: int, stage: Staging) -> DataFrame:
     else:
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for anchor, h, off, p, data in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "off", "places", "bytes")), strict=True):
-                    parts = ((data[i : i + least], off + i) for i in range(len(data) - least + 1))
-                    yield _units((xxhash.xxh3_64_intdigest(x, 1) - (1 << 63), anchor, h, i, p, x) for x, i in parts)
+            rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _GIVEN), strict=True))
+            strings = ((anchor, h, off + i, p, x[i : i + least]) for _, anchor, h, off, p, x in rows for i in range(len(x) - least + 1))
+            yield from _units((xxhash.xxh3_64_intdigest(r[-1], 1) - (1 << 63), *r) for r in strings)
 
         done.append(units.mapInArrow(single, _UNIT))
     return reduce(DataFrame.unionByName, done)
@@ -320,11 +326,7 @@ def _matched(docs: DataFrame, least: int, text: str, key: str, stage: Staging, e
     asked = _packed(rows).dropDuplicates(["k", "tag"]).alias("d").join(want, _same("d", "w"))
     parts = stage.put(_parts(asked, least), "parts")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _units((a, a, h, 0, p, x) for a, h, p, x in zip(*(b.column(c).to_pylist() for c in ("anchor", "hash", "places", "bytes")), strict=True))
-
-    few, hot = parts.where("not many").mapInArrow(whole, _UNIT), parts.where("many").mapInArrow(whole, _UNIT)
+    few, hot = parts.where("not many").drop("many"), parts.where("many").drop("many")
     units = stage.put(few if many.isEmpty() else few.unionByName(_split_further(hot, least, stage)), "units")
     distinct = units.groupBy("unit", "deal").agg(F.sum("places").alias("places"), F.first("bytes").alias("bytes"))
     shards = max(64, -(-kinds.count() // SHARD))
@@ -394,9 +396,11 @@ def remove_repeats(docs: DataFrame, least: int = 400, text: str = "text", key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            got = [_without(None if z.as_py() is None else d.decompress(z.as_py()), s.as_py()) for z, s in zip(b.column("z"), b.column("spans"), strict=True)]
-            n, r, c, left = zip(*got, strict=True) if got else [()] * 4
-            cols = [b.column("k"), b.column("tag"), n, r, c, [hashlib.sha256(x).hexdigest() for x in left], *[left] * with_kept]
+            got = []
+            for z, s in zip(b.column("z"), b.column("spans"), strict=True):
+                *numbers, left = _without(d.decompress(z.as_py()) if z.is_valid else None, s.as_py())
+                got.append((*numbers, hashlib.sha256(left).hexdigest(), *[left] * with_kept))
+            cols = [b.column("k"), b.column("tag"), *(zip(*got, strict=True) if got else [()] * (4 + with_kept))]
             yield _batch(cols, ["k", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept], [None, None, pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_kept])
 
     schema = f"k {rows.schema['k'].dataType.simpleString()}, tag bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
