@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.plans.staging import Staging
+from attesta.sources.ddl import Definition, defined
 from attesta.sources.delimited import SourceError
 
 #: The escapes that a string of the dump dialect has; of the last two the backslash stays.
@@ -28,7 +29,7 @@ STATES = ("", "'", '"', "`", "*")
 LONGEST = 16 << 20
 _MARK = re.compile(r"['\"`;#]|--(?=\s|\Z)|/\*")
 _CLOSE = {"'": re.compile(r"[\\']"), '"': re.compile(r'[\\"]'), "`": re.compile("`"), "*": re.compile(r"\*/")}
-_CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*\((.*)\)[^)]*\Z", re.S | re.I)
+_CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*(\(.*)\Z", re.S | re.I)
 _INSERT = re.compile(r"INSERT\s+INTO\s+`?(\w+)`?\s*(?:\(([^)]*)\))?\s*VALUES\s*(.*)\Z", re.S | re.I)
 _HARMLESS = re.compile(r"(?:SET|LOCK\s+TABLES|UNLOCK\s+TABLES|USE|START\s+TRANSACTION|COMMIT|BEGIN|/\*!\d+\s+(?:SET|ALTER\s+TABLE\s+`?\w+`?\s+(?:DISABLE|ENABLE)\s+KEYS))\b", re.I)
 _DROP = re.compile(r"DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?`?(\w+)`?\s*\Z", re.I)
@@ -150,20 +151,9 @@ def tuples(text: str, wanted: tuple[int, frozenset[str]] | None = None) -> Itera
         at = skip(at + 1)
 
 
-def columns_of(body: str) -> list[str]:
-    """Column names of a table definition, in order."""
-    names, depth, part = [], 0, ""
-    for c in body + ",":
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            m = re.match(r"\s*`([^`]+)`\s+\w|\s*(?!(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|FULLTEXT|CHECK)\b)(\w+)\s+\w", part, re.I)
-            names += [m.group(1) or m.group(2)] if m else []
-            part = ""
-        else:
-            part += c
-    if not names or len(set(names)) < len(names):
-        raise SourceError("a table definition has no or repeated columns")
-    return names
+def definition(table: str, text: str) -> Definition:
+    """The definition of a table, from what follows its name."""
+    return defined(table, text)
 
 
 def classified(statement: str) -> tuple[str, str, str]:
@@ -279,8 +269,8 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return kept.join(files, "f").select((F.col("o") + F.col("n") + 1).alias("statement"), "kind", "table_name", "rest")
 
 
-def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, where: dict[str, tuple[str, list[str]]] | None = None) -> tuple[dict[str, list[str]], DataFrame]:
-    """``(columns by table, rows)``: every row of the dump, or of some tables, as text with its place and hash.
+def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, where: dict[str, tuple[str, list[str]]] | None = None) -> tuple[dict[str, Definition], DataFrame]:
+    """``(definitions by table, rows)``: every row of the dump, or of some tables, as text with its place and hash.
 
     Definitions come to the driver, rows don't. An insert must name known, distinct columns and give each a
     value; a column it leaves out is absent from ``body``. Dropping a table after it was defined fails. ``where`` names for
@@ -290,26 +280,26 @@ def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, whe
     every = statements(spark, path)
     if only is not None:
         every = every.where(F.col("table_name").isin(only))
-    defined: dict[str, list[str]] = {}
+    tables: dict[str, Definition] = {}
     for r in every.where("kind <> 'insert'").orderBy("statement").collect():
         if r.kind == "create":
-            if r.table_name in defined:
+            if r.table_name in tables:
                 raise SourceError(f"{r.table_name} is defined twice")
-            defined[r.table_name] = columns_of(json.loads(r.rest)[0])
-        elif r.table_name in defined:
+            tables[r.table_name] = definition(r.table_name, json.loads(r.rest)[0])
+        elif r.table_name in tables:
             raise SourceError(f"{r.table_name} is dropped after it is defined")
     filters = {t: (c, frozenset(v)) for t, (c, v) in (where or {}).items()}
     for t, (c, _) in filters.items():
-        if c not in defined.get(t, []):
+        if t not in tables or c not in tables[t].columns:
             raise SourceError(f"{t} has no column {c}")
-    known = spark.sparkContext.broadcast((defined, filters))
+    known = spark.sparkContext.broadcast(({t: d.columns for t, d in tables.items()}, filters))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, filters = known.value
+        columns, filters = known.value
         for pdf in frames:
             for table, statement, rest in zip(pdf["table_name"], pdf["statement"], pdf["rest"], strict=True):
                 names, values = json.loads(rest)
-                all_names = tables.get(table)
+                all_names = columns.get(table)
                 if all_names is None:
                     raise SourceError(f"rows for {table}, which is not defined")
                 names = [n.strip().strip("`") for n in names.split(",")] if names else all_names
@@ -329,7 +319,7 @@ def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, whe
                     out.append((table, statement, k, names, body, hashlib.sha256(canon.encode()).hexdigest()))
                 yield pd.DataFrame(out, columns=["table_name", "statement", "tuple", "columns", "body", "row_sha256"])
 
-    return defined, every.where("kind = 'insert'").mapInPandas(run, SCHEMA)
+    return tables, every.where("kind = 'insert'").mapInPandas(run, SCHEMA)
 
 
 def table_digests(rows: DataFrame) -> DataFrame:

@@ -93,8 +93,8 @@ def test_dump_values_places_and_hashes(spark, tmp_path):
         "-- a dump; with a comment\n/*!40101 SET NAMES utf8 */;\nDROP TABLE IF EXISTS `a`;\nCREATE TABLE `a` (`id` int, `body` text, PRIMARY KEY (`id`)) ENGINE=x;\n"
         "CREATE TABLE `empty` (`x` varchar(9));\nINSERT INTO `a` (`body`,`id`) VALUES ('x, y; ''q'' \\n(z)',1.20e+2),(NULL,-1);\nINSERT INTO `a` VALUES (3,'NULL');\n"
     )
-    columns, rows = sql_dump.read_dump(spark, f"{tmp_path}/d.sql")
-    assert columns == {"a": ["id", "body"], "empty": ["x"]}
+    tables, rows = sql_dump.read_dump(spark, f"{tmp_path}/d.sql")
+    assert {t: d.columns for t, d in tables.items()} == {"a": ["id", "body"], "empty": ["x"]}
     got = sorted((r.statement, r.tuple, r.body["id"], r.body["body"]) for r in rows.collect())
     assert [(t, i, b) for _, t, i, b in got] == [(1, "1.20e+2", "x, y; 'q' \n(z)"), (2, "-1", None), (1, "3", "NULL")]
     assert got[0][0] == got[1][0] < got[2][0]
@@ -113,9 +113,9 @@ def test_dump_statements_end_where_they_end(spark, tmp_path):
     try:
         for size in ("700", "128m"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            columns, rows = sql_dump.read_dump(spark, f"{tmp_path}/d.sql")
+            tables, rows = sql_dump.read_dump(spark, f"{tmp_path}/d.sql")
             got = {(r.table_name, r.body.get("id") or r.body.get("x")): r for r in rows.collect()}
-            assert columns == {"a": ["id", "b;c"], "t": ["x"]}
+            assert {t: d.columns for t, d in tables.items()} == {"a": ["id", "b;c"], "t": ["x"]}
             assert got["a", "1"].body["b;c"] == "a;\nb\\%c\\_d" and got["a", "2"].body["b;c"] == "it's \\"
             assert [got["t", str(k)].tuple for k in (1, 2, 3)] == [1, 2, 1] and len(got) == 402
             assert all(got["a", str(i)].body["b;c"] == "x;" * (i % 40) + "\n;" for i in range(3, 400))
