@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attesta.queries import assess, closure, curation, extra, files, joins, review, rules, text
+from attesta.queries import assess, closure, curation, extra, files, joins, review, rules, scale, text
 
-_MODULES = [curation, joins, assess, text, review, closure, rules, extra, files]
+_MODULES = [curation, joins, assess, text, review, closure, rules, extra, files, scale]
 FLAGSHIP = "q_p12_dispositions"
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -202,14 +202,6 @@ def strict_utc(c: str | Column) -> Column:
     return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'") == col(c), F.lit(False))
 
 
-def flat_json(rows: DataFrame, key: str, column: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """``key, path, value``: the scalars of a JSON object two levels deep, nested values below as JSON text."""
-    top = rows.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("a", "x")).where(~F.col("a").isin(*skip) if skip else F.lit(True))
-    inner = F.from_json("x", "map<string,string>")
-    deep = top.where(F.col("x").startswith("{")).select(key, "a", F.explode(inner).alias("b", "value")).select(key, F.concat_ws(".", "a", "b").alias("path"), "value")
-    return top.where(~F.col("x").startswith("{")).select(key, F.col("a").alias("path"), F.col("x").alias("value")).unionByName(deep)
-
-
 def range_bin(value: str | Column, low: str | Column, high: str | Column, bins: int) -> tuple[Column, Column]:
     """A value clipped and scaled to 0..1 by fitted limits, and its bin of equal width (the last one closed)."""
     span = col(high) - col(low)

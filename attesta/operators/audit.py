@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from attesta.functions.text import citations, label_references, leading_label, parameters
 from attesta.functions.values import folded, is_close
 from attesta.operators.joins import reconcile
+from attesta.operators.ordered import running_sums
 from attesta.plans.staging import Staging
 
 SEVERITY = {"blocker": 3, "unverified": 2, "warning": 1}
@@ -32,12 +33,16 @@ def gates(findings: DataFrame, names: list[str]) -> DataFrame:
 
 
 def gaps_and_repeats(labels: DataFrame, kind: str, number: str) -> DataFrame:
-    """``kind, problem, number``: numbers that are missing from 1 to the largest, or there more than once."""
-    counted = labels.groupBy(kind, number).agg(F.count("*").alias("n"))
-    top = counted.groupBy(kind).agg(F.max(number).alias("m"))
-    want = top.select(kind, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m").cast("long"))).alias(number))
-    missing = want.join(counted, [kind, number], "left_anti").select(kind, F.lit("missing").alias("problem"), F.col(number).cast("long").alias("number"))
-    return missing.unionByName(counted.where("n > 1").select(kind, F.lit("repeated").alias("problem"), F.col(number).cast("long").alias("number")))
+    """``kind, problem, number, upto``: numbers from 1 that are missing before the next one, and those there more than once.
+
+    A gap is one line, from ``number`` to ``upto``, however wide; a number's neighbour is found in ranges of all numbers.
+    """
+    counted = Staging(labels.sparkSession, "gaps").put(labels.where(F.col(number).isNotNull()).groupBy(kind, F.col(number).cast("long").alias("number")).agg(F.count("*").alias("n")), "counted")
+    ranked = running_sums(counted.withColumn("one", F.lit(1).cast("long")), [kind], [F.col("number")], {"place": "one"})
+    before = ranked.select(kind, (F.col("place") + 1).alias("place"), F.col("number").alias("last"))
+    gaps = ranked.join(before, [kind, "place"], "left").withColumn("first", F.coalesce("last", F.lit(0)) + 1).where(F.col("number") > F.col("first"))
+    missing = gaps.select(kind, F.lit("missing").alias("problem"), F.col("first").alias("number"), (F.col("number") - 1).alias("upto"))
+    return missing.unionByName(counted.where("n > 1").select(kind, F.lit("repeated").alias("problem"), "number", F.col("number").alias("upto")))
 
 
 def audit_documents(blocks: DataFrame, references: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def audit_documents(blocks: DataFrame, references: DataFrame) -> DataFrame:
         found.append(finding(used.join(captions.where(F.col("kind") == kind), "label", "left_anti"), "figure_table_references", "blocker", f"{kind}_without_caption", "label"))
     main = captions.where(~F.col("label").startswith("S")).select("kind", F.col("label").cast("long").alias("number"))
     loose = gaps_and_repeats(main, "kind", "number")
-    found.append(finding(loose, "figure_table_references", "blocker", "caption_sequence", F.concat_ws(" ", "kind", "number", "problem")))
+    found.append(finding(loose, "figure_table_references", "blocker", "caption_sequence", F.concat_ws(" ", "kind", F.concat("number", F.when(F.col("upto") > F.col("number"), F.concat(F.lit("-"), "upto")).otherwise("")), "problem")))
     return reduce(DataFrame.unionByName, found)
 
 

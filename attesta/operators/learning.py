@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.neighbours import NearestNeighbours
 from attesta.plans.staging import Staging
 
 #: Estimators by name; those that Spark has no form of raise a clear error.
@@ -29,10 +30,12 @@ ESTIMATORS: dict[str, Callable[..., Estimator]] = {
     "linear_svc": lambda alpha=0.0: LinearSVC(regParam=alpha),
     "random_forest_classifier": lambda trees=50, depth=8, seed=0: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
     "boosting_classifier": lambda rounds=30, depth=4, seed=0: GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed),
+    "knn": lambda k=5: NearestNeighbours(k=k),
+    "knn_classifier": lambda k=5: NearestNeighbours(k=k, classify=True),
     "gaussian_nb": lambda: NaiveBayes(modelType="gaussian"),
     "mlp": lambda layers=(4, 8, 2), seed=0: MultilayerPerceptronClassifier(layers=list(layers), seed=seed),
 }
-ABSENT = ("extra_trees", "knn", "svr", "svc", "xgboost", "catboost", "lightgbm")
+ABSENT = ("extra_trees", "svr", "svc", "xgboost", "catboost", "lightgbm")
 
 
 class DependencyUnavailable(RuntimeError):

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.ordered import running_sums
+from attesta.plans.staging import Staging
 
 
 def regression(rows: DataFrame, keys: list[str], y: str, p: str, weight: str | None = None) -> DataFrame:
     """``n, mae, rmse, sse, sst, r2, r2_undefined_reason, target_mean, target_population_sd`` of each group.
 
     One pass of partial sums; the centred sum of squares comes from the variance, which Spark merges stably.
-    With ``weight`` each row counts that often.
+    With ``weight`` each row counts that often; the squares are then taken around the groups' means, by a pass before.
     """
     w = F.col(weight) if weight else F.lit(1)
     res = F.col(y) - F.col(p)
     if weight:
-        mean = F.sum(w * F.col(y)) / F.sum(w)
-        sst = F.sum(w * F.col(y) * F.col(y)) - F.sum(w) * mean * mean
+        rows = rows.withColumn("__all", F.lit(0))
+        means = rows.groupBy("__all", *keys).agg((F.sum(w * F.col(y)) / F.sum(w)).alias("__mean")).alias("m")
+        same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in ["__all", *keys]])
+        rows = rows.alias("r").join(means, same).select("r.*", "m.__mean")
+        mean, sst = F.first("__mean"), F.sum(w * (F.col(y) - F.col("__mean")) ** 2)
     else:
         mean, sst = F.avg(y), F.var_pop(y) * F.count("*")
     out = rows.groupBy(*keys).agg(F.sum(w).cast("long").alias("n"), (F.sum(w * F.abs(res)) / F.sum(w)).alias("mae"), F.sum(w * res * res).alias("sse"), sst.alias("sst"), mean.alias("target_mean"), (F.min(F.when(w > 0, F.col(y))) < F.max(F.when(w > 0, F.col(y)))).alias("__d"))
@@ -82,9 +88,45 @@ def draws(groups: list[str], repetitions: int, seed: int) -> list[tuple[int, str
     return out
 
 
+def draw_multiplicities(groups: DataFrame, group: str, repetitions: int, seed: int, block: int = 4096) -> DataFrame:
+    """``rep, group, times``: bootstraps over groups, drawn in tasks: how often each group is in each repetition, if it is.
+
+    The groups are numbered in hash order and put in blocks. A repetition's draws are split over the blocks by halves, with
+    binomial counts from generators that are keyed by the seed, the repetition and the node of that tree, so each task finds its
+    block's count without any other; inside a block the draws are multinomial. The driver sees one number, the count of groups.
+    """
+    stage = Staging(groups.sparkSession, "draws")
+    names = groups.select(group).distinct().withColumns({"__h": F.sha2(F.concat(F.lit(f"{seed},"), F.col(group).cast("string")), 256), "__one": F.lit(1).cast("long")})
+    ranked = stage.put(running_sums(names, [], [F.col("__h"), F.col(group)], {"rank": "__one"}).select(group, "rank"), "ranked")
+    total = ranked.count()
+    blocks = max(1, -(-total // block))
+    size = lambda lo, hi: min(hi * block, total) - lo * block
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for k in pdf["id"].tolist():
+                rep, own = divmod(k, blocks)
+                lo, hi, n = 0, blocks, total
+                while hi - lo > 1 and n:
+                    mid = (lo + hi) // 2
+                    left = int(np.random.default_rng([seed, rep, lo, hi]).binomial(n, size(lo, mid) / size(lo, hi)))
+                    lo, hi, n = (lo, mid, left) if own < mid else (mid, hi, n - left)
+                if not n:
+                    continue
+                many = size(own, own + 1)
+                times = np.random.default_rng([seed, rep, own, own + 1]).multinomial(n, np.full(many, 1 / many))
+                at = np.flatnonzero(times)
+                yield pd.DataFrame({"rep": np.full(len(at), rep), "rank": own * block + at, "times": times[at]})
+
+    drawn = groups.sparkSession.range(repetitions * blocks if total else 0).mapInPandas(run, "rep bigint, rank bigint, times bigint")
+    return drawn.join(ranked, "rank").select("rep", group, "times")
+
+
 def group_statistics(rows: DataFrame, group: str, y: str, p: str) -> DataFrame:
-    """What a regression metric needs of each group, so that a repetition only sums groups."""
+    """What a regression metric needs of each group, so that a repetition only sums groups; targets are taken around their mean."""
     r = F.col(y) - F.col(p)
+    centre = rows.agg(F.avg(y)).first()[0]
+    rows, y = rows.withColumn("__y", F.col(y) - F.lit(centre)), "__y"
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.abs(r)).alias("sae"), F.sum(r * r).alias("sse"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
 
 

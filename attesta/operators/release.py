@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.canon import canonical, strict_loads
+from attesta.operators.documents import json_facts
 
 #: Keys whose values are data of single rows.
 ROW_KEYS = frozenset({"rows", "row_ids", "records", "predictions", "fold_predictions", "smiles", "structures", "labels", "targets"})
@@ -36,15 +35,6 @@ def redacted(value: object, found: list[str] | None = None, path: str = "") -> o
     return value
 
 
-def facts_of(value: object, skip: frozenset[str] = frozenset(), path: str = "") -> list[tuple[str, str]]:
-    """``(path, value)`` of all scalars in a JSON value."""
-    if isinstance(value, dict):
-        return [f for k, v in value.items() if k not in skip for f in facts_of(v, skip, f"{path}.{k}" if path else k)]
-    if isinstance(value, list):
-        return [f for i, v in enumerate(value) for f in facts_of(v, skip, f"{path}[{i}]")]
-    return [(path, value if isinstance(value, str) else json.dumps(value))]
-
-
 def redact(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the JSON column redacted, and ``redactions``, the paths that were replaced."""
 
@@ -60,14 +50,9 @@ def redact(rows: DataFrame, column: str) -> DataFrame:
 
 
 def scalar_facts(rows: DataFrame, key: str, column: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """``key, path, value`` of all scalars of a JSON column, at any depth."""
-    banned = frozenset(skip)
-
-    @F.pandas_udf("array<struct<path:string,value:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[] if t is None else [{"path": p, "value": v} for p, v in facts_of(strict_loads(t), banned)] for t in texts])
-
-    return rows.select(key, F.inline(run(column)))
+    """``key, path, value`` of all scalars of a JSON column, at any depth, as ``a.b[0]``; members named in ``skip`` go with all they hold."""
+    facts = json_facts(rows, [key], column, skip, dotted=True, raw=True, strict=True)
+    return facts.where(~F.col("kind").isin("object", "array")).select(key, "path", "value")
 
 
 def routed(facts: DataFrame, routes: DataFrame) -> DataFrame:

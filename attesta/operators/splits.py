@@ -100,14 +100,15 @@ def prepare_splits(rows: DataFrame, row_id: str, group: str, task: str, tasks: l
 def stratified_folds(histogram: list[tuple[str, int, int]], count: int, seed: int) -> dict[str, int]:
     """Folds for ``(group, negatives, positives)``, large and uneven groups first, each to the fold it balances best.
 
-    For group tables small enough for the driver; ties go by hash order, so the result doesn't depend on input order.
+    For group tables small enough for the driver, and the measure of ``stratified_fold_of``; ties go by hash order, so the
+    result doesn't depend on input order.
     """
     import hashlib
 
     for label, have in (("0", sum(n > 0 for _, n, _ in histogram)), ("1", sum(p > 0 for _, _, p in histogram))):
         if have < count:
             raise InfeasibleSplit(f"class {label} is in {have} groups for {count} folds")
-    order = sorted(histogram, key=lambda g: (-abs(g[1] - g[2]), -(g[1] + g[2]), hashlib.sha256(f"{seed},{g[0]}".encode()).hexdigest()))
+    order = sorted(histogram, key=lambda g: (-abs(g[1] - g[2]), -(g[1] + g[2]), g[1], hashlib.sha256(f"{seed},{g[0]}".encode()).hexdigest()))
     load, out = [[0, 0] for _ in range(count)], {}
     total = [sum(g[1] for g in histogram) or 1, sum(g[2] for g in histogram) or 1]
     for name, neg, pos in order:
@@ -122,3 +123,60 @@ def stratified_folds(histogram: list[tuple[str, int, int]], count: int, seed: in
 def terminal_size(groups: int, fraction: float) -> int:
     """How many groups a holdout of ``fraction`` takes."""
     return math.ceil(groups * fraction)
+
+
+def _dealt(classes: list[tuple[int, int, int]], count: int) -> list[tuple[int, int, list[int], list[int]]]:
+    """``(negatives, positives, first, cycle)`` for classes of groups given as ``(negatives, positives, how many)``.
+
+    The groups of a class go one after another to the fold that they balance best, as ``stratified_folds`` deals them: the
+    first to the folds in ``first``, all after these round and round through ``cycle``. Once each fold has had one in turn, the
+    folds stand to each other as before, so all rounds are alike and needn't be played out.
+    """
+    load = [[0, 0] for _ in range(count)]
+    total = [sum(n * c for n, _, c in classes) or 1, sum(p * c for _, p, c in classes) or 1]
+    out = []
+    for neg, pos, many in sorted(classes, key=lambda g: (-abs(g[0] - g[1]), -(g[0] + g[1]), g[0])):
+        first: list[int] = []
+        cycle: list[int] = []
+        while len(first) < many and not cycle:
+
+            def spread(k: int) -> tuple:
+                tried = [[a + neg * (i == k), b + pos * (i == k)] for i, (a, b) in enumerate(load)]
+                return round(sum((max(x) - min(x)) / t for x, t in zip(zip(*tried, strict=True), total, strict=True)), 12), sum(load[k]), k
+
+            k = min(range(count), key=spread)
+            load[k][0] += neg
+            load[k][1] += pos
+            first.append(k)
+            if len(first) >= count and len(set(first[-count:])) == count:
+                cycle = first[-count:]
+        left = many - len(first)
+        for i in range(count):
+            more = left // count + (i < left % count)
+            if cycle:
+                load[cycle[i]][0] += neg * more
+                load[cycle[i]][1] += pos * more
+        out.append((neg, pos, first, cycle))
+    return out
+
+
+def stratified_fold_of(rows: DataFrame, group: str, label: str, count: int, seed: int) -> DataFrame:
+    """``group, negatives, positives, fold``: whole groups dealt so that the folds are alike in both classes.
+
+    Groups of equal counts are one class; the driver sees classes, with how many groups each has, and deals those. A group's
+    turn in its class goes by a hash of the seed and its name, in ranges, so neither a large class nor many groups need one task.
+    Fails if a class of the label is in fewer groups than there are folds.
+    """
+    positive = F.count_if(F.col(label) == 1)
+    groups = Staging(rows.sparkSession, "stratified").put(rows.groupBy(group).agg((F.count("*") - positive).alias("negatives"), positive.alias("positives")), "groups")
+    classes = [(r.negatives, r.positives, r.n) for r in groups.groupBy("negatives", "positives").agg(F.count("*").alias("n")).collect()]
+    for name, have in (("0", sum(c for n, _, c in classes if n)), ("1", sum(c for _, p, c in classes if p))):
+        if have < count:
+            raise InfeasibleSplit(f"class {name} is in {have} groups for {count} folds")
+    turns = [(n, p, first, cycle or [0]) for n, p, first, cycle in _dealt(classes, count)]
+    plan = rows.sparkSession.createDataFrame(turns, "negatives bigint, positives bigint, first array<int>, cycle array<int>")
+    hashed = groups.withColumns({"__h": F.sha2(F.concat(F.lit(f"{seed},"), F.col(group).cast("string")), 256), "__one": F.lit(1).cast("long")})
+    ranked = running_sums(hashed, ["negatives", "positives"], [F.col("__h")], {"turn": "__one"})
+    later = F.col("turn") - F.size("first")
+    fold = F.when(later < 0, F.get("first", F.col("turn").cast("int"))).otherwise(F.get("cycle", F.pmod(later, F.size("cycle")).cast("int")))
+    return ranked.join(plan, ["negatives", "positives"]).select(group, "negatives", "positives", fold.alias("fold"))

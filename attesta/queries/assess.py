@@ -87,7 +87,8 @@ def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that a conversation lacks or has twice; turns are counted from 0 there, numbers from 1."""
     c = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 0")
     again = c.where("conv_id % 11 = 3 and turn = 1")
-    return audit.gaps_and_repeats(c.union(again).select("conv_id", (F.col("turn") + 1).alias("number")), "conv_id", "number")
+    got = audit.gaps_and_repeats(c.union(again).select("conv_id", (F.col("turn") + 1).alias("number")), "conv_id", "number")
+    return got.select("conv_id", "problem", F.explode(F.sequence("number", "upto")).alias("number"))
 
 
 def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import chemistry, text
 from attesta.functions.values import mod10
-from attesta.operators import similarity
+from attesta.operators import documents, similarity
 from attesta.session import table
 from attesta.streaming import lifecycle
 
@@ -84,7 +84,7 @@ def compute_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.flat_json(table(spark, sf_dir, "events"), "event_id", "props").groupBy("path", "value").agg(F.count("*").alias("n"))
+    return documents.json_facts(table(spark, sf_dir, "events"), ["event_id"], "props", dotted=True, raw=True).groupBy("path", "value").agg(F.count("*").alias("n"))
 
 
 def _stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,15 @@ def _states(held: dict[int, tuple[int, int]]) -> dict[int, str]:
     return out
 
 
+def stage_verdicts(held: dict[int, tuple[int, int]]) -> dict[int, tuple[str, bool]]:
+    """``(state, ready)`` of each stage, from when it was last accepted and last changed: ``stage_states`` of one run."""
+    out, ready = {}, True
+    for s, state in _states(held).items():
+        out[s] = state, ready
+        ready = ready and state == "accepted"
+    return out
+
+
 def windowed(events: DataFrame, at: str, keys: list[str], length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts and sums in tumbling or sliding windows, over a table or a stream (with a watermark, if given)."""
     rows = events.withWatermark(at, late) if late else events

@@ -63,7 +63,7 @@ def test_filters_reach_the_reader(spark, tmp_path):
         got = t.where(where)
         assert made(got) == (n, n), where
         assert "Filter (" not in got._jdf.queryExecution().executedPlan().toString()
-    assert made(t.where("id like '9%' and k = 'a'")) == (30, 267)
+    assert made(t.where("id like '9%' and k = 'a'")) == (31, 267)
     with pytest.raises(SourceError):
         dump_table.dump_table(spark, f"{tmp_path}/d.sql", "none")
 
