@@ -43,7 +43,7 @@ def json_facts(rows: DataFrame, keys: list[str], column: str, skip: tuple[str, .
     """
     stage, spark = Staging(rows.sparkSession, "facts"), rows.sparkSession
     parsed = rows.select(*keys, F.col(column).alias("__t"), F.lit("").alias("path"), (F.parse_json if strict else F.try_parse_json)(F.col(column)).alias("v")).where("__t is not null")
-    parts = [parsed.where("v is null").select(*keys, "path", F.lit("text").alias("kind"), F.col("__t").alias("value"))]
+    parts = [] if strict else [parsed.where("v is null").select(*keys, "path", F.lit("text").alias("kind"), F.col("__t").alias("value"))]
     level = parsed.where("v is not null").select(*keys, "path", "v")
     named = ", ".join(f"`{k}`" for k in keys)
     for k in range(1 << 20):

@@ -161,11 +161,11 @@ def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _material(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("observation_id"), (F.col("o_custkey") % 40).alias("material_id"), F.when(F.col("o_orderkey") % 6 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("observation_id"), F.col("o_custkey").alias("material_id"), F.when(F.col("o_orderkey") % 6 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
     k = F.col("material_id")
-    r = spark.range(35).select(F.col("id").alias("material_id"))
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("material_id"))
     r = r.select("material_id", F.when(k % 5 == 0, "different").when(k % 5 == 1, "unresolved").when(k % 11 == 7, "maybe").otherwise("match").alias("outcome"), F.when(k % 7 == 3, "Ann").otherwise("Bo").alias("reviewer"), F.lit("ann").alias("producer"), F.when(k % 9 == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))).alias("evidence"), F.when(k % 8 == 2, " ").otherwise("why").alias("rationale"))
-    return o, r.union(r.where("material_id = 12").withColumn("outcome", F.lit("different")))
+    return o, r.union(r.where("material_id % 27720 = 12").withColumn("outcome", F.lit("different")))
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,9 +413,9 @@ ORACLE = {
     "q_j09_support": """WITH s AS (SELECT s_suppkey % 5 AS st, s_nationkey AS c, s_suppkey % 4 = 0 AS b FROM supplier), m AS (SELECT c_custkey, st FROM customer JOIN s ON c_nationkey = c UNION ALL SELECT c_custkey, st FROM customer JOIN s ON b WHERE c_custkey % 2 = 0 AND c_mktsegment = 'BUILDING')
       SELECT c_custkey AS observation_id, string_agg(DISTINCT st::VARCHAR, ',' ORDER BY st::VARCHAR) AS structures, count(*) AS n_support FROM m GROUP BY 1""",
     "q_v24_resolutions": """SELECT k AS material_id, CASE WHEN k % 5 > 1 AND k % 11 = 7 THEN 'unknown_outcome' WHEN k % 9 = 4 THEN 'no_evidence' WHEN k % 8 = 2 THEN 'no_rationale' ELSE 'not_independent' END AS problem
-      FROM generate_series(0, 34) g(k) WHERE (k % 5 > 1 AND k % 11 = 7) OR k % 9 = 4 OR k % 8 = 2 OR k % 7 = 3""",
-    "q_d23_material_routes": """WITH r AS (SELECT k, CASE WHEN k % 5 < 2 OR k = 12 THEN 'hold' ELSE 'verified' END AS s FROM generate_series(0, 34) g(k) WHERE NOT ((k % 5 > 1 AND k % 11 = 7) OR k % 9 = 4 OR k % 8 = 2 OR k % 7 = 3)),
-      o AS (SELECT o_orderkey % 6 = 0 AS own, s FROM orders LEFT JOIN r ON o_custkey % 40 = k)
+      FROM (SELECT c_custkey AS k FROM customer) WHERE (k % 5 > 1 AND k % 11 = 7) OR k % 9 = 4 OR k % 8 = 2 OR k % 7 = 3""",
+    "q_d23_material_routes": """WITH r AS (SELECT k, CASE WHEN k % 5 < 2 OR k % 27720 = 12 THEN 'hold' ELSE 'verified' END AS s FROM (SELECT c_custkey AS k FROM customer) WHERE NOT ((k % 5 > 1 AND k % 11 = 7) OR k % 9 = 4 OR k % 8 = 2 OR k % 7 = 3)),
+      o AS (SELECT o_orderkey % 6 = 0 AS own, s FROM orders LEFT JOIN r ON o_custkey = k)
       SELECT CASE WHEN own THEN 'excluded' WHEN s = 'verified' THEN 'retained' WHEN s = 'hold' THEN 'quarantined' ELSE 'pending' END AS disposition, CASE WHEN own THEN 'r' WHEN s = 'hold' THEN 'material_on_hold' WHEN s IS NULL THEN 'material_pending' END AS reason, count(*) AS n FROM o GROUP BY 1, 2""",
     "q_d23_finish": "SELECT problem, n FROM (SELECT 'missing' AS problem, count(*) AS n FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT 'repeated', count(*) FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 16 = 1) WHERE n > 0",
     "q_v08_packets": """WITH p AS (SELECT n_nationkey % 3 AS packet, n_nationkey % 4 AS alias, 'f' || n_nationkey % 6 AS path, CASE WHEN n_nationkey = 13 THEN 99 ELSE n_nationkey % 6 END AS h FROM nation)

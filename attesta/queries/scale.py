@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import documents, ledger, splits, sweep
+from attesta.operators import documents, ledger, metrics, neighbours, splits, sweep
 from attesta.session import table
 
 
@@ -75,12 +75,41 @@ def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(F.sum("n").alias("negatives"), F.sum("p").alias("positives"), F.sum("g").alias("customers"), F.count("*").alias("folds"), ((F.max("n") - F.min("n") <= F.max("mn")) & (F.max("p") - F.min("p") <= F.max("mp"))).alias("fair"))
 
 
+def near_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's three nearest others by balance and nation."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal"), F.col("s_nationkey").cast("double")).alias("x"))
+    got = neighbours.nearest(s, s, 3, apart=True)
+    return got.select(F.col("id").alias("s_suppkey"), F.posexplode("near").alias("place", "near")).select("s_suppkey", (F.col("place") + 1).cast("long").alias("place"), F.col("near.id").alias("other"), F.round("near.distance", 4).alias("distance"))
+
+
+def evened_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows for each fold's training customers, by class; how many hold something of the fold itself."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 3).alias("fold"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    got = neighbours.minority_rows(c, "c_custkey", "fold", 3, "y", ["c_acctbal", "nation"], 5, 3)
+    crossed = (F.col("parent") % 3 == F.col("training_of")) | (F.col("other") % 3 == F.col("training_of"))
+    return got.groupBy("training_of", "y").agg(F.count("*").alias("n"), F.count_if(crossed).alias("crossed"))
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty bootstraps over users: draws of each, and users that can't have been drawn."""
+    e = table(spark, sf_dir, "events").select("user_id")
+    times = metrics.draw_multiplicities(e, "user_id", 20, 5)
+    known = times.join(e.distinct().withColumn("known", F.lit(True)), "user_id", "left")
+    return known.groupBy("rep").agg(F.sum("times").alias("n"), F.count_if(F.col("known").isNull()).alias("unknown"))
+
+
 QUERIES = {
+    "q_d11_near_suppliers": near_suppliers, "q_d13_evened_out": evened_out, "q_a15_drawn": drawn,
     "q_v13_document_differences": document_differences, "q_v35_document_facts": document_facts, "q_j12_overlap_counts": overlap_counts, "q_j12_deepest": deepest_places,
     "q_k02_flagged_rows": flagged_rows, "q_k02_flag_problems": flag_problems, "q_d05_stratified_folds": stratified,
 }
 
 ORACLE = {
+    "q_d11_near_suppliers": """SELECT s_suppkey, place, other, round(d, 4) AS distance FROM (SELECT a.s_suppkey, b.s_suppkey AS other, sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2) AS d,
+      row_number() OVER (PARTITION BY a.s_suppkey ORDER BY d, b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey) WHERE place <= 3""",
+    "q_d13_evened_out": """SELECT t::INT AS training_of, CASE WHEN ones < zeros THEN 1 ELSE 0 END::INT AS y, abs(ones - zeros) AS n, 0::BIGINT AS crossed FROM (SELECT t, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS ones, count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS zeros
+      FROM customer, generate_series(0, 2) g(t) WHERE c_custkey % 3 <> t GROUP BY t) WHERE ones <> zeros""",
+    "q_a15_drawn": "SELECT rep, (SELECT count(DISTINCT user_id) FROM events) AS n, 0::BIGINT AS unknown FROM generate_series(0, 19) g(rep)",
     "q_v13_document_differences": """WITH c AS (SELECT c_custkey AS k FROM customer), m AS (SELECT k FROM c WHERE k % 50 <> 7 AND k % 50 <> 8)
       SELECT k AS c_custkey, 'doc' AS "column", '/a~1b/n' AS path, 'kind' AS problem, k::VARCHAR AS "left", k::VARCHAR AS "right" FROM m WHERE k % 5 = 2
       UNION ALL SELECT k, 'doc', '/more', 'right_only', NULL, '[]' FROM m WHERE k % 7 = 3 UNION ALL SELECT k, 'doc', '/a~1b/list/0/x/1', 'value', '2', '3' FROM m WHERE k % 11 = 4
