@@ -72,13 +72,103 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, str, str | None
                 yield sheet.get("name"), int(m.group(2)), column_number(m.group(1)), text, formula
 
 
-def document_blocks(data: bytes) -> Iterator[tuple[int, str, str, int]]:
-    """``(block, style, text, images)`` of each paragraph of a document body, in order."""
-    root = ET.fromstring(opened(data).read("word/document.xml"))
-    for n, p in enumerate(e for e in root.iter() if _name(e) == "p"):
+def _own(e: ET.Element, *path: str) -> ET.Element | None:
+    """A descendant by the local names on the way to it."""
+    for name in path:
+        e = next((x for x in e if _name(x) == name), None) if e is not None else None
+    return e
+
+
+def _val(e: ET.Element | None, default: str = "") -> str:
+    return default if e is None else next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == "val"), default)
+
+
+def _attribute(e: ET.Element, name: str) -> str:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), "")
+
+
+def written(n: int, form: str) -> str:
+    """A counter in one of the forms that lists have; digits for any other."""
+    if form in ("lowerLetter", "upperLetter") and n > 0:
+        letter = chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1)
+        return letter if form == "lowerLetter" else letter.upper()
+    if form in ("lowerRoman", "upperRoman") and n > 0:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + sign * (n // value), n % value
+        return out if form == "lowerRoman" else out.upper()
+    return "" if form == "none" else f"{n:02d}" if form == "decimalZero" else str(n)
+
+
+class Numbering:
+    """The lists of a document, and how far each of them has counted.
+
+    A list is counted by its abstract definition, whichever of its instances a paragraph names; an instance that
+    sets a start anew does so at its first paragraph. A paragraph of a level counts that level up and lets the deeper ones
+    start again, but for those that restart only after another level, or never.
+    """
+
+    def __init__(self, part: ET.Element | None, styles: ET.Element | None):
+        self.levels: dict[str, dict[int, dict]] = {}
+        self.instances: dict[str, tuple[str, dict[int, int]]] = {}
+        self.by_style: dict[str, tuple[str, int]] = {}
+        self.counts: dict[str, dict[int, int]] = {}
+        self.begun: set[tuple[str, int]] = set()
+        for e in part if part is not None else ():
+            if _name(e) == "abstractNum":
+                self.levels[_attribute(e, "abstractNumId")] = {int(_attribute(x, "ilvl")): self._level(x) for x in e if _name(x) == "lvl"}
+            elif _name(e) == "num":
+                starts = {int(_attribute(x, "ilvl")): int(_val(_own(x, "startOverride"))) for x in e if _name(x) == "lvlOverride" and _own(x, "startOverride") is not None}
+                self.instances[_attribute(e, "numId")] = _val(_own(e, "abstractNumId")), starts
+        for e in styles if styles is not None else ():
+            if _name(e) == "style" and (of := _own(e, "pPr", "numPr")) is not None:
+                self.by_style[_attribute(e, "styleId")] = _val(_own(of, "numId")), int(_val(_own(of, "ilvl"), "0"))
+
+    @staticmethod
+    def _level(e: ET.Element) -> dict:
+        restart = _val(_own(e, "lvlRestart"))
+        return {"start": int(_val(_own(e, "start"), "1")), "form": _val(_own(e, "numFmt"), "decimal"), "text": _val(_own(e, "lvlText")), "restart": int(restart) if restart else None}
+
+    def label(self, paragraph: ET.Element, style: str) -> tuple[int | None, str | None]:
+        """``(level, label)`` of the next paragraph in order; nulls if it is in no list."""
+        direct = _own(paragraph, "pPr", "numPr")
+        number, level = self.by_style.get(style, ("", 0))
+        if direct is not None:
+            number = _val(_own(direct, "numId"), number)
+            level = int(_val(_own(direct, "ilvl"), str(level)))
+        abstract, starts = self.instances.get(number, ("", {}))
+        levels = self.levels.get(abstract, {})
+        if level not in levels:
+            return None, None
+        counts = self.counts.setdefault(abstract, {})
+        for k in [k for k in starts if (number, k) not in self.begun and k <= level]:
+            self.begun.add((number, k))
+            counts.pop(k, None)
+            if k == level:
+                counts[k] = starts[k] - 1
+        counts[level] = counts.get(level, levels[level]["start"] - 1) + 1
+        for k in list(counts):
+            after = levels[k]["restart"] if k in levels else None
+            if k > level and (after is None or (after and level < after)):
+                del counts[k]
+        if levels[level]["form"] == "bullet":
+            return level, levels[level]["text"]
+        text = levels[level]["text"]
+        for k in sorted(levels, reverse=True):
+            if f"%{k + 1}" in text:
+                text = text.replace(f"%{k + 1}", written(counts.get(k, levels[k]["start"]), levels[k]["form"]))
+        return level, text
+
+
+def document_blocks(data: bytes) -> Iterator[tuple[int, str, str, int, int | None, str | None]]:
+    """``(block, style, text, images, level, label)`` of each paragraph of a document body, in order; the last two of those in lists."""
+    z = opened(data)
+    part = lambda name: ET.fromstring(z.read(name)) if name in z.namelist() else None
+    lists = Numbering(part("word/numbering.xml"), part("word/styles.xml"))
+    for n, p in enumerate(e for e in part("word/document.xml").iter() if _name(e) == "p"):
         style = next((next(iter(s.attrib.values()), "") for s in p.iter() if _name(s) == "pStyle"), "")
         text = "".join((e.text or "") if _name(e) == "t" else "\t" if _name(e) == "tab" else "\n" if _name(e) == "br" else "" for e in p.iter())
-        yield n, style, text, sum(_name(e) == "blip" for e in p.iter())
+        yield n, style, text, sum(_name(e) == "blip" for e in p.iter()), *lists.label(p, style)
 
 
 def xml_records(data: bytes, suffix: str, tag: str) -> Iterator[tuple[str, int, list[tuple[str, str]]]]:
@@ -118,8 +208,8 @@ def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """All paragraphs of the documents under ``path``: ``path, block, style, text, images``."""
-    return _files(spark, path, "block int, style string, text string, images int", document_blocks)
+    """All paragraphs of the documents under ``path``: ``path, block, style, text, images, level, label``; the last two for list items."""
+    return _files(spark, path, "block int, style string, text string, images int, level int, label string", document_blocks)
 
 
 def read_xml_records(spark: SparkSession, path: str, suffix: str, tag: str) -> DataFrame:
