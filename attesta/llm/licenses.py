@@ -16,32 +16,43 @@ from attesta.plans.staging import Staging
 
 #: The phrases of the base scan and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
-#: Labels, the words that name the license and so must be in a block, and what texts say of it.
+#: The identifiers that stand in source files, by label.
+IDENTIFIERS = {
+    "mit": ("MIT",), "apache": ("Apache-2.0",), "gpl": ("GPL-2.0", "GPL-3.0"), "lgpl": ("LGPL-2.1", "LGPL-3.0"), "agpl": ("AGPL-3.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "isc": ("ISC",),
+    "mpl": ("MPL-2.0",), "epl": ("EPL-2.0",), "zlib": ("Zlib",), "unlicense": ("Unlicense",), "cc-by": ("CC-BY-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",),
+}
+#: Labels, the words that name the license and must follow one another in a block, and what texts say of it.
 #: First statements of one sentence, then the notices and license texts themselves.
 TEMPLATES = [
-    ("mit", "mit", "released under the MIT License"),
-    ("mit", "mit", "this project is licensed under the terms of the MIT license"),
-    ("apache", "apache", "licensed under the Apache License, Version 2.0"),
-    ("apache", "apache", "you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "gnu general", "this work is licensed under the GNU General Public License, version 3"),
-    ("lgpl", "lesser", "licensed under the GNU Lesser General Public License, version 2.1"),
-    ("agpl", "affero", "licensed under the GNU Affero General Public License, version 3"),
-    ("bsd", "bsd", "released under the BSD License"),
-    ("mpl", "mozilla", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("epl", "eclipse", "licensed under the Eclipse Public License, version 2.0"),
-    ("cc-by", "commons attribution", "this work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "commons sharealike", "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc", "commons noncommercial", "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nd", "commons noderivatives", "this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    ("cc-by-nc-sa", "commons noncommercial sharealike", "this work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
-    ("cc-by-nc-nd", "commons noncommercial noderivatives", "this work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    *[(label, f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', x.lower())}", f"SPDX-License-Identifier: {x}") for label, every in IDENTIFIERS.items() for x in every],
+    ("gpl", "gpl v2", "GPL v2 or later"),
+    ("gpl", "gpl v3", "GPL v3 or later"),
+    ("gpl", "gpl v2", "licensed under GPL v2"),
+    ("gpl", "gpl v3", "licensed under GPL v3"),
+    ("proprietary", "all rights reserved", "all rights reserved"),
+    ("mit", "mit license", "released under the MIT License"),
+    ("mit", "mit license", "this project is licensed under the terms of the MIT license"),
+    ("apache", "apache license", "licensed under the Apache License, Version 2.0"),
+    ("apache", "apache org licenses license 2 0", "you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("gpl", "gnu general public license", "this work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", "gnu lesser general public license", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("agpl", "gnu affero general public license", "licensed under the GNU Affero General Public License, version 3"),
+    ("bsd", "bsd license", "released under the BSD License"),
+    ("mpl", "mozilla public license", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("epl", "eclipse public license", "licensed under the Eclipse Public License, version 2.0"),
+    ("cc-by", "creative commons attribution", "this work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "creative commons attribution sharealike", "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "creative commons attribution noncommercial", "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "creative commons attribution noderivatives", "this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike", "this work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives", "this work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("cc-by", "cc by", "licensed under CC BY 4.0"),
     ("cc-by-sa", "cc by sa", "licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "cc by nc", "licensed under CC BY-NC 4.0"),
     ("cc-by-nd", "cc by nd", "licensed under CC BY-ND 4.0"),
     ("cc-by-nc-sa", "cc by nc sa", "licensed under CC BY-NC-SA 4.0"),
     ("cc-by-nc-nd", "cc by nc nd", "licensed under CC BY-NC-ND 4.0"),
-    ("proprietary", "reserved", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher"),
+    ("proprietary", "all rights reserved", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher"),
     ("mit", "", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
         the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
@@ -65,22 +76,22 @@ TEMPLATES = [
         subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source
         versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source
         distribution."""),
-    ("apache", "apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+    ("apache", "apache license", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
         the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
         on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
         limitations under the License."""),
-    ("gpl", "gnu general", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+    ("gpl", "gnu general public license", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
         Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
-    ("lgpl", "gnu lesser", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
+    ("lgpl", "gnu lesser general public license", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
         Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT
         ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
-    ("agpl", "gnu affero", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free
+    ("agpl", "gnu affero general public license", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free
         Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
         ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
-    ("mpl", "mozilla", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+    ("mpl", "mozilla public license", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
         one at https://mozilla.org/MPL/2.0/."""),
-    ("unlicense", "unencumbered", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+    ("unlicense", "unencumbered software", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
         software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 ]
 CONTAINMENT, BLOCKS = 0.8, (64, 512)
@@ -108,8 +119,8 @@ def tokens_of(statement: str) -> list[str]:
     return re.findall(r"[0-9a-z]+", statement.lower())
 
 
-def template_index(frequency: dict[str, int], templates: list[tuple[str, str, str]], least: float) -> list[tuple[str, int, int, int, list[str], list[str], str]]:
-    """``(token, template, position, size, tokens, needs, label)`` for the prefix tokens of each template.
+def template_index(frequency: dict[str, int], templates: list[tuple[str, str, str]], least: float) -> list[tuple[str, int, int, int, list[str], str, str]]:
+    """``(token, template, position, size, tokens, name, label)`` for the prefix tokens of each template.
 
     Tokens are ordered by how often the corpus has them, rarest first. A block that holds ``o = ceil(least *
     size)`` of a template's tokens holds one of its first ``size - o + 1``.
@@ -118,7 +129,7 @@ def template_index(frequency: dict[str, int], templates: list[tuple[str, str, st
     for k, (label, needs, statement) in enumerate(templates):
         tokens = sorted(set(tokens_of(statement)), key=lambda t: (frequency.get(t, 0), t))
         need = math.ceil(least * len(tokens) - 1e-9)
-        rows += [(t, k, i, len(tokens), tokens, needs.split(), label) for i, t in enumerate(tokens[: len(tokens) - need + 1])]
+        rows += [(t, k, i, len(tokens), tokens, needs, label) for i, t in enumerate(tokens[: len(tokens) - need + 1])]
     return rows
 
 
@@ -137,17 +148,19 @@ def _matches(base: DataFrame, block: int, index: DataFrame, vocabulary: list[str
     """``k, h, label, share`` for each block and each template it contains that no other label's explains better."""
     half = block // 2
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - half - 1), F.lit(half))
-    sets = F.transform(starts, lambda s: F.array_distinct(F.filter(F.slice("w", s + 1, block), lambda t: t.isin(vocabulary))))
-    blocks = base.where("w is not null").select("k", "h", F.posexplode(sets).alias("b", "set"))
+    held = lambda s: F.array_distinct(F.filter(F.slice("w", s + 1, block), lambda t: t.isin(vocabulary)))
+    near = F.filter(F.transform(starts, lambda s: F.struct(s.alias("b"), held(s).alias("set"))), lambda x: F.arrays_overlap(x["set"], F.array(*map(F.lit, prefix))))
+    said = F.transform(near, lambda x: F.struct(x["b"], x["set"], F.concat(F.lit(" "), F.array_join(F.slice("w", x["b"] + 1, block), " "), F.lit(" ")).alias("said")))
+    blocks = base.where("w is not null").select("k", "h", F.inline(said))
     order = {t: n for n, t in enumerate(sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t)))}
     ranks = F.create_map(*[F.lit(x) for t, n in order.items() for x in (t, n)])
     ordered = F.array_sort(F.transform("set", lambda t: F.struct(F.element_at(ranks, t).alias("rank"), t.alias("t"))))
-    blocks = blocks.where(F.arrays_overlap("set", F.array(*map(F.lit, prefix)))).select("k", "h", "b", "set", F.posexplode(ordered).alias("j", "x"))
-    met = blocks.select("k", "h", "b", "set", "j", F.col("x.t").alias("token")).join(F.broadcast(index), "token")
+    blocks = blocks.select("k", "h", "b", "set", "said", F.posexplode(ordered).alias("j", "x"))
+    met = blocks.select("k", "h", "b", "set", "said", "j", F.col("x.t").alias("token")).join(F.broadcast(index), "token")
     need = F.ceil(F.col("size") * F.lit(least) - 1e-9)
     met = met.where((F.size("set") >= need) & (F.col("size") - F.col("i") >= need) & (F.size("set") - F.col("j") >= need))
-    met = met.select("k", "h", "b", "template", "label", "size", "needs", F.array_intersect("tokens", "set").alias("shared")).where(F.size("shared") >= need)
-    met = met.where(F.size(F.array_except("needs", "shared")) == 0)
+    met = met.select("k", "h", "b", "template", "label", "size", "said", "name", F.array_intersect("tokens", "set").alias("shared")).where(F.size("shared") >= need)
+    met = met.where((F.col("name") == "") | F.contains("said", F.concat(F.lit(" "), "name", F.lit(" "))))
     hit = F.struct("label", (F.size("shared") / F.col("size")).alias("share"), "shared")
     of_block = met.groupBy("k", "h", "b").agg(F.collect_set(hit).alias("hits"))
     better = lambda x, y: (y["label"] != x["label"]) & (F.size(y["shared"]) > F.size(x["shared"])) & (F.size(F.array_except(x["shared"], y["shared"])) == 0)
@@ -164,7 +177,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     rows; in that order, rarest first, a block and a template meet over a token of the template's prefix, if the
     block is long enough, and if the tokens left after that position on either side can still reach the threshold; what
     remains is verified by counting the tokens shared. A verified block gets the template's label if the words that name the
-    license (the template's second part) are among them, and if no template of another label shares all these
+    license (the template's second part) follow one another in it, and if no template of another label shares all these
     tokens and more: a share-alike notice is not also a plain one. ``score`` is the largest share of a labelling template's
     tokens found in a block, 1 if there is a base place, else 0.
 
@@ -190,7 +203,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
 
     found = []
     for b, x in rows.items():
-        index = docs.sparkSession.createDataFrame(x, "token string, template int, i int, size int, tokens array<string>, needs array<string>, label string")
+        index = docs.sparkSession.createDataFrame(x, "token string, template int, i int, size int, tokens array<string>, name string, label string")
         mine = sorted({t for _, _, s in classes[b] for t in tokens_of(s)})
         found.append(_matches(base, b, index, mine, prefix[b], frequency, least))
     labelled = reduce(DataFrame.unionByName, found).groupBy("k", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("best"))
@@ -209,7 +222,7 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """DuckDB SQL for the query: every template against every block of its size, without any filter."""
     listed = lambda x: "[" + ", ".join(f"'{t}'" for t in x) + "]"
-    rows = ", ".join(f"('{label}', {listed(sorted(set(tokens_of(s))))}, {listed(needs.split())}::VARCHAR[], {b})" for b, x in by_block(TEMPLATES, BLOCKS).items() for label, needs, s in x)
+    rows = ", ".join(f"('{label}', {listed(sorted(set(tokens_of(s))))}, '{needs}', {b})" for b, x in by_block(TEMPLATES, BLOCKS).items() for label, needs, s in x)
     sizes = ", ".join(f"({b})" for b in by_block(TEMPLATES, BLOCKS))
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = " UNION ALL ".join(
@@ -223,13 +236,13 @@ positions AS (SELECT k, w, unnest(generate_series(1, len(w))) AS pos FROM licens
 places AS ({phrases}),
 based AS (
   SELECT k, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS own FROM places GROUP BY k
-), t AS (SELECT label, toks, needs, size, len(toks) AS n FROM (VALUES {rows}) AS v(label, toks, needs, size)),
+), t AS (SELECT label, toks, name, size, len(toks) AS n FROM (VALUES {rows}) AS v(label, toks, name, size)),
 blocks AS (
-  SELECT k, size, s, list_distinct(w[s + 1 : s + size]) AS b FROM (
+  SELECT k, size, s, w[s + 1 : s + size] AS x, list_distinct(x) AS b FROM (
     SELECT k, w, size, unnest(generate_series(0, greatest(0, len(w) - size // 2 - 1), size // 2)) AS s FROM d, (VALUES {sizes}) AS z(size))
 ), hits AS (
-  SELECT k, size, s, label, n, needs, shared FROM (SELECT k, size, s, label, n, needs, list_intersect(b, toks) AS shared FROM blocks JOIN t USING (size))
-  WHERE len(shared) >= ceil(n * {CONTAINMENT} - 1e-9) AND list_has_all(shared, needs)
+  SELECT k, size, s, label, n, shared FROM (SELECT k, size, s, x, label, n, name, list_intersect(b, toks) AS shared FROM blocks JOIN t USING (size))
+  WHERE len(shared) >= ceil(n * {CONTAINMENT} - 1e-9) AND (name = '' OR contains(' ' || array_to_string(x, ' ') || ' ', ' ' || name || ' '))
 ), best AS (
   SELECT k, label, len(shared) / n::DOUBLE AS share FROM hits x WHERE NOT EXISTS (
     SELECT 1 FROM hits y WHERE y.k = x.k AND y.size = x.size AND y.s = x.s AND y.label <> x.label AND len(y.shared) > len(x.shared) AND list_has_all(y.shared, x.shared))

@@ -162,9 +162,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "embed
     rows = stage.put(rows.repartitionByRange(parts, F.col("n2").desc(), "id").sortWithinPartitions(F.col("n2").desc(), "id"), "rows")
     facts = rows.agg(F.max(F.size("v")).alias("size"), F.count_if(F.col("asks") > 0).alias("asks")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not facts["asks"] or not facts["size"]:
+    if not facts["asks"]:
         return spark.createDataFrame([], schema)
-    size, blocks = facts["size"], -(-facts["asks"] // QUERY_BLOCK)
+    size, blocks = facts["size"] or 1, -(-facts["asks"] // QUERY_BLOCK)
     turn = Rotation(gram_matrix(rows, size))
 
     def here(some: DataFrame) -> tuple[Vectors, np.ndarray]:

@@ -25,7 +25,7 @@ def slow(text, least=0.8):
             for label, needs, t in templates:
                 t = set(split(t))
                 shared = t & set(w[s : s + block])
-                if len(shared) >= math.ceil(least * len(t) - 1e-9) and set(needs.split()) <= shared:
+                if len(shared) >= math.ceil(least * len(t) - 1e-9) and f" {needs} " in (f" {' '.join(w[s : s + block])} " if needs else f" {needs} "):
                     hits.append((label, shared, len(shared) / len(t)))
             for label, shared, share in hits:
                 if not any(x != label and shared < other for x, other, _ in hits):
@@ -52,12 +52,22 @@ NOTICES = {
     "Licensed under the Eclipse Public License version 2.0": "epl",
     "Licensed under the Apache License, Version 2.0": "apache",
     "This is licensed under terms of our own": "",
+    "// SPDX-License-Identifier: Apache-2.0": "apache",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl",
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+    "This file is GPL v2 or later.": "gpl",
+    "Copyright 2020. All rights reserved.": "proprietary",
+    "Students at MIT who study under the professor need a license.": "",
+    "the bsd socket was released under a driver license the team had": "",
+    "the version 2 0 subject to terms of the mozilla public browser": "",
+    "the identifier of the license, an mit matter, is spdx": "",
+    "all seats reserved, the rights to them too": "",
 }
 
 
 def test_each_notice_gets_its_own_label(spark):
     """The base labels are the contract's: a lesser or Affero notice holds the phrase of the general one."""
-    whole = {t: f"{label},gpl" if label in ("agpl",) else f"gpl,{label}" if label == "lgpl" else label for label, _, t in TEMPLATES}
+    whole = {t: ",".join(sorted({label} | ({"gpl"} if "general public license" in " ".join(split(t)) else set()))) for label, _, t in TEMPLATES}
     wanted = list((NOTICES | whole).items())
     rows = scan_licenses(spark.createDataFrame([(i, "some words before it " * 9 + t) for i, (t, _) in enumerate(wanted)], "doc_id bigint, text string")).collect()
     assert {wanted[r.doc_id][0]: r.labels for r in rows} == dict(wanted)

@@ -35,3 +35,5 @@ def test_few_rows_and_none(spark):
     rows = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (0, [3.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert sorted(tuple(x) for x in topk.top_k(rows, F.col("vec_id") % 100 == 0).collect()) == slow([(r.vec_id, r.embedding) for r in rows.collect()], 10, 100)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    empty = spark.createDataFrame([(0, []), (3, []), (5, []), (100, None)], "vec_id bigint, embedding array<float>")
+    assert sorted(tuple(x) for x in topk.top_k(empty, F.col("vec_id") % 100 == 0).collect()) == [(0, 1, 3, 0), (0, 2, 5, 0)]
