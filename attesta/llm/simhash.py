@@ -197,6 +197,12 @@ def _most_apart(likeness: float, prints: int, deviations: float) -> float:
     return n * p + deviations * math.sqrt(n * p * (1 - p))
 
 
+def _halves(x: Column) -> tuple[tuple[int, Column, Column], ...]:
+    """Each half of 64 bits by its number, with the other one."""
+    low, high = x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)
+    return (0, low, high), (1, high, low)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, shingle: int, least: float, stage: Staging, name: str) -> DataFrame:
     """The ``(a, b)`` of ``pairs`` whose shingle sets have a Jaccard likeness of ``least`` or more.
 
@@ -263,8 +269,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
 
     # posting lists with more than one text
     triples = [sum(255 << 8 * p for p in c) for c in combinations(range(4), 3)]
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    lists = F.array(*[F.struct((F.col("p").cast("long") * 8 + i + 4 * half).alias("list"), mine.bitwiseAND(F.lit(m)).alias("bytes"), other.alias("rest")) for half, mine, other in ((0, low, high), (1, high, low)) for i, m in enumerate(triples)])
+    lists = F.array(*[F.struct((F.col("p").cast("long") * 8 + i + 4 * half).alias("list"), mine.bitwiseAND(F.lit(m)).alias("bytes"), other.alias("rest")) for half, mine, other in _halves(F.col("fp")) for i, m in enumerate(triples)])
     w = Window.partitionBy("post")
     shared_lists = lambda posts: posts.withColumn("m", F.count("*").over(w)).where("m > 1")
     parts = []
@@ -286,11 +291,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
         if turn < STARS:
             # stars first: a text with the hubs of its lists, so that a large group is one before pairs are made; of the hubs not
             # looked at the one that shares most lists with the text, and the one that meets most others
-            own = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest")).select("id", F.col("hub.id").alias("h"), "hub.meets")
+            shared = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest"))
+            own = shared.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("lists"), F.max("hub.meets").alias("meets"))
             open_ = own.join(begun, "id").join(begun.select(F.col("id").alias("h"), F.col("root").alias("hub_root")), "h").where("root <> hub_root")
             if tried is not None:
                 open_ = open_.join(tried.select(F.col("a").alias("h"), F.col("b").alias("id")), ["h", "id"], "left_anti")
-            chosen = open_.groupBy("id").agg(F.array_distinct(F.array(F.mode("h", True), F.max_by("h", F.struct("meets", "h")))).alias("hs"))
+            chosen = open_.groupBy("id").agg(F.array_distinct(F.array(F.max_by("h", F.struct("lists", "h")), F.max_by("h", F.struct("meets", "h")))).alias("hs"))
             pairs = stage.put(chosen.select(F.explode("hs").alias("a"), F.col("id").alias("b")), f"stars{turn}")
             if pairs.isEmpty():
                 continue
@@ -305,7 +311,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
             shared = F.size(F.array_intersect("one.sk", "two.sk"))
             alike = F.when(F.greatest(n1, n2) <= SHORT, shared >= (n1 + n2 - shared) * F.lit(least) - 1e-9).when(F.least(n1, n2) > SHORT, apart <= _most_apart(least, prints, 4.5)).otherwise(True)
             alike = (F.least(n1, n2) >= F.greatest(n1, n2) * (least - 1e-9)) & alike
-            on = (F.col("one.post") == F.col("two.post")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & near("one.post", "one.rest", "two.rest") & alike
+            # two longer texts are a row in the first of the lists that they meet in
+            meeting = lambda x, q: F.coalesce(*[F.when((mine.bitwiseAND(F.lit(m)) == 0) & (F.bit_count(other) <= OTHER), q * 8 + i + 4 * half) for half, mine, other in _halves(x) for i, m in enumerate(triples)])
+            first = F.array_min(F.transform(F.zip_with("one.sk", "two.sk", lambda x, y: x.bitwiseXOR(y)), meeting))
+            once = F.when((F.least(n1, n2) > SHORT) & (F.col("one.post") >= 0), first == F.shiftright("one.post", 32).cast("int")).otherwise(True)
+            on = (F.col("one.post") == F.col("two.post")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root")) & near("one.post", "one.rest", "two.rest") & alike & once
             pairs = left.alias("one").join(left.alias("two"), on).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -91,7 +91,7 @@ def test_groups_find_pairs_of_the_likeness_and_no_others(spark):
     import random
 
     r = random.Random(31)
-    pairs = [p for like in (0.75, 0.78, 0.81, 0.82, 0.85) for size in (40, 300) for p in planted(r, like, 40, size)]
+    pairs = [p for like in (0.75, 0.78, 0.8, 0.81, 0.82, 0.85) for size in (40, 300) for p in planted(r, like, 40, size)]
     rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
     got = {x.doc_id for x in near_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if x.first}
     want = [jaccard(*p) >= 0.8 for p in pairs]
