@@ -92,17 +92,29 @@ def lineage_problems(ledgers: list[DataFrame], key: str, digest: str) -> DataFra
     return every.groupBy(key).agg(F.count_distinct(digest).alias("kinds")).where("kinds > 1")
 
 
-def sheet_references(formula: str | Column) -> Column:
-    """Distinct sheets that a formula names, quoted or not, sorted; the parts of a range over sheets count each.
+def formula_references(formula: str | Column) -> Column:
+    """``sheets, external, broken, indirect`` of a formula: the sheets of its own workbook that it names, sorted, and what else it leans on.
 
-    Texts in double quotes go first; then an odd number of single quotes opens a quoted name, in which two stand for one.
+    Texts in double quotes count for nothing; then an odd number of single quotes opens a quoted name, in which two stand
+    for one. The parts of a range over sheets count each; a name with a workbook in brackets is external. ``broken`` is a lost
+    reference (``#REF!``), ``indirect`` a call whose target only shows when it is computed.
     """
     f = F.col(formula) if isinstance(formula, str) else formula
-    parts = F.split(F.replace(F.regexp_replace(f, r'"[^"]*"', ""), F.lit("''"), F.lit("\0")), "'")
-    inside = F.filter(parts, lambda x, i: (i % 2 == 1) & F.coalesce(F.get(parts, i + 1), F.lit("")).startswith("!"))
-    outside = F.flatten(F.transform(F.filter(parts, lambda x, i: i % 2 == 0), lambda x: F.regexp_extract_all(x, F.lit(r"(?:^|[^\w.:])([A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!"), 1)))
-    names = F.flatten(F.transform(F.concat(F.transform(inside, lambda x: F.replace(x, F.lit("\0"), F.lit("'"))), outside), lambda x: F.split(F.regexp_replace(x, r"^\[[^\]]*\]", ""), ":")))
-    return F.array_sort(F.array_distinct(names))
+    bare = F.regexp_replace(f, r'"[^"]*"', '""')
+    parts = F.split(F.replace(bare, F.lit("''"), F.lit("\0")), "'")
+    quoted = F.transform(F.filter(parts, lambda x, i: (i % 2 == 1) & F.coalesce(F.get(parts, i + 1), F.lit("")).startswith("!")), lambda x: F.replace(x, F.lit("\0"), F.lit("'")))
+    plain = F.filter(parts, lambda x, i: i % 2 == 0)
+    outside = F.flatten(F.transform(plain, lambda x: F.regexp_extract_all(x, F.lit(r"(?:^|[^\w.:\]#])([A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!"), 1)))
+    names = F.flatten(F.transform(F.concat(F.filter(quoted, lambda x: ~F.contains(x, F.lit("["))), outside), lambda x: F.split(x, ":")))
+    external = F.exists(quoted, lambda x: F.contains(x, F.lit("["))) | F.exists(plain, lambda x: x.rlike(r"\[[^\]]+\][^!]*!"))
+    calls = F.regexp_extract_all(F.upper(bare), F.lit(r"([\w.]+)\s*\("), 1)
+    indirect = F.exists(calls, lambda c: c.isin("INDIRECT", "_XLFN.INDIRECT"))
+    return F.struct(F.array_sort(F.array_distinct(F.filter(names, lambda n: n != ""))).alias("sheets"), external.alias("external"), F.contains(F.upper(f), F.lit("#REF!")).alias("broken"), indirect.alias("indirect"))
+
+
+def sheet_references(formula: str | Column) -> Column:
+    """Distinct sheets of its own workbook that a formula names; see ``formula_references``."""
+    return formula_references(formula)["sheets"]
 
 
 def probability_problems(rows: DataFrame, key: str, classes: str, probabilities: str, positive: str | int, out: str = "probability") -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import documents, ledger, metrics, neighbours, splits, sweep
+from attesta.operators import archives, documents, evaluate, ledger, metrics, neighbours, splits, sweep
 from attesta.session import table
 
 
@@ -98,13 +98,43 @@ def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("rep").agg(F.sum("times").alias("n"), F.count_if(F.col("known").isNull()).alias("unknown"))
 
 
+def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas written from the customers: sheets of the workbook, other workbooks, lost and indirect references."""
+    k = F.col("c_custkey")
+    own = F.concat(F.lit("=SUM('It''s "), k % 4, F.lit("'!A1)+S"), k % 3, F.lit('!C3&"X!A1"'))
+    more = F.when(k % 5 == 1, "+[B.xlsx]Z!A1").when(k % 5 == 2, "+'[B.xlsx]Z'!A1").when(k % 5 == 3, "+#REF!A1").when(k % 5 == 4, '+INDIRECT("Z!A1")').otherwise("+A:B!C1")
+    c = table(spark, sf_dir, "customer").select("c_custkey", evaluate.formula_references(F.concat(own, more)).alias("r"))
+    return c.select("c_custkey", F.array_join("r.sheets", "|").alias("sheets"), "r.external", "r.broken", "r.indirect")
+
+
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents whose fields are their orders: what becomes of each field and of documents without any."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("LD50 Rat oral "), k + 1, F.lit(" mg/kg [S]"))).when(k % 4 == 1, "LD (50) unknown").when(k % 4 == 2, "no word of it")
+    told = o.select(F.col("o_custkey").alias("record"), k.alias("position"), F.when(k % 3 == 0, "ntxv").otherwise("other").alias("tag"), text.alias("text"))
+    c, n = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    numbers = c.where(n % 5 > 0).select(n.alias("record"), (-n).alias("position"), F.lit("CASRegistryNumber").alias("tag"), F.concat(F.lit(" 64-"), n).alias("text"))
+    second = c.where(n % 5 == 4).select(n.alias("record"), (-n - 10_000_000).alias("position"), F.lit("CASRegistryNumber").alias("tag"), F.lit("7-7").alias("text"))
+    bare = c.select(n.alias("record"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("text"))
+    got = archives.dispositions(told.unionByName(numbers).unionByName(second).unionByName(bare), ["record"])
+    return got.select("record", "position", "source", "cas", "status", F.array_join("why", ",").alias("why"), "said.value")
+
+
 QUERIES = {
+    "q_f08_formula_references": formulas, "q_s18_archived_fields": archived,
     "q_d11_near_suppliers": near_suppliers, "q_d13_evened_out": evened_out, "q_a15_drawn": drawn,
     "q_v13_document_differences": document_differences, "q_v35_document_facts": document_facts, "q_j12_overlap_counts": overlap_counts, "q_j12_deepest": deepest_places,
     "q_k02_flagged_rows": flagged_rows, "q_k02_flag_problems": flag_problems, "q_d05_stratified_folds": stratified,
 }
 
 ORACLE = {
+    "q_f08_formula_references": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'A|B|' ELSE '' END || 'It''s ' || c_custkey % 4 || '|S' || c_custkey % 3 AS sheets, c_custkey % 5 IN (1, 2) AS external, c_custkey % 5 = 3 AS broken, c_custkey % 5 = 4 AS indirect FROM customer""",
+    "q_s18_archived_fields": """WITH f AS (SELECT o_custkey AS r, o_orderkey AS p, o_orderkey % 4 AS w FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 < 2),
+      c AS (SELECT c_custkey AS r, CASE WHEN c_custkey % 5 IN (0, 4) THEN '' ELSE '64-' || c_custkey END AS cas, CASE c_custkey % 5 WHEN 0 THEN 'missing_native_cas' WHEN 4 THEN 'ambiguous_native_cas' END AS lacks FROM customer)
+      SELECT f.r AS record, p AS "position", 'narrative_field' AS source, cas, CASE WHEN lacks IS NOT NULL THEN 'quarantined' WHEN w = 0 THEN 'candidate' WHEN w = 1 THEN 'quarantined' ELSE 'excluded' END AS status,
+        concat_ws(',', CASE w WHEN 0 THEN NULL WHEN 1 THEN 'narrative_not_verified_single_rat_oral_scalar' ELSE 'no_ld50_mention' END, lacks) AS why, CASE WHEN w = 0 THEN (p + 1)::VARCHAR ELSE '' END AS value FROM f JOIN c USING (r)
+      UNION ALL SELECT r, NULL, 'document_disposition', cas, 'excluded', 'no_toxicity_candidate_fields', NULL FROM c WHERE r NOT IN (SELECT r FROM f)""",
     "q_d11_near_suppliers": """SELECT s_suppkey, place, other, round(d, 4) AS distance FROM (SELECT a.s_suppkey, b.s_suppkey AS other, sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2) AS d,
       row_number() OVER (PARTITION BY a.s_suppkey ORDER BY d, b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey) WHERE place <= 3""",
     "q_d13_evened_out": """SELECT t::INT AS training_of, CASE WHEN ones < zeros THEN 1 ELSE 0 END::INT AS y, abs(ones - zeros) AS n, 0::BIGINT AS crossed FROM (SELECT t, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS ones, count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS zeros

@@ -225,15 +225,29 @@ def read_xml_records(spark: SparkSession, path: str, suffix: str, tag: str) -> D
     return long.withColumn("ordinal", F.when(F.col("tag").isNotNull(), F.row_number().over(w)))
 
 
-def sheet_rows(cells: DataFrame, header_row: int = 1) -> DataFrame:
-    """``path, sheet, row, record``: rows under a header row; a blank first header is ``__native_index``."""
+def sheet_rows(cells: DataFrame, header_row: int = 1, required: tuple[str, ...] = ()) -> DataFrame:
+    """``path, sheet, row, record``: rows under a header row; a blank first header is ``__native_index``.
+
+    A sheet whose header lacks a ``required`` column, or names a column twice, fails.
+    """
     head = cells.where(F.col("row") == header_row).select("path", "sheet", "col", F.btrim("text").alias("name"))
     first = cells.groupBy("path", "sheet").agg(F.lit(1).alias("col")).select("path", "sheet", "col", F.lit("__native_index").alias("name"))
     head = head.unionByName(first.join(head, ["path", "sheet", "col"], "left_anti"))
+    names = head.groupBy("path", "sheet").agg(F.collect_set("name").alias("names"), F.count("*").alias("n"))
+    lost = F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), "names")
+    why = F.when(F.size(lost) > 0, F.concat(F.lit("lacks "), F.array_join(lost, ", "))).when(F.size("names") < F.col("n"), "names a column twice")
+    sound = names.select("path", "sheet", F.when(why.isNotNull(), F.raise_error(F.concat("path", F.lit(" "), "sheet", F.lit(": header "), why)).cast("boolean")).otherwise(True).alias("sound"))
+    cells = cells.join(sound, ["path", "sheet"]).where("sound").drop("sound")
     body = cells.where(F.col("row") > header_row).join(head, ["path", "sheet", "col"])
     return body.groupBy("path", "sheet", "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("record"))
 
 
+def keyed_rows(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, keys)`` of sheet rows: ``rows`` with ``key``, the trimmed value of a column, those without one left out; ``key, n``, how many have it."""
+    keyed = rows.withColumn("key", F.btrim(F.col("record")[column])).where("key <> ''")
+    return keyed, keyed.groupBy("key").agg(F.count("*").alias("n"))
+
+
 def marked_tables(cells: DataFrame, marker: str) -> DataFrame:
     """``path, sheet, row, record``: the table whose header follows a cell of that text, up to the first blank row."""
     folded = F.lower(F.btrim(F.regexp_replace("text", r"\s+", " ")))

@@ -63,3 +63,16 @@ def test_styles_bullets_and_no_lists(spark, tmp_path):
 @pytest.mark.parametrize(("n", "form", "text"), [(27, "lowerLetter", "aa"), (53, "upperLetter", "AAA"), (1994, "upperRoman", "MCMXCIV"), (3, "decimalZero", "03"), (3, "none", ""), (3, "ordinal", "3")])
 def test_counters(n, form, text):
     assert office.written(n, form) == text
+
+
+def test_sheets_must_have_their_columns(spark):
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    cells = [("p", "s", 1, 1, "id"), ("p", "s", 1, 2, "v"), ("p", "s", 2, 1, " k "), ("p", "s", 2, 2, "1"), ("p", "s", 3, 1, "k"), ("p", "s", 4, 2, "9")]
+    df = spark.createDataFrame(cells, "path string, sheet string, row int, col int, text string")
+    rows, keys = office.keyed_rows(office.sheet_rows(df, required=("id", "v")), "id")
+    assert [(r.row, r.key) for r in rows.orderBy("row").collect()] == [(2, "k"), (3, "k")] and [tuple(r) for r in keys.collect()] == [("k", 2)]
+    for bad in (office.sheet_rows(df, required=("id", "w")), office.sheet_rows(df.union(df.where("row = 1 and col = 1").selectExpr("path", "sheet", "row", "3 as col", "text")))):
+        with pytest.raises((PySparkException, Py4JError)):
+            bad.collect()
