@@ -158,24 +158,22 @@ WITH pieces AS (
   FROM documents WHERE text IS NOT NULL
 ), words AS (
   SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
-), one AS (
-  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0
 ), grams AS (
-  SELECT lang, w[i] AS gram, 1 AS size FROM one
-  UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM one WHERE i + 1 <= len(w)
-  UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM one WHERE i + 2 <= len(w)
-), f AS (
+  SELECT lang, unnest(w) AS gram, 1 AS size FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM words
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM words
+), f AS MATERIALIZED (
   SELECT lang, gram, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, gram
 ), n AS (
   SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
 ), cand AS (
   SELECT lang, gram AS phrase, size, f AS a, string_split(gram, ' ') AS w FROM f WHERE size > 1 AND f >= 10
-), cuts AS (
-  SELECT lang, phrase, a, w, unnest(generate_series(1, size - 1)) AS k FROM cand
+), cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y, k FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM cand)
+), firsts AS MATERIALIZED (
+  SELECT c.*, f.f AS l FROM cuts c JOIN f ON f.lang = c.lang AND f.gram = c.x
 ), parts AS (
-  SELECT c.lang, phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM cuts c JOIN f x ON x.lang = c.lang AND x.gram = array_to_string(w[:k], ' ')
-  JOIN f y ON y.lang = c.lang AND y.gram = array_to_string(w[k + 1:], ' ')
+  SELECT p.lang, phrase, a, k, l, f.f AS r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * f.f))::BIGINT AS score FROM firsts p JOIN f ON f.lang = p.lang AND f.gram = p.y
 ), weakest AS (
   SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), held AS (
