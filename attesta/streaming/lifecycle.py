@@ -54,25 +54,26 @@ def resumable(expected: DataFrame, ledger: DataFrame, keys: list[str], digest: s
 
 
 def stream_stage_states(events: DataFrame, run: str, stage: str, sequence: str, kind: str) -> DataFrame:
-    """The fold of ``stage_states`` over a stream: a row for each stage whose state a batch changes.
+    """The fold of ``stage_states`` over a stream: ``run, stage, state, ready`` for each stage that a batch changes in either.
 
     The state of a run is, for each stage, the last accepted and the last changed sequence number: as large as the
-    run has stages, whatever the number of events.
+    run has stages, whatever the number of events. Both are maxima, so late events, repeated ones and batches cut in any way
+    end in the same states, which are those of the table.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = {s: (a, c) for s, a, c in zip(*state.get, strict=True)} if state.exists else {}
-        old = _states(held)
+        old = stage_verdicts(held)
         for pdf in batches:
             for s, n, k in zip(pdf["stage"].tolist(), pdf["sequence"].tolist(), pdf["kind"].tolist(), strict=True):
                 a, c = held.get(s, (-1, -1))
                 held[s] = (max(a, n), c) if k == "accepted" else (a, max(c, n)) if k == "changed" else (a, c)
         state.update(([*held], [a for a, _ in held.values()], [c for _, c in held.values()]))
-        new = [(s, x) for s, x in _states(held).items() if old.get(s) != x]
-        yield pd.DataFrame({"run": [key[0]] * len(new), "stage": [s for s, _ in new], "state": [x for _, x in new]})
+        new = [(s, *x) for s, x in stage_verdicts(held).items() if old.get(s) != x]
+        yield pd.DataFrame({"run": [key[0]] * len(new), "stage": [s for s, _, _ in new], "state": [x for _, x, _ in new], "ready": [r for _, _, r in new]})
 
     rows = events.select(F.col(run).cast("string").alias("run"), F.col(stage).cast("int").alias("stage"), F.col(sequence).cast("long").alias("sequence"), F.col(kind).alias("kind"))
-    return rows.groupBy("run").applyInPandasWithState(fold, "run string, stage int, state string", "stages array<int>, accepted array<bigint>, changed array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("run").applyInPandasWithState(fold, "run string, stage int, state string, ready boolean", "stages array<int>, accepted array<bigint>, changed array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _states(held: dict[int, tuple[int, int]]) -> dict[int, str]:
