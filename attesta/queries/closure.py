@@ -23,7 +23,7 @@ def locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _lines(spark, sf_dir)
     claimed = n.where("p % 5 <> 0").select("l_orderkey", F.when(F.col("p") % 11 == 1, F.col("l_linenumber") + 100).otherwise(F.col("l_linenumber")).alias("l_linenumber"), F.when(F.col("p") % 7 == 2, F.lit("x")).otherwise(F.col("d")).alias("d"))
     got = closure.locator_problems(claimed.union(claimed.where("l_orderkey % 9 = 0")), n, ["l_orderkey", "l_linenumber"], "d")
-    return got.groupBy("problem").agg(F.count("*").alias("n"))
+    return got.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "problem")
 
 
 def ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def scope_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rebuilt = _scoped(spark, sf_dir).select("o_orderkey", "exact", "relevant")
     claimed = rebuilt.where("o_orderkey % 10 <> 3").withColumn("exact", F.when(F.col("o_orderkey") % 14 == 5, ~F.col("exact")).otherwise(F.col("exact")))
     claimed = claimed.union(claimed.where("o_orderkey % 22 = 1")).union(claimed.where("o_orderkey % 25 = 2").withColumn("o_orderkey", -F.col("o_orderkey")))
-    return closure.flag_problems(claimed, rebuilt, ["o_orderkey"], ["exact", "relevant"]).groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.flag_problems(claimed, rebuilt, ["o_orderkey"], ["exact", "relevant"])
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rows.select("o_orderkey", "exact", "relevant", F.when(k % 4 == 0, "12").when(k % 4 == 1, "-").alias("number"))
     entries = rows.where("relevant and o_orderkey % 17 <> 1").select("o_orderkey", F.when(k % 5 == 1, "reviewed").alias("review"), F.when(k % 5 == 2, "t").alias("terminal"))
     candidates = rows.where(k % 5 >= 3).select("o_orderkey", k.alias("candidate_id")).union(rows.where(k % 30 == 1).select("o_orderkey", k))
-    return closure.bridge_problems(s, entries, candidates, "o_orderkey", ["number"]).groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.bridge_problems(s, entries, candidates, "o_orderkey", ["number"])
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,21 +82,21 @@ def candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 12 == 6, F.col("qualifier")).otherwise(F.col("qualifier_original")).alias("qualifier"),
     )
     clauses = spark.createDataFrame([("v4_range", "excluded"), ("v4_else", "scientific_quarantine")], "clause string, disposition string")
-    return closure.candidate_decision_problems(c, d, clauses).groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.candidate_decision_problems(c, d, clauses)
 
 
 def native_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_mktsegment").alias("segment_original"), F.col("c_nationkey").cast("string").alias("nation_original"))
     fixes = spark.createDataFrame([("segment", "BUILDING", 1), ("segment", "BUILDING", 2), ("nation", "4", 3), ("nation", "BUILDING", 4)], "field string, term_original string, fix_id int")
     d = c.select("candidate_id", F.when(F.col("candidate_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).when(F.col("candidate_id") % 3 == 1, F.array(F.lit(3))).otherwise(F.array().cast("array<int>")).alias("fix_ids"))
-    return closure.fix_problems(c, d, fixes, ["segment", "nation"]).groupBy("fix_id", "problem").agg(F.count("*").alias("n"))
+    return closure.fix_problems(c, d, fixes, ["segment", "nation"])
 
 
 def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("candidate_id")
     d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate_id"), F.md5("s_name").alias("decision_id"), F.when(F.col("s_suppkey") % 3 == 0, "excluded").otherwise("preserve").alias("disposition"))
     used = d.where("candidate_id % 8 <> 1").select("candidate_id", F.when(k % 5 == 0, "other").otherwise(F.col("decision_id")).alias("decision_id"), F.when(k % 3 == 0, "excluded").otherwise("preserved").alias("action"), F.when((k % 3 == 0) & (k % 4 != 2) | (k % 7 == 1), F.array().cast("array<bigint>")).otherwise(F.array(F.floor(k / 2))).alias("outputs"))
-    return closure.consumption_problems(d, used).groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.consumption_problems(d, used)
 
 
 def replayed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,27 +378,27 @@ _NARRATED_SQL = """(CASE WHEN k % 13 = 0 THEN '' ELSE 'LD50 ' END || CASE WHEN k
 ORACLE = {
     "q_v28_locators": f"""WITH {_LINES}, c AS (SELECT l_orderkey AS a, CASE WHEN p % 11 = 1 THEN l_linenumber + 100 ELSE l_linenumber END AS b, CASE WHEN p % 7 = 2 THEN 'x' ELSE d END AS d FROM n WHERE p % 5 <> 0),
       g AS (SELECT a, b, count(*) AS k, min(d) AS lo, max(d) AS hi FROM (SELECT * FROM c UNION ALL SELECT * FROM c WHERE a % 9 = 0) GROUP BY 1, 2)
-      SELECT problem, count(*) AS n FROM (SELECT CASE WHEN n.d IS NULL THEN 'unknown_locator' WHEN k > 1 THEN 'repeated_locator' WHEN lo <> n.d OR hi <> n.d THEN 'digest_mismatch' END AS problem FROM g LEFT JOIN n ON a = l_orderkey AND b = l_linenumber) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT a AS l_orderkey, b::BIGINT AS l_linenumber, problem FROM (SELECT a, b, CASE WHEN n.d IS NULL THEN 'unknown_locator' WHEN k > 1 THEN 'repeated_locator' WHEN lo <> n.d OR hi <> n.d THEN 'digest_mismatch' END AS problem FROM g LEFT JOIN n ON a = l_orderkey AND b = l_linenumber) WHERE problem IS NOT NULL""",
     "q_w02_ascending": """SELECT position FROM (SELECT o_orderkey AS position, o_orderkey % 13 AS s, o_orderkey % 4 AS t, lag(o_orderkey % 13) OVER w AS ls, lag(o_orderkey % 4) OVER w AS lt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE s < ls OR (s = ls AND t <= lt)""",
     "q_d19_scope": f"WITH {_SCOPED} SELECT exact, relevant, count(*) AS n FROM s GROUP BY 1, 2",
     "q_d19_scope_replay": f"""WITH {_SCOPED}, c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 14 = 5 THEN NOT exact ELSE exact END AS e FROM s WHERE o_orderkey % 10 <> 3)
-      SELECT problem, n FROM (SELECT 'missing' AS problem, count(*) AS n FROM s WHERE o_orderkey % 10 = 3 UNION ALL SELECT 'unexpected', count(*) FROM c WHERE k % 25 = 2 UNION ALL SELECT 'repeated', count(*) FROM c WHERE k % 22 = 1
-      UNION ALL SELECT 'flags_differ', count(*) FROM c JOIN s ON k = o_orderkey WHERE e <> exact AND k % 22 <> 1) WHERE n > 0""",
+      SELECT o_orderkey, 'missing' AS problem FROM s WHERE o_orderkey % 10 = 3 UNION ALL SELECT -k, 'unexpected' FROM c WHERE k % 25 = 2 UNION ALL SELECT k, 'repeated' FROM c WHERE k % 22 = 1
+      UNION ALL SELECT k, 'flags_differ' FROM c JOIN s ON k = o_orderkey WHERE e <> exact AND k % 22 <> 1""",
     "q_a08_scope_counters": f"WITH {_SCOPED} SELECT 'primary' AS role, count(*) AS n, true AS has_digest FROM s UNION ALL SELECT 'exact', count(*), true FROM s WHERE exact UNION ALL SELECT 'union', count(*), true FROM s WHERE relevant UNION ALL SELECT 'none', 0, false",
     "q_d20_bridge": f"""WITH {_SCOPED}, e AS (SELECT o_orderkey AS k, exact, o_orderkey % 4 = 0 AS shown, o_orderkey % 5 = 1 AS rev, o_orderkey % 5 = 2 AS term, o_orderkey % 5 >= 3 OR o_orderkey % 30 = 1 AS cand FROM s WHERE relevant AND o_orderkey % 17 <> 1)
-      SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM s WHERE relevant AND o_orderkey % 17 = 1
-      UNION ALL SELECT CASE WHEN rev::INT + term::INT + cand::INT > 1 THEN 'branches_overlap' WHEN NOT rev AND NOT term AND NOT cand THEN 'no_branch' WHEN NOT cand AND shown THEN 'hides_a_number' WHEN NOT cand AND NOT term AND exact THEN 'exact_without_candidates' END FROM e) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT * FROM (SELECT o_orderkey, 'missing' AS problem FROM s WHERE relevant AND o_orderkey % 17 = 1
+      UNION ALL SELECT k, CASE WHEN rev::INT + term::INT + cand::INT > 1 THEN 'branches_overlap' WHEN NOT rev AND NOT term AND NOT cand THEN 'no_branch' WHEN NOT cand AND shown THEN 'hides_a_number' WHEN NOT cand AND NOT term AND exact THEN 'exact_without_candidates' END FROM e) WHERE problem IS NOT NULL""",
     "q_d20_candidate_decisions": """WITH c AS (SELECT p_partkey AS k, p_size::VARCHAR AS o, (p_size + 100)::VARCHAR AS u FROM part), d AS (SELECT k, o, u, CASE WHEN k % 10 = 0 THEN 'excluded' WHEN k % 10 = 1 THEN 'later' ELSE 'preserve' END AS disp,
         CASE WHEN k % 7 = 3 THEN '1e9' WHEN k % 2 = 0 THEN o ELSE u END AS num, CASE WHEN k % 2 = 0 OR k % 5 = 2 THEN 'mg' ELSE 'g' END AS unit FROM c WHERE k % 19 <> 0)
-      SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM c WHERE k % 19 = 0
-      UNION ALL SELECT CASE WHEN disp = 'later' THEN 'unknown_disposition' WHEN disp = 'excluded' AND k % 20 <> 0 THEN 'unapproved_clause' WHEN num NOT IN (o, u) THEN 'unsupported_value'
-        WHEN NOT ((num = u AND unit = 'g') OR (num = o AND unit = 'mg')) THEN 'mixed_values' WHEN disp = 'preserve' AND k % 6 = 0 AND k % 12 = 6 THEN 'inequality_erased' END FROM d) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT * FROM (SELECT k AS candidate_id, 'missing' AS problem FROM c WHERE k % 19 = 0
+      UNION ALL SELECT k, CASE WHEN disp = 'later' THEN 'unknown_disposition' WHEN disp = 'excluded' AND k % 20 <> 0 THEN 'unapproved_clause' WHEN num NOT IN (o, u) THEN 'unsupported_value'
+        WHEN NOT ((num = u AND unit = 'g') OR (num = o AND unit = 'mg')) THEN 'mixed_values' WHEN disp = 'preserve' AND k % 6 = 0 AND k % 12 = 6 THEN 'inequality_erased' END FROM d) WHERE problem IS NOT NULL""",
     "q_d20_fixes": """WITH c AS (SELECT c_custkey AS k, c_mktsegment = 'BUILDING' AS b, c_nationkey = 4 AS n FROM customer), w AS (SELECT k, unnest(list_concat(CASE WHEN b THEN [1, 2] ELSE [] END, CASE WHEN n THEN [3] ELSE [] END)) AS f FROM c),
       d AS (SELECT k, unnest(CASE k % 3 WHEN 0 THEN [1, 2] WHEN 1 THEN [3] ELSE [] END) AS f FROM c)
-      SELECT f AS fix_id, 'omitted' AS problem, count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM d) GROUP BY 1 UNION ALL SELECT f, 'extra', count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM w) GROUP BY 1""",
+      SELECT k AS candidate_id, f AS fix_id, 'omitted' AS problem FROM (SELECT * FROM w EXCEPT SELECT * FROM d) UNION ALL SELECT k, f, 'extra' FROM (SELECT * FROM d EXCEPT SELECT * FROM w)""",
     "q_v49_consumption": """WITH u AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS ex, NOT ((s_suppkey % 3 = 0 AND s_suppkey % 4 <> 2) OR s_suppkey % 7 = 1) AS out FROM supplier WHERE s_suppkey % 8 <> 1), o AS (SELECT k // 2 AS h FROM u WHERE out GROUP BY 1 HAVING count(*) > 1)
-      SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM supplier WHERE s_suppkey % 8 = 1 UNION ALL SELECT CASE WHEN k % 5 = 0 THEN 'decision_differs' WHEN ex AND out THEN 'excluded_emits' WHEN NOT ex AND NOT out THEN 'preserved_without_output' END FROM u
-      UNION ALL SELECT 'output_repeated' FROM u JOIN o ON k // 2 = h WHERE out) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT * FROM (SELECT s_suppkey AS candidate_id, 'missing' AS problem FROM supplier WHERE s_suppkey % 8 = 1 UNION ALL SELECT k, CASE WHEN k % 5 = 0 THEN 'decision_differs' WHEN ex AND out THEN 'excluded_emits' WHEN NOT ex AND NOT out THEN 'preserved_without_output' END FROM u
+      UNION ALL SELECT k, 'output_repeated' FROM u JOIN o ON k // 2 = h WHERE out) WHERE problem IS NOT NULL""",
     "q_d30_replay": "SELECT o_orderstatus, o_orderpriority, o_orderkey % 5 AS k, CASE WHEN o_orderkey % 5 = 2 THEN 'second' ELSE 'first' END AS side, count(*) AS times FROM orders WHERE o_orderkey % 5 IN (2, 3) GROUP BY 1, 2, 3, 4",
     "q_d29_obligations": """SELECT n_regionkey::VARCHAR AS source_id, count(*) AS owed, count(*) FILTER (WHERE n_nationkey % 3 = 0 OR n_regionkey = 1) AS met,
       CASE WHEN count(*) = count(*) FILTER (WHERE n_nationkey % 3 = 0 OR n_regionkey = 1) THEN 'closed' WHEN count(*) FILTER (WHERE n_nationkey % 3 = 0 OR n_regionkey = 1) > 0 THEN 'partial' ELSE 'open' END AS status FROM nation GROUP BY 1, n_regionkey""",

@@ -20,7 +20,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("field_id"))
     act = F.element_at(F.array(*map(F.lit, ["parser", "observations", "excluded", "guess"])), (F.col("field_id") % 4 + 1).cast("int"))
     d = c.where("field_id % 9 <> 0").select("field_id", act.alias("action"), F.when(F.col("field_id") % 3 == 0, "").otherwise("why").alias("reason"), F.when(F.col("field_id") % 8 == 1, F.array(F.lit("o"))).otherwise(F.array().cast("array<string>")).alias("observations"))
-    return adjudication.decision_problems(c, d.union(d.where("field_id % 50 = 1"))).groupBy("problem").agg(F.count("*").alias("n"))
+    return adjudication.decision_problems(c, d.union(d.where("field_id % 50 = 1")))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def oof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("fold"))
     p = o.where("o_orderkey % 7 <> 0").union(o.where("o_orderkey % 11 = 1")).union(o.where("o_orderkey % 13 = 0").selectExpr("-o_orderkey", "fold"))
     p = p.withColumn("prediction", F.when(F.col("o_orderkey") % 17 == 0, float("nan")).otherwise(1.0))
-    return evaluate.coverage_problems(o, p, ["o_orderkey", "fold"]).groupBy("problem").agg(F.count("*").alias("n"))
+    return evaluate.coverage_problems(o, p, ["o_orderkey", "fold"]).select("o_orderkey", "problem")
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +96,14 @@ ORACLE = {
     "q_v01_span_conflicts": """WITH c AS (SELECT l_orderkey AS f, l_orderkey * 10 + l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)
       SELECT a.f AS field_id, count(*) AS n FROM c a JOIN c b ON a.f = b.f AND a.i < b.i AND abs(a.p % 50 - b.p % 50) < 20 WHERE NOT ((a.p % 3 = 0 AND b.p % 3 = 1) OR (a.p % 3 = 1 AND b.p % 3 = 0)) GROUP BY 1""",
     "q_v48_decisions": """WITH c AS (SELECT c_custkey AS k FROM customer), d AS (SELECT k FROM c WHERE k % 9 <> 0 UNION ALL SELECT k FROM c WHERE k % 9 <> 0 AND k % 50 = 1)
-      SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM c WHERE k % 9 = 0 UNION ALL SELECT 'repeated' FROM c WHERE k % 9 <> 0 AND k % 50 = 1
-      UNION ALL SELECT CASE WHEN k % 4 = 3 THEN 'unknown_action' WHEN k % 4 = 1 AND k % 8 <> 1 THEN 'no_observations' WHEN k % 4 = 2 AND k % 3 = 0 THEN 'no_reason' END FROM d) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT * FROM (SELECT k AS field_id, 'missing' AS problem FROM c WHERE k % 9 = 0 UNION ALL SELECT k, 'repeated' FROM c WHERE k % 9 <> 0 AND k % 50 = 1
+      UNION ALL SELECT k, CASE WHEN k % 4 = 3 THEN 'unknown_action' WHEN k % 4 = 1 AND k % 8 <> 1 THEN 'no_observations' WHEN k % 4 = 2 AND k % 3 = 0 THEN 'no_reason' END FROM d) WHERE problem IS NOT NULL""",
     "q_v05_reviews": """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 10 <> 0 AS inn, s_suppkey % 4 <> 0 AS reach, s_suppkey % 3 <> 0 AS seen, s_suppkey % 5 > 1 AS ok, s_suppkey % 5 = 0 AS fail FROM supplier)
       SELECT problem, count(*) AS n FROM (SELECT CASE WHEN NOT inn AND seen THEN 'outside_scope' WHEN NOT inn THEN NULL WHEN seen AND ok THEN NULL WHEN seen AND fail AND NOT reach THEN NULL WHEN seen AND fail THEN 'reachable_but_failed' ELSE 'not_reviewed' END AS problem FROM s) WHERE problem IS NOT NULL GROUP BY 1""",
     "q_v45_receipts": """SELECT n_nationkey AS receipt_id, CASE WHEN n_nationkey % 5 IN (2, 3) OR n_nationkey = 10 THEN 'INVALID' WHEN n_nationkey = 7 OR n_nationkey % 6 = 1 THEN 'STALE' WHEN n_nationkey % 4 = 0 THEN 'REJECTED'
       WHEN n_nationkey % 2 > 0 THEN 'BLOCKED' ELSE 'CURRENT_APPROVED' END AS status FROM nation""",
     "q_j16_oof_coverage": """WITH o AS (SELECT o_orderkey AS k FROM orders), p AS (SELECT k FROM o WHERE k % 7 <> 0 UNION ALL SELECT k FROM o WHERE k % 11 = 1 UNION ALL SELECT -k FROM o WHERE k % 13 = 0), c AS (SELECT k, count(*) AS n FROM p GROUP BY 1)
-      SELECT problem, count(*) AS n FROM (SELECT CASE WHEN o.k IS NULL THEN 'unexpected' WHEN c.n IS NULL THEN 'missing' WHEN c.n > 1 THEN 'repeated' WHEN o.k % 17 = 0 THEN 'not_finite' END AS problem FROM o FULL JOIN c USING (k)) WHERE problem IS NOT NULL GROUP BY 1""",
+      SELECT * FROM (SELECT k AS o_orderkey, CASE WHEN o.k IS NULL THEN 'unexpected' WHEN c.n IS NULL THEN 'missing' WHEN c.n > 1 THEN 'repeated' WHEN o.k % 17 = 0 THEN 'not_finite' END AS problem FROM o FULL JOIN c USING (k)) WHERE problem IS NOT NULL""",
     "q_d17_evaluate": """WITH e AS (SELECT event_id, event_id % 3 AS f, value AS y FROM events), b AS (SELECT x.f, avg(z.y) AS m FROM (SELECT DISTINCT f FROM e) x JOIN e z ON z.f <> x.f GROUP BY 1),
       p AS (SELECT 'a' AS c, y, y + 1 AS p FROM e UNION ALL SELECT 'b', y, y + event_id % 5 FROM e UNION ALL SELECT 'baseline', y, m FROM e JOIN b USING (f)), m AS (SELECT *, avg(y) OVER () AS mu FROM p)
       SELECT c AS candidate_id, count(*) AS n, round(avg(abs(y - p)), 5) AS mae, round(sqrt(avg((y - p) ** 2)), 5) AS rmse, round(1 - sum((y - p) ** 2) / sum((y - mu) ** 2), 5) AS r2 FROM m GROUP BY 1""",
