@@ -84,20 +84,20 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = table(spark, sf_dir, "orders").select(k.alias("trial"), (k % 3).alias("fold"), F.lit("c").alias("config"))
     made = plan.where("trial % 10 <> 1").withColumn("config", F.when(F.col("trial") % 15 == 2, "d").otherwise(F.col("config")))
     made = made.union(made.where("trial % 20 = 3")).union(made.where("trial % 30 = 4").withColumn("trial", -F.col("trial")))
-    return evaluate.study_problems(plan, made, ["trial", "fold"], ["config"]).groupBy("problem").agg(F.count("*").alias("n"))
+    return evaluate.study_problems(plan, made, ["trial", "fold"], ["config"]).select("trial", "problem")
 
 
 def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey")
     parts = {"features": c.where("c_custkey % 9 <> 0"), "scores": c.union(c.where("c_custkey % 7 = 0")), "partitions": c.union(c.where("c_custkey % 11 = 0").selectExpr("-c_custkey - 1"))}
-    return evaluate.axis_problems(c, parts, "c_custkey").groupBy("axis", "problem").agg(F.count("*").alias("n"))
+    return evaluate.axis_problems(c, parts, "c_custkey")
 
 
 def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     e = s.where("s_suppkey % 8 <> 0").select("s_suppkey", F.col("s_name").alias("label"), F.when(F.col("s_suppkey") % 5 == 0, None).otherwise(F.col("s_nationkey")).alias("place"))
     e = e.union(e.where("s_suppkey % 9 = 1")).union(e.where("s_suppkey % 30 = 7").withColumn("s_suppkey", -F.col("s_suppkey")))
-    return closure.effect_problems(s, e, ["s_suppkey"], {"label": "s_name", "place": "s_nationkey"}).groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.effect_problems(s, e, ["s_suppkey"], {"label": "s_name", "place": "s_nationkey"})
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey")
     d = rows.where("o_orderkey % 25 <> 1").select("o_orderkey", F.when(k % 3 == 0, "excluded").otherwise("retained").alias("disposition"), F.when((k % 3 == 0) & (k % 4 != 3), F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
     out = rows.where("o_orderkey % 3 <> 0 and o_orderkey % 10 <> 2 or o_orderkey % 33 = 0")
-    return closure.ledger_problems(rows, d, out.union(out), "o_orderkey").groupBy("problem").agg(F.count("*").alias("n"))
+    return closure.ledger_problems(rows, d, out.union(out), "o_orderkey")
 
 
 def poisoned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,15 +187,15 @@ ORACLE = {
       n_nationkey % 2 = 0 AS same FROM nation""",
     "q_v21_probabilities": """SELECT what, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'class_repeated' WHEN event_id % 13 = 0 THEN 'positive_class_missing' WHEN event_id % 7 = 0 THEN 'sum_is_not_one' WHEN event_id % 17 = 0 THEN 'outside_unit'
       WHEN event_id % 2 = 0 THEN '0.25' ELSE '0.75' END AS what FROM events) GROUP BY 1""",
-    "q_v30_studies": """WITH p AS (SELECT o_orderkey AS k FROM orders), m AS (SELECT k FROM p WHERE k % 10 <> 1) SELECT problem, n FROM (SELECT 'missing' AS problem, count(*) AS n FROM p WHERE k % 10 = 1 UNION ALL SELECT 'unplanned', count(*) FROM m WHERE k % 30 = 4
-      UNION ALL SELECT 'repeated', count(*) FROM m WHERE k % 20 = 3 UNION ALL SELECT 'context_differs', count(*) FROM m WHERE k % 15 = 2 AND k % 20 <> 3) WHERE n > 0""",
-    "q_v46_axes": """SELECT axis, problem, n FROM (SELECT 'features' AS axis, 'missing' AS problem, count(*) AS n FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT 'scores', 'repeated', count(*) FROM customer WHERE c_custkey % 7 = 0
-      UNION ALL SELECT 'partitions', 'outside', count(*) FROM customer WHERE c_custkey % 11 = 0) WHERE n > 0""",
-    "q_v27_effects": """WITH s AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k FROM s WHERE k % 8 <> 0) SELECT problem, n FROM (SELECT 'missing' AS problem, count(*) AS n FROM s WHERE k % 8 = 0 UNION ALL SELECT 'repeated', count(*) FROM e WHERE k % 9 = 1
-      UNION ALL SELECT 'unexpected', count(*) FROM e WHERE k % 30 = 7 UNION ALL SELECT 'projection_differs', count(*) FROM e WHERE k % 5 = 0 AND k % 9 <> 1) WHERE n > 0""",
-    "q_d21_ledger": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 2 OR o_orderkey % 33 = 0 AS out FROM orders) SELECT problem, count(*) AS n FROM (SELECT 'missing' AS problem FROM o WHERE k % 25 = 1
-      UNION ALL SELECT CASE WHEN k % 25 = 1 THEN CASE WHEN out THEN 'output_without_disposition' END WHEN k % 3 <> 0 AND NOT out THEN 'retained_without_output' WHEN k % 3 = 0 AND out THEN 'output_of_a_row_not_retained' WHEN k % 3 = 0 AND k % 4 = 3 THEN 'no_reason' END FROM o)
-      WHERE problem IS NOT NULL GROUP BY 1""",
+    "q_v30_studies": """WITH p AS (SELECT o_orderkey AS k FROM orders), m AS (SELECT k FROM p WHERE k % 10 <> 1) SELECT k AS trial, 'missing' AS problem FROM p WHERE k % 10 = 1 UNION ALL SELECT -k, 'unplanned' FROM m WHERE k % 30 = 4
+      UNION ALL SELECT k, 'repeated' FROM m WHERE k % 20 = 3 UNION ALL SELECT k, 'context_differs' FROM m WHERE k % 15 = 2 AND k % 20 <> 3""",
+    "q_v46_axes": """SELECT 'features' AS axis, c_custkey, 'missing' AS problem FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT 'scores', c_custkey, 'repeated' FROM customer WHERE c_custkey % 7 = 0
+      UNION ALL SELECT 'partitions', -c_custkey - 1, 'outside' FROM customer WHERE c_custkey % 11 = 0""",
+    "q_v27_effects": """WITH s AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k FROM s WHERE k % 8 <> 0) SELECT k AS s_suppkey, 'missing' AS problem FROM s WHERE k % 8 = 0 UNION ALL SELECT k, 'repeated' FROM e WHERE k % 9 = 1
+      UNION ALL SELECT -k, 'unexpected' FROM e WHERE k % 30 = 7 UNION ALL SELECT k, 'projection_differs' FROM e WHERE k % 5 = 0 AND k % 9 <> 1""",
+    "q_d21_ledger": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 2 OR o_orderkey % 33 = 0 AS out FROM orders) SELECT * FROM (SELECT k AS o_orderkey, 'missing' AS problem FROM o WHERE k % 25 = 1
+      UNION ALL SELECT k, CASE WHEN k % 25 = 1 THEN CASE WHEN out THEN 'output_without_disposition' END WHEN k % 3 <> 0 AND NOT out THEN 'retained_without_output' WHEN k % 3 = 0 AND out THEN 'output_of_a_row_not_retained' WHEN k % 3 = 0 AND k % 4 = 3 THEN 'no_reason' END FROM o)
+      WHERE problem IS NOT NULL""",
     "q_v12_poisoned_output": "SELECT c_custkey, 'npid' AS kind, c_nationkey::VARCHAR AS value FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 6 = 1",
     "q_v14_expected_outputs": """WITH d AS (SELECT c_custkey, c_custkey % 3 AS e FROM customer WHERE c_custkey % 5 <> 0), o AS (SELECT o_custkey AS c_custkey, count(*) AS f FROM orders GROUP BY 1)
       SELECT c_custkey, coalesce(e, 0)::BIGINT AS expected, coalesce(f, 0) AS found FROM d FULL JOIN o USING (c_custkey) WHERE coalesce(e, 0) <> coalesce(f, 0)""",
