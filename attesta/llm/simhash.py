@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, text: st
     ``component_id`` is the smallest key that is reached over links between fingerprints, the row's own
     included. Equal fingerprints are one node, however many rows have them. Null texts have fingerprint
     zero; rows with a null key keep it and get the smallest key of their component (null if it has none);
-    repeated keys keep one row each. An empty table gives an empty result.
+    repeated keys keep one row each. An empty table gives an empty result. A very long text is hashed in blocks; other columns
+    aren't read, whatever their names.
     """
     stage = Staging(docs.sparkSession, "simhash")
     each = stage.put(fingerprints(docs, shingle, text, (key,)), "each")
@@ -246,7 +247,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     short, if their sets are alike enough. So a large group of copies makes about as many rows as it has texts. Repeated rows are one text, a very long text one set.
 
     The smallest (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text.
-    Texts without words are one group.
+    Texts without words are one group. An empty table gives an empty result; other columns aren't read, whatever their names.
     """
     stage = Staging(docs.sparkSession, "groups")
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tag"), F.col(text).alias("t"))

@@ -147,7 +147,7 @@ def compare_with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id")
     Columns ``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The
     next document is the next by ascending key (null first; rows of one key by a hash of the text), after
     the last the first; a single row follows itself. A null text is an empty one. Only key and text are
-    read. An empty table gives an empty result.
+    read, whatever the names of others. An empty table gives an empty result; a very long text is one set, made by its task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

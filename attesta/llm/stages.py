@@ -1,4 +1,8 @@
-"""The operators as stages of a corpus pipeline: documents in, documents out."""
+"""The operators as stages of a corpus pipeline: documents in, documents out.
+
+Column names that begin with two underscores are the stages' own and must not be in the input; all others pass through.
+A null key is a key, and rows of one key are told apart by a 64-bit hash of their text. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -37,12 +41,20 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents without the lines of three-line windows that an earlier place has."""
+    """Documents without the lines of three-line windows that an earlier place has.
+
+    Null texts stay null, texts of fewer lines stay as they are; rows equal in key and text are one text and lose the same
+    lines; a very long text is looked at once a line.
+    """
     return _measured(line_dedup.dedup_lines(docs), docs.columns)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies; of rows equal in key and text one."""
+    """One document of each group of near copies; of rows equal in key and text one.
+
+    Null texts and those without words are one group. Of a group the smallest key stays, null first, then the smallest hash;
+    a very long text is one set of shingles.
+    """
     groups = simhash.near_groups(docs).where("first").select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag")).distinct()
     tagged = docs.withColumn("__own", F.xxhash64("text"))
     on = F.col("doc_id").eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__tag"))
@@ -50,7 +62,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """Documents without the words of 35-word windows that occur more than once."""
+    """Documents without the words of 35-word windows that occur more than once.
+
+    Null texts stay null; of rows equal in key and text one stays, and they count as places of their own; a very long text is
+    dealt in stretches.
+    """
     got = substring_dedup.dedup_substrings(docs).select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__text")).dropDuplicates(["__k", "__tag"])
     rest = docs.withColumn("__own", F.xxhash64("text")).drop("text")
     on = F.col("doc_id").eqNullSafe(F.col("__k")) & (F.col("__own") == F.col("__tag"))
@@ -58,5 +74,5 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """All documents packed into sequences."""
+    """All documents packed into sequences, by ``packing.pack_documents``: null texts are their closing 0, repeated rows are packed again."""
     return packing.pack_documents(docs)

@@ -221,7 +221,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", key:
     covers it also starts anywhere else in the corpus, the same text included. ``kept_text`` has the kept
     runs of words with the white space inside them, joined by line feeds; without removals it is the text itself.
     Null and empty texts have no words; rows that repeat key and text are places of their own; an empty table
-    gives an empty result. ``tag`` is a 64-bit hash of the text that tells rows of one key apart.
+    gives an empty result; a very long text is cut into stretches by one task and dealt; other columns aren't read, whatever their
+    names. ``tag`` is a 64-bit hash of the text that tells rows of one key apart.
     """
     if window < GRAM:
         raise ValueError(f"a window must hold at least {GRAM} words")

@@ -36,12 +36,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, version: str = "byte_
 
 
 def inserts(counts: DataFrame) -> DataFrame:
-    """Counted documents that are new, as signed rows."""
+    """Counted documents that are new, as signed rows, one each; none of an empty table, null keys kept."""
     return counts.select(*KEYS, F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"))
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    """Counted documents that are gone: the same rows with the opposite sign."""
+    """Counted documents that are gone: the same rows, null keys and repeats among them, with the opposite sign."""
     return counts.select(*KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("n_tokens")).alias("tokens"))
 
 
@@ -70,7 +70,11 @@ class Rollup:
         return fs.exists(p)
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
-        """Adds the signed rows of ``batch``; False if that id was committed before."""
+        """Adds the signed rows of ``batch``; False if that id was committed before.
+
+        A batch without rows is committed like any other and adds nothing; null sources, languages and versions are keys;
+        repeated rows count as often as they stand; columns but the keys, ``docs`` and ``tokens`` aren't read.
+        """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id is letters, digits, - and _")
         if self.committed(batch):

@@ -40,3 +40,9 @@ def test_a_text_of_very_many_lines(spark):
     rows = [(1, own("a") + "\n" + own("b")), (2, own("c") + "\n" + own("b"))]
     got = {r.doc_id: (r.text, r.lines_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == (own("c"), 100_000)
+
+
+def test_rows_equal_in_key_and_text(spark):
+    rows = [(1, "a\nb\nc\nd")] * 2 + [(2, "x\na\nb\nc"), (None, "q\nr\ns"), (None, "q\nr\ns")]
+    got = sorted((repr(r.doc_id), r.text, r.lines_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [("1", "a\nb\nc\nd", 0), ("1", "a\nb\nc\nd", 0), ("2", "x", 3), ("None", "q\nr\ns", 0), ("None", "q\nr\ns", 0)]

@@ -142,3 +142,21 @@ def test_of_two_commits_at_a_time_one_counts(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         done = list(pool.map(lambda _: rollup.commit("b", rows), range(4)))
     assert sum(done) == 1 and [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 2)]
+
+
+def test_null_keys_and_repeated_rows_are_packed(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c"), (1, "a b c"), (1, None)], "doc_id bigint, text string")
+    rows = pack_documents(df).collect()
+    assert len(rows) == 5 and sum(x.doc_id is None for x in rows) == 2 and len({(x.sequence_id, x.offset) for x in rows}) == 5
+
+
+def test_an_empty_batch_is_committed_and_adds_nothing(spark, tmp_path):
+    from attesta.llm.token_counts import Rollup, count_tokens, inserts
+
+    docs = spark.createDataFrame([(1, "a b", "s", None), (1, "a b", "s", None), (None, None, None, "en")], "doc_id bigint, text string, source string, lang string")
+    counts, rollup = count_tokens(docs), Rollup(spark, f"{tmp_path}/r")
+    assert rollup.totals().count() == 0
+    assert rollup.commit("none", inserts(counts.limit(0))) and not rollup.commit("none", inserts(counts)) and rollup.totals().count() == 0
+    assert rollup.commit("some", inserts(counts))
+    got = {(x.source, x.lang): (x.docs, x.tokens > 0) for x in rollup.totals().collect()}
+    assert got == {("s", None): (2, True), (None, "en"): (1, False)}

@@ -78,3 +78,24 @@ def test_pairs_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
     members, pairs = near_pairs(df.limit(0))
     assert members.count() == 0 and pairs.count() == 0
+
+
+def test_pairs_query_against_brute_force(spark, tmp_path):
+    from attesta.llm.spotsigs import spotsigs_pairs_query
+
+    r = random.Random(3)
+    base = [[r.choice(["the", "of", f"w{r.randint(0, 300)}", f"v{r.randint(0, 300)}"]) for _ in range(90)] for _ in range(8)]
+    texts = []
+    for b in base:
+        for _ in range(4):
+            c = list(b)
+            for _ in range(r.randint(0, 5)):
+                c[r.randrange(len(c))] = f"z{r.randint(0, 99)}"
+            texts.append(" ".join(c))
+    texts += [texts[0], texts[5], "", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_equal, x.n_near) for x in spotsigs_pairs_query(spark, str(tmp_path)).collect()}
+    sets = [frozenset(signatures(t).tolist()) for t in texts]
+    like = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8
+    want = {i: (sets.count(s), sum(like(s, o) for o in set(sets) if o != s)) for i, s in enumerate(sets)}
+    assert got == want and sum(n for _, n in want.values()) > 4
