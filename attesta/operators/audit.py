@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.functions.text import citations, label_references, leading_label, parameters
+from attesta.functions.text import citations, column_index, label_references, leading_label, parameters
 from attesta.functions.values import folded, is_close
+from attesta.operators.evaluate import formula_references
 from attesta.operators.joins import reconcile
 from attesta.operators.ordered import running_sums
 from attesta.plans.staging import Staging
@@ -147,3 +148,38 @@ def table_shapes(cells: DataFrame, keys: list[str]) -> DataFrame:
     first = lines.where("row = 0").select(*keys, F.col("h").alias("head"))
     joined = lines.join(first, keys, "left")
     return joined.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("n").alias("columns"), (F.min("n") < F.max("n")).alias("ragged"), F.count_if((F.col("row") > 0) & (F.col("h") == F.col("head"))).alias("repeated_headers"))
+
+
+def audit_workbooks(parts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Findings over ``office.read_parts`` and ``office.read_cells``: what a workbook's names, tables and formulas lean on.
+
+    Sheets and names (each in its scope) that come twice without regard to case, and tables; references of names and formulas
+    that are lost, lead to another workbook or to a sheet that isn't there, or show only when computed; tables whose part is
+    lost, whose range is no range, or whose columns aren't the cells of its first row.
+    """
+    at = lambda *more: F.concat_ws("!", F.regexp_extract("path", "[^/]*$", 0), *more)
+    where = lambda rows, severity, code, *more: finding(rows, "workbook", severity, code, at(*more))
+    scope = F.when(F.col("kind") == "name", F.coalesce("sheet", F.lit(""))).otherwise("")
+    twice = parts.where("kind <> 'lost_table'").groupBy("path", "kind", scope.alias("scope"), F.lower("name").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    found = [where(twice, "blocker", "repeated_name", F.col("kind"), F.col("name")), where(parts.where("kind = 'lost_table'"), "blocker", "lost_table_part", F.col("sheet"), F.col("name"))]
+
+    names = parts.where("kind = 'name'").select("path", F.col("name").alias("place"), formula_references(F.concat(F.lit("="), "text")).alias("r"))
+    formulas = cells.where("formula is not null").select("path", F.concat_ws("!", "sheet", F.concat(F.lit("R"), "row", F.lit("C"), "col")).alias("place"), formula_references(F.col("formula")).alias("r"))
+    leans = names.unionByName(formulas)
+    for flag, severity, code in (("broken", "blocker", "lost_reference"), ("external", "blocker", "external_reference"), ("indirect", "unverified", "computed_reference")):
+        found.append(where(leans.where(f"r.{flag}"), severity, code, F.col("place")))
+    known = parts.where("kind = 'sheet'").select("path", F.lower("name").alias("s"))
+    led = leans.select("path", "place", F.explode("r.sheets").alias("sheet")).withColumn("s", F.lower("sheet"))
+    found.append(where(led.join(known, ["path", "s"], "left_anti"), "blocker", "unknown_sheet", F.col("place"), F.col("sheet")))
+
+    ends = F.regexp_extract_all(F.upper("text"), F.lit(r"^\$?([A-Z]{1,3})\$?([0-9]+):\$?([A-Z]{1,3})\$?([0-9]+)$"), 0)
+    corner = lambda i: F.regexp_extract(F.upper("text"), r"^\$?([A-Z]{1,3})\$?([0-9]+):\$?([A-Z]{1,3})\$?([0-9]+)$", i)
+    tables = parts.where("kind = 'table'").withColumn("sound", F.size(ends) == 1)
+    found.append(where(tables.where("not sound"), "blocker", "table_range", F.col("name"), F.col("text")))
+    heads = tables.where("sound").select("path", "sheet", "name", "columns", column_index(corner(1)).alias("left"), corner(2).cast("int").alias("row"), column_index(corner(3)).alias("right"))
+    wide = heads.where(F.size("columns") != F.col("right") - F.col("left") + 1)
+    found.append(where(wide, "blocker", "table_width", F.col("name")))
+    want = heads.select("path", "sheet", "name", "left", "row", F.posexplode("columns").alias("k", "column")).withColumn("col", F.col("left") + F.col("k"))
+    met = want.join(cells.select("path", "sheet", "row", "col", "text"), ["path", "sheet", "row", "col"], "left")
+    found.append(where(met.where(folded(F.coalesce("text", F.lit(""))) != folded("column")), "blocker", "table_header", F.col("name"), F.col("column")))
+    return reduce(DataFrame.unionByName, found)

@@ -72,6 +72,34 @@ def workbook_cells(data: bytes) -> Iterator[tuple[str, int, int, str, str | None
                 yield sheet.get("name"), int(m.group(2)), column_number(m.group(1)), text, formula
 
 
+def workbook_parts(data: bytes) -> Iterator[tuple[str, str, str | None, str, list[str]]]:
+    """``(kind, name, sheet, text, columns)`` of a workbook's sheets, defined names and tables.
+
+    ``text`` is a name's formula or a table's range; a name that holds in one sheet only has that sheet. A table part that no
+    relationship leads to is a ``lost_table``.
+    """
+    z = opened(data)
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    targets = related(z, "xl/workbook.xml")
+    sheets = [(e.get("name", ""), targets.get(_attribute(e, "id"), "")) for e in book.iter() if _name(e) == "sheet"]
+    for name, part in sheets:
+        yield "sheet", name, None, part, []
+    for e in (x for x in book.iter() if _name(x) == "definedName"):
+        at = e.get("localSheetId")
+        yield "name", e.get("name", ""), None if at is None else sheets[int(at)][0] if int(at) < len(sheets) else "", e.text or "", []
+    for name, part in sheets:
+        if part not in z.namelist():
+            continue
+        parts = related(z, part)
+        for e in (x for x in ET.fromstring(z.read(part)).iter() if _name(x) == "tablePart"):
+            target = parts.get(_attribute(e, "id"), "")
+            if target not in z.namelist():
+                yield "lost_table", _attribute(e, "id"), name, target, []
+                continue
+            root = ET.fromstring(z.read(target))
+            yield "table", root.get("displayName") or root.get("name", ""), name, root.get("ref", ""), [c.get("name", "") for c in root.iter() if _name(c) == "tableColumn"]
+
+
 def _own(e: ET.Element, *path: str) -> ET.Element | None:
     """A descendant by the local names on the way to it."""
     for name in path:
@@ -207,6 +235,11 @@ def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _files(spark, path, "sheet string, row int, col int, text string, formula string", workbook_cells)
 
 
+def read_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All sheets, defined names and tables of the workbooks under ``path``: ``path, kind, name, sheet, text, columns``."""
+    return _files(spark, path, "kind string, name string, sheet string, text string, columns array<string>", workbook_parts)
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """All paragraphs of the documents under ``path``: ``path, block, style, text, images, level, label``; the last two for list items."""
     return _files(spark, path, "block int, style string, text string, images int, level int, label string", document_blocks)
