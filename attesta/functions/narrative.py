@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,19 +61,16 @@ def mentions(c: str | Column) -> Column:
 
 def _place(token: Column) -> Column:
     """The place in a statement that a token can have, by number; 0 if it has none."""
-    x = F.lower(token)
-    inside = F.substring(x, F.lit(3), F.length(x) - 4)
+    x, at = F.lower(token), {name: i + 1 for i, name in enumerate(PLACES)}
+    fixed = {"ENDPOINT": ("ld50",), "SPECIES": SPECIES, "ROUTE": ROUTES, "relation": COMPARED, "weight": WEIGHTS, "stop": (".",), "UNIT": [f"{m}/kg" for m in MEASURES], "marker": [f"**{m}**" for m in MARKERS]}
+    known = F.create_map(*[F.lit(v) for name, words in fixed.items() for w in words for v in (w, at[name])])
     link = F.replace(F.replace(F.replace(x, F.lit(LINK_STARTS[0])), F.lit(LINK_STARTS[1])), F.lit(LINK_END))
     is_link = (x.startswith(LINK_STARTS[0]) | x.startswith(LINK_STARTS[1])) & x.endswith(LINK_END) & (link != "") & (F.translate(link, "0123456789", "") == "")
-    unit = F.split(x, "/")
-    kinds = {
-        "ENDPOINT": x == "ld50", "SPECIES": x.isin(*SPECIES), "ROUTE": x.isin(*ROUTES), "note": x.startswith("("), "relation": x.isin(*COMPARED), "VALUE": is_scalar(x), "weight": x.isin(*WEIGHTS),
-        "UNIT": F.get(unit, F.lit(0)).isin(*MEASURES) & (F.get(unit, F.lit(1)) == "kg"), "stop": x == ".", "REFERENCE": x.startswith("[") & (F.length(x) > 1), "marker": x.startswith("**") & inside.isin(*MARKERS), "link": is_link,
-    }
-    out = F.lit(0)
-    for name, holds in kinds.items():
-        out = F.when(F.coalesce(holds, F.lit(False)), PLACES.index(name) + 1).otherwise(out)
-    return out
+    by_sign = (
+        F.when(F.ascii(x).between(48, 57), F.when(is_scalar(x), at["VALUE"]).otherwise(0)).when(x.startswith("("), F.when(F.length(x) > 1, at["note"]).otherwise(0))
+        .when(x.startswith("["), F.when(F.length(x) > 1, at["REFERENCE"]).otherwise(0)).when(x.startswith("<a"), F.when(is_link, at["link"]).otherwise(0)).otherwise(0)
+    )
+    return F.coalesce(known[x], by_sign)
 
 
 def narrative(c: str | Column) -> Column:
@@ -83,9 +82,8 @@ def narrative(c: str | Column) -> Column:
     """
     t = F.coalesce(col(c), F.lit(""))
 
-    def read(seen: Column) -> Column:
-        places = F.transform(seen, lambda x: x["place"])
-        said = lambda name: F.coalesce(F.get(F.filter(seen, lambda x: x["place"] == PLACES.index(name) + 1), F.lit(0))["token"], F.lit(""))
+    def read(tokens: Column, places: Column) -> Column:
+        said = lambda name: F.coalesce(F.get(tokens, (F.array_position(places, PLACES.index(name) + 1) - 1).cast("int")), F.lit(""))
         must = F.array(*[F.lit(i + 1) for i, name in enumerate(PLACES) if name.isupper()])
         apart = (said("weight") == "") | (F.instr(t, F.concat(said("UNIT"), F.lit(" "), said("weight"))) > 0)
         whole = (places == F.array_sort(F.array_distinct(places))) & ~F.array_contains(places, 0) & (F.size(F.array_except(must, places)) == 0) & apart
@@ -93,11 +91,13 @@ def narrative(c: str | Column) -> Column:
         by_tube = (F.lower(said("ROUTE")) == "oral") & (F.lower(note) == "gavage")
         words = F.regexp_extract_all(F.lower(said("REFERENCE")), F.lit(r"(?U)[\p{L}\p{N}_]+|\S"), 0)
         named = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        dosed = F.exists(F.array(*map(F.lit, MEASURES)), lambda m: F.contains(named, F.concat(F.lit(" "), m, F.lit(" / kg "))))
-        n = mentions(t)
-        why = (
-            F.when(n == 0, "no_ld50_mention").when(n > 1, "multiple_or_ambiguous_ld50_observations").when(~whole, "narrative_not_verified_single_rat_oral_scalar")
-            .when((note != "") & ~F.lower(note).isin(*NOTES) & ~by_tube, "unverified_parenthetical_context").when(dosed, "ambiguous_bracketed_dose_context")
+        dosed = reduce(lambda p, q: p | q, [F.contains(named, F.lit(f" {m} / kg ")) for m in MEASURES])
+        why = let(
+            mentions(t),
+            lambda n: (
+                F.when(n == 0, "no_ld50_mention").when(n > 1, "multiple_or_ambiguous_ld50_observations").when(~whole, "narrative_not_verified_single_rat_oral_scalar")
+                .when((note != "") & ~F.lower(note).isin(*NOTES) & ~by_tube, "unverified_parenthetical_context").when(dosed, "ambiguous_bracketed_dose_context")
+            ),
         )
 
         def told(reason: Column) -> Column:
@@ -111,8 +111,8 @@ def narrative(c: str | Column) -> Column:
 
         return let(why, told)
 
-    tokens = F.regexp_extract_all(t, F.lit("|".join(_TOKENS)), 0)
-    return let(F.transform(tokens, lambda x: F.struct(x.alias("token"), _place(x).alias("place"))), read)
+    found = F.regexp_extract_all(t, F.lit("|".join(_TOKENS)), 0)
+    return let(found, lambda tokens: let(F.transform(tokens, _place), lambda places: read(tokens, places)))
 
 
 _TIMES = ("x", "×", "·", "*")
