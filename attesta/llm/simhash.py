@@ -287,13 +287,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     met = stage.put(met.drop("m").join(meets, "id").withColumn("hub", F.max(F.struct("meets", "id", "rest")).over(w)).drop("meets"), "met")
 
     near = lambda post, x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= F.when(F.col(post) < 0, F.lit(OTHER + 4)).otherwise(F.lit(OTHER))
+    # the hubs that a text can be compared with in all rounds: those that share most lists with it, and those that meet most others
+    hubs = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest")).groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("lists"), F.max("hub.meets").alias("meets"))
+    best = lambda by: F.slice(F.sort_array(F.collect_list(F.struct(by, "h", "lists", "meets")), False), 1, STARS)
+    plain = lambda x: F.struct(x["h"].alias("h"), x["lists"].alias("lists"), x["meets"].alias("meets"))
+    hubs = hubs.groupBy("id").agg(best(F.col("lists").alias("by")).alias("a"), best(F.col("meets").alias("by")).alias("b"))
+    own = stage.put(hubs.select("id", F.inline(F.array_distinct(F.concat(F.transform("a", plain), F.transform("b", plain))))), "hubs")
     begun, tried = nodes.select("id", F.col("id").alias("root")), None
     for turn in range(STARS + 1):
         if turn < STARS:
             # stars first: a text with the hubs of its lists, so that a large group is one before pairs are made; of the hubs not
             # looked at the one that shares most lists with the text, and the one that meets most others
-            shared = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest"))
-            own = shared.groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("lists"), F.max("hub.meets").alias("meets"))
             open_ = own.join(begun, "id").join(begun.select(F.col("id").alias("h"), F.col("root").alias("hub_root")), "h").where("root <> hub_root")
             if tried is not None:
                 open_ = open_.join(tried.select(F.col("a").alias("h"), F.col("b").alias("id")), ["h", "id"], "left_anti")
@@ -304,7 +308,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
             tried = pairs if tried is None else tried.unionByName(pairs)
         else:  # what meets in a list and is in different groups still
             rooted = met.drop("hub").join(begun, "id")
-            several = rooted.groupBy("post").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("post")
+            # a list of two whose other halves are apart gives no pair; most lists that unrelated texts share are such
+            several = rooted.groupBy("post").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("texts"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+            several = several.where((F.col("r0") != F.col("r1")) & ((F.col("texts") > 2) | near("post", "lo", "hi"))).select("post")
             sketched = nodes.select("id", "n", F.when(F.col("n") <= SHORT, F.col("few")).otherwise(F.col("fps")).alias("sk"))
             left = stage.put(rooted.join(several, "post").join(sketched, "id"), "left").repartition("post")
             n1, n2 = F.col("one.n"), F.col("two.n")
