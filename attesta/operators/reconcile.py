@@ -26,9 +26,9 @@ def ordered_digest(rows: DataFrame, keys: list[str], member: Column, order: list
     buckets' in theirs. A group has a bucket for each ``block`` rows, so that no task holds more than about as many hashes. The
     digest depends on the rows and ``block`` alone, not on how Spark deals them.
     """
-    fan = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__fan"))
-    hashed = rows.select(*keys, F.struct(*order).alias("__o"), F.xxhash64(*order).alias("__x"), F.sha2(member, 256).alias("__h")).join(fan, keys)
-    hashed = hashed.withColumn("__b", F.pmod("__x", "__fan"))
+    fan = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__fan")).where("__fan > 1")  # at most a row for each ``block`` of them
+    hashed = rows.select(*keys, F.struct(*order).alias("__o"), F.xxhash64(*order).alias("__x"), F.sha2(member, 256).alias("__h")).dropna(subset=keys)
+    hashed = hashed.join(F.broadcast(fan), keys, "left").withColumn("__b", F.pmod("__x", F.coalesce("__fan", F.lit(1))))
     parts = hashed.groupBy(*keys, "__b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda x: x["__h"]), "\n"), 256).alias("__p"), F.count("*").alias("__n"))
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__p"))), lambda x: x["__p"]), "\n"), 256)
     return parts.groupBy(*keys).agg(whole.alias("digest"), F.sum("__n").alias("n"))

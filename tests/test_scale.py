@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import audit, documents, ledger, metrics, splits, sweep
+from attesta.operators import audit, documents, ledger, metrics, reconcile, similarity, splits, sweep
 
 
 def rows_of(df):
@@ -137,3 +137,28 @@ def test_weighted_regression_on_a_large_mean(spark):
 def test_wide_gaps_are_one_row(spark):
     got = rows_of(audit.gaps_and_repeats(spark.createDataFrame([("f", 2), ("f", 2), ("f", 999_999_999), ("t", 1), ("u", None)], "kind string, number long"), "kind", "number"))
     assert got == [("f", "missing", 1, 1), ("f", "missing", 3, 999_999_998), ("f", "repeated", 2, 2)]
+
+
+def test_ordered_digest_deals_a_group_once(spark):
+    rows = spark.range(3000).select(F.lit("g").alias("g"), "id").unionByName(spark.range(5).select(F.lit("h").alias("g"), "id"))
+    got = reconcile.ordered_digest(rows, ["g"], F.col("id").cast("string"), ["id"], block=100)
+    assert [(r.g, r.n) for r in got.orderBy("g").collect()] == [("g", 3000), ("h", 5)]
+    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+
+
+def test_scores_are_held_in_parts(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(300, 4)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    search = lambda: rows_of(similarity.cosine_top_k(df.where("id < 40"), df, 3, "id", "v").select("query_id", "rank", "ref_id"))
+    whole, seen = search(), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(similarity, "SCORES", 40 * 7)
+    plain = similarity._nearest
+
+    def small(score, ids, k):
+        seen.add(1)
+        assert score.size <= 40 * 7
+        return plain(score, ids, k)
+
+    monkeypatch.setattr(similarity, "_nearest", small)
+    assert search() == whole and seen.value >= 300 // 7
