@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ ESCAPES = {"0": "\0", "'": "'", '"': '"', "b": "\b", "n": "\n", "r": "\r", "t":
 STATES = ("", "'", '"', "`", "*")
 #: Characters of a statement beyond which a dump is refused.
 LONGEST = 16 << 20
+#: Rows of a statement that a task makes at once.
+PIECE = 2000
 _MARK = re.compile(r"['\"`;#]|--(?=\s|\Z)|/\*")
 _CLOSE = {"'": re.compile(r"[\\']"), '"': re.compile(r'[\\"]'), "`": re.compile("`"), "*": re.compile(r"\*/")}
 _CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?(\w+)`?\s*(\(.*)\Z", re.S | re.I)
@@ -269,6 +272,19 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return kept.join(files, "f").select((F.col("o") + F.col("n") + 1).alias("statement"), "kind", "table_name", "rest")
 
 
+def framed(table: str, statement: int, names: list[str], found: Iterator[tuple[int, list[str | None]]]) -> Iterator[pd.DataFrame]:
+    """The rows of one statement as frames of at most ``PIECE`` rows, each made when it is asked for, however many the statement has."""
+    for piece in batched(found, PIECE):
+        out = []
+        for k, row in piece:
+            if len(row) != len(names):
+                raise SourceError(f"{table}: {len(row)} values for {len(names)} columns")
+            body = dict(zip(names, row, strict=True))
+            canon = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            out.append((table, statement, k, names, body, hashlib.sha256(canon.encode()).hexdigest()))
+        yield pd.DataFrame(out, columns=["table_name", "statement", "tuple", "columns", "body", "row_sha256"])
+
+
 def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, where: dict[str, tuple[str, list[str]]] | None = None) -> tuple[dict[str, Definition], DataFrame]:
     """``(definitions by table, rows)``: every row of the dump, or of some tables, as text with its place and hash.
 
@@ -310,14 +326,7 @@ def read_dump(spark: SparkSession, path: str, only: list[str] | None = None, whe
                     if filters[table][0] not in names:
                         continue
                     wanted = names.index(filters[table][0]), filters[table][1]
-                out = []
-                for k, row in tuples(values, wanted):
-                    if len(row) != len(names):
-                        raise SourceError(f"{table}: {len(row)} values for {len(names)} columns")
-                    body = dict(zip(names, row, strict=True))
-                    canon = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                    out.append((table, statement, k, names, body, hashlib.sha256(canon.encode()).hexdigest()))
-                yield pd.DataFrame(out, columns=["table_name", "statement", "tuple", "columns", "body", "row_sha256"])
+                yield from framed(table, statement, names, tuples(values, wanted))
 
     return tables, every.where("kind = 'insert'").mapInPandas(run, SCHEMA)
 

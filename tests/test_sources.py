@@ -206,3 +206,13 @@ def test_collect_registers_everything(spark, tmp_path):
     assert {name(r.path): r.reason for r in got.gaps.collect()} == {"A.csv": "no_rows", "x.bin": "unsupported_format"}
     assert sorted((r.sheet, str(sorted(r.record.items()))) for r in got.records.where("path like '%w.xlsx' or path like '%b.jsonl'").collect()) == [("", "[('k', '1')]"), ("T", "[('h', '9')]")]
     assert [r.name for r in repeated_names(got.registry).collect()] == ["a.csv"]
+
+
+def test_a_long_statement_comes_in_pieces():
+    from attesta.sources import sql_dump
+
+    seen = []
+    found = (seen.append(k) or (k, v) for k, v in sql_dump.tuples(",".join(f"({i},'x')" for i in range(9001))))
+    frames = sql_dump.framed("t", 1, ["a", "b"], found)
+    assert len(next(frames)) == len(seen) == sql_dump.PIECE
+    assert sum(map(len, frames)) == 9001 - sql_dump.PIECE and seen == list(range(1, 9002))
