@@ -29,6 +29,8 @@ COMMON = frozenset(
 SPARSE = 16
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 CHAIN = 2
+#: Kinds of signatures that are counted: what a task is sent to order a set's signatures by.
+KINDS = 1 << 20
 
 
 class _Words(dict):
@@ -196,34 +198,49 @@ def near_pairs(docs: DataFrame, least: float = 0.8, text: str = "text", key: str
     """``(members, pairs)``: ``key, class_id`` of each row, and ``a, b, likeness`` of classes alike by ``least`` or more.
 
     A class holds the rows of one signature set. Sets are partitioned by length so that a set's partners lie
-    in its own partition or the next; there, sets meet over the signatures that are rarest in the corpus,
-    of which two sets that are alike enough must share one among the first ``n - ceil(least * n) + 1``. Sizes
-    that rule the likeness out, and then the likeness itself, are conditions of that join. Rows without
+    in its own partition or the next; there, sets meet over the signatures that are rarest by a histogram of ``KINDS``
+    hashed signatures, of which two sets that are alike enough must share one among the first ``n - ceil(least * n) + 1`` in
+    any one order. Posts hold a signature and its set's number; their sizes and places rule pairs out in the join, and the
+    likeness of what is left is taken from the sets, once a pair. Rows without
     any signature form one class without partners. Repeated rows are members of one class, null keys are keys, a very long
     text is a long set, other columns aren't read, and an empty table gives two empty results.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    stage = Staging(docs.sparkSession, "spotsigs")
+    spark, stage = docs.sparkSession, Staging(docs.sparkSession, "spotsigs")
     each = signature_sets(docs, text, key).select(F.col(key).alias("k"), "sigs", F.sha2(F.array_join("sigs", " "), 256).alias("class_id"))
-    each = stage.put(each, "each")
-    sets = stage.put(each.groupBy("class_id").agg(F.first("sigs").alias("sigs")), "sets")
-    often = sets.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    held = sets.select("class_id", F.explode("sigs").alias("s")).join(stage.put(often, "often"), "s")
-    ranked = held.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
-    keep = F.size("r") - F.ceil(F.size("r") * F.lit(least) - 1e-9) + 1
-    rare = ranked.select("class_id", F.size("r").alias("n"), F.transform(F.slice("r", F.lit(1), keep.cast("int")), lambda x: x["s"]).alias("rare")).join(sets, "class_id")
+    each = stage.put(each.withColumn("sigs", F.col("sigs").cast("array<bigint>")), "each")
+    number = F.conv(F.substring("class_id", 1, 15), 16, 10).cast("bigint")
+    sets = stage.put(each.groupBy("class_id").agg(F.first("sigs").alias("sigs")).select("class_id", "sigs", number.alias("c")), "sets")
+    often = np.zeros(KINDS, np.int64)
+    counted = sets.select(F.explode("sigs").alias("s")).groupBy((F.col("s") % KINDS).cast("int").alias("kind")).agg(F.count("*").alias("n")).toPandas()
+    often[counted["kind"].to_numpy(int)] = counted["n"].to_numpy(int)
+    shared = spark.sparkContext.broadcast(often)
+
+    def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c", "n", "at", "s"]
+        for b in batches:
+            for c, sigs in zip(b.column("c").to_pylist(), b.column("sigs"), strict=True):
+                x = sigs.values.to_numpy()
+                n = len(x)
+                rare = x[np.lexsort((x, shared.value[x % KINDS]))][: n - math.ceil(n * least - 1e-9) + 1] if n else x
+                m = len(rare)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(m, dtype=np.int32)), pa.array(rare)], names)
+
     step = math.log(1 / least) if least < 1 else math.log(2)
-    band = F.floor(F.log("n") / step + 1e-9)
-    rare = rare.select("class_id", "n", "sigs", "rare", band.alias("band"), F.explode("rare").alias("s"))
-    one = rare.select("*", F.explode(F.array("band", F.col("band") + 1)).alias("at")).alias("one")
-    two = rare.withColumn("at", F.col("band")).alias("two")
-    same = F.size(F.array_intersect("one.sigs", "two.sigs"))
-    like = same / (F.col("one.n") + F.col("two.n") - same)
-    before = (F.col("one.n") < F.col("two.n")) | ((F.col("one.n") == F.col("two.n")) & (F.col("one.class_id") < F.col("two.class_id")))
-    first = F.element_at(F.array_intersect("one.rare", "two.rare"), 1) == F.col("one.s")
-    on = (F.col("one.at") == F.col("two.at")) & (F.col("one.s") == F.col("two.s")) & before & (F.col("one.n") >= F.col("two.n") * (least - 1e-9)) & first & (like >= least - 1e-12)
-    pairs = one.join(two, on).select(F.col("one.class_id").alias("a"), F.col("two.class_id").alias("b"), like.alias("likeness"))
+    rare = sets.select("c", "sigs").mapInArrow(posts, "c bigint, n int, at int, s bigint").withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
+    one = rare.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).alias("one")
+    two = rare.alias("two")
+    before = (F.col("one.n") < F.col("two.n")) | ((F.col("one.n") == F.col("two.n")) & (F.col("one.c") < F.col("two.c")))
+    # both share at most what lies before either place, and what lies from there on in the shorter rest
+    left = F.least(F.col("one.n") - F.col("one.at"), F.col("two.n") - F.col("two.at"))
+    must = (F.col("one.n") + F.col("two.n")) * (least / (1 + least)) - 1e-6
+    on = (F.col("one.band") == F.col("two.band")) & (F.col("one.s") == F.col("two.s")) & before & (F.col("one.n") >= F.col("two.n") * (least - 1e-9)) & (F.least("one.at", "two.at") + left >= must)
+    met = stage.put(one.join(two, on).select(F.col("one.c").alias("x"), F.col("two.c").alias("y")).distinct(), "met")
+    held = lambda end, c: sets.select(F.col("c").alias(c), F.col("class_id").alias(end), F.col("sigs").alias(f"{end}s"))
+    same = F.size(F.array_intersect("as", "bs"))
+    like = same / (F.size("as") + F.size("bs") - same)
+    pairs = met.join(held("a", "x"), "x").join(held("b", "y"), "y").select("a", "b", like.alias("likeness")).where(F.col("likeness") >= least - 1e-12)
     return each.select(F.col("k").alias(key), "class_id"), pairs
 
 

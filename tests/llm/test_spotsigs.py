@@ -99,3 +99,20 @@ def test_pairs_query_against_brute_force(spark, tmp_path):
     like = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8
     want = {i: (sets.count(s), sum(like(s, o) for o in set(sets) if o != s)) for i, s in enumerate(sets)}
     assert got == want and sum(n for _, n in want.values()) > 4
+
+
+def test_posts_carry_no_sets(spark, monkeypatch):
+    from attesta.llm import spotsigs
+
+    r = random.Random(6)
+    base = [f"the w{r.randint(0, 40)} v{r.randint(0, 40)}" for _ in range(60)]
+    texts = [" ".join(base[:20] + r.sample(base, 40)) for _ in range(5)] + [" ".join([*base, "the last one"][i:]) for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plans, put = {}, spotsigs.Staging.put
+    monkeypatch.setattr(spotsigs.Staging, "put", lambda self, d, name: plans.update({name: d._jdf.queryExecution().executedPlan().toString()}) or put(self, d, name))
+    found = lambda: sorted(map(tuple, near_pairs(df)[1].collect()))
+    some = found()
+    joined = plans["met"]
+    assert "Join" in joined and not any("sigs" in line for line in joined.splitlines() if "Exchange" in line or "Sort" in line)
+    monkeypatch.setattr(spotsigs, "KINDS", 3)  # any order of the signatures gives the same pairs
+    assert len(some) > 5 and found() == some
