@@ -34,6 +34,36 @@ def test_nearest_is_brute_force(spark, monkeypatch, apart):
     assert all(r.near == [] for r in neighbours.nearest(df, df.limit(0), 3).collect())
 
 
+def test_blocks_meet_few_others(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    monkeypatch.setattr(neighbours, "LEAF", 256)
+    met, put = [], neighbours.Staging.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        met.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(neighbours.Staging, "put", counted)
+    r = random.Random(5)
+    rows = [(i, [r.random() * 90, float(r.randint(0, 9))]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {x.id: [n.id for n in x.near] for x in neighbours.nearest(df, df, 3, True).collect()}
+    x = np.array([v for _, v in rows])
+    for i in range(0, 4000, 97):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(4000), d))[:3].tolist()
+    assert len(got) == 4000 and met and met[0] < 4000  # of over 125 * 125 pairs of blocks
+
+
+def test_copies_are_neighbours_by_id(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(60)] + [(99, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(4)
+    got = {r.id: [(n.distance, n.id) for n in r.near] for r in neighbours.nearest(df, df, 3, True).collect()}
+    assert got == _slow(rows[:60], rows[:60], 3, True) | {99: []}
+
+
 def test_estimator_is_saved_and_leaks_nothing(spark, tmp_path):
     df = spark.createDataFrame(_rows(120), "id long, fold int, y int, a double, b double, c double")
     make = lambda: learning.pipeline(["a", "b"], learning.estimator("knn_classifier", k=3), "y", classify=True)
