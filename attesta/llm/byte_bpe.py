@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole texts, as ``tokenizers`` gives them, at several times its speed.
 
 A single space between two characters that are no white space always starts a new piece of the byte-level
-pattern, and nothing before it matters to what follows. So a text is cut there, and each distinct piece is
-encoded once and remembered. ``tiktoken`` with the same vocabulary encodes pieces; texts that contain a
+pattern, and nothing before it matters to what follows. So a text is cut there, and a piece that comes again
+is remembered; most distinct pieces never do and are soon forgotten. ``tiktoken`` with the same vocabulary encodes pieces; texts that contain a
 special token's string go to ``tokenizers`` whole. The tests hold the ids against ``tokenizers``.
 """
 
@@ -20,7 +20,8 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SURE = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[^\s\x00-\x1f])")
 _BLANK = re.compile(r"[\s\x00-\x1f]")
-REMEMBERED, LONGEST = 500_000, 48
+#: Pieces remembered, those of them that came once only, and characters of the longest.
+REMEMBERED, ONCE, LONGEST = 120_000, 40_000, 48
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -41,18 +42,26 @@ class ByteBpe(dict):
         ranks = {bytes(table[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.full = path, None
+        self.once: dict[str, bytes] = {}
+        self.once_before: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
+        again = self.once.pop(piece, None) or self.once_before.get(piece)
+        if again is not None:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = again
+            return again
         if not piece or _BLANK.match(piece[0]) or _BLANK.match(piece[-1]):
             return None
         ids = self._raw(" " + piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
+            if len(self.once) >= ONCE:
+                self.once_before, self.once = self.once, {}
+            self.once[piece] = ids
         return ids
 
     def ids(self, text: str) -> bytes:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from functools import cache
 
@@ -39,6 +40,19 @@ def test_ids_of_whole_tables_equal_those_of_tokenizers():
             assert np.frombuffer(bpe.ids(x), "<u4").tolist() == want.ids
 
 
+def test_pieces_that_come_once_are_not_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    bpe, t = byte_bpe.ByteBpe(path), Tokenizer.from_file(path)
+    tracemalloc.start()
+    for at in range(0, 400_000, 1000):
+        bpe.ids("begin " + " ".join(f"q{i}z often" for i in range(at, at + 1000)))
+    grown = tracemalloc.get_traced_memory()[0] / 1e6
+    tracemalloc.stop()
+    assert grown < 30 and "often" in bpe
+    text = " ".join(f"q{i}z" for i in [0, 399_999, 399_999, 380_000, 0, 399_999])  # forgotten, young and kept ones
+    assert np.frombuffer(bpe.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=300)
 @given(st.text(max_size=60))
 def test_ids_of_any_text(text):
