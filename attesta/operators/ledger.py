@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a task of ``ledger_problems`` takes, about, and parts that a key with very many is summed up in.
+PART, SALTS = 500_000, 16
+
 
 def laid_over(rows: DataFrame, flags: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """``rows`` as first written, one for each key, with the flags' ``columns`` laid over and ``revisions``, how many flags spoke.
@@ -24,11 +27,21 @@ def laid_over(rows: DataFrame, flags: DataFrame, key: str, order: list[str], col
 
 
 def ledger_problems(rows: DataFrame, flags: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``key, problem``: ``rewritten`` rows whose writings differ, ``flag_without_row``, and ``contradicted:column`` where flags disagree."""
+    """``key, problem``: ``rewritten`` rows whose writings differ, ``flag_without_row``, and ``contradicted:column`` where flags disagree.
+
+    Rows and flags are dealt by key before they are summed up, about ``PART`` to a task however many there are, so no task holds
+    more keys as the ledger grows. What a key has more than once is first summed up in ``SALTS`` parts by its contents. Flags of a null key have no row.
+    """
     rest = [c for c in rows.columns if c in columns or c not in flags.columns]
     hashed = F.xxhash64(*[c for c in rest if c != key])
-    rewritten = rows.groupBy(key).agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select(key, F.lit("rewritten").alias("problem"))
-    lone = flags.select(key).distinct().join(rows.select(key), key, "left_anti").select(key, F.lit("flag_without_row").alias("problem"))
-    differ = [F.when(F.min(c) < F.max(c), F.lit(f"contradicted:{c}")) for c in columns]
-    against = flags.groupBy(key).agg(F.array_compact(F.array(*differ)).alias("p")).select(key, F.explode("p").alias("problem"))
-    return rewritten.unionByName(lone).unionByName(against)
+    written = rows.select(key, hashed.alias("__h"), *[F.lit(None).cast(flags.schema[c].dataType).alias(c) for c in columns])
+    both = written.unionByName(flags.select(key, F.lit(None).cast("long").alias("__h"), *columns))
+    tasks = 1 + (rows.count() + flags.count()) // PART
+    salted = both.withColumn("__s", F.pmod(F.xxhash64("__h", *columns), F.lit(SALTS))).repartition(tasks, key, "__s")
+    ends = [f(c).alias(f"__{n}{i}") for i, c in enumerate(columns) for n, f in (("min", F.min), ("max", F.max))]
+    parts = salted.groupBy(key, "__s").agg(F.min("__h").alias("__a"), F.max("__h").alias("__b"), F.bool_or(F.col("__h").isNull()).alias("__f"), *ends)
+    differ = [F.when(F.min(f"__min{i}") < F.max(f"__max{i}"), F.lit(f"contradicted:{c}")) for i, c in enumerate(columns)]
+    rewritten = F.when(F.min("__a") < F.max("__b"), F.lit("rewritten"))
+    lone = F.when(F.bool_or("__f") & (F.max("__b").isNull() | F.max(F.col(key).isNull())), F.lit("flag_without_row"))
+    found = parts.repartition(tasks, key).groupBy(key).agg(F.array_compact(F.array(rewritten, lone, *differ)).alias("__p"))
+    return found.select(key, F.explode("__p").alias("problem"))

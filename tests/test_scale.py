@@ -77,6 +77,18 @@ def test_ledger(spark):
     assert ledger.laid_over(rows.limit(0), flags, "k", ["at"], ["status"]).count() == 0
 
 
+def test_ledger_problems_by_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "PART", 1000, raising=False)
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.lit("a").alias("status"))
+    rows = rows.unionByName(rows.withColumn("status", F.lit("b"))).unionByName(spark.createDataFrame([(None, "a")], "k long, status string"))
+    hot = spark.range(5000).select(F.lit(7).cast("long").alias("k"), F.col("id").cast("string").alias("status"))
+    flags = hot.unionByName(spark.createDataFrame([(None, "x"), (-1, "x"), (-1, "x"), (8, None)], "k long, status string"))
+    got = ledger.ledger_problems(rows, flags, "k", ["status"])
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    rest = got.where("problem <> 'rewritten'")
+    assert got.count() - 20_000 == 3 and rows_of(rest) == sorted([(None, "flag_without_row"), (-1, "flag_without_row"), (7, "contradicted:status")], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stratified_folds_are_those_of_the_small_form(spark, seed):
     r = random.Random(seed)
