@@ -2,8 +2,10 @@
 
 A single space between two characters that are no white space always starts a new piece of the byte-level
 pattern, and nothing before it matters to what follows. So a text is cut there, and a piece that comes again
-is remembered; most distinct pieces never do and are soon forgotten. ``tiktoken`` with the same vocabulary encodes pieces; texts that contain a
-special token's string go to ``tokenizers`` whole. The tests hold the ids against ``tokenizers``.
+is remembered; most distinct pieces never do and are soon forgotten. ``tiktoken`` with the same vocabulary encodes pieces.
+A piece that is not remembered costs several times what it does within its text, so where too many are new, texts go to
+``tiktoken`` whole, and after some thousands it is tried by pieces again. Texts that contain a special token's string go to
+``tokenizers`` whole. The tests hold the ids against ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from tokenizers import Tokenizer
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SURE = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[^\s\x00-\x1f])")
 _BLANK = re.compile(r"[\s\x00-\x1f]")
 #: Pieces remembered, those of them that came once only, and characters of the longest.
 REMEMBERED, ONCE, LONGEST = 120_000, 40_000, 48
+#: Texts tried by pieces, those encoded whole if over one piece in ``NEW`` was new to a trial, and characters of a long text.
+TRIAL, WHOLE, NEW, LONG = 200, 8_000, 16, 1 << 20
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -44,11 +47,15 @@ class ByteBpe(dict):
         self.path, self.full = path, None
         self.once: dict[str, bytes] = {}
         self.once_before: dict[str, bytes] = {}
+        self.whole_left, self.tried, self.met, self.new = 0, 0, 0, 0
 
     def _raw(self, text: str) -> bytes:
+        if len(text) > LONG:
+            return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
+        self.new += 1
         again = self.once.pop(piece, None) or self.once_before.get(piece)
         if again is not None:
             if len(self) >= REMEMBERED:
@@ -70,17 +77,19 @@ class ByteBpe(dict):
             if self.full is None:
                 self.full = Tokenizer.from_file(self.path)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.whole_left:
+            self.whole_left -= 1
+            return self._raw(text)
+        if self.tried >= TRIAL:
+            self.whole_left, self.tried, self.met, self.new = WHOLE * (self.new * NEW > self.met), 0, 0, 0
         first, *rest = text.split(" ")
+        self.tried, self.met = self.tried + 1, self.met + len(rest)
         if rest and (not first or _BLANK.match(first[-1])):
-            return self._slow(text)
+            return self._raw(text)
         try:
             return self._raw(first) + b"".join(map(self.__getitem__, rest))
         except TypeError:  # a piece that begins or ends with white space
-            return self._slow(text)
-
-    def _slow(self, text: str) -> bytes:
-        first, *rest = _SURE.split(text)
-        return self._raw(first) + b"".join(self[p] if p in self else self._raw(" " + p) for p in rest)
+            return self._raw(text)
 
 
 @cache

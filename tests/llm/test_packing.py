@@ -53,6 +53,23 @@ def test_pieces_that_come_once_are_not_kept():
     assert np.frombuffer(bpe.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_of_new_pieces_are_encoded_whole(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    bpe, t, calls = byte_bpe.ByteBpe(path), tokenizer(path), []
+    monkeypatch.setattr(byte_bpe, "TRIAL", 20)
+    monkeypatch.setattr(byte_bpe, "WHOLE", 300)
+    raw = bpe._raw
+    monkeypatch.setattr(bpe, "_raw", lambda text: calls.append(text) or raw(text))
+    texts = ["begin\n " + " ".join(f"q{i}z \tand\n" for i in range(50))] + ["begin " + " ".join(f"q{i}z" for i in range(at, at + 50)) for at in range(0, 15_000, 50)]
+    texts += ["begin again and again"] * 100 + [texts[1]] * 100
+    for x in texts:
+        assert np.frombuffer(bpe.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert len(calls) < 3000 and "again" in bpe  # 15,000 new pieces
+    long = "word  x" * 40 + "y"
+    monkeypatch.setattr(byte_bpe, "LONG", 100)
+    assert np.frombuffer(raw(long), "<u4").tolist() == t.encode(long, add_special_tokens=False).ids
+
+
 @settings(deadline=None, max_examples=300)
 @given(st.text(max_size=60))
 def test_ids_of_any_text(text):
