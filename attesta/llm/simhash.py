@@ -21,6 +21,8 @@ SEED = 42
 _BLOCK = 1 << 16
 #: Bits of a fingerprint's other half that may differ in a candidate, shingles of a short text, and rounds of stars.
 OTHER, SHORT, STARS = 9, 40, 3
+#: Texts of a posting list up to which each is looked at for another one near to it before it is a row.
+NARROW = 16
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -268,11 +270,17 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     nodes = stage.put(nodes, "nodes")
     some = nodes.where("n > 0")
 
-    # posting lists with more than one text
+    near = lambda post, x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y) if isinstance(y, str) else y)) <= F.when(F.col(post) < 0, F.lit(OTHER + 4)).otherwise(F.lit(OTHER))
+
+    # posting lists with more than one text; of a narrow one the texts that are near to another one there, as most that unrelated
+    # texts share hold none and such lists grow with the square of the input. m: the others met
     triples = [sum(255 << 8 * p for p in c) for c in combinations(range(4), 3)]
     lists = F.array(*[F.struct((F.col("p").cast("long") * 8 + i + 4 * half).alias("list"), mine.bitwiseAND(F.lit(m)).alias("bytes"), other.alias("rest")) for half, mine, other in _halves(F.col("fp")) for i, m in enumerate(triples)])
     w = Window.partitionBy("post")
-    shared_lists = lambda posts: posts.withColumn("m", F.count("*").over(w)).where("m > 1")
+    mates = F.collect_list(F.when(F.col("m") <= NARROW, F.struct("id", "rest"))).over(w)
+    near_mates = F.size(F.filter("mates", lambda y: (y["id"] != F.col("id")) & near("post", "rest", y["rest"])))
+    others = F.when(F.col("m") > NARROW, F.col("m") - 1).otherwise(near_mates)
+    shared_lists = lambda posts: posts.withColumn("m", F.count("*").over(w)).where("m > 1").withColumn("mates", mates).select("post", "id", "rest", others.cast("long").alias("m")).where("m > 0")
     parts = []
     for at in range(0, prints, 12):
         flat = some.select("id", F.posexplode(F.slice("fps", at + 1, 12)).alias("q", "fp")).withColumn("p", F.col("q") + at)
@@ -281,12 +289,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     rare = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
     small = some.where(F.col("n") <= SHORT).select("id", F.explode(F.slice("few", F.lit(1), rare)).alias("s"), F.element_at("fps", 1).bitwiseAND(F.lit(0xFFFFFFFF)).alias("rest")).select(F.col("s").bitwiseOR(F.lit(-(1 << 63))).alias("post"), "id", "rest")
     parts.append(stage.put(shared_lists(small), "short"))
+    # a row a text with its posts, so that what is known of a text is joined once and not once a post
+    posted = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("m").alias("meets"), F.collect_list(F.struct("post", "rest")).alias("posts"))
+    posted = stage.put(posted, "lists")
     # a list's hub is the text that meets most others over all lists: among copies of one text, the one nearest to all
-    met = stage.put(reduce(DataFrame.unionByName, parts), "lists")
-    meets = met.groupBy("id").agg(F.sum(F.col("m") - 1).alias("meets"))
-    met = stage.put(met.drop("m").join(meets, "id").withColumn("hub", F.max(F.struct("meets", "id", "rest")).over(w)).drop("meets"), "met")
-
-    near = lambda post, x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= F.when(F.col(post) < 0, F.lit(OTHER + 4)).otherwise(F.lit(OTHER))
+    met = posted.select("id", "meets", F.inline("posts")).withColumn("hub", F.max(F.struct("meets", "id", "rest")).over(w)).drop("meets")
     # the hubs that a text can be compared with in all rounds: those that share most lists with it, and those that meet most others
     hubs = met.where((F.col("id") != F.col("hub.id")) & near("post", "rest", "hub.rest")).groupBy("id", F.col("hub.id").alias("h")).agg(F.count("*").alias("lists"), F.max("hub.meets").alias("meets"))
     best = lambda by: F.slice(F.sort_array(F.collect_list(F.struct(by, "h", "lists", "meets")), False), 1, STARS)
@@ -307,12 +314,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
                 continue
             tried = pairs if tried is None else tried.unionByName(pairs)
         else:  # what meets in a list and is in different groups still
-            rooted = met.drop("hub").join(begun, "id")
-            # a list of two whose other halves are apart gives no pair; most lists that unrelated texts share are such
-            several = rooted.groupBy("post").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("texts"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
-            several = several.where((F.col("r0") != F.col("r1")) & ((F.col("texts") > 2) | near("post", "lo", "hi"))).select("post")
             sketched = nodes.select("id", "n", F.when(F.col("n") <= SHORT, F.col("few")).otherwise(F.col("fps")).alias("sk"))
-            left = stage.put(rooted.join(several, "post").join(sketched, "id"), "left").repartition("post")
+            rooted = posted.join(begun, "id").join(sketched, "id").select("id", "root", "n", "sk", F.inline("posts"))
+            # a list of two whose other halves are apart gives no pair; most lists that unrelated texts share are such
+            seen = {"r0": F.min("root"), "r1": F.max("root"), "texts": F.count("*"), "lo": F.min("rest"), "hi": F.max("rest")}
+            several = rooted.withColumns({c: f.over(w) for c, f in seen.items()}).where((F.col("r0") != F.col("r1")) & ((F.col("texts") > 2) | near("post", "lo", "hi")))
+            left = stage.put(several.drop(*seen), "left").repartition("post")
             n1, n2 = F.col("one.n"), F.col("two.n")
             apart = F.aggregate(F.zip_with("one.sk", "two.sk", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
             shared = F.size(F.array_intersect("one.sk", "two.sk"))

@@ -1,7 +1,9 @@
+import random
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from attesta.llm import simhash
 from attesta.llm.simhash import fingerprint, links, near_duplicates, near_groups, sketch
 
 
@@ -138,3 +140,22 @@ def test_the_query_against_all_pairs(spark):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in op6_query(spark, "/root/testdata/sf0.001").collect()}
     assert got == {(k, f"{prints[k]:016x}", root(k)) for k in keys}
     assert any(root(k) != k for k in keys)
+
+
+def test_texts_that_meet_by_chance_are_no_rows(spark, monkeypatch):
+    r, put, rows = random.Random(12), simhash.Staging.put, []
+
+    def seen(self, df, name):
+        got = put(self, df, name)
+        rows.extend(got.select("post", "id", "rest").collect() if name.startswith("posts") else [])
+        return got
+
+    monkeypatch.setattr(simhash.Staging, "put", seen)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(900)]
+    texts += [x + " end" for x in texts[:20]]
+    kept = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).where("first").count()
+    lists = {}
+    for x in rows:
+        lists.setdefault(x.post, []).append(x)
+    assert kept == 900 and lists
+    assert all(any(y.id != x.id and (x.rest ^ y.rest).bit_count() <= simhash.OTHER for y in posts) for posts in lists.values() for x in posts)
