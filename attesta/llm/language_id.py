@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attesta.plans.staging import bounded_batches
+
 HELD_OUT = 2
 #: The network learns from the whole texts of at most so many rows of each language.
 SAMPLE_ROWS = 400
@@ -222,7 +224,8 @@ def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     """
     usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("h"))
     found = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    counts = docs.sparkSession.createDataFrame(found, "lang string, n bigint")
+    counts = pa.table({"lang": pa.array([r.lang for r in found], pa.string()), "n": pa.array([r.n for r in found], pa.int64())})
+    counts = docs.sparkSession.createDataFrame(counts, "lang string, n bigint")  # from Arrow: a list would start Python workers of another kind
     if len(found) <= FEW:
         counts = F.broadcast(counts)  # else rows would be dealt by language, of which one may have most
     some = usable.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) * F.col("n") <= float(1 << 30) * (1.5 * rows + 50))
@@ -241,6 +244,7 @@ def label(docs: DataFrame, net: Network | None, text: str = "text", key: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("k"), *predictions(net, b.column("t"))], ["k", "lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double")
     return got.withColumnRenamed("k", key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.llm import byte_bpe
-from attesta.plans.staging import Staging
+from attesta.plans.staging import Staging, bounded_batches
 
 SEPARATOR = 0
 #: Pieces of one length that are ranked together, about.
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, text:
             keys = b.column("k").take(pa.array(at))
             yield pa.RecordBatch.from_arrays([keys, pa.array(k, pa.int32()), pa.array(s), pa.array(n), pa.array(crc)], ["k", "piece", "start", "length", "ids_crc32"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
     return got.withColumnRenamed("k", key)
@@ -118,7 +119,8 @@ def pack(cut: DataFrame, capacity: int = 2048, key: str = "doc_id") -> DataFrame
     dropped; an empty table gives an empty result.
     """
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = cut.sparkSession.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length bigint, __m bigint")
+    buckets = pa.table({"length": pa.array(list(counts), pa.int64()), "__m": pa.array([-(-n // BUCKET) for n in counts.values()], pa.int64())})
+    buckets = cut.sparkSession.createDataFrame(buckets, "length bigint, __m bigint")  # from Arrow: a list would start Python workers of another kind
     salted = cut.select(key, "piece", "start", "length", "ids_crc32").join(F.broadcast(buckets), "length")
     salted = salted.withColumn("__b", F.pmod(F.xxhash64(key, "piece", "start", "ids_crc32"), F.col("__m"))).drop("__m")
     sizes = salted.groupBy("length", "__b").agg(F.count("*").alias("n"))

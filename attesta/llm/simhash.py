@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.operators.components import connected_components
-from attesta.plans.staging import Staging
+from attesta.plans.staging import Staging, bounded_batches
 
 SEED = 42
 _BLOCK = 1 << 16
@@ -251,6 +251,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, prints: i
     The smallest (key, tag) of a group stays, a null key counting as smallest; ``tag`` is a hash of the text.
     Texts without words are one group. An empty table gives an empty result; other columns aren't read, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     stage = Staging(docs.sparkSession, "groups")
     source = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tag"), F.col(text).alias("t"))
 

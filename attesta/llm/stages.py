@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from attesta.llm import language_id, line_dedup, packing, simhash, substring_dedup
+from attesta.plans.staging import bounded_batches
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,6 +36,7 @@ def identify_language(docs: DataFrame) -> DataFrame:
             names = language_id.predictions(net, texts)[0] if net else pa.array(["und" if not t or not language_id.has_letter(t) else None for t in texts.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, names], [*b.schema.names, "__lang_pred"])
 
+    bounded_batches(docs.sparkSession)
     got = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__lang_pred", StringType())]))
     kept = got.where("__lang_pred is null or __lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "__lang_pred"))
     return kept.select(*[f"`{c}`" for c in docs.columns])

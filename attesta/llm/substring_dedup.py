@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.fm_index import Matches
-from attesta.plans.staging import Staging
+from attesta.plans.staging import Staging, bounded_batches
 
 GRAM = 8
 #: Stretches of one smallest hash above which its windows are dealt singly, and stretches in a shard.
@@ -226,6 +226,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", key:
     """
     if window < GRAM:
         raise ValueError(f"a window must hold at least {GRAM} words")
+    bounded_batches(docs.sparkSession)
     stage = Staging(docs.sparkSession, "substrings")
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("tag"), F.col(text).alias("t"))
     spans = repeated_intervals(rows, window, stage)

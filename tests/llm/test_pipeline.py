@@ -1,4 +1,6 @@
 import corpus_pipeline
+import pyarrow as pa
+from attesta.llm import packing
 from attesta.llm.language_id import labelled_sample, predict, train
 from test_line_dedup import slow as slow_lines
 from test_substring_dedup import slow as slow_substrings
@@ -84,3 +86,24 @@ def test_very_long_texts(spark):
     assert got == {1: 120_000, 2: 300_000, 3: 1}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {x.doc_id for x in packed} == {1, 2, 3} and max(x.length for x in packed) <= 2048
+
+
+def test_texts_go_to_python_by_their_bytes(spark):
+    """However many rows fit a batch, its bytes are bounded; the small tables of the stages start no Python workers."""
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sql("select 1L doc_id, 'the one text' text, 'en' lang, 's' source, 12L n_chars")
+    long_rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) t")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        if stage is corpus_pipeline.STAGES[1][1]:
+            continue  # lines are dealt with outside Python
+        spark.conf.unset(key)
+        stage(spark, docs, "")
+        assert max(r.n for r in long_rows.mapInArrow(sizes, "n bigint").collect()) < 6 << 20
+    spark.conf.set(key, "1000000")
+    assert "ExistingRDD" not in packing.pack(packing.pieces(docs))._jdf.queryExecution().toString()
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
