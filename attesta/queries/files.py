@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from attesta.plans.staging import Staging
 from attesta.session import table
 from attesta.sources import ddl, delimited, dump_table, sql_dump
 
+#: Keys that a statement of the broken dump may have.
+STATEMENT_KEYS = 2000
+
 
 def _written(rows: DataFrame, file: Column, order: Column, value: Column, job: str) -> str:
     """Text files, one for each ``file``, of the values in order."""
@@ -38,7 +42,10 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dump(spark: SparkSession, sf_dir: str) -> str:
-    """Customers and orders as a dump of many files, where some values, keys and references are broken."""
+    """Customers and orders as a dump of many files, where some values, keys and references are broken.
+
+    Statements have rows of at most ``STATEMENT_KEYS`` keys, so they grow in number and not in length.
+    """
     path = Staging(spark, "brokendump").root
     create = [
         "CREATE TABLE `c` (`id` int(11) NOT NULL AUTO_INCREMENT, `name` varchar(18) COLLATE utf8_bin DEFAULT NULL, `segment` varchar(10) NOT NULL DEFAULT 'x', PRIMARY KEY (`id`), UNIQUE KEY `by_name` (`name`(9)) USING BTREE) ENGINE=InnoDB DEFAULT CHARSET=utf8;",
@@ -47,15 +54,19 @@ def _dump(spark: SparkSession, sf_dir: str) -> str:
     k, o = F.col("c_custkey"), F.col("o_orderkey")
     text = lambda c: F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
     name = F.concat(F.lit("Customer#"), F.when(k % 40 == 3, F.lpad((k - 1).cast("string"), 9, "0")).when(k % 40 == 7, F.lpad(k.cast("string"), 12, "0")).otherwise(F.lpad(k.cast("string"), 9, "0")))
-    c = table(spark, sf_dir, "customer").select((F.floor(k / 40) % 31).alias("g"), k.alias("at"), F.concat_ws(",", k, text(name), F.when(k % 50 == 5, F.lit("NULL")).otherwise(text(F.col("c_mktsegment")))).alias("v"))
+    c = table(spark, sf_dir, "customer").select((F.floor(k / 40) % 31).alias("g"), F.floor(k / (31 * STATEMENT_KEYS)).alias("block"), k.alias("at"), F.concat_ws(",", k, text(name), F.when(k % 50 == 5, F.lit("NULL")).otherwise(text(F.col("c_mktsegment")))).alias("v"))
     who = F.when(o % 60 == 1, F.col("o_custkey") + 8_000_000).otherwise(F.col("o_custkey"))
     day = F.when(o % 70 == 2, F.lit("'2024-02-30'")).otherwise(text(F.col("o_orderdate").cast("date")))
     price = F.when(o % 80 == 3, F.lit("'ten'")).otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
     orders = table(spark, sf_dir, "orders")
     rows = F.concat_ws(",", F.when(o % 90 == 4, o - 1).otherwise(o), F.when(o % 7 == 0, F.lit("NULL")).otherwise(who.cast("string")), price, day, F.lit("NULL"))
-    lines = lambda df, into: df.groupBy("g").agg(F.concat(F.lit(f"INSERT INTO `{into}` VALUES "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: F.concat(F.lit("("), x["v"], F.lit(")"))), ","), F.lit(";")).alias("value")).select("value")
+
+    def lines(rows: DataFrame, into: str) -> DataFrame:
+        """A line for each statement, made of its rows alone."""
+        return rows.groupBy("g", "block").applyInPandas(lambda own: pd.DataFrame({"value": [f"INSERT INTO `{into}` VALUES ({'),('.join(own.sort_values(['at', 'v'])['v'])});"]}), "value string")
+
     made = spark.createDataFrame([(s,) for s in create], "value string")
-    made.unionByName(lines(c, "c")).unionByName(lines(orders.select((o % 199).alias("g"), o.alias("at"), rows.alias("v")), "o")).write.text(path)
+    made.unionByName(lines(c, "c")).unionByName(lines(orders.select((o % 199).alias("g"), F.floor(o / (199 * STATEMENT_KEYS)).alias("block"), o.alias("at"), rows.alias("v")), "o")).write.text(path)
     return path
 
 

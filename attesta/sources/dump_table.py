@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 
-from attesta.plans.staging import Staging
+from attesta.plans.staging import LONG_VALUES, Staging
 from attesta.sources import sql_dump
 from attesta.sources.delimited import SourceError
 
@@ -105,11 +105,11 @@ def dump_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """
     every = sql_dump.statements(spark, path).where(F.col("table_name") == name)
     staged = Staging(spark, "dumptable")
-    kept = staged.put(every, "statements")
+    kept = staged.put(every, "statements", LONG_VALUES)
     made = [json.loads(r.rest)[0] for r in kept.where("kind = 'create'").collect()]
     if len(made) != 1:
         raise SourceError(f"{name} is defined {len(made)} times")
-    staged.put(kept.where("kind = 'insert'").select("statement", "rest"), "inserts")
+    staged.put(kept.where("kind = 'insert'").select("statement", "rest"), "inserts", LONG_VALUES)
     spark.dataSource.register(DumpTable)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     columns = sql_dump.definition(name, made[0]).columns

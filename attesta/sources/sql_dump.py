@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.plans.staging import Staging
+from attesta.plans.staging import LONG_VALUES, Staging, bounded_batches
 from attesta.sources.ddl import Definition, defined
 from attesta.sources.delimited import SourceError
 
@@ -205,8 +205,10 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 
     Quotes, comments, several statements on a line, either line end and statements over several splits are
     followed; a statement of over ``LONGEST`` characters, a string or comment that does not end, and a last statement
-    without its semicolon fail. The driver sees one small row a split.
+    without its semicolon fail. The driver sees one small row a split. A task holds some statements at a time, however
+    many its split has: they go to Python by bytes, and are staged in small row groups.
     """
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
     begins, open_, before, file = [], "", 0, None
     for r in sorted(_left_open(lines).collect(), key=lambda r: (r.f, r.b)):
@@ -248,7 +250,7 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([(*split, number, "\n".join(held), whole, False)], columns=["f", "b", "n", "part", "begins", "ends"])
 
     stage = Staging(spark, "dump")
-    parts = stage.put(lines.mapInPandas(cut, "f string, b bigint, n bigint, part string, begins boolean, ends boolean"), "parts")
+    parts = stage.put(lines.mapInPandas(cut, "f string, b bigint, n bigint, part string, begins boolean, ends boolean"), "parts", LONG_VALUES)
     whole = parts.where("begins and ends").select("f", "n", F.col("part").alias("s"))
     torn = parts.where("not (begins and ends)").groupBy("f", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n").alias("s"), F.bool_or("ends").alias("done"))
     torn = torn.select("f", "n", F.when(F.col("done"), F.col("s")).otherwise(F.concat("s", F.lit("\0"))).alias("s"))
@@ -265,11 +267,11 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
                     got.append((f, n, kind, table, rest))
             yield pd.DataFrame(got, columns=["f", "n", "kind", "table_name", "rest"])
 
-    kept = stage.put(whole.unionByName(torn).mapInPandas(classify, "f string, n bigint, kind string, table_name string, rest string"), "statements")
+    kept = stage.put(whole.unionByName(torn).mapInPandas(classify, "f string, n bigint, kind string, table_name string, rest string"), "statements", LONG_VALUES)
     stage.drop("parts")
     order = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = kept.groupBy("f").agg(F.max("n").alias("m")).select("f", F.coalesce(F.sum(F.col("m") + 1).over(order), F.lit(0)).alias("o"))
-    return kept.join(files, "f").select((F.col("o") + F.col("n") + 1).alias("statement"), "kind", "table_name", "rest")
+    return kept.join(F.broadcast(files), "f").select((F.col("o") + F.col("n") + 1).alias("statement"), "kind", "table_name", "rest")
 
 
 def framed(table: str, statement: int, names: list[str], found: Iterator[tuple[int, list[str | None]]]) -> Iterator[pd.DataFrame]:

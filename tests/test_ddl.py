@@ -1,5 +1,12 @@
+import random
+
+import duckdb
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
+from attesta.plans import staging
+from attesta.queries import files
 from attesta.sources import ddl, dump_table, sql_dump
 from attesta.sources.delimited import SourceError
 
@@ -76,3 +83,41 @@ def test_reader_alone():
     assert [type(x).__name__ for x in left] == ["GreaterThan", "EqualTo"] and r.wanted == {"a": frozenset("1")} and r.null == {"b": True}
     assert list(r._decoded(3, '[null, "(1,NULL),(1,2),(2,NULL)"]')) == [(3, 1, "1", None)]
     assert list(r._decoded(3, '["`b`", "(NULL)"]')) == []
+
+
+def test_long_statements_are_held_some_at_a_time(spark, tmp_path):
+    r = random.Random(5)
+    (tmp_path / "d.sql").write_text("CREATE TABLE `t` (`x` text);\n" + "".join(f"INSERT INTO `t` VALUES ('{r.randbytes(1 << 19).hex()}');\n" for _ in range(24)))
+    old = spark.conf.get(staging._BATCH, None)
+    spark.conf.unset(staging._BATCH)
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)
+    try:
+        got = sql_dump.statements(spark, f"{tmp_path}/d.sql")
+        at_once = got.mapInPandas(lambda frames: (pd.DataFrame({"n": [f["rest"].str.len().sum()]}) for f in frames), "n bigint").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set(staging._BATCH, old) if old is not None else spark.conf.unset(staging._BATCH)
+    assert sum(x.n for x in at_once) > 24 << 20 and max(x.n for x in at_once) <= 2 * staging.BATCH_BYTES
+    staged = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in got.inputFiles()]
+    sizes = [m.row_group(g).total_byte_size for m in staged for g in range(m.num_row_groups)]
+    assert sum(sizes) > 24 << 20 and max(sizes) <= 4 * staging.BATCH_BYTES
+
+
+def test_a_dump_of_more_rows_has_more_statements(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    c.execute("CREATE TABLE orders AS SELECT (199 * i + 5)::BIGINT AS o_orderkey, (1240 * (i % 70) + 2)::BIGINT AS o_custkey, i + 0.5::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-01' + to_days((i % 300)::INT) AS o_orderdate FROM range(6001) t(i)")
+    c.execute("CREATE TABLE customer AS SELECT (1240 * (i // 2) + 2 + i % 2)::BIGINT AS c_custkey, 'SOME' AS c_mktsegment FROM range(6000) t(i)")
+    for t in ("orders", "customer"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    rows = {}
+    for line in spark.read.text(files._dump(spark, str(tmp_path))).where("value like 'INSERT%'").collect():
+        rows.setdefault(line.value[13], []).append([int(x.partition(",")[0]) for x in line.value.partition("(")[2].split("),(")])
+    assert {t: sum(map(len, s)) for t, s in rows.items()} == {"o": 6001, "c": 6000}
+    assert max(len(s) for t in rows.values() for s in t) <= files.STATEMENT_KEYS
+    assert all(s == sorted(s) and {k - k % 2 for k in s} <= set(s) for s in rows["c"])
+    for name in ("q_s14_typed_rows", "q_s14_broken_rows"):
+        df = files.QUERIES[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({files.ORACLE[name]})").fetchall()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and got
